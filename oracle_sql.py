@@ -118,6 +118,243 @@ def q(body: str, *extra: str) -> str:
     return "WITH " + ",\n".join(BASE + list(extra)) + "\n" + body
 
 
+
+F3 = """f3r AS (SELECT DISTINCT lower(replace(p_brand,'#','')) AS repo_id,
+                  cast(replace(p_brand,'Brand#','') AS int) AS k FROM part),
+f3 AS (
+ SELECT repo_id, path FROM f1
+ UNION ALL SELECT repo_id, 'README.md' AS path FROM f3r WHERE k % 2 = 0
+ UNION ALL SELECT repo_id, 'README.rst' FROM f3r WHERE k % 3 = 0
+ UNION ALL SELECT repo_id, 'README.txt' FROM f3r WHERE k % 5 = 0
+ UNION ALL SELECT repo_id, 'requirements.txt' FROM f3r WHERE k % 4 = 0
+ UNION ALL SELECT repo_id, 'setup.py' FROM f3r WHERE k % 3 = 0
+ UNION ALL SELECT repo_id, 'pyproject.toml' FROM f3r WHERE k % 2 = 1
+ UNION ALL SELECT repo_id, 'docs/setup.py' FROM f3r
+ UNION ALL SELECT repo_id, 'venv/lib/app.py' FROM f3r
+ UNION ALL SELECT repo_id, 'tools/cli.py' FROM f3r WHERE k % 6 = 0)"""
+
+F5 = """f5 AS (
+ SELECT 'tpch' AS repo_id, 'supplier' AS file, concat('supplier:', cast(l_suppkey AS varchar)) AS source,
+        concat('part:', cast(l_partkey AS varchar)) AS target, 'calls' AS type FROM lineitem
+ UNION ALL SELECT 'tpch', 'customer', concat('customer:', cast(c_custkey AS varchar)),
+        concat('nation:', cast(c_nationkey AS varchar)), 'inherits' FROM customer
+ UNION ALL SELECT 'tpch', 'nation', concat('nation:', cast(n_nationkey AS varchar)),
+        concat('region:', cast(n_regionkey AS varchar)), 'imports' FROM nation)"""
+
+IGN = "['.git', '__pycache__', 'node_modules', '.venv', 'venv', '.mypy_cache']"
+EPN = "('main.py', 'app.py', '__main__.py', '__init__.py', 'cli.py', 'server.py', 'run.py', 'manage.py')"
+STD = ("('os', 'sys', 're', 'json', 'time', 'datetime', 'collections', 'itertools', 'functools', "
+       "'pathlib', 'typing', 'abc', 'enum', 'logging', 'argparse', 'configparser', 'io', 'shutil', "
+       "'subprocess', 'threading', 'multiprocessing', 'asyncio', 'contextlib', 'traceback', "
+       "'unittest', 'pytest', 'math', 'random', 'string', 'copy', 'pickle')")
+
+TREE = f"""tr0 AS (
+ SELECT repo_id, path, string_split(path, '/') AS s FROM f3),
+tr1 AS (
+ SELECT * FROM tr0 WHERE NOT list_has_any(s[1:len(s)-1], {IGN})),
+tr2 AS (
+ SELECT DISTINCT repo_id, array_to_string(s[1:i], '/') AS path, i AS depth, i = len(s) AS is_file
+ FROM (SELECT repo_id, s, unnest(generate_series(1, len(s))) AS i FROM tr1)),
+tr3 AS (
+ SELECT repo_id, path, is_file, depth, string_split(path, '/') AS s FROM tr2),
+tree AS (
+ SELECT repo_id, path, CASE WHEN is_file THEN 'file' ELSE 'dir' END AS type, cast(depth AS integer) AS depth,
+  array_to_string(list_transform(generate_series(1, len(s)), lambda j: concat(
+     CASE WHEN j = len(s) AND is_file THEN '1' ELSE '0' END, lower(s[j]), chr(1), s[j], chr(1))), '') AS sort_key
+ FROM tr3
+ UNION ALL SELECT DISTINCT repo_id, '.', 'dir', 0, '' FROM f3),
+ep AS (
+ SELECT repo_id, path, sort_key FROM tree WHERE type = 'file' AND string_split(path, '/')[-1] IN {EPN})"""
+
+# seeds: entry points, or all pruned .py files of repos without one; graph parts of all files
+SEED = f"""seed AS (
+ SELECT repo_id, path, true AS from_entry FROM ep
+ UNION ALL
+ SELECT repo_id, path, false FROM f1
+ WHERE suffix(path, '.py') AND NOT list_has_any(string_split(path,'/')[1:len(string_split(path,'/'))-1], {IGN})
+   AND repo_id NOT IN (SELECT repo_id FROM ep)),
+snodes AS (SELECT * FROM nodes WHERE (repo_id, file) IN (SELECT repo_id, path FROM seed)),
+sedges AS (SELECT * FROM edges WHERE (repo_id, file) IN (SELECT repo_id, path FROM seed)),
+amod AS (
+ SELECT DISTINCT repo_id, replace(regexp_replace(file, '\\.py$', ''), '/', '.') AS module FROM snodes WHERE file <> ''),
+imod AS (
+ SELECT DISTINCT repo_id, split_part(target, ':', 1) AS module FROM sedges
+ WHERE type = 'imports' AND split_part(target, ':', 1) <> ''),
+cls0 AS (
+ SELECT i.repo_id, i.module, ltrim(i.module, '.') AS base,
+   EXISTS (SELECT 1 FROM amod a WHERE a.repo_id = i.repo_id AND
+           (a.module = i.module OR a.module = ltrim(i.module, '.') OR ends_with(a.module, '.' || ltrim(i.module, '.')))) AS done,
+   EXISTS (SELECT 1 FROM f3 f WHERE f.repo_id = i.repo_id AND f.path = replace(ltrim(i.module, '.'), '.', '/') || '.py') AS has_py,
+   EXISTS (SELECT 1 FROM f3 f WHERE f.repo_id = i.repo_id AND f.path = replace(ltrim(i.module, '.'), '.', '/') || '/__init__.py') AS has_init
+ FROM imod i),
+cls AS (
+ SELECT repo_id, module,
+  CASE WHEN base = '' THEN 'skipped' WHEN done THEN 'analyzed'
+       WHEN split_part(module, '.', 1) IN {STD} THEN 'stdlib'
+       WHEN starts_with(module, '.') OR starts_with(module, repo_id) OR has_py OR has_init THEN 'internal'
+       ELSE 'external' END AS class,
+  CASE WHEN NOT (base = '' OR done OR split_part(module, '.', 1) IN {STD})
+            AND (starts_with(module, '.') OR starts_with(module, repo_id) OR has_py OR has_init)
+       THEN (CASE WHEN has_py THEN replace(base, '.', '/') || '.py'
+                  WHEN has_init THEN replace(base, '.', '/') || '/__init__.py' END) END AS potential_file
+ FROM cls0)"""
+
+
+def _round(k: int) -> str:
+    prev = f"r{k-1}"
+    front = f"fr{k-1}"
+    return f"""a{k} AS (
+ SELECT DISTINCT r.repo_id, replace(regexp_replace(r.path, '\\.py$', ''), '/', '.') AS module
+ FROM {prev} r WHERE (r.repo_id, r.path) IN (SELECT repo_id, file FROM nodes)),
+m{k} AS (
+ SELECT DISTINCT f.repo_id, i.module, ltrim(i.module, '.') AS base
+ FROM {front} f JOIN imps2 i ON f.repo_id = i.repo_id AND f.path = i.path),
+c{k} AS (
+ SELECT m.repo_id,
+   CASE WHEN EXISTS (SELECT 1 FROM f3 x WHERE x.repo_id = m.repo_id AND x.path = replace(m.base, '.', '/') || '.py')
+        THEN replace(m.base, '.', '/') || '.py'
+        WHEN EXISTS (SELECT 1 FROM f3 x WHERE x.repo_id = m.repo_id AND x.path = replace(m.base, '.', '/') || '/__init__.py')
+        THEN replace(m.base, '.', '/') || '/__init__.py' END AS path
+ FROM m{k} m
+ WHERE m.base <> ''
+   AND NOT EXISTS (SELECT 1 FROM a{k} a WHERE a.repo_id = m.repo_id AND
+        (a.module = m.module OR a.module = m.base OR ends_with(a.module, '.' || m.base)))
+   AND split_part(m.module, '.', 1) NOT IN {STD}),
+fr{k} AS (
+ SELECT DISTINCT repo_id, path FROM c{k} c WHERE path IS NOT NULL
+   AND NOT EXISTS (SELECT 1 FROM {prev} r WHERE r.repo_id = c.repo_id AND r.path = c.path)),
+r{k} AS (
+ SELECT repo_id, path, rnd FROM {prev} UNION ALL SELECT repo_id, path, {k} FROM fr{k})"""
+
+
+DISC = ("""imps2 AS (
+ SELECT DISTINCT repo_id, file AS path, split_part(target, ':', 1) AS module FROM edges
+ WHERE type = 'imports' AND split_part(target, ':', 1) <> ''),
+r0 AS (SELECT DISTINCT repo_id, path, 0 AS rnd FROM seed),
+fr0 AS (SELECT repo_id, path FROM r0),
+""" + ",\n".join(_round(k) for k in (1, 2, 3)))
+
+
+def q2(body: str, *extra: str) -> str:
+    return "WITH " + ",\n".join(BASE + [F3, TREE, SEED] + list(extra)) + "\n" + body
+
+
+def more_oracles() -> dict[str, str]:
+    o = {}
+    o["graph_stats"] = q(
+        "SELECT coalesce(a.repo_id, b.repo_id) AS repo_id, coalesce(total_symbols, 0) AS total_symbols,"
+        " coalesce(classes, 0) AS classes, coalesce(functions, 0) AS functions, coalesce(modules, 0) AS modules,"
+        " coalesce(total_edges, 0) AS total_edges, coalesce(inheritance_edges, 0) AS inheritance_edges,"
+        " coalesce(call_edges, 0) AS call_edges, coalesce(import_edges, 0) AS import_edges FROM"
+        " (SELECT repo_id, count(*) AS total_symbols, count(*) FILTER (WHERE kind = 'class') AS classes,"
+        "  count(*) FILTER (WHERE kind = 'function') AS functions, count(*) FILTER (WHERE kind = 'module') AS modules"
+        "  FROM nodes GROUP BY repo_id) a FULL OUTER JOIN"
+        " (SELECT repo_id, count(*) AS total_edges, count(*) FILTER (WHERE type = 'inherits') AS inheritance_edges,"
+        "  count(*) FILTER (WHERE type = 'calls') AS call_edges, count(*) FILTER (WHERE type = 'imports') AS import_edges"
+        "  FROM edges GROUP BY repo_id) b ON a.repo_id = b.repo_id")
+    o["doc_stats"] = q(
+        "SELECT n.repo_id, total_nodes, total_edges, classes, functions, modules, call_edges, inherit_edges, import_edges FROM"
+        " (SELECT repo_id, count(*) AS total_nodes, count(*) FILTER (WHERE kind = 'class') AS classes,"
+        "  count(*) FILTER (WHERE kind = 'function') AS functions, count(*) FILTER (WHERE kind = 'module') AS modules"
+        "  FROM nodes GROUP BY repo_id) n JOIN"
+        " (SELECT repo_id, count(*) AS total_edges, count(*) FILTER (WHERE type = 'inherits') AS inherit_edges,"
+        "  count(*) FILTER (WHERE type = 'calls') AS call_edges, count(*) FILTER (WHERE type = 'imports') AS import_edges"
+        "  FROM edges GROUP BY repo_id) e ON n.repo_id = e.repo_id")
+    o["call_hotspots"] = "WITH " + F5 + """
+SELECT repo_id, rank, target, split_part(target, ':', -1) AS func_name, calls FROM (
+ SELECT repo_id, target, count(*) AS calls,
+        row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, target) AS rank
+ FROM f5 WHERE type = 'calls' GROUP BY repo_id, target) WHERE rank <= 10"""
+    o["base_classes"] = q("SELECT DISTINCT repo_id, target AS base FROM edges WHERE type = 'inherits'")
+    o["distinct_imports"] = q(
+        "SELECT DISTINCT repo_id, split_part(target, ':', 1) AS module FROM edges"
+        " WHERE type = 'imports' AND split_part(target, ':', 1) <> ''")
+    o["analyzed_modules"] = q(
+        "SELECT DISTINCT repo_id, replace(regexp_replace(file, '\\.py$', ''), '/', '.') AS module FROM nodes WHERE file <> ''")
+    o["classes_per_file"] = q(
+        "SELECT repo_id, file_rank, file, class_rank, name FROM ("
+        " SELECT repo_id, file, name, dense_rank() OVER (PARTITION BY repo_id ORDER BY file) AS file_rank,"
+        "  row_number() OVER (PARTITION BY repo_id, file ORDER BY pos, name) AS class_rank"
+        " FROM nodes WHERE kind = 'class') WHERE file_rank <= 10 AND class_rank <= 5")
+    o["cap_nodes"] = q(
+        "SELECT repo_id, rank, file, name, kind, complexity FROM ("
+        " SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY file, pos, name) AS rank FROM nodes) WHERE rank <= 40")
+    o["sort_by_complexity"] = q("SELECT repo_id, file, name, complexity FROM nodes WHERE kind = 'function'")
+    o["calls_to"] = "WITH " + F5 + "\nSELECT repo_id, source FROM f5 WHERE type = 'calls' AND contains(target, 'part:7')"
+    o["inherits_from"] = "WITH " + F5 + "\nSELECT repo_id, source FROM f5 WHERE type = 'inherits' AND contains(target, 'nation:1')"
+    o["pattern_lookup"] = "WITH " + F5 + """
+SELECT p.pattern, p.type, e.repo_id, e.source
+FROM (SELECT DISTINCT concat('nation:', cast(n_nationkey AS varchar)) AS pattern, 'inherits' AS type FROM nation) p
+JOIN f5 e ON e.type = p.type AND contains(e.target, p.pattern)"""
+    o["file_tree"] = q2("SELECT repo_id, path, type, depth FROM tree")
+    o["tree_order"] = q2("SELECT repo_id, path, sort_key FROM tree")
+    o["tree_lines"] = q2(
+        "SELECT repo_id, sort_key, concat(repeat('  ', depth), path, CASE WHEN type = 'dir' THEN '/' ELSE '' END) AS text FROM tree")
+    o["entry_point_files"] = q2("SELECT repo_id, path FROM ep")
+    o["entry_point_count"] = q2(
+        "SELECT r.repo_id, cast(coalesce(c.n, 0) AS bigint) AS entry_points FROM (SELECT DISTINCT repo_id FROM tree) r"
+        " LEFT JOIN (SELECT repo_id, count(*) AS n FROM ep GROUP BY repo_id) c ON r.repo_id = c.repo_id")
+    o["package_flags"] = q2(
+        "SELECT repo_id, bool_or(path = 'requirements.txt') AS has_requirements, bool_or(path = 'setup.py') AS has_setup_py,"
+        " bool_or(path = 'pyproject.toml') AS has_pyproject FROM tree GROUP BY repo_id")
+    o["package_manager"] = q2(
+        "SELECT repo_id, CASE WHEN bool_or(path = 'requirements.txt') THEN 'requirements'"
+        " WHEN bool_or(path = 'setup.py') THEN 'setup' WHEN bool_or(path = 'pyproject.toml') THEN 'pyproject'"
+        " ELSE 'none' END AS package_manager FROM tree GROUP BY repo_id")
+    o["readme_pick"] = q2(
+        "SELECT repo_id, arg_min(path, CASE path WHEN 'README.md' THEN 1 WHEN 'README.rst' THEN 2 ELSE 3 END) AS readme"
+        " FROM tree WHERE path IN ('README.md', 'README.rst', 'README.txt') GROUP BY repo_id")
+    o["first_n_rows"] = q2(
+        "SELECT repo_id, rank, path FROM (SELECT repo_id, path,"
+        " row_number() OVER (PARTITION BY repo_id ORDER BY sort_key) AS rank FROM ep) WHERE rank <= 5")
+    o["module_name_of_file"] = q2(
+        "SELECT repo_id, path, replace(regexp_replace(path, '\\.py$', ''), '/', '.') AS module FROM f3")
+    o["import_target_module"] = q("SELECT repo_id, file, split_part(target, ':', 1) AS module FROM edges WHERE type = 'imports'")
+    di = "(SELECT DISTINCT repo_id, split_part(target, ':', 1) AS module FROM edges WHERE type = 'imports' AND split_part(target, ':', 1) <> '')"
+    o["relative_import_base"] = q(f"SELECT repo_id, module, ltrim(module, '.') AS base FROM {di}")
+    o["candidate_paths"] = q(
+        f"SELECT repo_id, module, replace(ltrim(module, '.'), '.', '/') || '.py' AS cand_py,"
+        f" replace(ltrim(module, '.'), '.', '/') || '/__init__.py' AS cand_init FROM {di} WHERE ltrim(module, '.') <> ''")
+    o["unanalyzed_imports"] = q2("SELECT repo_id, module FROM cls WHERE class NOT IN ('analyzed', 'skipped')")
+    o["resolve_module_files"] = q2("SELECT repo_id, module, potential_file FROM cls WHERE potential_file IS NOT NULL")
+    o["stdlib_imports"] = q2("SELECT repo_id, module FROM cls WHERE class = 'stdlib'")
+    o["internal_imports"] = q2("SELECT repo_id, module, potential_file FROM cls WHERE class = 'internal'")
+    o["external_imports"] = q2("SELECT repo_id, module FROM cls WHERE class = 'external'")
+    o["potential_files"] = q2("SELECT DISTINCT repo_id, potential_file AS path FROM cls WHERE potential_file IS NOT NULL")
+    rep = """SELECT r.repo_id,
+  cast(coalesce(c.total_imports, 0) AS bigint) AS total_imports,
+  cast(coalesce(am.n, 0) AS bigint) AS analyzed_modules,
+  cast(coalesce(c.unanalyzed_internal, 0) AS bigint) AS unanalyzed_internal,
+  cast(coalesce(c.external_dependencies, 0) AS bigint) AS external_dependencies,
+  cast(coalesce(c.stdlib_imports, 0) AS bigint) AS stdlib_imports,
+  cast(coalesce(c.potential_files_to_analyze, 0) AS bigint) AS potential_files_to_analyze,
+  coalesce(c.unanalyzed_internal, 0) = 0 AS discovery_complete,
+  coalesce(fi.l, '') AS first_internal, coalesce(fe.l, '') AS first_external, coalesce(fs.l, '') AS first_stdlib
+FROM (SELECT repo_id FROM snodes UNION SELECT repo_id FROM cls) r
+LEFT JOIN (SELECT repo_id, count(*) AS total_imports, count(*) FILTER (WHERE class = 'internal') AS unanalyzed_internal,
+   count(*) FILTER (WHERE class = 'external') AS external_dependencies, count(*) FILTER (WHERE class = 'stdlib') AS stdlib_imports,
+   count(DISTINCT potential_file) AS potential_files_to_analyze FROM cls GROUP BY repo_id) c ON r.repo_id = c.repo_id
+LEFT JOIN (SELECT repo_id, count(*) AS n FROM amod GROUP BY repo_id) am ON r.repo_id = am.repo_id
+LEFT JOIN (SELECT repo_id, string_agg(module, '|' ORDER BY module) AS l FROM (SELECT repo_id, module,
+   row_number() OVER (PARTITION BY repo_id ORDER BY module) AS k FROM cls WHERE class = 'internal') WHERE k <= 20 GROUP BY repo_id) fi ON r.repo_id = fi.repo_id
+LEFT JOIN (SELECT repo_id, string_agg(module, '|' ORDER BY module) AS l FROM (SELECT repo_id, module,
+   row_number() OVER (PARTITION BY repo_id ORDER BY module) AS k FROM cls WHERE class = 'external') WHERE k <= 20 GROUP BY repo_id) fe ON r.repo_id = fe.repo_id
+LEFT JOIN (SELECT repo_id, string_agg(module, '|' ORDER BY module) AS l FROM (SELECT repo_id, module,
+   row_number() OVER (PARTITION BY repo_id ORDER BY module) AS k FROM cls WHERE class = 'stdlib') WHERE k <= 20 GROUP BY repo_id) fs ON r.repo_id = fs.repo_id"""
+    o["dependency_report"] = q2(rep)
+    o["discovery_complete"] = q2("SELECT repo_id, discovery_complete FROM (" + rep + ")")
+    o["cap_import_lists"] = q2("SELECT repo_id, first_external, first_stdlib FROM (" + rep + ")")
+    o["discover_modules"] = q2("SELECT repo_id, path, rnd AS round FROM r3", DISC)
+    o["discovery_rounds"] = q2(
+        "SELECT repo_id, cast(least(max(rnd) + 1, 3) AS integer) AS discovery_rounds, count(*) AS files_reached"
+        " FROM r3 GROUP BY repo_id", DISC)
+    o["seed_choice"] = q2("SELECT repo_id, bool_or(from_entry) AS seeded_with_entry_points, count(*) AS seed_files"
+                          " FROM seed GROUP BY repo_id")
+    o["new_files_only"] = q2("SELECT repo_id, path FROM fr1", DISC)
+    o["analyzed_update"] = q2("SELECT repo_id, path FROM r3", DISC)
+    return o
+
+
 def oracle_sql() -> dict[str, str]:
     o = {}
     o["source_lines"] = q("SELECT repo_id, path, n, raw, line FROM sl")
@@ -144,4 +381,5 @@ def oracle_sql() -> dict[str, str]:
         "SELECT repo_id, rank, file, name, complexity FROM ("
         " SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY complexity DESC, file, name) AS rank"
         " FROM nodes WHERE kind = 'function' AND complexity > 10) WHERE rank <= 10")
+    o.update(more_oracles())
     return o

@@ -14,6 +14,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM runs every task
+            b = b.config("spark.driver.memory", "16g")
     b = (b.config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.adaptive.enabled", "true")
@@ -49,3 +52,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table inside the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+_TABLES: dict[tuple[str, str], str] = {}
+
+
+def materialize(df, name: str, key: str | None = None):
+    """Write ``df`` as parquet into the shared checkpoint folder and read it back.
+
+    Cuts the lineage (a lost executor recomputes from the written files, not from the
+    whole plan) and keeps later plans small. With ``key`` the table is written once per
+    application and reused.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    if key is not None and (app, key) in _TABLES:
+        return spark.read.parquet(_TABLES[(app, key)])
+    path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    if key is not None:
+        _TABLES[(app, key)] = path
+    return spark.read.parquet(path)
