@@ -355,6 +355,116 @@ LEFT JOIN (SELECT repo_id, string_agg(module, '|' ORDER BY module) AS l FROM (SE
     return o
 
 
+F2 = """f2 AS (
+ SELECT page_id AS req_id,
+  CASE page_id % 12
+   WHEN 0 THEN concat('https://github.com/org', cast(page_id % 7 AS varchar(20)), '/repo', cast(page_id AS varchar(20)), '.git')
+   WHEN 1 THEN concat('  https://github.com/org1/repo', cast(page_id AS varchar(20)), '/tree/main//  ')
+   WHEN 2 THEN 'https://github.com/onlyowner'
+   WHEN 3 THEN concat('https://gitlab.com/g/sub/p', cast(page_id AS varchar(20)), '/')
+   WHEN 4 THEN 'https://bitbucket.org'
+   WHEN 5 THEN 'https://www.github.com/o/r'
+   WHEN 6 THEN 'https://github.com/o!/r'
+   WHEN 7 THEN ''
+   WHEN 8 THEN NULL
+   WHEN 9 THEN 'github.com/o/r'
+   WHEN 10 THEN concat('https://github.com/me/my.github', cast(page_id AS varchar(20)))
+   ELSE url END AS repo_url
+ FROM pages),
+u0 AS (
+ SELECT req_id, repo_url, regexp_replace(regexp_replace(repo_url, '^\\s+|\\s+$', '', 'g'), '/+$', '') AS url FROM f2),
+u1 AS (
+ SELECT *, regexp_replace(regexp_replace(url, '[\\t\\r\\n]', '', 'g'), '^[A-Za-z][A-Za-z0-9+.-]*:', '') AS rest FROM u0),
+u2 AS (
+ SELECT *, regexp_extract(rest, '^//([^/?#]*)', 1) AS host FROM u1),
+u3 AS (
+ SELECT *, list_filter(string_split(regexp_extract(
+           CASE WHEN starts_with(rest, '//') THEN substr(rest, length(host) + 3) ELSE rest END, '^([^?#]*)', 1), '/'),
+           lambda x: x <> '') AS pieces FROM u2),
+uc AS (
+ SELECT req_id, url,
+  CASE WHEN repo_url IS NULL OR repo_url = '' THEN 'empty'
+       WHEN contains(host, '[') <> contains(host, ']') THEN 'format'
+       WHEN host NOT IN ('github.com', 'gitlab.com', 'bitbucket.org') THEN 'host'
+       WHEN host <> 'github.com' THEN 'ok_other'
+       WHEN len(pieces) < 2 THEN 'form'
+       WHEN NOT regexp_matches(pieces[1], '^[A-Za-z0-9_.-]+$')
+         OR NOT regexp_matches(replace(pieces[2], '.git', ''), '^[A-Za-z0-9_.-]+$') THEN 'name'
+       ELSE 'ok_github' END AS outcome, host, pieces
+ FROM u3),
+urls AS (
+ SELECT req_id, outcome IN ('ok_other', 'ok_github') AS valid,
+  CASE outcome WHEN 'empty' THEN 'URL must be a non-empty string'
+               WHEN 'format' THEN 'Invalid URL format: Invalid IPv6 URL'
+               WHEN 'host' THEN 'Unsupported host: ' || host || '. Supported: github.com, gitlab.com, bitbucket.org'
+               WHEN 'form' THEN 'GitHub URL must be in format: https://github.com/owner/repo'
+               WHEN 'name' THEN 'Invalid owner/repo name: ' || pieces[1] || '/' || pieces[2] END AS error,
+  CASE outcome WHEN 'ok_other' THEN url
+               WHEN 'ok_github' THEN 'https://github.com/' || pieces[1] || '/' || replace(pieces[2], '.git', '') END AS normalized_url
+ FROM uc)"""
+
+
+def url_oracles() -> dict[str, str]:
+    o = {}
+    w = "WITH " + F2 + "\n"
+    o["validate_repo_url"] = w + "SELECT req_id, valid, error, normalized_url FROM urls"
+    o["normalize_repo_url"] = w + "SELECT req_id, normalized_url FROM urls WHERE valid"
+    o["url_error_message"] = w + "SELECT req_id, error FROM urls WHERE NOT valid"
+    o["repo_name_from_url"] = w + ("SELECT req_id, replace(string_split(regexp_replace(normalized_url, '/+$', ''), '/')[-1],"
+                                   " '.git', '') AS repo_name FROM urls WHERE valid")
+    ws = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}\\x{0b}]"
+    o["summarize_text"] = f"""WITH d AS (
+ SELECT doc_id, source AS repo_id, text,
+   regexp_replace(regexp_replace(text, '^{ws}+|{ws}+$', '', 'g'), '{ws}+', ' ', 'g') AS c FROM documents)
+SELECT doc_id, repo_id, CASE WHEN text IS NULL OR text = '' THEN 'No README content found.'
+  ELSE substring(c, 1, 500) || CASE WHEN length(c) > 500 THEN '...' ELSE '' END END AS summary FROM d"""
+    o["escape_key"] = q("SELECT repo_id, replace(concat(file, ':', name), ':', '_COLON_') AS key FROM nodes")
+    o["display_name"] = "WITH " + F5 + "\nSELECT repo_id, target, string_split(target, ':')[-1] AS name FROM f5"
+    o["file_label"] = q2("SELECT repo_id, path, string_split(path, '/')[-1] AS label FROM f3")
+    chk = ("checkout AS (SELECT f3.repo_id, f3.path, coalesce(f1.content, '') AS content FROM f3 "
+           "LEFT JOIN f1 ON f3.repo_id = f1.repo_id AND f3.path = f1.path)")
+    py = "regexp_matches(string_split(path, '/')[-1], '^.+\\.py$')"
+    ign = f"list_has_any(string_split(path, '/')[1:len(string_split(path, '/'))-1], {IGN})"
+    o["scan_source_files"] = q2(f"SELECT repo_id, path, length(content) AS chars FROM checkout WHERE {py} AND NOT {ign}", chk)
+    o["prune_ignored_dirs"] = q2(f"SELECT repo_id, path FROM f3 WHERE NOT {ign}")
+    o["scan_unpruned"] = q2(f"SELECT repo_id, path, length(content) AS chars FROM checkout WHERE {py}", chk)
+    o["scan_file_list"] = q2(
+        f"SELECT c.repo_id, c.path, length(c.content) AS chars FROM checkout c WHERE {py} "
+        "AND (c.repo_id, c.path) IN (SELECT repo_id, path FROM ep)", chk)
+    o["extension_filter"] = q2(f"SELECT repo_id, path FROM f3 WHERE {py}")
+    o["graph_to_json"] = q("SELECT repo_id, to_json({'file': file, 'name': name, 'kind': kind, 'complexity': complexity}) AS json FROM nodes")
+    o["load_base_graph"] = q("SELECT repo_id, file, name, kind, complexity FROM nodes")
+    o["complexity_band"] = q(
+        "SELECT repo_id, file, name, complexity, CASE WHEN complexity > 10 THEN 'red' WHEN complexity > 5 THEN 'yellow'"
+        " ELSE 'lightgreen' END AS color FROM nodes WHERE kind = 'function'")
+    o["node_style"] = q(
+        "SELECT repo_id, replace(file || ':' || name, ':', '_COLON_') AS key, name || chr(10) || '(' || string_split(file, '/')[-1] || ')' AS label,"
+        " CASE kind WHEN 'class' THEN 'box' WHEN 'function' THEN 'ellipse' ELSE 'note' END AS shape,"
+        " CASE WHEN kind IN ('class', 'function') THEN 'filled' END AS style,"
+        " CASE kind WHEN 'class' THEN 'lightblue' WHEN 'function' THEN 'lightgreen' END AS fillcolor FROM nodes")
+    o["edge_style"] = q(
+        "SELECT repo_id, replace(source, ':', '_COLON_') AS source, replace(target, ':', '_COLON_') AS target, type AS label,"
+        " CASE type WHEN 'inherits' THEN 'blue' WHEN 'calls' THEN 'green' END AS color,"
+        " CASE type WHEN 'inherits' THEN 'dashed' END AS style FROM edges")
+    o["usage_entry_modules"] = q(
+        "SELECT repo_id, rank, string_split(file, '/')[-1] AS file_label, name FROM (SELECT *, row_number() OVER"
+        " (PARTITION BY repo_id ORDER BY file, pos, name) AS rank FROM nodes WHERE kind = 'module' AND"
+        " (contains(lower(name), 'main') OR contains(lower(name), 'app'))) WHERE rank <= 3")
+    o["depth_switch"] = q2(
+        "SELECT f.repo_id, f.analyze, coalesce(s.total_symbols, 0) AS total_symbols, coalesce(s.classes, 0) AS classes,"
+        " coalesce(s.functions, 0) AS functions, coalesce(s.modules, 0) AS modules, coalesce(e.total_edges, 0) AS total_edges,"
+        " coalesce(e.inheritance_edges, 0) AS inheritance_edges, coalesce(e.call_edges, 0) AS call_edges,"
+        " coalesce(e.import_edges, 0) AS import_edges FROM"
+        " (SELECT repo_id, bool_or(path = 'setup.py') OR bool_or(path = 'pyproject.toml') AS analyze FROM tree GROUP BY repo_id) f"
+        " LEFT JOIN (SELECT repo_id, count(*) AS total_symbols, count(*) FILTER (WHERE kind = 'class') AS classes,"
+        "  count(*) FILTER (WHERE kind = 'function') AS functions, count(*) FILTER (WHERE kind = 'module') AS modules"
+        "  FROM nodes GROUP BY repo_id) s ON f.repo_id = s.repo_id AND f.analyze"
+        " LEFT JOIN (SELECT repo_id, count(*) AS total_edges, count(*) FILTER (WHERE type = 'inherits') AS inheritance_edges,"
+        "  count(*) FILTER (WHERE type = 'calls') AS call_edges, count(*) FILTER (WHERE type = 'imports') AS import_edges"
+        "  FROM edges GROUP BY repo_id) e ON f.repo_id = e.repo_id AND f.analyze")
+    return o
+
+
 def oracle_sql() -> dict[str, str]:
     o = {}
     o["source_lines"] = q("SELECT repo_id, path, n, raw, line FROM sl")
@@ -382,4 +492,5 @@ def oracle_sql() -> dict[str, str]:
         " SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY complexity DESC, file, name) AS rank"
         " FROM nodes WHERE kind = 'function' AND complexity > 10) WHERE rank <= 10")
     o.update(more_oracles())
+    o.update(url_oracles())
     return o

@@ -411,3 +411,163 @@ def q_new_files_only(spark, sf):
 @register("analyzed_update")
 def q_analyzed_update(spark, sf):
     return _discovery(spark, sf).reached.select("repo_id", "path")
+
+
+# ---- URLs (COL1-COL4) -------------------------------------------------------------------
+
+def _urls(spark, sf):
+    from ..functions.urls import url_checks
+    return url_checks(FX.f2_repo_urls(spark, sf))
+
+
+@register("validate_repo_url")
+def q_validate_repo_url(spark, sf):
+    return _urls(spark, sf)
+
+
+@register("normalize_repo_url")
+def q_normalize_repo_url(spark, sf):
+    return _urls(spark, sf).where("valid").select("req_id", "normalized_url")
+
+
+@register("url_error_message")
+def q_url_error_message(spark, sf):
+    return _urls(spark, sf).where(~F.col("valid")).select("req_id", "error")
+
+
+@register("repo_name_from_url")
+def q_repo_name_from_url(spark, sf):
+    from ..functions.paths import repo_name_from_url
+    return _urls(spark, sf).where("valid").select("req_id", repo_name_from_url("normalized_url").alias("repo_name"))
+
+
+# ---- text (STR1, STR3, COL14, COL15) ----------------------------------------------------
+
+@register("summarize_text")
+def q_summarize_text(spark, sf):
+    from ..functions.text import summarize_text
+    return FX.f4_readmes(spark, sf).select("doc_id", "repo_id", summarize_text("text").alias("summary"))
+
+
+@register("escape_key")
+def q_escape_key(spark, sf):
+    from ..functions.text import escape_key
+    return _graph(spark, sf).nodes.select("repo_id", escape_key(G.node_key("file", "name")).alias("key"))
+
+
+@register("display_name")
+def q_display_name(spark, sf):
+    from ..functions.text import display_name
+    return FX.f5_edges(spark, sf).select("repo_id", "target", display_name("target").alias("name"))
+
+
+@register("file_label")
+def q_file_label(spark, sf):
+    from ..functions.text import file_label
+    return _f3(spark, sf).select("repo_id", "path", file_label("path").alias("label"))
+
+
+# ---- sources and sinks (SRC1-SRC8, SNK1) -------------------------------------------------
+
+def _checkout(spark, sf):
+    """Every file of every checkout (F3) with its text (F1; other files are empty)."""
+    f3 = _f3(spark, sf)
+    return (f3.join(_f1(spark, sf), ["repo_id", "path"], "left")
+            .select("repo_id", "path", F.coalesce("content", F.lit("")).alias("content")))
+
+
+@register("scan_source_files")
+def q_scan_source_files(spark, sf):
+    from ..sources.files import scan_source_files
+    return scan_source_files(_checkout(spark, sf)).select("repo_id", "path", F.length("content").alias("chars"))
+
+
+@register("prune_ignored_dirs")
+def q_prune_ignored_dirs(spark, sf):
+    from ..sources.files import prune_ignored_dirs
+    return prune_ignored_dirs(_f3(spark, sf)).select("repo_id", "path")
+
+
+@register("scan_unpruned")
+def q_scan_unpruned(spark, sf):
+    from ..sources.files import scan_unpruned
+    return scan_unpruned(_checkout(spark, sf)).select("repo_id", "path", F.length("content").alias("chars"))
+
+
+@register("scan_file_list")
+def q_scan_file_list(spark, sf):
+    from ..operators.tree import entry_point_files
+    from ..sources.files import scan_file_list
+    wanted = entry_point_files(_tree(spark, sf))
+    return scan_file_list(_checkout(spark, sf), wanted).select("repo_id", "path", F.length("content").alias("chars"))
+
+
+@register("extension_filter")
+def q_extension_filter(spark, sf):
+    from ..sources.files import extension_filter
+    return extension_filter(_f3(spark, sf)).select("repo_id", "path")
+
+
+@register("decode_tolerant")
+def q_decode_tolerant(spark, sf):
+    """SRC6 (rows-only): document text as bytes with an invalid byte appended, decoded."""
+    from ..functions.text import decode_tolerant
+    d = FX.table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF"))).alias("bytes"))
+    return d.select("doc_id", decode_tolerant("bytes").alias("content"))
+
+
+@register("graph_to_json")
+def q_graph_to_json(spark, sf):
+    """SNK1: one JSON object per node (the node list of the serialised graph)."""
+    n = _graph(spark, sf).nodes
+    return n.select("repo_id", F.to_json(F.struct("file", "name", "kind", "complexity")).alias("json"))
+
+
+@register("load_base_graph")
+def q_load_base_graph(spark, sf):
+    """SRC8: write the graph (SNK1, parquet) and load it back with the defaults."""
+    from ..sources.graph_store import load_graph, save_graph
+    path = save_graph(_graph(spark, sf), "f1_graph")
+    return load_graph(spark, path).nodes.select(*G.NODE_COLS)
+
+
+# ---- report columns (COL11-COL13, COL16, COL19) -----------------------------------------
+
+@register("complexity_band")
+def q_complexity_band(spark, sf):
+    from ..operators.diagrams import complexity_band
+    n = _graph(spark, sf).nodes.where(F.col("kind") == "function")
+    return n.select("repo_id", "file", "name", "complexity", complexity_band("complexity").alias("color"))
+
+
+@register("node_style")
+def q_node_style(spark, sf):
+    from ..operators.diagrams import node_style
+    return node_style(_graph(spark, sf).nodes)
+
+
+@register("edge_style")
+def q_edge_style(spark, sf):
+    from ..operators.diagrams import edge_style
+    return edge_style(_graph(spark, sf).edges)
+
+
+@register("usage_entry_modules")
+def q_usage_entry_modules(spark, sf):
+    from ..operators.diagrams import usage_entry_modules
+    return usage_entry_modules(_graph(spark, sf).nodes)
+
+
+@register("depth_switch")
+def q_depth_switch(spark, sf):
+    """COL19: deep analysis only for repositories that are Python packages (root setup.py or
+    pyproject.toml); the others get an empty graph and zero counts."""
+    from ..operators.tree import package_flags
+    flags = package_flags(_tree(spark, sf)).select(
+        "repo_id", (F.col("has_setup_py") | F.col("has_pyproject")).alias("analyze"))
+    g = _graph(spark, sf)
+    deep = flags.where("analyze").select("repo_id")
+    stats = S.graph_stats(g.nodes.join(deep, "repo_id", "left_semi"), g.edges.join(deep, "repo_id", "left_semi"))
+    out = flags.join(stats, "repo_id", "left")
+    return out.select("repo_id", "analyze", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in S.STAT_COLS])
