@@ -493,4 +493,6 @@ def oracle_sql() -> dict[str, str]:
         " FROM nodes WHERE kind = 'function' AND complexity > 10) WHERE rank <= 10")
     o.update(more_oracles())
     o.update(url_oracles())
+    import oracle_scoped
+    o.update(oracle_scoped.scoped_oracles())
     return o

@@ -43,8 +43,12 @@ def build_graph(files: DataFrame, mode: str = "line", filter_ext: bool = True) -
         syms = (syms.join(cx, ["repo_id", "path", "name"], "left")
                 .withColumn("complexity", F.when(F.col("kind") == "function", F.coalesce("lcx", "complexity"))
                             .otherwise(F.col("complexity"))).drop("lcx"))
-        mods = lsym.where(F.col("kind") == "module").withColumn(
-            "pos", F.struct(F.lit(2147483646).alias("n"), F.col("pos.sub"), F.col("pos.n").alias("e"), F.col("pos.i")))
+        # module nodes of the line parser, after every scoped symbol; they name a node
+        # but never set its complexity
+        mods = (lsym.where(F.col("kind") == "module")
+                .withColumn("pos", F.struct(F.lit(2147483646).alias("n"), F.col("pos.sub"),
+                                            F.col("pos.n").alias("e"), F.col("pos.i")))
+                .withColumn("complexity", F.lit(None).cast("int")))
         syms = syms.unionByName(mods)
     elif mode != "scoped":
         raise ValueError(f"unknown mode {mode!r}")

@@ -571,3 +571,117 @@ def q_depth_switch(spark, sf):
     stats = S.graph_stats(g.nodes.join(deep, "repo_id", "left_semi"), g.edges.join(deep, "repo_id", "left_semi"))
     out = flags.join(stats, "repo_id", "left")
     return out.select("repo_id", "analyze", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in S.STAT_COLS])
+
+
+# ---- scoped extraction (SCP1-SCP7, JOIN7, GRF4) ------------------------------------------
+
+def _sfeats(spark, sf):
+    from ..operators.scoped import scoped_features
+    return scoped_features(_files(spark, sf))
+
+
+@register("scoped_symbols")
+def q_scoped_symbols(spark, sf):
+    from ..operators.scoped import scoped_symbols
+    return scoped_symbols(_sfeats(spark, sf)).select("repo_id", "path", F.col("pos.n").alias("n"), "name", "kind")
+
+
+@register("scope_ranges")
+def q_scope_ranges(spark, sf):
+    from ..operators.scoped import enclosing_function
+    return enclosing_function(_sfeats(spark, sf))
+
+
+@register("scoped_calls")
+def q_scoped_calls(spark, sf):
+    from ..operators.scoped import scoped_calls
+    return scoped_calls(_sfeats(spark, sf)).select("repo_id", "path", "caller", "callee")
+
+
+@register("calls_in_scope")
+def q_calls_in_scope(spark, sf):
+    from ..operators.scoped import scoped_calls
+    return scoped_calls(_sfeats(spark, sf)).select("repo_id", "path", "n", "i", "caller")
+
+
+@register("callee_name")
+def q_callee_name(spark, sf):
+    from ..operators.scoped import PY_KEYWORDS, _RX_CALL, callee_name
+    f = _sfeats(spark, sf).select("repo_id", "path", "n", F.explode(
+        F.regexp_extract_all("body", F.lit(_RX_CALL), 1)).alias("call")).where(~F.col("call").isin(*PY_KEYWORDS))
+    return f.select("repo_id", "path", "n", "call", callee_name("call").alias("callee"))
+
+
+@register("scoped_imports")
+def q_scoped_imports(spark, sf):
+    from ..operators.scoped import scoped_imports
+    return scoped_imports(_sfeats(spark, sf)).select("repo_id", "path", "n", "module")
+
+
+@register("scoped_bases")
+def q_scoped_bases(spark, sf):
+    from ..operators.scoped import scoped_bases
+    return scoped_bases(_sfeats(spark, sf)).select("repo_id", "path", "n", "class_name", "base")
+
+
+@register("parser_choice")
+def q_parser_choice(spark, sf):
+    """SCP7: the default ``merged`` mode: scoped symbols and calls, line complexity."""
+    return _graph(spark, sf, "merged").nodes.select(*G.NODE_COLS)
+
+
+@register("call_edges")
+def q_call_edges(spark, sf):
+    return _graph(spark, sf, "scoped").edges.where(F.col("type") == "calls")
+
+
+@register("hotspot_rank")
+def q_hotspot_rank(spark, sf):
+    return S.call_hotspots(_graph(spark, sf, "merged").edges)
+
+
+# ---- diagrams (JOIN1-JOIN4, SRT3, SET1, RPT7) ---------------------------------------------
+
+@register("induced_subgraph")
+def q_induced_subgraph(spark, sf):
+    from ..operators.diagrams import full_diagram
+    g = _graph(spark, sf, "merged")
+    return full_diagram(g.nodes, g.edges)[1].select("repo_id", "source", "target", "label", "color", "style")
+
+
+@register("class_hierarchy")
+def q_class_hierarchy(spark, sf):
+    from ..operators.diagrams import class_hierarchy
+    g = _graph(spark, sf, "merged")
+    return class_hierarchy(g.nodes, g.edges)[1].select("repo_id", "source", "target")
+
+
+@register("call_subgraph")
+def q_call_subgraph(spark, sf):
+    from ..operators.diagrams import call_subgraph
+    return call_subgraph(_graph(spark, sf, "merged").edges)
+
+
+@register("call_node_attributes")
+def q_call_node_attributes(spark, sf):
+    from ..operators.diagrams import call_node_attributes
+    g = _graph(spark, sf, "merged")
+    return call_node_attributes(g.nodes, g.edges).select("repo_id", "key", "label", "fillcolor")
+
+
+@register("cap_call_nodes")
+def q_cap_call_nodes(spark, sf):
+    from ..operators.diagrams import cap_call_nodes
+    return cap_call_nodes(_graph(spark, sf, "merged").edges)
+
+
+@register("call_endpoints")
+def q_call_endpoints(spark, sf):
+    return G.call_endpoints(_graph(spark, sf, "merged").edges)
+
+
+@register("diagram_tables")
+def q_diagram_tables(spark, sf):
+    from ..operators.diagrams import diagram_tables
+    g = _graph(spark, sf, "merged")
+    return diagram_tables(g.nodes, g.edges)[0]
