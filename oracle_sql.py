@@ -495,4 +495,6 @@ def oracle_sql() -> dict[str, str]:
     o.update(url_oracles())
     import oracle_scoped
     o.update(oracle_scoped.scoped_oracles())
+    import oracle_report
+    o.update(oracle_report.report_oracles())
     return o

@@ -22,16 +22,18 @@ def line_graph_parts(files: DataFrame):
     return L.line_symbols(win), L.class_bases(win), L.import_lines(win), win
 
 
-def build_graph(files: DataFrame, mode: str = "line", filter_ext: bool = True) -> G.Graph:
-    """Nodes and edges of every repository in ``files(repo_id, path, content)``."""
+def graph_rows(files: DataFrame, mode: str = "line", filter_ext: bool = True):
+    """Symbol rows (before GRF2/GRF3) and edges of ``files``: ``(rows, edges)``.
+
+    ``rows(repo_id, path, pos, name, kind, complexity)`` include the endpoint rows (GRF7).
+    """
     if filter_ext:
         files = supported_files(files)
     if mode == "line":
         symbols, bases, imports, _ = line_graph_parts(files)
         ends = G.endpoint_rows(None, bases)
-        nodes = G.dedupe_nodes(symbols.unionByName(ends))
         edges = G.append_edges(G.inherit_edges(bases), G.import_edges(imports))
-        return G.Graph(nodes, edges)
+        return symbols.unionByName(ends), edges
     from ..operators import scoped as S
     sc = S.scoped_parts(files)
     calls, bases, imports, syms = sc["calls"], sc["bases"], sc["imports"], sc["symbols"]
@@ -53,6 +55,18 @@ def build_graph(files: DataFrame, mode: str = "line", filter_ext: bool = True) -
     elif mode != "scoped":
         raise ValueError(f"unknown mode {mode!r}")
     ends = G.endpoint_rows(calls, bases)
-    nodes = G.dedupe_nodes(syms.unionByName(ends))
     edges = G.append_edges(G.call_edges(calls), G.inherit_edges(bases), G.import_edges(imports))
-    return G.Graph(nodes, edges)
+    return syms.unionByName(ends), edges
+
+
+def build_graph(files: DataFrame, mode: str = "line", filter_ext: bool = True) -> G.Graph:
+    """Nodes and edges of every repository in ``files(repo_id, path, content)``."""
+    rows, edges = graph_rows(files, mode, filter_ext)
+    return G.Graph(G.dedupe_nodes(rows), edges)
+
+
+def merge_files(base: G.Graph, new_files: DataFrame, mode: str = "line",
+                replace_files: bool = False) -> G.Graph:
+    """GRF9: analyse ``new_files`` and merge them into the stored graph ``base``."""
+    rows, edges = graph_rows(new_files, mode)
+    return G.merge_graph(base, rows, edges, replace_files=replace_files)

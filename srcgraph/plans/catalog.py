@@ -685,3 +685,124 @@ def q_diagram_tables(spark, sf):
     from ..operators.diagrams import diagram_tables
     g = _graph(spark, sf, "merged")
     return diagram_tables(g.nodes, g.edges)[0]
+
+
+# ---- incremental merge (GRF9, SET2, streaming) ------------------------------------------
+
+def _f6(spark, sf):
+    k = F.col("p_partkey")
+    f = materialize(FX.f1_source_files(spark, sf, with_key=True), "f1k", key=f"f1k:{sf}")
+    return f.where(k % 2 == 0).drop("p_partkey"), f.where((k % 2 == 1) | (k % 10 == 0)).drop("p_partkey")
+
+
+def _merged(spark, sf):
+    from .analyze import merge_files
+    stored, new = _f6(spark, sf)
+    return merge_files(build_graph(stored), new)
+
+
+@register("merge_graph")
+def q_merge_graph(spark, sf):
+    return _merged(spark, sf).nodes.select(*G.NODE_COLS)
+
+
+@register("graph_union")
+def q_graph_union(spark, sf):
+    return _merged(spark, sf).edges
+
+
+@register("stream_merge")
+def q_stream_merge(spark, sf):
+    """GRF9 through Structured Streaming: the new batch arrives as parquet files and is merged
+    by ``foreachBatch``; the result is the last graph version (equals ``merge_graph``)."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..streaming.incremental import merge_stream, read_version, seed_graph
+    stored, new = _f6(spark, sf)
+    base = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    seed_graph(build_graph(stored), f"{base}/graph")
+    new.write.parquet(f"{base}/incoming")
+    q = merge_stream(spark, f"{base}/incoming", f"{base}/graph", f"{base}/_checkpoint")
+    q.awaitTermination()
+    return read_version(spark, f"{base}/graph").nodes.select(*G.NODE_COLS)
+
+
+# ---- report (RPT1-RPT6, SNK2, SNK3, JOIN10) ------------------------------------------------
+
+def _report_inputs(spark, sf):
+    from ..operators.tree import readme_pick
+    from .report import ReportInputs
+    tree = _tree(spark, sf)
+    rp = FX.repos(spark, sf)
+    readmes = FX.repo_readmes(spark, sf, readme_pick(tree))
+    # the graph feeds every section: write it once, read it in each branch
+    g = _graph(spark, sf, "merged")
+    g = G.Graph(materialize(g.nodes, "merged_nodes", key=f"mn:{sf}"), materialize(g.edges, "merged_edges", key=f"me:{sf}"))
+    return ReportInputs(rp, g, tree, readmes)
+
+
+@register("report_overview")
+def q_report_overview(spark, sf):
+    from .report import report_overview
+    return report_overview(_report_inputs(spark, sf))
+
+
+@register("report_installation")
+def q_report_installation(spark, sf):
+    from .report import report_installation
+    return report_installation(_report_inputs(spark, sf))
+
+
+@register("report_usage")
+def q_report_usage(spark, sf):
+    from .report import report_usage
+    return report_usage(_report_inputs(spark, sf))
+
+
+@register("report_architecture")
+def q_report_architecture(spark, sf):
+    from .report import report_architecture
+    return report_architecture(_report_inputs(spark, sf))
+
+
+@register("report_api")
+def q_report_api(spark, sf):
+    from .report import report_api
+    return report_api(_report_inputs(spark, sf))
+
+
+@register("report_structure")
+def q_report_structure(spark, sf):
+    from .report import report_structure
+    return report_structure(_report_inputs(spark, sf))
+
+
+@register("write_markdown")
+def q_write_markdown(spark, sf):
+    """SNK2: write every repository's document and read the written lines back."""
+    import uuid
+
+    from ..session import scratch_path
+    from .report import report_rows, write_markdown
+    out = scratch_path(spark, f"reports-{uuid.uuid4().hex}")
+    write_markdown(report_rows(_report_inputs(spark, sf)), out)
+    return spark.read.text(out).select("repo_id", F.col("value").alias("text"))
+
+
+@register("report_join")
+def q_report_join(spark, sf):
+    from .report import report_join
+    i = _report_inputs(spark, sf)
+    return report_join(i.repos, i.tree, i.graph, i.readmes)
+
+
+@register("run_summary")
+def q_run_summary(spark, sf):
+    """SNK3: the result row of a full run (discovery, final classification, statistics)."""
+    from ..operators.deps import classify_imports
+    from ..operators.tree import entry_point_count
+    from .report import run_summary
+    d = _discovery(spark, sf)
+    classes = classify_imports(d.graph.edges, d.graph.nodes, _f3(spark, sf))
+    return run_summary(d.rounds, d.graph, classes, entry_point_count(_tree(spark, sf)))

@@ -143,3 +143,24 @@ def f6_split(spark: SparkSession, sf_dir: str):
     stored = f.where(k % 2 == 0).drop("p_partkey")
     new = f.where((k % 2 == 1) | (k % 10 == 0)).drop("p_partkey")
     return stored, new
+
+
+def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(repo_id, repo_url)`` of the F1 repositories; every seventh brand has a URL on an
+    unsupported host (a failed repository map)."""
+    p = table(spark, sf_dir, "part")
+    r = p.select(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("repo_id"),
+                 F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int").alias("k")).distinct()
+    url = F.when(F.col("k") % 7 == 0, F.concat(F.lit("https://example.org/"), F.col("repo_id"))) \
+        .otherwise(F.concat(F.lit("https://github.com/srcgraph-fixtures/"), F.col("repo_id")))
+    return r.select("repo_id", url.alias("repo_url"))
+
+
+def repo_readmes(spark: SparkSession, sf_dir: str, picked: DataFrame) -> DataFrame:
+    """``(repo_id, text)``: for each repository with a README (``picked``), the first
+    document (lowest ``doc_id``) of source ``src<k mod 20>``."""
+    docs = (table(spark, sf_dir, "documents").groupBy("source")
+            .agg(F.min_by("text", "doc_id").alias("text")))
+    k = F.replace("repo_id", F.lit("brand"), F.lit("")).cast("int")
+    r = picked.select("repo_id", F.concat(F.lit("src"), (k % 20).cast("string")).alias("source"))
+    return r.join(docs, "source", "left").select("repo_id", F.coalesce("text", F.lit("")).alias("text"))
