@@ -15,14 +15,40 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Every character Python's str.isspace() accepts (derived from the interpreter's own table).
+# Space and tab come first: a trim stops scanning the set at the first match.
+WHITESPACE = " \t" + "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \t")
+# Line breaks other than "\n" (rare in source files): they select the slower regex split.
+_RX_RARE_EOL = "[\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+
+
 def py_strip(c) -> Column:
-    """Strip whitespace at both ends the way ``str.strip()`` does (``trim`` drops spaces only)."""
-    return F.regexp_replace(col_(c), _RX_STRIP, "")
+    """Strip whitespace at both ends the way ``str.strip()`` does (``trim`` drops spaces only).
+
+    A character-set trim (``btrim``), no regular expression.
+    """
+    return F.btrim(col_(c), F.lit(WHITESPACE))
+
+
+def line_pieces(c) -> Column:
+    """Lines of a non-empty text like ``str.splitlines()``: one trailing break is removed
+    first, then the text is split (``\n`` only: single-character split; other break
+    characters present: the full break pattern). An empty text must be filtered out by the
+    caller (it has no lines)."""
+    c = col_(c)
+    rare = F.split(F.regexp_replace(c, "(?:" + RX_EOL + ")\\z", ""), RX_EOL, -1)
+    cut = F.when(c.endswith("\n"), F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c)
+    return F.when(c.rlike(_RX_RARE_EOL), rare).otherwise(F.split(cut, "\n", -1))
 
 
 def split_lines(c) -> Column:
-    """Array of lines like ``str.splitlines()``: one trailing empty piece is dropped."""
-    parts = F.split(col_(c), RX_EOL, -1)
+    """Array of lines like ``str.splitlines()``: one trailing empty piece is dropped.
+
+    Text with only ``\n`` breaks takes the single-character split; other break characters
+    select the full break pattern.
+    """
+    c = col_(c)
+    parts = F.when(c.rlike(_RX_RARE_EOL), F.split(c, RX_EOL, -1)).otherwise(F.split(c, "\n", -1))
     return F.when(F.try_element_at(parts, F.lit(-1)) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 

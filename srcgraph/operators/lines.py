@@ -23,19 +23,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import RX_BRANCH
-from ..functions.text import py_strip, split_lines
+from ..functions.constants import BRANCH_KEYWORDS
+from ..functions.text import line_pieces, py_strip
 
 FILE_KEYS = ["repo_id", "path"]
 _MAXINT = 2147483647
 _WS = "[\\s\\x1c-\\x1f]"
 
 
+def has_branch(c):
+    """LIN5 test: the line contains one of the branch keywords (plain substring tests)."""
+    out = None
+    for kw in BRANCH_KEYWORDS:
+        t = c.contains(kw)
+        out = t if out is None else (out | t)
+    return out
+
+
 def source_lines(files: DataFrame) -> DataFrame:
-    """LIN1: ``(repo_id, path, n, raw, line)``; ``n`` counts from 1, ``line`` is stripped."""
-    return (files.select("repo_id", "path", F.posexplode(split_lines("content")).alias("i", "raw"))
-            .select("repo_id", "path", (F.col("i") + 1).cast("int").alias("n"), "raw",
-                    py_strip("raw").alias("line")))
+    """LIN1: ``(repo_id, path, n, raw, line)``; ``n`` counts from 1, ``line`` is stripped.
+
+    File rows are hash-partitioned by ``(repo_id, path)`` before they are exploded: the one
+    exchange moves whole texts (no per-line copy of the keys), the per-line work runs in
+    parallel over all partitions, and every later window or group-by keyed by
+    ``(repo_id, path, ...)`` reuses this partitioning without another exchange.
+    """
+    files = files.repartition(*FILE_KEYS).where(F.col("content") != "")
+    d = files.select("repo_id", "path", F.posexplode(line_pieces("content")).alias("i", "raw"))
+    return d.select("repo_id", "path", (F.col("i") + 1).cast("int").alias("n"), "raw", py_strip("raw").alias("line"))
 
 
 def line_features(lines: DataFrame) -> DataFrame:
@@ -71,7 +86,7 @@ def line_features(lines: DataFrame) -> DataFrame:
         F.when(k == "import", imp_tok).when(k == "from", from_mod).alias("module"),
         # body candidate: any other line, or the text after "):" on a def line
         F.when(k == "def", def_rest != "").otherwise(k == "body").alias("cand"),
-        F.when(k == "def", def_rest.rlike(RX_BRANCH)).otherwise((k == "body") & s.rlike(RX_BRANCH)).alias("branch"),
+        F.when(k == "def", has_branch(def_rest)).otherwise((k == "body") & has_branch(s)).alias("branch"),
     ))
 
 
@@ -85,14 +100,17 @@ def line_windows(feats: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy(*FILE_KEYS).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     k = F.col("kind")
-    d = feats.withColumn("seg", F.sum((k == "def").cast("int")).over(w))
-    d = d.withColumn("bc", ((F.col("seg") > 0) & F.col("cand")).cast("int"))
-    d = d.withColumn("cum", F.sum("bc").over(w))
-    d = d.withColumn("base", F.max(F.when(k == "def", F.col("cum") - F.col("bc"))).over(w))
+    # level 1: running count of def lines and of body candidates (one window operator)
+    d = feats.select("*", F.sum((k == "def").cast("int")).over(w).alias("seg"),
+                     F.sum(F.col("cand").cast("int")).over(w).alias("cum"))
+    # level 2: candidates counted before the current segment's def line
+    d = d.withColumn("base", F.max(F.when(k == "def", F.col("cum") - F.col("cand").cast("int"))).over(w))
     d = d.withColumn("closer", (k == "class") & (F.col("seg") > 0) & (F.col("cum") - F.col("base") > 0))
+    # level 3: the latest segment closed by a class line so far
     d = d.withColumn("closed_seg", F.max(F.when(F.col("closer"), F.col("seg"))).over(w))
-    d = d.withColumn("body", (F.col("bc") == 1) & ~F.coalesce(F.col("closed_seg") == F.col("seg"), F.lit(False)))
-    return d.drop("bc", "cum", "base", "closed_seg", "cand")
+    d = d.withColumn("body", F.col("cand") & (F.col("seg") > 0)
+                     & ~F.coalesce(F.col("closed_seg") == F.col("seg"), F.lit(False)))
+    return d.drop("cum", "base", "closed_seg", "cand")
 
 
 def function_segments(win: DataFrame) -> DataFrame:
@@ -165,3 +183,61 @@ def class_bases(feats: DataFrame) -> DataFrame:
 def class_symbols(feats: DataFrame) -> DataFrame:
     """LIN2: ``(repo_id, path, n, name)`` of class lines."""
     return feats.where(F.col("kind") == "class").select("repo_id", "path", "n", F.col("class_name").alias("name"))
+
+
+_ROW_ARRAY = ("array<struct<tag:string,name:string,kind:string,complexity:int,"
+              "pos:struct<n:int,sub:int,e:int,i:int>,source:string,target:string,type:string>>")
+
+
+def line_graph_rows(win: DataFrame) -> DataFrame:
+    """LIN2-LIN8 + GRF5-GRF7 in one pass over ``line_windows`` output.
+
+    A window over ``(repo_id, path, seg)`` (same partitioning, one extra sort) puts each
+    function's totals on its ``def`` line; then every line emits, through one ``explode``,
+    its symbol rows (``tag = 'sym'``: the function that starts here, the class or import
+    root of the line, the endpoint rows of its bases) and its edge rows (``tag = 'edge'``:
+    ``inherits`` per base, ``imports``). Nothing is computed twice, and the node group-by
+    on ``(repo_id, path, name)`` needs no new exchange.
+    """
+    ws = Window.partitionBy("repo_id", "path", "seg")
+    body = F.col("body").cast("int")
+    d = win.select("*",
+                   F.sum(body).over(ws).alias("seg_body"),
+                   F.sum((F.col("body") & F.col("branch")).cast("int")).over(ws).alias("seg_branch"),
+                   F.min(F.when(F.col("closer"), F.col("n"))).over(ws).alias("close_n"),
+                   F.max("n").over(ws).alias("last_n"))
+    d = d.where(F.col("kind") != "body")  # only these lines emit rows
+    k, n, path = F.col("kind"), F.col("n"), F.col("path")
+    none_s = F.lit(None).cast("string")
+    none_i = F.lit(None).cast("int")
+
+    def pos(pn, sub, e=0, i=0):
+        lit = lambda x: F.lit(x) if isinstance(x, int) else x
+        return F.struct(lit(pn).cast("int").alias("n"), lit(sub).cast("int").alias("sub"),
+                        lit(e).cast("int").alias("e"), lit(i).cast("int").alias("i"))
+
+    def row(tag, name, kind, cx, p, src=none_s, tgt=none_s, typ=none_s):
+        lit = lambda x: F.lit(x) if isinstance(x, (str, int)) else x
+        return F.struct(F.lit(tag).alias("tag"), lit(name).cast("string").alias("name"),
+                        lit(kind).cast("string").alias("kind"), lit(cx).cast("int").alias("complexity"),
+                        p.alias("pos"), src.alias("source"), tgt.alias("target"), typ.alias("type"))
+
+    empty = F.array().cast(_ROW_ARRAY)
+    closed = F.col("close_n").isNotNull()
+    func = F.when((k == "def") & (F.col("seg_body") > 0) & (F.col("def_name") != ""), F.array(row(
+        "sym", F.col("def_name"), "function", F.col("seg_branch") + 1,
+        pos(F.coalesce("close_n", "last_n"), F.when(closed, 0).otherwise(2)))))
+    cname = F.col("class_name")
+    cls = F.when(k == "class", F.concat(
+        F.array(row("sym", cname, "class", 1, pos(n, 1))),
+        F.transform("bases", lambda b, i: row("sym", cname, "class", none_i, pos(_MAXINT, 1, n, i * 2))),
+        F.transform("bases", lambda b, i: row("sym", b, "class", none_i, pos(_MAXINT, 1, n, i * 2 + 1))),
+        F.transform("bases", lambda b, i: row("edge", none_s, none_s, none_i, pos(n, 1, 0, i),
+                                               F.concat_ws(":", path, cname), F.concat_ws(":", path, b),
+                                               F.lit("inherits")))))
+    imp = (k == "from") | ((k == "import") & (F.col("module") != ""))
+    mod = F.when(imp, F.array(
+        row("sym", F.split_part(F.col("module"), F.lit("."), F.lit(1)), "module", 1, pos(n, 1)),
+        row("edge", none_s, none_s, none_i, pos(n, 1), path, F.col("module"), F.lit("imports"))))
+    arr = F.concat(F.coalesce(func, empty), F.coalesce(cls, empty), F.coalesce(mod, empty))
+    return d.select("repo_id", "path", F.explode(arr).alias("r")).select("repo_id", "path", "r.*")

@@ -22,6 +22,16 @@ def line_graph_parts(files: DataFrame):
     return L.line_symbols(win), L.class_bases(win), L.import_lines(win), win
 
 
+SYM_COLS = ["repo_id", "path", "pos", "name", "kind", "complexity"]
+
+
+def _split_rows(rows: DataFrame):
+    syms = rows.where(F.col("tag") == "sym").select(*SYM_COLS)
+    edges = rows.where(F.col("tag") == "edge").select(
+        "repo_id", F.col("path").alias("file"), "source", "target", "type")
+    return syms, edges
+
+
 def graph_rows(files: DataFrame, mode: str = "line", filter_ext: bool = True):
     """Symbol rows (before GRF2/GRF3) and edges of ``files``: ``(rows, edges)``.
 
@@ -30,15 +40,13 @@ def graph_rows(files: DataFrame, mode: str = "line", filter_ext: bool = True):
     if filter_ext:
         files = supported_files(files)
     if mode == "line":
-        symbols, bases, imports, _ = line_graph_parts(files)
-        ends = G.endpoint_rows(None, bases)
-        edges = G.append_edges(G.inherit_edges(bases), G.import_edges(imports))
-        return symbols.unionByName(ends), edges
+        rows = L.line_graph_rows(L.line_windows(L.line_features(L.source_lines(files))))
+        return _split_rows(rows)
     from ..operators import scoped as S
     sc = S.scoped_parts(files)
     calls, bases, imports, syms = sc["calls"], sc["bases"], sc["imports"], sc["symbols"]
     if mode == "merged":
-        lsym, _, _, _ = line_graph_parts(files)
+        lsym, _ = _split_rows(L.line_graph_rows(L.line_windows(L.line_features(L.source_lines(files)))))
         cx = (lsym.where(F.col("kind") == "function")
               .groupBy("repo_id", "path", "name")
               .agg(F.max_by("complexity", "pos").alias("lcx")))
@@ -59,9 +67,27 @@ def graph_rows(files: DataFrame, mode: str = "line", filter_ext: bool = True):
     return syms.unionByName(ends), edges
 
 
-def build_graph(files: DataFrame, mode: str = "line", filter_ext: bool = True) -> G.Graph:
-    """Nodes and edges of every repository in ``files(repo_id, path, content)``."""
+def build_graph(files: DataFrame, mode: str = "line", filter_ext: bool = True,
+                store: bool = False) -> G.Graph:
+    """Nodes and edges of every repository in ``files(repo_id, path, content)``.
+
+    With ``store=True`` the symbol rows and edges are written once (one job, tagged rows in
+    the shared checkpoint folder) and nodes/edges are read back from it, so later plans
+    that use both never analyse the source text twice.
+    """
     rows, edges = graph_rows(files, mode, filter_ext)
+    if store:
+        from ..session import materialize
+        both = (rows.select(F.lit("sym").alias("tag"), *SYM_COLS, *[F.lit(None).cast("string").alias(c) for c in
+                                                                       ["file", "source", "target", "type"]])
+                .unionByName(edges.select(F.lit("edge").alias("tag"), "repo_id", F.col("file").alias("path"),
+                                          F.lit(None).cast("struct<n:int,sub:int,e:int,i:int>").alias("pos"),
+                                          *[F.lit(None).cast(t).alias(c) for c, t in
+                                            [("name", "string"), ("kind", "string"), ("complexity", "int")]],
+                                          "file", "source", "target", "type")))
+        both = materialize(both, f"graph_rows_{mode}")
+        rows = both.where(F.col("tag") == "sym").select(*SYM_COLS)
+        edges = both.where(F.col("tag") == "edge").select(*G.EDGE_COLS)
     return G.Graph(G.dedupe_nodes(rows), edges)
 
 
