@@ -49,11 +49,11 @@ def main() -> None:
             df.write.format("noop").mode("overwrite").save()
 
     def q_graph_line():
-        g = build_graph(f1)
+        g = build_graph(f1, store=True)
         noop(g.nodes, g.edges)
 
     def q_graph_stats():
-        g = build_graph(f1)
+        g = build_graph(f1, store=True)
         noop(S.graph_stats(g.nodes, g.edges))
 
     def q_high_complexity():
@@ -69,11 +69,11 @@ def main() -> None:
         noop(pattern_lookup(f5, pats))
 
     def q_graph_merged():
-        g = build_graph(f1, mode="merged")
+        g = build_graph(f1, mode="merged", store=True)
         noop(g.nodes, g.edges)
 
     def q_dependency_report():
-        g = build_graph(f1)
+        g = build_graph(f1, store=True)
         noop(dependency_report(classify_imports(g.edges, g.nodes, f3), g.nodes))
 
     def q_discovery():
@@ -82,8 +82,7 @@ def main() -> None:
 
     def q_report():
         tree = file_tree(f3)
-        g = build_graph(f1, mode="merged")
-        g = type(g)(materialize(g.nodes, "bench_mn"), materialize(g.edges, "bench_me"))
+        g = build_graph(f1, mode="merged", store=True)
         inp = ReportInputs(FX.repos(spark, sf_dir), g, tree, FX.repo_readmes(spark, sf_dir, readme_pick(tree)))
         noop(report_rows(inp))
 

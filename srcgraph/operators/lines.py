@@ -185,6 +185,30 @@ def class_symbols(feats: DataFrame) -> DataFrame:
     return feats.where(F.col("kind") == "class").select("repo_id", "path", "n", F.col("class_name").alias("name"))
 
 
+def NONE_S():
+    return F.lit(None).cast("string")
+
+
+def NONE_I():
+    return F.lit(None).cast("int")
+
+
+def gpos(pn, sub, e=0, i=0):
+    """Graph-order position ``(n, sub, e, i)`` (see ``operators.graph``)."""
+    lit = lambda x: F.lit(x) if isinstance(x, int) else x
+    return F.struct(lit(pn).cast("int").alias("n"), lit(sub).cast("int").alias("sub"),
+                    lit(e).cast("int").alias("e"), lit(i).cast("int").alias("i"))
+
+
+def grow(tag, name, kind, cx, p, src=None, tgt=None, typ=None):
+    """One tagged row: a symbol row (``sym``) or an edge row (``edge``)."""
+    src, tgt, typ = [NONE_S() if x is None else x for x in (src, tgt, typ)]
+    lit = lambda x: F.lit(x) if isinstance(x, (str, int)) else x
+    return F.struct(F.lit(tag).alias("tag"), lit(name).cast("string").alias("name"),
+                    lit(kind).cast("string").alias("kind"), lit(cx).cast("int").alias("complexity"),
+                    p.alias("pos"), src.alias("source"), tgt.alias("target"), typ.alias("type"))
+
+
 _ROW_ARRAY = ("array<struct<tag:string,name:string,kind:string,complexity:int,"
               "pos:struct<n:int,sub:int,e:int,i:int>,source:string,target:string,type:string>>")
 
@@ -208,20 +232,7 @@ def line_graph_rows(win: DataFrame) -> DataFrame:
                    F.max("n").over(ws).alias("last_n"))
     d = d.where(F.col("kind") != "body")  # only these lines emit rows
     k, n, path = F.col("kind"), F.col("n"), F.col("path")
-    none_s = F.lit(None).cast("string")
-    none_i = F.lit(None).cast("int")
-
-    def pos(pn, sub, e=0, i=0):
-        lit = lambda x: F.lit(x) if isinstance(x, int) else x
-        return F.struct(lit(pn).cast("int").alias("n"), lit(sub).cast("int").alias("sub"),
-                        lit(e).cast("int").alias("e"), lit(i).cast("int").alias("i"))
-
-    def row(tag, name, kind, cx, p, src=none_s, tgt=none_s, typ=none_s):
-        lit = lambda x: F.lit(x) if isinstance(x, (str, int)) else x
-        return F.struct(F.lit(tag).alias("tag"), lit(name).cast("string").alias("name"),
-                        lit(kind).cast("string").alias("kind"), lit(cx).cast("int").alias("complexity"),
-                        p.alias("pos"), src.alias("source"), tgt.alias("target"), typ.alias("type"))
-
+    none_s, none_i, pos, row = NONE_S(), NONE_I(), gpos, grow
     empty = F.array().cast(_ROW_ARRAY)
     closed = F.col("close_n").isNotNull()
     func = F.when((k == "def") & (F.col("seg_body") > 0) & (F.col("def_name") != ""), F.array(row(

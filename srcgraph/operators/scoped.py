@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lines import source_lines
+from .lines import _MAXINT, _ROW_ARRAY, NONE_I, NONE_S, gpos, grow, source_lines
 
 # FIXED VALUES: Python's reserved words (never a call target).
 PY_KEYWORDS = [
@@ -159,3 +159,47 @@ def scoped_parts(files: DataFrame, callee: str = "grammar") -> dict:
     feats = scoped_features(files)
     return {"symbols": scoped_symbols(feats), "calls": scoped_calls(feats, callee),
             "imports": scoped_imports(feats), "bases": scoped_bases(feats)}
+
+
+def scoped_graph_rows(files: DataFrame, callee: str = "grammar") -> DataFrame:
+    """SCP1-SCP6 + GRF4-GRF7 as tagged rows in one pass.
+
+    The innermost open function is attached to every line by one join; then each line
+    emits, through one ``explode``, its symbol, its bases (endpoint rows and ``inherits``
+    edges), its imports and its calls (endpoint rows and ``calls`` edges).
+    """
+    feats = scoped_features(files)
+    d = feats.join(enclosing_function(feats), ["repo_id", "path", "n"], "left")
+    n, path, t = F.col("n"), F.col("path"), F.trim("text")
+    cname, func = F.col("class_name"), F.col("func")
+    empty = F.array().cast(_ROW_ARRAY)
+    sym = (F.when(F.col("def_name").isNotNull(), F.array(grow("sym", F.col("def_name"), "function", 1, gpos(n, 1))))
+           .when(cname.isNotNull(), F.array(grow("sym", cname, "class", 1, gpos(n, 1)))))
+    args = F.regexp_extract("text", "^\\s*class\\s+\\w+\\s*\\((.*)\\)\\s*:", 1)
+    no_calls = F.regexp_replace(F.regexp_replace(args, _RX_NAME + "\\s*\\([^()]*\\)", ""),
+                                _RX_NAME + "\\s*\\([^()]*\\)", "")
+    bases = F.filter(F.regexp_extract_all(no_calls, F.lit(_RX_NAME), 0), lambda b: (b != "object") & (b != cname))
+    base_rows = F.when(cname.isNotNull(), F.concat(
+        F.transform(bases, lambda b, i: grow("sym", cname, "class", NONE_I(), gpos(_MAXINT, 1, n, i * 2))),
+        F.transform(bases, lambda b, i: grow("sym", b, "class", NONE_I(), gpos(_MAXINT, 1, n, i * 2 + 1))),
+        F.transform(bases, lambda b, i: grow("edge", NONE_S(), NONE_S(), NONE_I(), gpos(n, 1, 0, i),
+                                              F.concat_ws(":", path, cname), F.concat_ws(":", path, b),
+                                              F.lit("inherits")))))
+    mods = F.filter(F.transform(F.split(F.substring(t, 8, 1 << 30), ","),
+                                lambda x: F.regexp_extract(F.trim(x), "^" + _RX_NAME, 0)), lambda m: m != "")
+    from_mod = F.regexp_extract(t, "^from\\s+(\\.*(?:[A-Za-z_][\\w.]*)?)\\s*import\\b", 1)
+    imp_edge = lambda m: grow("edge", NONE_S(), NONE_S(), NONE_I(), gpos(n, 2), path, m, F.lit("imports"))
+    imp_rows = (F.when(t.startswith("import "), F.transform(mods, imp_edge))
+                .when(t.startswith("from ") & (from_mod != "") & (from_mod != "__future__"),
+                      F.array(imp_edge(from_mod))))
+    kw = F.array(*[F.lit(x) for x in PY_KEYWORDS])
+    calls = F.filter(F.regexp_extract_all("body", F.lit(_RX_CALL), 1), lambda c: ~F.array_contains(kw, c))
+    call_rows = F.when(func.isNotNull(), F.concat(
+        F.transform(calls, lambda c, i: grow("sym", callee_name(c, callee), "function", NONE_I(),
+                                             gpos(_MAXINT, 0, n, i * 2))),
+        F.transform(calls, lambda c, i: grow("sym", func, "function", NONE_I(), gpos(_MAXINT, 0, n, i * 2 + 1))),
+        F.transform(calls, lambda c, i: grow("edge", NONE_S(), NONE_S(), NONE_I(), gpos(n, 0, 0, i),
+                                             F.concat_ws(":", path, func),
+                                             F.concat_ws(":", path, callee_name(c, callee)), F.lit("calls")))))
+    arr = F.concat(*[F.coalesce(x, empty) for x in (sym, base_rows, imp_rows, call_rows)])
+    return d.select("repo_id", "path", F.explode(arr).alias("r")).select("repo_id", "path", "r.*")

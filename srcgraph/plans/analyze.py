@@ -67,28 +67,61 @@ def graph_rows(files: DataFrame, mode: str = "line", filter_ext: bool = True):
     return syms.unionByName(ends), edges
 
 
+def tagged_rows(files: DataFrame, mode: str = "line", filter_ext: bool = True) -> DataFrame:
+    """All symbol and edge rows of ``files`` as one DataFrame with a ``tag`` column
+    (``sym``, ``edge``; in ``merged`` mode also ``lfunc``: line-parser function rows that
+    only lend their complexity). One pass per parser; nothing is computed twice."""
+    if filter_ext:
+        files = supported_files(files)
+    line = L.line_graph_rows(L.line_windows(L.line_features(L.source_lines(files)))) if mode != "scoped" else None
+    if mode == "line":
+        return line
+    from ..operators.scoped import scoped_graph_rows
+    sc = scoped_graph_rows(files)
+    if mode == "scoped":
+        return sc
+    if mode != "merged":
+        raise ValueError(f"unknown mode {mode!r}")
+    lfunc = line.where((F.col("tag") == "sym") & (F.col("kind") == "function")).withColumn("tag", F.lit("lfunc"))
+    # module nodes of the line parser come after every scoped symbol and set no complexity
+    lmod = (line.where((F.col("tag") == "sym") & (F.col("kind") == "module"))
+            .withColumn("pos", F.struct(F.lit(2147483646).alias("n"), F.col("pos.sub"), F.col("pos.n").alias("e"),
+                                        F.col("pos.i")))
+            .withColumn("complexity", F.lit(None).cast("int")))
+    return sc.unionByName(lfunc).unionByName(lmod)
+
+
+def dedupe_merged(rows: DataFrame) -> DataFrame:
+    """GRF2/GRF3 for ``merged`` mode in one group-by: kind from the first ``sym`` row; the
+    complexity is that of the last ``sym`` row carrying one, where a function takes the
+    line parser's (last) complexity of the same ``(file, name)``."""
+    agg = (rows.groupBy("repo_id", F.col("path").alias("file"), "name")
+           .agg(F.expr("min_by(kind, pos) FILTER (WHERE tag = 'sym')").alias("kind"),
+                F.expr("max_by(complexity, pos) FILTER (WHERE tag = 'lfunc')").alias("lcx"),
+                F.expr("max_by(kind, pos) FILTER (WHERE tag = 'sym' AND complexity IS NOT NULL)").alias("last_kind"),
+                F.expr("min(pos) FILTER (WHERE tag = 'sym')").alias("pos")))
+    cx = F.when(F.col("last_kind") == "function", F.coalesce("lcx", F.lit(1))).otherwise(F.lit(1))
+    return agg.where(F.col("kind").isNotNull()).select("repo_id", "file", "name", "kind", cx.alias("complexity"), "pos")
+
+
 def build_graph(files: DataFrame, mode: str = "line", filter_ext: bool = True,
                 store: bool = False) -> G.Graph:
     """Nodes and edges of every repository in ``files(repo_id, path, content)``.
 
-    With ``store=True`` the symbol rows and edges are written once (one job, tagged rows in
-    the shared checkpoint folder) and nodes/edges are read back from it, so later plans
-    that use both never analyse the source text twice.
+    With ``store=True`` the tagged rows are written once (one job into the shared
+    checkpoint folder) and nodes and edges are read back from them, so plans that use both
+    never analyse the source text twice.
     """
-    rows, edges = graph_rows(files, mode, filter_ext)
+    rows = tagged_rows(files, mode, filter_ext)
     if store:
         from ..session import materialize
-        both = (rows.select(F.lit("sym").alias("tag"), *SYM_COLS, *[F.lit(None).cast("string").alias(c) for c in
-                                                                       ["file", "source", "target", "type"]])
-                .unionByName(edges.select(F.lit("edge").alias("tag"), "repo_id", F.col("file").alias("path"),
-                                          F.lit(None).cast("struct<n:int,sub:int,e:int,i:int>").alias("pos"),
-                                          *[F.lit(None).cast(t).alias(c) for c, t in
-                                            [("name", "string"), ("kind", "string"), ("complexity", "int")]],
-                                          "file", "source", "target", "type")))
-        both = materialize(both, f"graph_rows_{mode}")
-        rows = both.where(F.col("tag") == "sym").select(*SYM_COLS)
-        edges = both.where(F.col("tag") == "edge").select(*G.EDGE_COLS)
-    return G.Graph(G.dedupe_nodes(rows), edges)
+        rows = materialize(rows, f"graph_rows_{mode}")
+    syms = rows.where(F.col("tag") != "edge")
+    edges = rows.where(F.col("tag") == "edge").select(
+        "repo_id", F.col("path").alias("file"), "source", "target", "type")
+    if mode == "merged":
+        return G.Graph(dedupe_merged(syms), edges)
+    return G.Graph(G.dedupe_nodes(syms.select(*SYM_COLS)), edges)
 
 
 def merge_files(base: G.Graph, new_files: DataFrame, mode: str = "line",

@@ -737,8 +737,7 @@ def _report_inputs(spark, sf):
     rp = FX.repos(spark, sf)
     readmes = FX.repo_readmes(spark, sf, readme_pick(tree))
     # the graph feeds every section: write it once, read it in each branch
-    g = _graph(spark, sf, "merged")
-    g = G.Graph(materialize(g.nodes, "merged_nodes", key=f"mn:{sf}"), materialize(g.edges, "merged_edges", key=f"me:{sf}"))
+    g = build_graph(_f1(spark, sf), mode="merged", store=True)
     return ReportInputs(rp, g, tree, readmes)
 
 

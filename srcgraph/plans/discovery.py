@@ -70,7 +70,7 @@ def discover(files: DataFrame, all_paths: DataFrame | None = None,
     if all_paths is None:
         all_paths = files.select("repo_id", "path")
     all_paths = all_paths.select("repo_id", "path").distinct()
-    g = build_graph(files, mode="line")
+    g = build_graph(files, mode="line", store=True)
     # per-file tables used by the passes (small: a few rows per file)
     imports = (g.edges.where(F.col("type") == "imports")
                .select("repo_id", F.col("file").alias("path"),
