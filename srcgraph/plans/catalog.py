@@ -805,3 +805,19 @@ def q_run_summary(spark, sf):
     d = _discovery(spark, sf)
     classes = classify_imports(d.graph.edges, d.graph.nodes, _f3(spark, sf))
     return run_summary(d.rounds, d.graph, classes, entry_point_count(_tree(spark, sf)))
+
+
+@register("scan_directory")
+def q_scan_directory(spark, sf):
+    """SRC1 raw form: F1 written as checkout folders, read back with the ``srcdir`` source
+    (names starting with ``_`` kept, ignored directories pruned, ``.py`` only)."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources.directory import register as register_srcdir
+    from ..sources.directory import write_checkout
+    root = scratch_path(spark, f"checkout-{uuid.uuid4().hex}")
+    write_checkout(_checkout(spark, sf), root)
+    register_srcdir(spark)
+    d = spark.read.format("srcdir").option("path", root).option("shards", "4").load()
+    return d.select("repo_id", "path", F.length("content").alias("chars"))
