@@ -20,6 +20,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.constants import IGNORE_DIRS, SUPPORTED_EXT
 
 
+def local_path(p: str) -> str:
+    """``file:`` URIs as plain paths for Python's ``os`` functions (other schemes unchanged)."""
+    if p.startswith("file://"):
+        return p[len("file://"):]
+    if p.startswith("file:"):
+        return p[len("file:"):]
+    return p
+
+
 class _Shard(InputPartition):
     def __init__(self, repo: str, shard: int, shards: int):
         super().__init__((repo, shard))
@@ -28,7 +37,7 @@ class _Shard(InputPartition):
 
 class SourceDirReader(DataSourceReader):
     def __init__(self, options):
-        self.root = options["path"]
+        self.root = local_path(options["path"])
         self.shards = int(options.get("shards", "8"))
         self.prune = options.get("prune", "true").lower() == "true"
         sx = options.get("suffixes", ",".join(SUPPORTED_EXT))
@@ -76,7 +85,10 @@ def register(spark) -> None:
 
 def write_checkout(files, root: str) -> None:
     """Write ``files(repo_id, path, content)`` as a checkout folder tree under ``root``
-    (executors write their own rows; used to build test folders from tables)."""
+    (executors write their own rows; used to build test folders from tables). ``root`` must
+    be a local or mounted shared folder."""
+    root = local_path(root)
+
     def write_part(rows):
         for r in rows:
             full = os.path.join(root, r.repo_id, *r.path.split("/"))
