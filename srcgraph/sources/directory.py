@@ -79,7 +79,37 @@ class SourceDirDataSource(DataSource):
         return SourceDirReader(self.options)
 
 
-def register(spark) -> None:
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark) -> None:
+    """Send this package to the Python workers (``addPyFile`` of a zip written into the
+    shared checkpoint folder), once per application. Skip it where the package is installed
+    on the executors already."""
+    import uuid
+    import zipfile
+
+    from ..session import scratch_path
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = scratch_path(spark, f"pyfiles/srcgraph-{uuid.uuid4().hex}.zip")
+    zpath = local_path(target)
+    os.makedirs(os.path.dirname(zpath), exist_ok=True)
+    with zipfile.ZipFile(zpath, "w") as z:
+        for dirpath, _, names in os.walk(pkg):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(dirpath, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    spark.sparkContext.addPyFile(zpath)
+    _SHIPPED.add(app)
+
+
+def register(spark, ship: bool = True) -> None:
+    if ship:
+        ship_package(spark)
     spark.dataSource.register(SourceDirDataSource)
 
 
