@@ -58,11 +58,14 @@ _FILE = ["repo_id", "path"]
 def masked_lines(files: DataFrame) -> DataFrame:
     """``(repo_id, path, n, indent, text)`` with strings, comments and docstring blocks masked."""
     lines = source_lines(files)
-    tq = F.size(F.split(F.col("raw"), _RX_TQ, -1)) - 1
+    raw = F.col("raw")
+    # every regex below is guarded by a plain substring test: most lines skip it
+    tq = F.when(raw.contains("\"\"\"") | raw.contains("\'\'\'"), F.size(F.split(raw, _RX_TQ, -1)) - 1).otherwise(0)
     w = Window.partitionBy(*_FILE).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = lines.select("repo_id", "path", "n", "raw", tq.alias("tq"))
     d = d.withColumn("tq_before", F.sum("tq").over(w) - F.col("tq"))
-    masked = F.regexp_replace(F.regexp_replace("raw", _RX_STR, "\"\""), "#.*$", "")
+    no_str = F.when(raw.contains("\"") | raw.contains("'"), F.regexp_replace(raw, _RX_STR, "\"\"")).otherwise(raw)
+    masked = F.when(no_str.contains("#"), F.regexp_replace(no_str, "#.*$", "")).otherwise(no_str)
     text = F.when(F.col("tq_before") % 2 == 1, F.lit("")).otherwise(masked)
     return d.select("repo_id", "path", "n",
                     F.length(F.regexp_extract("raw", "^[ \\t]*", 0)).alias("indent"), text.alias("text"))
@@ -71,9 +74,11 @@ def masked_lines(files: DataFrame) -> DataFrame:
 def scoped_features(files: DataFrame) -> DataFrame:
     """Non-blank masked lines with ``def_name``, ``class_name`` and the header-free text."""
     m = masked_lines(files).where(~F.col("text").rlike("^\\s*$"))
-    def_name = F.regexp_extract("text", _RX_DEF, 1)
-    cls_name = F.regexp_extract("text", _RX_CLASS, 1)
-    body = F.regexp_replace(F.regexp_replace("text", _RX_DEF, ""), _RX_CLASS, "")
+    text = F.col("text")
+    def_name = F.when(text.contains("def"), F.regexp_extract(text, _RX_DEF, 1)).otherwise("")
+    cls_name = F.when(text.contains("class"), F.regexp_extract(text, _RX_CLASS, 1)).otherwise("")
+    body = (F.when(def_name != "", F.regexp_replace(text, _RX_DEF, ""))
+            .when(cls_name != "", F.regexp_replace(text, _RX_CLASS, "")).otherwise(text))
     return m.select("repo_id", "path", "n", "indent", "text",
                     F.when(def_name != "", def_name).alias("def_name"),
                     F.when(cls_name != "", cls_name).alias("class_name"),
