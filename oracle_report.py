@@ -80,3 +80,83 @@ LEFT JOIN (SELECT * FROM flist WHERE class = 'stdlib') ls ON r.repo_id = ls.repo
 LEFT JOIN (SELECT * FROM flist WHERE class = 'internal') li ON r.repo_id = li.repo_id
 LEFT JOIN (SELECT repo_id, count(*) AS n FROM ep GROUP BY repo_id) p ON r.repo_id = p.repo_id""", O.DISC, FINAL)
     return o
+
+
+REPOS = """rp0 AS (
+ SELECT DISTINCT lower(replace(p_brand, '#', '')) AS repo_id, cast(replace(p_brand, 'Brand#', '') AS int) AS k FROM part),
+rp AS (
+ SELECT repo_id, k, CASE WHEN k % 7 = 0 THEN 'https://example.org/' || repo_id
+                         ELSE 'https://github.com/srcgraph-fixtures/' || repo_id END AS repo_url FROM rp0),
+rpick AS (
+ SELECT repo_id, arg_min(path, CASE path WHEN 'README.md' THEN 1 WHEN 'README.rst' THEN 2 ELSE 3 END) AS readme
+ FROM tree WHERE path IN ('README.md', 'README.rst', 'README.txt') GROUP BY repo_id),
+rdocs AS (SELECT source, arg_min(text, doc_id) AS text FROM documents GROUP BY source),
+rtext AS (
+ SELECT p.repo_id, coalesce(d.text, '') AS text FROM rpick p JOIN rp r ON p.repo_id = r.repo_id
+ LEFT JOIN rdocs d ON d.source = 'src' || cast(r.k % 20 AS varchar)),
+rsum AS (
+ SELECT r.repo_id, r.repo_url, t.text,
+  CASE WHEN t.text IS NULL OR t.text = '' THEN 'No README content found.'
+       ELSE substring(c, 1, 500) || CASE WHEN length(c) > 500 THEN '...' ELSE '' END END AS summary
+ FROM rp r LEFT JOIN (SELECT repo_id, text, regexp_replace(regexp_replace(text, '^{ws}+|{ws}+$', '', 'g'), '{ws}+', ' ', 'g') AS c
+                      FROM rtext) t ON r.repo_id = t.repo_id),
+rpm AS (
+ SELECT repo_id, CASE WHEN bool_or(path = 'requirements.txt') THEN 'requirements' WHEN bool_or(path = 'setup.py') THEN 'setup'
+                      WHEN bool_or(path = 'pyproject.toml') THEN 'pyproject' ELSE 'none' END AS pm FROM tree GROUP BY repo_id)"""
+WS = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}\\x{0b}]"
+REPOS = REPOS.replace("{ws}", WS)
+NL = "chr(10)"
+
+
+def _lines(rows: list[tuple[int, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT {i} AS sub, {t} AS text" for i, t in rows)
+
+
+def text_oracles() -> dict[str, str]:
+    import oracle_scoped as OS
+    o = {}
+    name = "replace(string_split(regexp_replace(r.repo_url, '/+$', ''), '/')[-1], '.git', '')"
+    o["report_overview"] = O.q2(f"""SELECT r.repo_id, 1 AS section, x.sub, '' AS key, x.text FROM rsum r, LATERAL (
+  SELECT 0 AS sub, '# ' || {name} || ' – Documentation' || {NL} AS text
+  UNION ALL SELECT 1, '*Auto-generated for [' || r.repo_url || '](' || r.repo_url || ')*' || {NL}
+  UNION ALL SELECT 2, '---' || {NL} UNION ALL SELECT 3, '## Overview' || {NL}
+  UNION ALL SELECT 4, r.summary || {NL}) x""", REPOS)
+    inst = {"requirements": ["Then install the dependencies:", "```bash", "pip install -r requirements.txt", "```\n"],
+            "setup": ["Then install the package in editable mode:", "```bash", "pip install -e .", "```\n"],
+            "pyproject": ["Then install the package (Poetry or pip both work):", "```bash", "poetry install",
+                          "# or simply", "pip install .", "```\n"]}
+    lit = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    extra = " UNION ALL ".join(
+        f"SELECT repo_id, {6 + i} AS sub, {lit(t)} AS text FROM rpm WHERE pm = '{pm}'"
+        for pm, ls in inst.items() for i, t in enumerate(ls))
+    cd = "'cd ' || replace(string_split(r.repo_url, '/')[-1], '.git', '')"
+    o["report_installation"] = O.q2(f"""SELECT repo_id, 2 AS section, sub, '' AS key, text FROM (
+  SELECT r.repo_id, x.sub, x.text FROM rp r, LATERAL (
+   SELECT 0 AS sub, '## Installation' || {NL} AS text UNION ALL SELECT 1, 'Clone the repository:' || {NL}
+   UNION ALL SELECT 2, '```bash' UNION ALL SELECT 3, 'git clone ' || r.repo_url UNION ALL SELECT 4, {cd}
+   UNION ALL SELECT 5, '```' || {NL}) x
+  UNION ALL {extra})""", REPOS)
+    fallback = lit("No obvious entry point stood out — check the repository's README for usage instructions.\n")
+    o["report_usage"] = O.q2(f"""SELECT repo_id, 3 AS section, sub, '' AS key, text FROM (
+  SELECT repo_id, rank + 1 AS sub, '- `' || string_split(file, '/')[-1] || '`: ' || name AS text FROM (
+   SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY file, pos, name) AS rank FROM mnodes
+   WHERE kind = 'module' AND (contains(lower(name), 'main') OR contains(lower(name), 'app'))) WHERE rank <= 3
+  UNION ALL SELECT repo_id, -1, '## Usage' || {NL} FROM rp WHERE repo_id IN (SELECT repo_id FROM ent)
+  UNION ALL SELECT repo_id, 0, 'Here are the entry points we spotted:' || {NL} FROM rp WHERE repo_id IN (SELECT repo_id FROM ent)
+  UNION ALL SELECT repo_id, 100, '' FROM rp WHERE repo_id IN (SELECT repo_id FROM ent)
+  UNION ALL SELECT repo_id, 0, '## Usage' || {NL} FROM rp WHERE repo_id NOT IN (SELECT repo_id FROM ent)
+  UNION ALL SELECT repo_id, 1, {fallback} FROM rp WHERE repo_id NOT IN (SELECT repo_id FROM ent))""",
+        REPOS, OS.SCOPED, """ent AS (SELECT DISTINCT repo_id FROM mnodes WHERE kind = 'module'
+ AND (contains(lower(name), 'main') OR contains(lower(name), 'app')))""")
+    o["report_join"] = O.q2(f"""SELECT r.repo_id,
+  CASE WHEN ok THEN r.repo_url END AS normalized_url,
+  CASE WHEN ok THEN r.summary ELSE '' END AS readme_summary,
+  CASE WHEN ok THEN p.pm END AS package_manager,
+  CASE WHEN ok THEN coalesce(e.n, 0) ELSE 0 END AS priority_files,
+  CASE WHEN ok THEN coalesce(s.n, 0) ELSE 0 END AS symbol_count,
+  CASE WHEN NOT ok THEN 'repo_map_failed: Unsupported host: example.org. Supported: github.com, gitlab.com, bitbucket.org' END AS error
+FROM (SELECT *, NOT starts_with(repo_url, 'https://example.org/') AS ok FROM rsum) r
+LEFT JOIN rpm p ON r.repo_id = p.repo_id
+LEFT JOIN (SELECT repo_id, count(*) AS n FROM ep GROUP BY repo_id) e ON r.repo_id = e.repo_id
+LEFT JOIN (SELECT repo_id, count(*) AS n FROM mnodes GROUP BY repo_id) s ON r.repo_id = s.repo_id""", REPOS, OS.SCOPED)
+    return o

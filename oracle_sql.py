@@ -498,4 +498,5 @@ def oracle_sql() -> dict[str, str]:
     o.update(oracle_scoped.scoped_oracles())
     import oracle_report
     o.update(oracle_report.report_oracles())
+    o.update(oracle_report.text_oracles())
     return o
