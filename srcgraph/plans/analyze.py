@@ -115,13 +115,16 @@ def build_graph(files: DataFrame, mode: str = "line", filter_ext: bool = True,
     rows = tagged_rows(files, mode, filter_ext)
     if store:
         from ..session import materialize
-        rows = materialize(rows, f"graph_rows_{mode}")
+        # one job analyses the text; rows are split by tag on disk (edges and symbols are
+        # then read separately), and the deduplicated nodes are written once as well
+        rows = materialize(rows, f"graph_rows_{mode}", partition_by="tag")
     syms = rows.where(F.col("tag") != "edge")
     edges = rows.where(F.col("tag") == "edge").select(
         "repo_id", F.col("path").alias("file"), "source", "target", "type")
-    if mode == "merged":
-        return G.Graph(dedupe_merged(syms), edges)
-    return G.Graph(G.dedupe_nodes(syms.select(*SYM_COLS)), edges)
+    nodes = dedupe_merged(syms) if mode == "merged" else G.dedupe_nodes(syms.select(*SYM_COLS))
+    if store:
+        nodes = materialize(nodes, f"graph_nodes_{mode}")
+    return G.Graph(nodes, edges)
 
 
 def merge_files(base: G.Graph, new_files: DataFrame, mode: str = "line",

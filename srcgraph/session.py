@@ -57,7 +57,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _TABLES: dict[tuple[str, str], str] = {}
 
 
-def materialize(df, name: str, key: str | None = None):
+def materialize(df, name: str, key: str | None = None, partition_by: str | None = None):
     """Write ``df`` as parquet into the shared checkpoint folder and read it back.
 
     Cuts the lineage (a lost executor recomputes from the written files, not from the
@@ -71,7 +71,10 @@ def materialize(df, name: str, key: str | None = None):
     if key is not None and (app, key) in _TABLES:
         return spark.read.parquet(_TABLES[(app, key)])
     path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
     if key is not None:
         _TABLES[(app, key)] = path
     return spark.read.parquet(path)
