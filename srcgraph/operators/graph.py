@@ -85,17 +85,59 @@ def endpoint_rows(calls: DataFrame | None, bases: DataFrame | None) -> DataFrame
     return out
 
 
+KINDS = ["class", "function", "module"]
+
+
+def kind_code(c):
+    """Kind as a small int (fixed-width aggregation buffers); anything else -> 3 (``''``)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return (F.when(c == "class", 0).when(c == "function", 1).when(c == "module", 2)
+            .when(c.isNotNull(), 3))
+
+
+def kind_name(c):
+    return F.element_at(F.array(*[F.lit(k) for k in KINDS], F.lit("")), (F.col(c) if isinstance(c, str) else c) + 1)
+
+
+def pos_key(pos_col):
+    """The position ``(n, sub, e, i)`` as one order-preserving long: symbols ``n*4+sub``
+    (stored rows have ``n = -1``), line-parser module rows of merged mode
+    (``n = MAXINT-1``) in ``[2^40, 2^41)``, endpoint rows (``n = MAXINT``) from ``2^50``
+    (``i < 2^17`` items per line). Lets the node group-by use hash aggregation."""
+    n = pos_col.getField("n").cast("long")
+    sub = pos_col.getField("sub").cast("long")
+    e = pos_col.getField("e").cast("long")
+    i = pos_col.getField("i").cast("long")
+    return (F.when(n == _MAXINT, F.lit(1 << 50) + sub * F.lit(1 << 48) + e * F.lit(1 << 17) + i)
+            .when(n == _MAXINT - 1, F.lit(1 << 40) + sub * F.lit(1 << 38) + e * F.lit(1 << 4) + i)
+            .otherwise(n * 4 + sub))
+
+
+ENDPOINT_POS = 1 << 50
+
+
+def _pk(rows: DataFrame):
+    from pyspark.sql.types import LongType
+    p = F.col("pos")
+    return p.cast("long") if isinstance(rows.schema["pos"].dataType, LongType) else pos_key(p)
+
+
 def dedupe_nodes(symbol_rows: DataFrame) -> DataFrame:
     """GRF2 + GRF3: one node per ``(repo_id, file, name)``.
 
-    ``kind`` = kind of the lowest ``pos``; ``complexity`` = complexity of the highest ``pos``
-    among rows that carry one, else 1; ``pos`` = lowest position (graph order inside a file).
+    ``kind`` = kind of the lowest position; ``complexity`` = complexity of the highest
+    position among rows that carry one, else 1; ``pos`` = lowest position as a long (graph
+    order inside a file). All buffers are fixed-width (hash aggregation with a map-side
+    partial step).
     """
-    return (symbol_rows.groupBy("repo_id", F.col("path").alias("file"), "name")
-            .agg(F.min_by("kind", "pos").alias("kind"),
-                 F.coalesce(F.expr("max_by(complexity, pos) FILTER (WHERE complexity IS NOT NULL)"),
-                            F.lit(1)).alias("complexity"),
-                 F.min("pos").alias("pos")))
+    d = symbol_rows.select("repo_id", "path", "name", kind_code("kind").alias("kc"), "complexity",
+                           _pk(symbol_rows).alias("pk"))
+    agg = (d.groupBy("repo_id", F.col("path").alias("file"), "name")
+           .agg(F.min_by("kc", "pk").alias("kc"),
+                F.expr("max_by(complexity, pk) FILTER (WHERE complexity IS NOT NULL)").alias("cx"),
+                F.min("pk").alias("pos")))
+    return agg.select("repo_id", "file", "name", kind_name("kc").alias("kind"),
+                      F.coalesce("cx", F.lit(1)).alias("complexity"), "pos")
 
 
 def append_edges(*edge_sets: DataFrame) -> DataFrame:

@@ -92,16 +92,19 @@ def tagged_rows(files: DataFrame, mode: str = "line", filter_ext: bool = True) -
 
 
 def dedupe_merged(rows: DataFrame) -> DataFrame:
-    """GRF2/GRF3 for ``merged`` mode in one group-by: kind from the first ``sym`` row; the
-    complexity is that of the last ``sym`` row carrying one, where a function takes the
+    """GRF2/GRF3 for ``merged`` mode in one hash group-by: kind from the first ``sym`` row;
+    the complexity is that of the last ``sym`` row carrying one, where a function takes the
     line parser's (last) complexity of the same ``(file, name)``."""
-    agg = (rows.groupBy("repo_id", F.col("path").alias("file"), "name")
-           .agg(F.expr("min_by(kind, pos) FILTER (WHERE tag = 'sym')").alias("kind"),
-                F.expr("max_by(complexity, pos) FILTER (WHERE tag = 'lfunc')").alias("lcx"),
-                F.expr("max_by(kind, pos) FILTER (WHERE tag = 'sym' AND complexity IS NOT NULL)").alias("last_kind"),
-                F.expr("min(pos) FILTER (WHERE tag = 'sym')").alias("pos")))
-    cx = F.when(F.col("last_kind") == "function", F.coalesce("lcx", F.lit(1))).otherwise(F.lit(1))
-    return agg.where(F.col("kind").isNotNull()).select("repo_id", "file", "name", "kind", cx.alias("complexity"), "pos")
+    d = rows.select("repo_id", "path", "name", "tag", "complexity", G.kind_code("kind").alias("kc"),
+                    G.pos_key(F.col("pos")).alias("pk"))
+    agg = (d.groupBy("repo_id", F.col("path").alias("file"), "name")
+           .agg(F.expr("min_by(kc, pk) FILTER (WHERE tag = 'sym')").alias("kc"),
+                F.expr("max_by(complexity, pk) FILTER (WHERE tag = 'lfunc')").alias("lcx"),
+                F.expr("max_by(kc, pk) FILTER (WHERE tag = 'sym' AND complexity IS NOT NULL)").alias("last_kc"),
+                F.expr("min(pk) FILTER (WHERE tag = 'sym')").alias("pos")))
+    cx = F.when(F.col("last_kc") == 1, F.coalesce("lcx", F.lit(1))).otherwise(F.lit(1))
+    return agg.where(F.col("kc").isNotNull()).select("repo_id", "file", "name", G.kind_name("kc").alias("kind"),
+                                                      cx.alias("complexity"), "pos")
 
 
 def build_graph(files: DataFrame, mode: str = "line", filter_ext: bool = True,

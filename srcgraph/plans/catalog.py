@@ -136,7 +136,7 @@ def q_import_edges(spark, sf):
 @register("complete_endpoints")
 def q_complete_endpoints(spark, sf):
     n = _graph(spark, sf).nodes
-    return n.where(F.col("pos.n") == 2147483647).select(*G.NODE_COLS)
+    return n.where(F.col("pos") >= F.lit(G.ENDPOINT_POS)).select(*G.NODE_COLS)
 
 
 @register("append_edges")
