@@ -95,6 +95,11 @@ def ship_package(spark) -> None:
         return
     pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     target = scratch_path(spark, f"pyfiles/srcgraph-{uuid.uuid4().hex}.zip")
+    if "://" in target and not target.startswith("file:"):
+        # shared storage that Python cannot write directly: the package must be installed
+        # on the executors (or passed with --py-files)
+        _SHIPPED.add(app)
+        return
     zpath = local_path(target)
     os.makedirs(os.path.dirname(zpath), exist_ok=True)
     with zipfile.ZipFile(zpath, "w") as z:
