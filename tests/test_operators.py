@@ -104,3 +104,46 @@ def test_scoped_calls_and_nesting(spark):
             "    return h()\n")
     calls = {(r.caller, r.callee) for r in scoped_calls(scoped_features(files_df(spark, {"a.py": text}))).collect()}
     assert calls == {("m", "self"), ("inner", "c"), ("m", "helper"), ("f", "g"), ("f", "h")}
+
+
+def _stack_calls(text):
+    """Calls per enclosing function by an explicit stack of open defs."""
+    import re
+    out, stack = [], []
+    for line in text.split("\n"):
+        if not line.strip():
+            continue
+        ind = len(line) - len(line.lstrip(" "))
+        while stack and stack[-1][0] >= ind:
+            stack.pop()
+        m = re.match(r"\s*def (\w+)\(", line)
+        if m:
+            stack.append((ind, m.group(1)))
+            continue
+        for callee in re.findall(r"(\w+)\(", line):
+            if stack and not line.lstrip().startswith("class "):
+                out.append((stack[-1][1], callee))
+    return sorted(out)
+
+
+def test_random_scopes_match_stack(spark):
+    import random
+
+    from srcgraph.operators.scoped import scoped_calls, scoped_features
+    rng = random.Random(11)
+    files = {}
+    for f in range(150):
+        lines, ind = [], 0
+        for _ in range(rng.randint(1, 30)):
+            ind = max(0, min(12, ind + rng.choice([-4, -4, 0, 0, 4])))
+            kind = rng.choice(["def", "class", "call", "call", "plain"])
+            k = rng.randint(0, 4)
+            lines.append(" " * ind + {"def": f"def f{k}(a):", "class": f"class K{k}:", "call": f"g{k}(a)",
+                                      "plain": "x = 1"}[kind])
+        files[f"m{f}.py"] = "\n".join(lines) + "\n"
+    got = scoped_calls(scoped_features(files_df(spark, files)))
+    by_file = {}
+    for r in got.collect():
+        by_file.setdefault(r.path, []).append((r.caller, r.callee))
+    for path, text in files.items():
+        assert sorted(by_file.get(path, [])) == _stack_calls(text), path
