@@ -159,4 +159,34 @@ FROM (SELECT *, NOT starts_with(repo_url, 'https://example.org/') AS ok FROM rsu
 LEFT JOIN rpm p ON r.repo_id = p.repo_id
 LEFT JOIN (SELECT repo_id, count(*) AS n FROM ep GROUP BY repo_id) e ON r.repo_id = e.repo_id
 LEFT JOIN (SELECT repo_id, count(*) AS n FROM mnodes GROUP BY repo_id) s ON r.repo_id = s.repo_id""", REPOS, OS.SCOPED)
+    o["report_structure"] = O.q2(f"""SELECT repo_id, 7 AS section, 0 AS sub, '' AS key, '## Project Structure' || {NL} AS text FROM rp
+  UNION ALL SELECT repo_id, 7, 1, '', '```' FROM rp
+  UNION ALL SELECT repo_id, 7, 2, sort_key, concat(repeat('  ', depth), path, CASE WHEN type = 'dir' THEN '/' ELSE '' END) FROM tree
+  UNION ALL SELECT repo_id, 7, 2, '', '<empty>' FROM rp WHERE repo_id NOT IN (SELECT repo_id FROM tree)
+  UNION ALL SELECT repo_id, 7, 3, '', '```' || {NL} FROM rp
+  UNION ALL SELECT repo_id, 8, 0, '', '---' || {NL} FROM rp
+  UNION ALL SELECT repo_id, 8, 1, '', '*Generated with srcgraph.*' FROM rp""", REPOS)
+    o["report_architecture"] = O.q2(f"""SELECT repo_id, 4 AS section, sub, key, text FROM (
+  SELECT r.repo_id, x.sub, '' AS key, x.text FROM (
+    SELECT rp.repo_id, coalesce(n.total, 0) AS total, coalesce(n.classes, 0) AS classes, coalesce(n.functions, 0) AS functions,
+      coalesce(n.modules, 0) AS modules, coalesce(e.calls, 0) AS calls, coalesce(e.inh, 0) AS inh
+    FROM rp LEFT JOIN (SELECT repo_id, count(*) AS total, count(*) FILTER (WHERE kind = 'class') AS classes,
+        count(*) FILTER (WHERE kind = 'function') AS functions, count(*) FILTER (WHERE kind = 'module') AS modules
+        FROM mnodes GROUP BY repo_id) n ON rp.repo_id = n.repo_id
+    LEFT JOIN (SELECT repo_id, count(*) FILTER (WHERE type = 'calls') AS calls,
+        count(*) FILTER (WHERE type = 'inherits') AS inh FROM medges GROUP BY repo_id) e ON rp.repo_id = e.repo_id) r,
+  LATERAL (SELECT 0 AS sub, '## Architecture' || {NL} AS text
+    UNION ALL SELECT 1, '- **Total Symbols**: ' || cast(r.total AS varchar)
+    UNION ALL SELECT 2, '- **Classes**: ' || cast(r.classes AS varchar)
+    UNION ALL SELECT 3, '- **Functions**: ' || cast(r.functions AS varchar)
+    UNION ALL SELECT 4, '- **Modules**: ' || cast(r.modules AS varchar)
+    UNION ALL SELECT 5, '- **Call Relationships**: ' || cast(r.calls AS varchar)
+    UNION ALL SELECT 6, '- **Inheritance Relationships**: ' || cast(r.inh AS varchar)
+    UNION ALL SELECT 7, '') x
+  UNION ALL SELECT repo_id, 20, lpad(cast(k AS varchar), 5, '0'), '- `' || string_split(base, ':')[-1] || '`' FROM (
+    SELECT repo_id, base, row_number() OVER (PARTITION BY repo_id ORDER BY base) AS k
+    FROM (SELECT DISTINCT repo_id, target AS base FROM medges WHERE type = 'inherits')) WHERE k <= 10
+  UNION ALL SELECT DISTINCT repo_id, 10, '', '### Base Classes' || {NL} FROM medges WHERE type = 'inherits'
+  UNION ALL SELECT DISTINCT repo_id, 11, '', 'Classes that other classes build on:' || {NL} FROM medges WHERE type = 'inherits'
+  UNION ALL SELECT DISTINCT repo_id, 30, '', '' FROM medges WHERE type = 'inherits')""", REPOS, OS.SCOPED)
     return o
