@@ -189,4 +189,31 @@ LEFT JOIN (SELECT repo_id, count(*) AS n FROM mnodes GROUP BY repo_id) s ON r.re
   UNION ALL SELECT DISTINCT repo_id, 10, '', '### Base Classes' || {NL} FROM medges WHERE type = 'inherits'
   UNION ALL SELECT DISTINCT repo_id, 11, '', 'Classes that other classes build on:' || {NL} FROM medges WHERE type = 'inherits'
   UNION ALL SELECT DISTINCT repo_id, 30, '', '' FROM medges WHERE type = 'inherits')""", REPOS, OS.SCOPED)
+    lp = lambda c: f"lpad(cast({c} AS varchar), 5, '0')"
+    bn = "string_split(file, '/')[-1]"
+    o["report_api"] = O.q2(f"""SELECT repo_id, 6 AS section, sub, key, text FROM (
+  SELECT repo_id, 0 AS sub, '' AS key, '## API Reference' || {NL} AS text FROM rp
+  UNION ALL SELECT DISTINCT repo_id, 1, '', '### Classes' || {NL} FROM cpf
+  UNION ALL SELECT repo_id, 2, {lp('file_rank')} || '.0', '#### ' || {bn} || {NL} FROM cpf WHERE class_rank = 1
+  UNION ALL SELECT repo_id, 2, {lp('file_rank')} || '.' || cast(class_rank AS varchar), '- **`' || name || '`**' FROM cpf
+  UNION ALL SELECT repo_id, 2, {lp('file_rank')} || '.9', '' FROM cpf WHERE class_rank = 1
+  UNION ALL SELECT DISTINCT repo_id, 3, '', '### High-Complexity Functions' || {NL} FROM hc
+  UNION ALL SELECT DISTINCT repo_id, 4, '', 'These functions carry a lot of logic (estimated complexity above 10) and may be worth splitting up:' || {NL} FROM hc
+  UNION ALL SELECT repo_id, 5, {lp('rank')}, '- `' || name || '` in `' || {bn} || '` (complexity: ' || cast(complexity AS varchar) || ')' FROM hc
+  UNION ALL SELECT DISTINCT repo_id, 6, '', '' FROM hc
+  UNION ALL SELECT DISTINCT repo_id, 7, '', '### Most-Called Functions (Hotspots)' || {NL} FROM hs
+  UNION ALL SELECT DISTINCT repo_id, 8, '', 'These are the functions the rest of the code leans on the most:' || {NL} FROM hs
+  UNION ALL SELECT repo_id, 9, {lp('rank')}, '- `' || string_split(target, ':')[-1] || '` (called ' || cast(calls AS varchar) || ' times)' FROM hs
+  UNION ALL SELECT DISTINCT repo_id, 10, '', '' FROM hs)""", REPOS, OS.SCOPED,
+        """cpf AS (
+ SELECT * FROM (SELECT repo_id, file, name, dense_rank() OVER (PARTITION BY repo_id ORDER BY file) AS file_rank,
+   row_number() OVER (PARTITION BY repo_id, file ORDER BY pos, name) AS class_rank FROM mnodes WHERE kind = 'class')
+ WHERE file_rank <= 10 AND class_rank <= 5),
+hc AS (
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY complexity DESC, file, name) AS rank
+   FROM mnodes WHERE kind = 'function' AND complexity > 10) WHERE rank <= 10),
+hs AS (
+ SELECT * FROM (SELECT repo_id, target, count(*) AS calls,
+   row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, target) AS rank
+   FROM medges WHERE type = 'calls' GROUP BY repo_id, target) WHERE rank <= 10)""")
     return o
