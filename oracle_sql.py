@@ -427,6 +427,8 @@ SELECT doc_id, repo_id, CASE WHEN text IS NULL OR text = '' THEN 'No README cont
     ign = f"list_has_any(string_split(path, '/')[1:len(string_split(path, '/'))-1], {IGN})"
     o["scan_source_files"] = q2(f"SELECT repo_id, path, length(content) AS chars FROM checkout WHERE {py} AND NOT {ign}", chk)
     o["scan_directory"] = o["scan_source_files"]
+    # an invalid byte appended to the UTF-8 text is dropped by the tolerant decode
+    o["decode_tolerant"] = "SELECT doc_id, replace(text, chr(65533), '') AS content FROM documents"
     o["prune_ignored_dirs"] = q2(f"SELECT repo_id, path FROM f3 WHERE NOT {ign}")
     o["scan_unpruned"] = q2(f"SELECT repo_id, path, length(content) AS chars FROM checkout WHERE {py}", chk)
     o["scan_file_list"] = q2(
