@@ -115,8 +115,15 @@ def _lines(rows: list[tuple[int, str]]) -> str:
 def text_oracles() -> dict[str, str]:
     import oracle_scoped as OS
     o = {}
+    bodies = []
+
+    class Q:
+        @staticmethod
+        def q2(body, *extra):
+            bodies.append(body)
+            return O.q2(body, *extra)
     name = "replace(string_split(regexp_replace(r.repo_url, '/+$', ''), '/')[-1], '.git', '')"
-    o["report_overview"] = O.q2(f"""SELECT r.repo_id, 1 AS section, x.sub, '' AS key, x.text FROM rsum r, LATERAL (
+    o["report_overview"] = Q.q2(f"""SELECT r.repo_id, 1 AS section, x.sub, '' AS key, x.text FROM rsum r, LATERAL (
   SELECT 0 AS sub, '# ' || {name} || ' – Documentation' || {NL} AS text
   UNION ALL SELECT 1, '*Auto-generated for [' || r.repo_url || '](' || r.repo_url || ')*' || {NL}
   UNION ALL SELECT 2, '---' || {NL} UNION ALL SELECT 3, '## Overview' || {NL}
@@ -130,14 +137,14 @@ def text_oracles() -> dict[str, str]:
         f"SELECT repo_id, {6 + i} AS sub, {lit(t)} AS text FROM rpm WHERE pm = '{pm}'"
         for pm, ls in inst.items() for i, t in enumerate(ls))
     cd = "'cd ' || replace(string_split(r.repo_url, '/')[-1], '.git', '')"
-    o["report_installation"] = O.q2(f"""SELECT repo_id, 2 AS section, sub, '' AS key, text FROM (
+    o["report_installation"] = Q.q2(f"""SELECT repo_id, 2 AS section, sub, '' AS key, text FROM (
   SELECT r.repo_id, x.sub, x.text FROM rp r, LATERAL (
    SELECT 0 AS sub, '## Installation' || {NL} AS text UNION ALL SELECT 1, 'Clone the repository:' || {NL}
    UNION ALL SELECT 2, '```bash' UNION ALL SELECT 3, 'git clone ' || r.repo_url UNION ALL SELECT 4, {cd}
    UNION ALL SELECT 5, '```' || {NL}) x
   UNION ALL {extra})""", REPOS)
     fallback = lit("No obvious entry point stood out — check the repository's README for usage instructions.\n")
-    o["report_usage"] = O.q2(f"""SELECT repo_id, 3 AS section, sub, '' AS key, text FROM (
+    o["report_usage"] = Q.q2(f"""SELECT repo_id, 3 AS section, sub, '' AS key, text FROM (
   SELECT repo_id, rank + 1 AS sub, '- `' || string_split(file, '/')[-1] || '`: ' || name AS text FROM (
    SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY file, pos, name) AS rank FROM mnodes
    WHERE kind = 'module' AND (contains(lower(name), 'main') OR contains(lower(name), 'app'))) WHERE rank <= 3
@@ -159,14 +166,14 @@ FROM (SELECT *, NOT starts_with(repo_url, 'https://example.org/') AS ok FROM rsu
 LEFT JOIN rpm p ON r.repo_id = p.repo_id
 LEFT JOIN (SELECT repo_id, count(*) AS n FROM ep GROUP BY repo_id) e ON r.repo_id = e.repo_id
 LEFT JOIN (SELECT repo_id, count(*) AS n FROM mnodes GROUP BY repo_id) s ON r.repo_id = s.repo_id""", REPOS, OS.SCOPED)
-    o["report_structure"] = O.q2(f"""SELECT repo_id, 7 AS section, 0 AS sub, '' AS key, '## Project Structure' || {NL} AS text FROM rp
+    o["report_structure"] = Q.q2(f"""SELECT repo_id, 7 AS section, 0 AS sub, '' AS key, '## Project Structure' || {NL} AS text FROM rp
   UNION ALL SELECT repo_id, 7, 1, '', '```' FROM rp
   UNION ALL SELECT repo_id, 7, 2, sort_key, concat(repeat('  ', depth), path, CASE WHEN type = 'dir' THEN '/' ELSE '' END) FROM tree
   UNION ALL SELECT repo_id, 7, 2, '', '<empty>' FROM rp WHERE repo_id NOT IN (SELECT repo_id FROM tree)
   UNION ALL SELECT repo_id, 7, 3, '', '```' || {NL} FROM rp
   UNION ALL SELECT repo_id, 8, 0, '', '---' || {NL} FROM rp
   UNION ALL SELECT repo_id, 8, 1, '', '*Generated with srcgraph.*' FROM rp""", REPOS)
-    o["report_architecture"] = O.q2(f"""SELECT repo_id, 4 AS section, sub, key, text FROM (
+    o["report_architecture"] = Q.q2(f"""SELECT repo_id, 4 AS section, sub, key, text FROM (
   SELECT r.repo_id, x.sub, '' AS key, x.text FROM (
     SELECT rp.repo_id, coalesce(n.total, 0) AS total, coalesce(n.classes, 0) AS classes, coalesce(n.functions, 0) AS functions,
       coalesce(n.modules, 0) AS modules, coalesce(e.calls, 0) AS calls, coalesce(e.inh, 0) AS inh
@@ -191,7 +198,7 @@ LEFT JOIN (SELECT repo_id, count(*) AS n FROM mnodes GROUP BY repo_id) s ON r.re
   UNION ALL SELECT DISTINCT repo_id, 30, '', '' FROM medges WHERE type = 'inherits')""", REPOS, OS.SCOPED)
     lp = lambda c: f"lpad(cast({c} AS varchar), 5, '0')"
     bn = "string_split(file, '/')[-1]"
-    o["report_api"] = O.q2(f"""SELECT repo_id, 6 AS section, sub, key, text FROM (
+    o["report_api"] = Q.q2(f"""SELECT repo_id, 6 AS section, sub, key, text FROM (
   SELECT repo_id, 0 AS sub, '' AS key, '## API Reference' || {NL} AS text FROM rp
   UNION ALL SELECT DISTINCT repo_id, 1, '', '### Classes' || {NL} FROM cpf
   UNION ALL SELECT repo_id, 2, {lp('file_rank')} || '.0', '#### ' || {bn} || {NL} FROM cpf WHERE class_rank = 1
@@ -212,6 +219,39 @@ LEFT JOIN (SELECT repo_id, count(*) AS n FROM mnodes GROUP BY repo_id) s ON r.re
 hc AS (
  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY complexity DESC, file, name) AS rank
    FROM mnodes WHERE kind = 'function' AND complexity > 10) WHERE rank <= 10),
+hs AS (
+ SELECT * FROM (SELECT repo_id, target, count(*) AS calls,
+   row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, target) AS rank
+   FROM medges WHERE type = 'calls' GROUP BY repo_id, target) WHERE rank <= 10)""")
+    diagram_body = f"""SELECT repo_id, 5 AS section, 0 AS sub, '' AS key, '### Code Diagrams' || {NL} AS text FROM rp
+  UNION ALL SELECT n.repo_id, 5, CASE n.diagram WHEN 'class_hierarchy' THEN 1 WHEN 'call_graph' THEN 2 ELSE 3 END, '',
+    '#### ' || CASE n.diagram WHEN 'class_hierarchy' THEN 'Class Hierarchy' WHEN 'call_graph' THEN 'Call Graph'
+                 ELSE 'Full Code Context Graph' END || {NL} || {NL} || 'Diagram table `' || n.diagram || '`: '
+    || cast(n.c AS varchar) || ' nodes, ' || cast(coalesce(e.c, 0) AS varchar) || ' edges.' || {NL}
+  FROM (SELECT repo_id, diagram, count(*) AS c FROM (SELECT * FROM ccgnodes UNION ALL SELECT * FROM chnodes
+        UNION ALL SELECT * FROM cnodes) GROUP BY repo_id, diagram) n
+  LEFT JOIN (
+    SELECT repo_id, 'ccg' AS diagram, count(*) AS c FROM medges
+     WHERE (repo_id, source) IN (SELECT repo_id, file || ':' || name FROM cap40)
+       AND (repo_id, target) IN (SELECT repo_id, file || ':' || name FROM cap40) GROUP BY repo_id
+    UNION ALL SELECT repo_id, 'class_hierarchy', count(*) FROM medges WHERE type = 'inherits'
+     AND (repo_id, source) IN (SELECT repo_id, key FROM chnodes) AND (repo_id, target) IN (SELECT repo_id, key FROM chnodes)
+     GROUP BY repo_id
+    UNION ALL SELECT repo_id, 'call_graph', count(*) FROM medges WHERE type = 'calls'
+     AND (repo_id, replace(source, ':', '_COLON_')) IN (SELECT repo_id, key FROM ckept)
+     AND (repo_id, replace(target, ':', '_COLON_')) IN (SELECT repo_id, key FROM ckept) GROUP BY repo_id) e
+  ON n.repo_id = e.repo_id AND n.diagram = e.diagram"""
+    bodies.append(diagram_body)
+    union = " UNION ALL ".join(f"SELECT repo_id, text FROM ({b})" for b in bodies)
+    o["write_markdown"] = O.q2(f"SELECT repo_id, unnest(string_split(text, chr(10))) AS text FROM ({union})",
+                               REPOS, OS.SCOPED, """ent AS (SELECT DISTINCT repo_id FROM mnodes WHERE kind = 'module'
+ AND (contains(lower(name), 'main') OR contains(lower(name), 'app')))""", """cpf AS (
+ SELECT * FROM (SELECT repo_id, file, name, dense_rank() OVER (PARTITION BY repo_id ORDER BY file) AS file_rank,
+   row_number() OVER (PARTITION BY repo_id, file ORDER BY pos, name) AS class_rank FROM mnodes WHERE kind = 'class')
+ WHERE file_rank <= 10 AND class_rank <= 5),
+hc AS (
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY complexity DESC, file, name) AS rank
+   FROM mnodes WHERE kind = 'function' AND complexity > 10) WHERE rank <= 10),
 hs AS (
  SELECT * FROM (SELECT repo_id, target, count(*) AS calls,
    row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, target) AS rank
