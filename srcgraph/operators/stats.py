@@ -42,9 +42,23 @@ STAT_COLS = ["total_symbols", "classes", "functions", "modules",
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """AGG1: one row per repository; a repository with only nodes or only edges gets zeros."""
-    j = node_counts(nodes).join(edge_counts(edges), "repo_id", "full_outer")
-    return j.select("repo_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in STAT_COLS])
+    """AGG1: one row per repository; a repository with only nodes or only edges gets zeros.
+
+    Nodes and edges are unioned as ``(repo_id, is_node, label)`` rows and counted in one
+    group-by (map-side partial aggregation, one exchange, no join).
+    """
+    rows = (nodes.select("repo_id", F.lit(True).alias("is_node"), F.col("kind").alias("label"))
+            .unionByName(edges.select("repo_id", F.lit(False).alias("is_node"), F.col("type").alias("label"))))
+    n, lab = F.col("is_node"), F.col("label")
+    return rows.groupBy("repo_id").agg(
+        _count_if(n).alias("total_symbols"),
+        _count_if(n & (lab == "class")).alias("classes"),
+        _count_if(n & (lab == "function")).alias("functions"),
+        _count_if(n & (lab == "module")).alias("modules"),
+        _count_if(~n).alias("total_edges"),
+        _count_if(~n & (lab == "inherits")).alias("inheritance_edges"),
+        _count_if(~n & (lab == "calls")).alias("call_edges"),
+        _count_if(~n & (lab == "imports")).alias("import_edges"))
 
 
 def doc_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
