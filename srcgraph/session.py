@@ -34,8 +34,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Set only where it is unset (local tests): then a fresh folder under the system temp
-    directory is used. On a cluster the setting must name shared storage.
+    Where it is unset, a local master gets a fresh folder under the system temp directory; on
+    any other master that is an error, since executors and driver do not share local folders.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
@@ -43,6 +43,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return cur
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="srcgraph-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
