@@ -8,19 +8,35 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
+from .mixing import mix
+from .near_dedup import near_duplicates
 from .quality_rules import quality_rules
 from .warc_audit import audit_replicas, warc_records
 
 
+MIX_WEIGHTS = {"domain": {"d0": 2.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}}
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all tokens: domains alike except d0 with twice the weight, languages by MIX_WEIGHTS, sources alike."""
+    m = mix(_documents(spark, sf_dir), budget_share=0.5, max_epochs=4, seed=1, weights=MIX_WEIGHTS)
+    return m.select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("n_tokens"),
+                    F.col("mix_times").cast("long").alias("times"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = dedup_lines(_documents(spark, sf_dir))
     return d.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = exact_dedup(spark, f"{sf_dir}/documents.parquet")
     return d.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -46,7 +62,9 @@ def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_line_dedup": op2_line_dedup,
+    "op5_near_dedup": op5_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc_audit": op10_warc_audit,
@@ -59,13 +77,56 @@ _LINES = f"""l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, '')
          k AS (SELECT *, {_KEY} AS key FROM l)"""
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+
+
+def _mix_share(level: str, parents: str, given: str, weight: str) -> str:
+    """SQL that fills the children of one level; ``given`` is a table of (parents, given)."""
+    part = f"PARTITION BY {parents}" if parents else ""
+    using = f"JOIN {given} USING ({parents})" if parents else f", {given}"
+    cols = f"{parents}, {level}" if parents else level
+    return f"""
+{level}_c AS (SELECT {cols}, sum(cap)::BIGINT AS cap FROM leaves GROUP BY {cols}),
+{level}_w AS (SELECT *, ({weight})::DOUBLE AS w FROM {level}_c {using}),
+{level}_l AS (SELECT *, given - coalesce(sum(cap) OVER ({part} ORDER BY cap / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rest_b,
+              sum(w) OVER ({part} ORDER BY cap / w, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS all_w FROM {level}_w),
+{level}_f AS (SELECT *, cap * all_w <= rest_b * w AS is_full FROM {level}_l),
+{level}_r AS (SELECT *, max(CASE WHEN NOT is_full THEN rest_b / all_w END) OVER ({part}) AS rate FROM {level}_f),
+{level}_b AS (SELECT {cols}, CASE WHEN is_full THEN cap ELSE least(cap, floor(rate * w)::BIGINT) END AS given FROM {level}_r)"""
+
+
 SQL: dict[str, str] = {
+    "op1_source_mixing": f"""
+WITH d AS (SELECT doc_id, 'd' || (('0x' || substr(md5(coalesce(source, '')), 1, 8))::BIGINT % 4) AS domain, lang, source,
+                  len({_WORDS.format("coalesce(text, '')")})::BIGINT AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, 4 * sum(n_tokens)::BIGINT AS cap FROM d GROUP BY domain, lang, source),
+root AS (SELECT floor(sum(tokens) * 0.5)::BIGINT AS given FROM leaves),
+{_mix_share("domain", "", "root", "CASE domain WHEN 'd0' THEN 2 ELSE 1 END")},
+{_mix_share("lang", "domain", "domain_b", "CASE lang WHEN 'en' THEN 4 ELSE 2 END")},
+{_mix_share("source", "domain, lang", "lang_b", "1")},
+plan AS (SELECT domain, lang, source, tokens, given // tokens AS epochs, given - tokens * (given // tokens) AS rest
+         FROM leaves JOIN source_b USING (domain, lang, source)),
+k AS (SELECT *, md5('1|' || (epochs + 1) || '|' || doc_id) AS key FROM d JOIN plan USING (domain, lang, source)),
+b AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM k)
+SELECT doc_id, domain, lang, source, n_tokens, epochs + (begins < rest)::BIGINT AS times FROM b WHERE epochs + (begins < rest)::BIGINT > 0""",
     "op2_line_dedup": f"""
 WITH {_LINES},
 f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
 SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN f USING (key) GROUP BY doc_id""",
+    "op5_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: md5(array_to_string(ws[i:i+4], ' ')))
+                                          WHEN len(ws) > 0 THEN [md5(array_to_string(ws, ' '))] ELSE [] END) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 75 * (na.n + nb.n - i)),
+r(node, seen) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id,
+       coalesce(c.component_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id""",
     "op8_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(coalesce(text, '')) AS text_sha256
