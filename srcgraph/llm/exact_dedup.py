@@ -29,6 +29,8 @@ _CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # else each state partition sets aside some MB of disk before it holds anything
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
