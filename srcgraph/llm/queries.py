@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .common import fold
+from .langid import identify
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -33,6 +35,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return identify(_documents(spark, sf_dir), fold("doc_id", 3) != 1, [F.col("doc_id"), held])
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -64,6 +71,7 @@ def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_line_dedup": op2_line_dedup,
+    "op3_language_id": op3_language_id,
     "op5_near_dedup": op5_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
