@@ -1,12 +1,14 @@
 """The registered queries of this subpackage, one per numbered operator, and their DuckDB SQL."""
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from . import sp_codec
 from .common import fold
 from .langid import identify
 from .line_dedup import dedup_lines
@@ -16,6 +18,7 @@ from .quality_rules import quality_rules
 from .warc_audit import audit_replicas, warc_records
 
 
+TOKENIZER = os.environ.get("SP_MODEL_FILE", "/opt/tokenizers/piece_bpe_32k.model")
 MIX_WEIGHTS = {"domain": {"d0": 2.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}}
 
 
@@ -44,6 +47,12 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = sp_codec.encode(_documents(spark, sf_dir), TOKENIZER, [F.col("doc_id")])
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.hex(F.xxhash64("ids")).alias("ids_hash"),
+                    "parity", "round_trip")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = exact_dedup(spark, f"{sf_dir}/documents.parquet")
     return d.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -73,6 +82,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
     "op5_near_dedup": op5_near_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc_audit": op10_warc_audit,
