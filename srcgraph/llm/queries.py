@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
-from . import sp_codec
+from . import ngram_lm, sp_codec
 from .common import fold
 from .langid import identify
 from .line_dedup import dedup_lines
@@ -43,6 +43,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir), fold("doc_id", 3) != 1, [F.col("doc_id"), held])
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = ngram_lm.train(docs.where(fold("doc_id", 10) != 0))
+    return ngram_lm.score(docs, model, [F.col("doc_id"), F.coalesce(fold("doc_id", 10) == 0, F.lit(False)).alias("held_out")])
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -81,6 +87,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_near_dedup": op5_near_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
