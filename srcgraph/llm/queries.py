@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .exact_dedup import exact_dedup
-from . import ngram_lm, sp_codec
+from . import cotrain, ngram_lm, sp_codec
 from .common import fold
+from .exact_dedup import exact_dedup
 from .langid import identify
 from .line_dedup import dedup_lines
 from .mixing import mix
@@ -59,6 +59,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "parity", "round_trip")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = cotrain.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return cotrain.score(docs, model, [F.col("doc_id")])
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = exact_dedup(spark, f"{sf_dir}/documents.parquet")
     return d.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -90,6 +96,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_near_dedup": op5_near_dedup,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc_audit": op10_warc_audit,
