@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcgraph.llm import langid, sp_codec
-from srcgraph.llm.common import fold, rows, unrow
+from srcgraph.llm.common import fold, of, rows, unrow
 from srcgraph.llm.line_dedup import dedup_lines
 from srcgraph.llm.mixing import mix, repeat_by_times
 from srcgraph.llm.near_dedup import drop_near_duplicates
@@ -27,19 +27,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     It learns from the rows with a label whose crc32(doc_id) mod 3 is not 1. Where there is nothing to learn from
     (no labels), no language is known, so nothing is kept."""
-    r = rows(docs)
     model = langid.train(docs.where(fold("doc_id", 3) != 1))
-    told = langid.predict(r.select("row", F.col("row.text").alias("text")), model, [F.col("row")])
+    r = rows(docs)
+    told = langid.predict(r.withColumn("text", of(docs.columns, "text")), model, [F.col(c) for c in r.columns])
     return unrow(told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)), docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that at least ten documents hold; n_chars is that of the new text."""
-    d = dedup_lines(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"))
-    text = F.when(F.col("row.text").isNull(), None).otherwise(F.col("kept_text"))
-    new = {"text": text} | ({"n_chars": F.when(text.isNull(), F.col("row.n_chars")).otherwise(F.char_length(text)).cast(
-        docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return unrow(d, docs.columns, **new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    c = docs.columns
+    d = dedup_lines(rows(docs).withColumns({"doc_id": of(c, "doc_id"), "text": of(c, "text")}))
+    text = F.when(of(c, "text").isNull(), None).otherwise(F.col("kept_text"))
+    new = {"text": text, "n_chars": F.coalesce(F.char_length(text), of(c, "n_chars")).cast(docs.schema["n_chars"].dataType)}
+    return unrow(d, c, **new).select(*[F.col(f"`{x}`") for x in c])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

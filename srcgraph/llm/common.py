@@ -50,12 +50,18 @@ def fold(doc_id: str, n: int) -> Column:
 
 
 def rows(docs: DataFrame) -> DataFrame:
-    """Every column in one struct ``row``, so that no input column can clash with an operator's own."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    """Every column under a name of its own (``of``), so that no input column clashes with an operator's, and columns
+    that a query does not read are pruned before any shuffle."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)])
+
+
+def of(columns: list[str], name: str) -> Column:
+    """A column of ``rows``, by its name in the input."""
+    return F.col(f"_c{[c.lower() for c in columns].index(name.lower())}")
 
 
 def unrow(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
-    """The columns of ``row`` again; those in ``new`` replace input columns of the same name or follow."""
+    """The input's columns again; those in ``new`` replace input columns of the same name or follow."""
     lower = {k.lower() for k in new}
-    return df.select(*[F.col("row")[c].alias(c) for c in columns if c.lower() not in lower],
+    return df.select(*[of(columns, c).alias(c) for c in columns if c.lower() not in lower],
                      *[v.alias(k) for k, v in new.items()])

@@ -15,7 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_pair, line_key, rows, strip, text_of, unrow  # noqa: F401
+from srcgraph.session import materialize
+
+from .common import hash_pair, line_key, of, rows, text_of, unrow
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text") -> DataFrame:
@@ -37,10 +39,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, doc_id:
     A document that loses all its lines keeps the empty text. An empty table gives an empty result.
     """
     d = rows(docs)
-    body = F.coalesce(F.col("row")[text], F.lit(""))
+    cols = [f"_c{i}" for i in range(len(docs.columns))]
+    body = F.coalesce(of(docs.columns, text), F.lit(""))
     # a document's drops depend on its text alone, so (id, text hash) names them, also for null or repeated ids
-    d = d.select("row", F.col("row")[doc_id].alias("id"), F.xxhash64(body).alias("th"))
-    freq = frequent_lines(docs, min_docs, min_chars, text).select("h1", "h2")
+    d = d.select(*cols, of(docs.columns, doc_id).alias("id"), F.xxhash64(body).alias("th"))
+    # written, so that both sides of the join are plain exchanges: AQE can then split a hot line's occurrences
+    freq = materialize(frequent_lines(docs, min_docs, min_chars, text).select("h1", "h2"), "frequent-lines")
     at = (docs.select(F.col(doc_id).alias("id"), text_of(text).alias("t"))
           .select("id", F.xxhash64("t").alias("th"), F.posexplode(F.split("t", "\n", -1)).alias("pos", "line"))
           .select("id", "th", "pos", line_key(F.col("line")).alias("k")).where(F.char_length("k") >= max(1, min_chars)))
@@ -49,8 +53,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, doc_id:
     drops = (at.join(freq, ["h1", "h2"]).groupBy("id", "th").agg(F.collect_set("pos").alias("drops"))
              .select(F.col("id").alias("id2"), F.col("th").alias("th2"), "drops"))
     j = (d.join(drops, d["id"].eqNullSafe(drops["id2"]) & (d["th"] == drops["th2"]), "left")
-         .select("row", F.coalesce("drops", F.array().cast("array<int>")).alias("drops"),
-                 F.split(F.coalesce(F.col("row")[text], F.lit("")), "\n", -1).alias("lines")))
+         .select(*cols, F.coalesce("drops", F.array().cast("array<int>")).alias("drops"),
+                 F.split(body, "\n", -1).alias("lines")))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
     kept = F.when(F.size("drops") == 0, F.array_join("lines", "\n")).otherwise(
         F.array_join(F.transform(left, lambda p: F.get(F.col("lines"), p)), "\n"))

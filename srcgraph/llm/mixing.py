@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from srcgraph.session import materialize
 
-from .common import SPACE_CLASS, text_of, unrow
+from .common import SPACE_CLASS, of, rows, text_of, unrow
 
 MAX_BROADCAST = 100_000
 ROWS_PER_BUCKET = 10_000
@@ -150,14 +150,17 @@ def mix(docs: DataFrame, seed: int = 1, domain: Column | None = None, doc_id: st
     """
     plan = _small(plan_mix(docs, seed=seed, domain=domain, doc_id=doc_id, text=text, **how))
     dom = hash_domain() if domain is None else domain
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), dom.alias("domain"), F.col("lang"), F.col("source"),
-                    F.col(doc_id).alias("id"), token_count(text_of(text)).alias("n"))
+    c = docs.columns
+    d = rows(docs.select(*[F.col(f"`{x}`") for x in c], dom.alias("mix_domain_of_row"))).withColumnRenamed(f"_c{len(c)}", "domain")
+    d = d.withColumns({"lang": of(c, "lang"), "source": of(c, "source"), "id": of(c, doc_id),
+                       "n": token_count(F.coalesce(of(c, text), F.lit("")))})
     j = d.join(plan, _same_leaf())
     more = F.col("last").isNotNull() & (order_key(seed, F.col("epochs") + 1, F.col("id")) <= F.col("last"))
     j = j.withColumn("times", F.col("epochs") + F.coalesce(more, F.lit(False)).cast("int")).where("times > 0")
-    return unrow(j, docs.columns, mix_domain=F.col("domain"), mix_tokens=F.col("n"), mix_times=F.col("times"))
+    return unrow(j, c, mix_domain=F.col("domain"), mix_tokens=F.col("n"), mix_times=F.col("times"))
 
 
 def repeat_by_times(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of a mix, each row as often as mix_times says."""
-    return mixed.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(*[F.col(f"`{c}`") for c in columns])
+    return mixed.select(*[F.col(f"`{c}`") for c in columns], F.explode(F.sequence(F.lit(1), F.col("mix_times")))).select(
+        *[F.col(f"`{c}`") for c in columns])

@@ -26,7 +26,7 @@ from pyspark.sql.types import IntegerType
 
 from srcgraph.session import materialize
 
-from .common import ascii_lower, text_of, words
+from .common import ascii_lower, of, rows, text_of, unrow, words
 from .components import connected_components
 
 WIDTH, BANDS, ROWS = 5, 40, 5
@@ -196,8 +196,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows that repeat the kept id all have kept = true. Other columns are not read; an empty table gives an
     empty result.
     """
-    rows = materialize(signatures(docs, doc_id, text, seed), "near-rows")
-    some = rows.where("n > 0")
+    signed = materialize(signatures(docs, doc_id, text, seed), "near-rows")
+    some = signed.where("n > 0")
     classes = some.groupBy("node", "node2").agg(
         F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"),
         F.first("sig").alias("sig"))
@@ -233,16 +233,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     owner = _labelled(classes.select("node", F.col("rep.doc_id").alias("id")), labels)
     least = owner.groupBy("label").agg(F.min("id").alias("component_id"))
     owner = materialize(owner.select("node", "label").join(least, "label").select("node", "component_id"), "near-owner")
-    out = rows.select("doc_id", "th", F.col("n").alias("n_shingles"), "node").join(owner, "node", "left")
+    out = signed.select("doc_id", "th", F.col("n").alias("n_shingles"), "node").join(owner, "node", "left")
     cid = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "th", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` whose document stays, in ``docs``' columns; of rows that repeat id and text one stays."""
-    from .common import rows as in_rows, unrow
-    d = in_rows(docs).select("row", F.col("row")[doc_id].cast("long").alias("id"),
-                             F.xxhash64(F.coalesce(F.col("row")[text], F.lit(""))).alias("h"))
+    d = rows(docs).select("*", of(docs.columns, doc_id).cast("long").alias("id"),
+                          F.xxhash64(F.coalesce(of(docs.columns, text), F.lit(""))).alias("h"))
     stay = near_duplicates(docs, doc_id, text, **how).where("kept").select("doc_id", "th").distinct()
     j = d.join(stay, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")), "left_semi")
     return unrow(j.dropDuplicates(["id", "h"]), docs.columns)
