@@ -51,7 +51,9 @@ def sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: domains, languages and sources alike, as many tokens as there are, no document more than twice.
 
     A document that is to be read twice stands there twice."""
-    return repeat_by_times(mix(docs, budget_share=1.0, max_epochs=2, seed=1), docs.columns)
+    c, r = docs.columns, rows(docs)
+    mixed = mix(r.withColumns({x: of(c, x) for x in ("doc_id", "text", "lang", "source")}), budget_share=1.0, max_epochs=2, seed=1)
+    return unrow(repeat_by_times(mixed, r.columns), c)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
