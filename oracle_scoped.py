@@ -150,6 +150,19 @@ def scoped_oracles() -> dict[str, str]:
     o["scoped_bases"] = w("SELECT repo_id, path, n, class_name, base FROM sbases")
     o["parser_choice"] = w("SELECT repo_id, file, name, kind, complexity FROM mnodes")
     o["call_edges"] = w("SELECT repo_id, file, source, target, type FROM medges WHERE type = 'calls'")
+    # the answers follow from p_partkey; no text is parsed
+    o["scoped_wrapped"] = "WITH " + O.F1 + """,
+x AS (SELECT repo_id, path, p_partkey AS k FROM f1),
+r AS (SELECT repo_id, path, unnest([
+  {'n': 5, 'what': 'class', 'a': 'C' || k % 9, 'b': ''}, {'n': 11, 'what': 'function', 'a': 'run', 'b': ''},
+  {'n': 5, 'what': 'base', 'a': 'C' || k % 9, 'b': 'Base' || k % 5}, {'n': 5, 'what': 'base', 'a': 'C' || k % 9, 'b': 'Gen' || k % 4},
+  {'n': 5, 'what': 'base', 'a': 'C' || k % 9, 'b': 'T'}, {'n': 5, 'what': 'base', 'a': 'C' || k % 9, 'b': 'metaclass'},
+  {'n': 5, 'what': 'base', 'a': 'C' || k % 9, 'b': 'Meta'},
+  {'n': 11, 'what': 'call', 'a': 'run', 'b': 'mk' || k % 4}, {'n': 16, 'what': 'call', 'a': 'run', 'b': 'helper_' || k % 6},
+  {'n': 16, 'what': 'call', 'a': 'run', 'b': 'inner_' || k % 7}, {'n': 20, 'what': 'call', 'a': 'run', 'b': 'strip'},
+  {'n': 24, 'what': 'call', 'a': 'run', 'b': 'obj'}, {'n': 24, 'what': 'call', 'a': 'run', 'b': 'last_' || k % 8},
+  {'n': 27, 'what': 'import', 'a': '..pkg' || k % 3 || '.mod', 'b': ''}]) AS v FROM x)
+SELECT repo_id, path, v.n::INTEGER AS n, v.what AS what, v.a AS a, v.b AS b FROM r"""
     o["hotspot_rank"] = w(
         "SELECT repo_id, rank, target, string_split(target, ':')[-1] AS func_name, calls FROM ("
         " SELECT repo_id, target, count(*) AS calls,"

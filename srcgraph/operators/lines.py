@@ -5,7 +5,7 @@ The parser is a state machine over the stripped lines of one file. It is rebuilt
 * LIN1 ``source_lines``: ``posexplode`` of the split text; one row per line.
 * ``line_features``: per-line classification and the texts the symbols need. This runs
   before the exchange, so the wide ``raw``/``line`` text is pruned away and only short
-  columns are shuffled.
+  columns are shuffled; plans without per-file state (LIN1-LIN3, LIN6-LIN8) have no exchange.
 * LIN4/LIN5/WIN5 ``function_segments``: four running windows that share one partitioning
   ``(repo_id, path)`` and one ordering ``n`` (one exchange, one sort):
   ``seg`` = running count of ``def`` lines; ``cum`` = running count of body-candidate lines;
@@ -43,13 +43,11 @@ def has_branch(c):
 def source_lines(files: DataFrame) -> DataFrame:
     """LIN1: ``(repo_id, path, n, raw, line)``; ``n`` counts from 1, ``line`` is stripped.
 
-    File rows are hash-partitioned by ``(repo_id, path)`` before they are exploded: the one
-    exchange moves whole texts (no per-line copy of the keys), the per-line work runs in
-    parallel over all partitions, and every later window or group-by keyed by
-    ``(repo_id, path, ...)`` reuses this partitioning without another exchange.
+    A file is one row, so its lines are made where it is read: no exchange moves a text. Plans that
+    need a file's lines together (``line_windows``) shuffle the short feature columns instead.
     """
-    files = files.repartition(*FILE_KEYS).where(F.col("content") != "")
-    d = files.select("repo_id", "path", F.posexplode(line_pieces("content")).alias("i", "raw"))
+    d = files.where(F.col("content") != "")
+    d = d.select("repo_id", "path", F.posexplode(line_pieces("content")).alias("i", "raw"))
     return d.select("repo_id", "path", (F.col("i") + 1).cast("int").alias("n"), "raw", py_strip("raw").alias("line"))
 
 

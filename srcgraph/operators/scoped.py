@@ -1,10 +1,11 @@
 """SCP1-SCP7, JOIN7, GRF4: symbols, calls, imports and bases by indentation scopes
 (``mode="scoped"``), a line-based stand-in for a syntax-tree walk.
 
-Rules (approximate where a real parser would differ, see the notes):
+Rules:
 
-* Text is masked first: quoted strings become ``""``, ``#`` comments are dropped, and
-  lines inside a triple-quoted block are blanked (running parity of triple quotes).
+* Lines are logical lines: strings (also over several lines) are masked as ``""`` and comments dropped by one
+  left-to-right scan of the text; a line that begins inside brackets, inside a string or behind a backslash
+  belongs to the line that opened it, and neither opens nor closes a scope.
 * SCP1: every ``def``/``async def`` (function) and ``class`` (class) line, nested ones too;
   no module symbols; complexity 1.
 * SCP2/JOIN7: a function's scope runs from its ``def`` line to the first later non-blank
@@ -17,12 +18,10 @@ Rules (approximate where a real parser would differ, see the notes):
   attribute node). ``callee="attr"`` always takes the last piece.
 * SCP5: ``import a.b, c as d`` -> ``a.b``, ``c``; ``from ..x import y`` -> ``..x``;
   ``from __future__`` is not an import here.
-* SCP6: names in the class argument list with calls removed; keyword arguments give both
-  names; ``object`` and the class itself are dropped.
+* SCP6: names in the class argument list without calls (at any depth); subscripts and keyword arguments give
+  all their names; ``object`` and the class itself are dropped.
 
-Notes: brackets spanning lines, backslash continuations and statements after ``;`` are
-not followed; a string that opens a triple-quoted block on a code line is only masked
-from the next line on.
+Notes: an unclosed bracket takes the rest of its file into one line; imports after ``;`` are not followed.
 
 Scope finding without a range join: for every indentation level ``d`` that has a ``def``
 in the file, each non-blank line gets two running maxima over the file in line order --
@@ -36,7 +35,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lines import _MAXINT, _ROW_ARRAY, NONE_I, NONE_S, gpos, grow, source_lines
+from ..functions.pysource import base_names, logical_lines
+from .lines import _MAXINT, _ROW_ARRAY, NONE_I, NONE_S, gpos, grow
 
 # FIXED VALUES: Python's reserved words (never a call target).
 PY_KEYWORDS = [
@@ -46,8 +46,6 @@ PY_KEYWORDS = [
     "return", "try", "while", "with", "yield",
 ]
 
-_RX_STR = "\"[^\"\\\\]*(?:\\\\.[^\"\\\\]*)*\"|'[^'\\\\]*(?:\\\\.[^'\\\\]*)*'"
-_RX_TQ = "\"\"\"|'''"
 _RX_DEF = "^\\s*(?:async\\s+)?def\\s+([A-Za-z_]\\w*)"
 _RX_CLASS = "^\\s*class\\s+([A-Za-z_]\\w*)"
 _RX_CALL = "([A-Za-z_][\\w.]*)\\s*\\("
@@ -56,33 +54,37 @@ _FILE = ["repo_id", "path"]
 
 
 def masked_lines(files: DataFrame) -> DataFrame:
-    """``(repo_id, path, n, indent, text)`` with strings, comments and docstring blocks masked."""
-    lines = source_lines(files)
-    raw = F.col("raw")
-    # every regex below is guarded by a plain substring test: most lines skip it
-    tq = F.when(raw.contains("\"\"\"") | raw.contains("\'\'\'"), F.size(F.split(raw, _RX_TQ, -1)) - 1).otherwise(0)
-    w = Window.partitionBy(*_FILE).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = lines.select("repo_id", "path", "n", "raw", tq.alias("tq"))
-    d = d.withColumn("tq_before", F.sum("tq").over(w) - F.col("tq"))
-    no_str = F.when(raw.contains("\"") | raw.contains("'"), F.regexp_replace(raw, _RX_STR, "\"\"")).otherwise(raw)
-    masked = F.when(no_str.contains("#"), F.regexp_replace(no_str, "#.*$", "")).otherwise(no_str)
-    text = F.when(F.col("tq_before") % 2 == 1, F.lit("")).otherwise(masked)
-    return d.select("repo_id", "path", "n",
-                    F.length(F.regexp_extract("raw", "^[ \\t]*", 0)).alias("indent"), text.alias("text"))
+    """``(repo_id, path, n, indent, text)``: logical lines with strings and comments masked; ``n`` and
+    ``indent`` are those of the first physical line. Made inside the file row, without an exchange."""
+    d = files.where(F.col("content") != "").select("repo_id", "path", F.explode(logical_lines(F.col("content"))).alias("l"))
+    return d.select("repo_id", "path", F.col("l.n").alias("n"),
+                    F.length(F.regexp_extract("l.text", "^[ \\t]*+", 0)).alias("indent"), F.col("l.text").alias("text"))
 
 
 def scoped_features(files: DataFrame) -> DataFrame:
-    """Non-blank masked lines with ``def_name``, ``class_name`` and the header-free text."""
-    m = masked_lines(files).where(~F.col("text").rlike("^\\s*$"))
-    text = F.col("text")
+    """One row per non-blank logical line: ``def_name``, ``class_name``, ``bases``, ``modules`` and
+    ``calls`` (texts before ``(``). Only these short columns are shuffled later, never a line's text."""
+    m = masked_lines(files).where(~F.col("text").rlike("^\\s*+$"))
+    text, t = F.col("text"), F.trim("text")
     def_name = F.when(text.contains("def"), F.regexp_extract(text, _RX_DEF, 1)).otherwise("")
     cls_name = F.when(text.contains("class"), F.regexp_extract(text, _RX_CLASS, 1)).otherwise("")
     body = (F.when(def_name != "", F.regexp_replace(text, _RX_DEF, ""))
             .when(cls_name != "", F.regexp_replace(text, _RX_CLASS, "")).otherwise(text))
-    return m.select("repo_id", "path", "n", "indent", "text",
-                    F.when(def_name != "", def_name).alias("def_name"),
-                    F.when(cls_name != "", cls_name).alias("class_name"),
-                    body.alias("body"))
+    none = F.array().cast("array<string>")
+    m = m.select("repo_id", "path", "n", "indent", F.when(def_name != "", def_name).alias("def_name"),
+                 F.when(cls_name != "", cls_name).alias("class_name"), t.alias("t"), body.alias("body"))
+    bases = F.filter(base_names(F.col("body")), lambda b: (b != "object") & (b != F.col("class_name")))
+    mods = F.filter(F.transform(F.split(F.substring("t", 8, 1 << 30), ","),
+                                lambda x: F.regexp_extract(F.trim(x), "^" + _RX_NAME, 0)), lambda x: x != "")
+    from_mod = F.regexp_extract("t", "^from\\s+(\\.*(?:[A-Za-z_][\\w.]*)?)\\s*import\\b", 1)
+    kw = F.array(*[F.lit(x) for x in PY_KEYWORDS])
+    calls = F.filter(F.regexp_extract_all("body", F.lit(_RX_CALL), 1), lambda c: ~F.array_contains(kw, c))
+    return m.select("repo_id", "path", "n", "indent", "def_name", "class_name",
+                    F.when(F.col("class_name").isNotNull(), bases).otherwise(none).alias("bases"),
+                    F.when(F.col("t").startswith("import "), mods)
+                    .when(F.col("t").startswith("from ") & ~from_mod.isin("", "__future__"), F.array(from_mod))
+                    .otherwise(none).alias("modules"),
+                    F.when(F.col("body").contains("("), calls).otherwise(none).alias("calls"))
 
 
 def scoped_symbols(feats: DataFrame) -> DataFrame:
@@ -124,9 +126,7 @@ def callee_name(c, mode: str = "grammar"):
 
 def scoped_calls(feats: DataFrame, callee: str = "grammar") -> DataFrame:
     """SCP3: ``(repo_id, path, n, i, caller, callee)`` for calls inside a function."""
-    calls = (feats.select("repo_id", "path", "n",
-                          F.posexplode(F.regexp_extract_all("body", F.lit(_RX_CALL), 1)).alias("i", "call"))
-             .where(~F.col("call").isin(*PY_KEYWORDS)))
+    calls = feats.select("repo_id", "path", "n", F.posexplode("calls").alias("i", "call"))
     enc = enclosing_function(feats.join(calls.select(*_FILE).distinct(), _FILE, "left_semi"))
     j = calls.join(enc, ["repo_id", "path", "n"])
     return j.select("repo_id", "path", "n", "i", F.col("func").alias("caller"),
@@ -135,28 +135,12 @@ def scoped_calls(feats: DataFrame, callee: str = "grammar") -> DataFrame:
 
 def scoped_imports(feats: DataFrame) -> DataFrame:
     """SCP5: ``(repo_id, path, n, i, module)``."""
-    t = F.trim("text")
-    imp = feats.where(t.startswith("import ")).select(
-        "repo_id", "path", "n",
-        F.posexplode(F.split(F.substring(t, 8, 1 << 30), ",")).alias("i", "piece"))
-    imp = imp.select("repo_id", "path", "n", "i",
-                     F.regexp_extract(F.trim("piece"), "^" + _RX_NAME, 0).alias("module")).where(F.col("module") != "")
-    frm = feats.where(t.startswith("from ")).select(
-        "repo_id", "path", "n", F.lit(0).alias("i"),
-        F.regexp_extract(t, "^from\\s+(\\.*(?:[A-Za-z_][\\w.]*)?)\\s*import\\b", 1).alias("module"))
-    frm = frm.where((F.col("module") != "") & (F.col("module") != "__future__"))
-    return imp.unionByName(frm)
+    return feats.select("repo_id", "path", "n", F.posexplode("modules").alias("i", "module"))
 
 
 def scoped_bases(feats: DataFrame) -> DataFrame:
     """SCP6: ``(repo_id, path, n, i, class_name, base)``."""
-    cls = feats.where(F.col("class_name").isNotNull())
-    args = F.regexp_extract("text", "^\\s*class\\s+\\w+\\s*\\((.*)\\)\\s*:", 1)
-    no_calls = F.regexp_replace(F.regexp_replace(args, _RX_NAME + "\\s*\\([^()]*\\)", ""),
-                                _RX_NAME + "\\s*\\([^()]*\\)", "")
-    names = F.regexp_extract_all(no_calls, F.lit(_RX_NAME), 0)
-    b = cls.select("repo_id", "path", "n", "class_name", F.posexplode(names).alias("i", "base"))
-    return b.where((F.col("base") != "object") & (F.col("base") != F.col("class_name")))
+    return feats.select("repo_id", "path", "n", "class_name", F.posexplode("bases").alias("i", "base"))
 
 
 def scoped_parts(files: DataFrame, callee: str = "grammar") -> dict:
@@ -175,30 +159,18 @@ def scoped_graph_rows(files: DataFrame, callee: str = "grammar") -> DataFrame:
     """
     feats = scoped_features(files)
     d = feats.join(enclosing_function(feats), ["repo_id", "path", "n"], "left")
-    n, path, t = F.col("n"), F.col("path"), F.trim("text")
-    cname, func = F.col("class_name"), F.col("func")
+    n, path = F.col("n"), F.col("path")
+    cname, func, bases, calls = F.col("class_name"), F.col("func"), F.col("bases"), F.col("calls")
     empty = F.array().cast(_ROW_ARRAY)
     sym = (F.when(F.col("def_name").isNotNull(), F.array(grow("sym", F.col("def_name"), "function", 1, gpos(n, 1))))
            .when(cname.isNotNull(), F.array(grow("sym", cname, "class", 1, gpos(n, 1)))))
-    args = F.regexp_extract("text", "^\\s*class\\s+\\w+\\s*\\((.*)\\)\\s*:", 1)
-    no_calls = F.regexp_replace(F.regexp_replace(args, _RX_NAME + "\\s*\\([^()]*\\)", ""),
-                                _RX_NAME + "\\s*\\([^()]*\\)", "")
-    bases = F.filter(F.regexp_extract_all(no_calls, F.lit(_RX_NAME), 0), lambda b: (b != "object") & (b != cname))
     base_rows = F.when(cname.isNotNull(), F.concat(
         F.transform(bases, lambda b, i: grow("sym", cname, "class", NONE_I(), gpos(_MAXINT, 1, n, i * 2))),
         F.transform(bases, lambda b, i: grow("sym", b, "class", NONE_I(), gpos(_MAXINT, 1, n, i * 2 + 1))),
         F.transform(bases, lambda b, i: grow("edge", NONE_S(), NONE_S(), NONE_I(), gpos(n, 1, 0, i),
                                               F.concat_ws(":", path, cname), F.concat_ws(":", path, b),
                                               F.lit("inherits")))))
-    mods = F.filter(F.transform(F.split(F.substring(t, 8, 1 << 30), ","),
-                                lambda x: F.regexp_extract(F.trim(x), "^" + _RX_NAME, 0)), lambda m: m != "")
-    from_mod = F.regexp_extract(t, "^from\\s+(\\.*(?:[A-Za-z_][\\w.]*)?)\\s*import\\b", 1)
-    imp_edge = lambda m: grow("edge", NONE_S(), NONE_S(), NONE_I(), gpos(n, 2), path, m, F.lit("imports"))
-    imp_rows = (F.when(t.startswith("import "), F.transform(mods, imp_edge))
-                .when(t.startswith("from ") & (from_mod != "") & (from_mod != "__future__"),
-                      F.array(imp_edge(from_mod))))
-    kw = F.array(*[F.lit(x) for x in PY_KEYWORDS])
-    calls = F.filter(F.regexp_extract_all("body", F.lit(_RX_CALL), 1), lambda c: ~F.array_contains(kw, c))
+    imp_rows = F.transform("modules", lambda m, i: grow("edge", NONE_S(), NONE_S(), NONE_I(), gpos(n, 2, 0, i), path, m, F.lit("imports")))
     call_rows = F.when(func.isNotNull(), F.concat(
         F.transform(calls, lambda c, i: grow("sym", callee_name(c, callee), "function", NONE_I(),
                                              gpos(_MAXINT, 0, n, i * 2))),

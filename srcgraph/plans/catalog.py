@@ -606,9 +606,8 @@ def q_calls_in_scope(spark, sf):
 
 @register("callee_name")
 def q_callee_name(spark, sf):
-    from ..operators.scoped import PY_KEYWORDS, _RX_CALL, callee_name
-    f = _sfeats(spark, sf).select("repo_id", "path", "n", F.explode(
-        F.regexp_extract_all("body", F.lit(_RX_CALL), 1)).alias("call")).where(~F.col("call").isin(*PY_KEYWORDS))
+    from ..operators.scoped import callee_name
+    f = _sfeats(spark, sf).select("repo_id", "path", "n", F.explode("calls").alias("call"))
     return f.select("repo_id", "path", "n", "call", callee_name("call").alias("callee"))
 
 
@@ -624,6 +623,21 @@ def q_scoped_bases(spark, sf):
     return scoped_bases(_sfeats(spark, sf)).select("repo_id", "path", "n", "class_name", "base")
 
 
+@register("scoped_wrapped")
+def q_scoped_wrapped(spark, sf):
+    """SCP1-SCP6 on F7: every symbol, call, base and import of files whose constructs span lines."""
+    from ..operators import scoped as SC
+    f = SC.scoped_features(FX.f7_wrapped_sources(spark, sf))
+    rows = [SC.scoped_symbols(f).select("repo_id", "path", F.col("pos.n").alias("n"), F.col("kind").alias("what"), F.col("name").alias("a"), F.lit("").alias("b")),
+            SC.scoped_calls(f).select("repo_id", "path", "n", F.lit("call").alias("what"), F.col("caller").alias("a"), F.col("callee").alias("b")),
+            SC.scoped_bases(f).select("repo_id", "path", "n", F.lit("base").alias("what"), F.col("class_name").alias("a"), F.col("base").alias("b")),
+            SC.scoped_imports(f).select("repo_id", "path", "n", F.lit("import").alias("what"), F.col("module").alias("a"), F.lit("").alias("b"))]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 @register("parser_choice")
 def q_parser_choice(spark, sf):
     """SCP7: the default ``merged`` mode: scoped symbols and calls, line complexity."""

@@ -72,6 +72,27 @@ def f1_source_files(spark: SparkSession, sf_dir: str, with_key: bool = False) ->
     return q.select(*cols)
 
 
+def f7_wrapped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7 ``(p_partkey, repo_id, path, content)``: one file per ``part`` row whose signatures, bases, calls, imports
+    and strings span lines, with quotes and brackets in comments and strings. What it holds follows from
+    ``p_partkey`` alone (see ``scoped_wrapped`` in the oracle), so checking it parses no text again."""
+    k = F.col("p_partkey")
+    m = lambda n: (k % n).cast("string")
+    lines = [
+        "\"\"\"doc with ''' and # and def fake(): (", "def not_me():", "\"\"\"",
+        "RX = '\"\"\"'  # comment with ''' and (",
+        ["class C", m(9), "("], ["    Base", m(5), ","], ["    f(g(h(X", m(3), "))),"], ["    Gen", m(4), "[T],"], "    metaclass=Meta,", "):",
+        "    def run(", "        self,", ["        a=mk", m(4), "(1),"], "    ):",
+        "        s = \"text with ( and # and \\\" def x():\"",
+        ["        helper_", m(6), "("], "            a,", ["            inner_", m(7), "(s),"], "        )",
+        "        t = '''", "def nope():", "    lost()", "'''.strip()",
+        "        return obj.method(t) + \\", ["            last_", m(8), "()"],
+        "x = top()", ["from ..pkg", m(3), ".mod import ("], "    a,", "    b,", ")",
+    ]
+    text = F.concat(*[x for l in lines for x in [*[y if not isinstance(y, str) else F.lit(y) for y in ([l] if isinstance(l, str) else l)], F.lit("\n")]])
+    return f1_paths(spark, sf_dir).select("p_partkey", "repo_id", "path", text.alias("content"))
+
+
 def f2_repo_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2 ``repo_urls(req_id, repo_url)``: one URL per ``pages`` row, twelve shapes."""
     pg = table(spark, sf_dir, "pages")

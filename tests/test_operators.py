@@ -147,3 +147,35 @@ def test_random_scopes_match_stack(spark):
         by_file.setdefault(r.path, []).append((r.caller, r.callee))
     for path, text in files.items():
         assert sorted(by_file.get(path, [])) == _stack_calls(text), path
+
+
+def _scoped(spark, text):
+    from srcgraph.operators.scoped import scoped_bases, scoped_calls, scoped_features, scoped_imports, scoped_symbols
+    f = scoped_features(files_df(spark, {"a.py": text}))
+    return (sorted((r.name, r.kind) for r in scoped_symbols(f).collect()), sorted((r.caller, r.callee) for r in scoped_calls(f).collect()),
+            sorted((r.class_name, r.base) for r in scoped_bases(f).collect()), sorted(r.module for r in scoped_imports(f).collect()))
+
+
+def test_quotes_in_strings_and_comments_hide_nothing(spark):
+    for head in ("RX = '\"\"\"'\n", "# it's ''' here\n", "x = \"#\"  # \"\n", "y = \"a\\\\\"  # \\\n"):
+        assert _scoped(spark, head + "def a():\n    b()\ndef c():\n    d()\n")[:2] == (
+            [("a", "function"), ("c", "function")], [("a", "b"), ("c", "d")])
+
+
+def test_nested_calls_are_no_bases(spark):
+    assert _scoped(spark, "class A(f(g(h(X)))):\n    pass\n")[2] == []
+    assert _scoped(spark, "class A(\n    f(g(h(X)), k=Y),\n    B.c,\n    (D),\n):\n    pass\n")[2] == [("A", "B.c"), ("A", "D")]
+
+
+def test_lines_inside_brackets_open_and_close_nothing(spark):
+    text = "def f(\n    a,\n    b=g(\n1),\n):\n    h(\ndef_,\n    )\n    i()\nfrom x import (\n  y,\n)\nimport a.b, c as d\nfrom __future__ import z\nj()\n"
+    sym, calls, _, imports = _scoped(spark, text)
+    assert sym == [("f", "function")] and calls == [("f", "g"), ("f", "h"), ("f", "i")] and imports == ["a.b", "c", "x"]
+
+
+def test_unclosed_and_odd_sources(spark):
+    assert _scoped(spark, "def f():\n    g(\n") == ([("f", "function")], [("f", "g")], [], [])
+    assert _scoped(spark, "def f():\n    '''never closed\ndef g():\n")[0] == [("f", "function")]
+    assert _scoped(spark, "\n\n") == ([], [], [], [])
+    big = "x = [\n" + "".join(f"    'a{i}',  # c\n" for i in range(5000)) + "]\n\"\"\"" + "q\\n" * 20000 + "\"\"\"\ndef f():\n    g()\n"
+    assert _scoped(spark, big)[1] == [("f", "g")]
