@@ -148,6 +148,6 @@ def usage_entry_modules(nodes: DataFrame, n: int = USAGE_ENTRIES) -> DataFrame:
     in graph order, as ``(repo_id, rank, file_label, name)``."""
     low = F.lower("name")
     m = nodes.where((F.col("kind") == "module") & (low.contains("main") | low.contains("app")))
-    w = Window.partitionBy("repo_id").orderBy("file", "pos", "name")
+    w = Window.partitionBy("repo_id").orderBy("file", "gen", "pos", "name")
     return (m.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
             .select("repo_id", "rank", file_label("file").alias("file_label"), "name"))

@@ -1,6 +1,7 @@
 """GRF1-GRF10, SET1-SET3: the property graph ``nodes`` / ``edges`` of many repositories.
 
-``nodes``: ``repo_id, file, name, kind, complexity, pos`` -- unique on ``(repo_id, file, name)``.
+``nodes``: ``repo_id, file, name, kind, complexity, gen, pos`` -- unique on ``(repo_id, file, name)``;
+``gen`` counts the merges before the node came, ``pos`` is its place in its file.
 ``edges``: ``repo_id, file, source, target, type`` -- a multiset (duplicates are kept).
 
 Node rules: the first row of a key decides ``kind`` (GRF2); the last row that carries a
@@ -89,55 +90,57 @@ KINDS = ["class", "function", "module"]
 
 
 def kind_code(c):
-    """Kind as a small int (fixed-width aggregation buffers); anything else -> 3 (``''``)."""
+    """The three kinds that the extractors make as small ints (fixed-width aggregation buffers). Stored graphs
+    may hold any other kind; they never go through this code (see ``first_rows``, ``merge_graph``)."""
     c = F.col(c) if isinstance(c, str) else c
-    return (F.when(c == "class", 0).when(c == "function", 1).when(c == "module", 2)
-            .when(c.isNotNull(), 3))
+    return F.when(c == "class", 0).when(c == "function", 1).when(c == "module", 2)
 
 
 def kind_name(c):
-    return F.element_at(F.array(*[F.lit(k) for k in KINDS], F.lit("")), (F.col(c) if isinstance(c, str) else c) + 1)
+    return F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col(c) if isinstance(c, str) else c) + 1)
 
 
 def pos_key(pos_col):
-    """The position ``(n, sub, e, i)`` as one order-preserving long: symbols ``n*4+sub``
-    (stored rows have ``n = -1``), line-parser module rows of merged mode
-    (``n = MAXINT-1``) in ``[2^40, 2^41)``, endpoint rows (``n = MAXINT``) from ``2^50``
-    (``i < 2^17`` items per line). Lets the node group-by use hash aggregation."""
+    """The position ``(n, sub, e, i)`` as one order-preserving long: symbols ``n*4+sub``, line-parser module rows
+    of merged mode (``n = MAXINT-1``) from ``2^61``, endpoint rows (``n = MAXINT``) from ``2^62`` with 30 bits each
+    for line and item -- more than a text of 1 GiB can hold, and a column value cannot be longer than 2 GiB."""
     n = pos_col.getField("n").cast("long")
     sub = pos_col.getField("sub").cast("long")
     e = pos_col.getField("e").cast("long")
     i = pos_col.getField("i").cast("long")
-    return (F.when(n == _MAXINT, F.lit(1 << 50) + sub * F.lit(1 << 48) + e * F.lit(1 << 17) + i)
-            .when(n == _MAXINT - 1, F.lit(1 << 40) + sub * F.lit(1 << 38) + e * F.lit(1 << 4) + i)
+    return (F.when(n == _MAXINT, F.lit(1 << 62) + sub * F.lit(1 << 60) + e * F.lit(1 << 30) + i)
+            .when(n == _MAXINT - 1, F.lit(1 << 61) + sub * F.lit(1 << 34) + e)
             .otherwise(n * 4 + sub))
 
 
-ENDPOINT_POS = 1 << 50
+ENDPOINT_POS = 1 << 62
+#: Graph order inside a repository: file, then the merge that brought the node, then its position.
+GRAPH_ORDER = ["file", "gen", "pos", "name"]
 
 
-def _pk(rows: DataFrame):
-    from pyspark.sql.types import LongType
-    p = F.col("pos")
-    return p.cast("long") if isinstance(rows.schema["pos"].dataType, LongType) else pos_key(p)
-
-
-def dedupe_nodes(symbol_rows: DataFrame) -> DataFrame:
-    """GRF2 + GRF3: one node per ``(repo_id, file, name)``.
+def dedupe_nodes(symbol_rows: DataFrame, default: bool = True) -> DataFrame:
+    """GRF2 + GRF3: one node per ``(repo_id, file, name)`` of freshly extracted rows.
 
     ``kind`` = kind of the lowest position; ``complexity`` = complexity of the highest
-    position among rows that carry one, else 1; ``pos`` = lowest position as a long (graph
-    order inside a file). All buffers are fixed-width (hash aggregation with a map-side
+    position among rows that carry one, else 1 (null without ``default``); ``pos`` = lowest
+    position as a long. All buffers are fixed-width (hash aggregation with a map-side
     partial step).
     """
     d = symbol_rows.select("repo_id", "path", "name", kind_code("kind").alias("kc"), "complexity",
-                           _pk(symbol_rows).alias("pk"))
+                           pos_key(F.col("pos")).alias("pk"))
     agg = (d.groupBy("repo_id", F.col("path").alias("file"), "name")
            .agg(F.min_by("kc", "pk").alias("kc"),
                 F.expr("max_by(complexity, pk) FILTER (WHERE complexity IS NOT NULL)").alias("cx"),
                 F.min("pk").alias("pos")))
     return agg.select("repo_id", "file", "name", kind_name("kc").alias("kind"),
-                      F.coalesce("cx", F.lit(1)).alias("complexity"), "pos")
+                      (F.coalesce("cx", F.lit(1)) if default else F.col("cx")).alias("complexity"),
+                      F.lit(0).alias("gen"), "pos")
+
+
+def first_rows(nodes: DataFrame) -> DataFrame:
+    """The first row of every key, whole, of a stored node table that may hold a key twice (any kind)."""
+    first = F.min_by(F.struct("kind", "complexity", "gen", "pos"), F.struct("gen", "pos")).alias("r")
+    return nodes.groupBy("repo_id", "file", "name").agg(first).select("repo_id", "file", "name", "r.*")
 
 
 def append_edges(*edge_sets: DataFrame) -> DataFrame:
@@ -148,36 +151,43 @@ def append_edges(*edge_sets: DataFrame) -> DataFrame:
     return out
 
 
+def _next_gen(nodes: DataFrame) -> int:
+    return int(nodes.agg(F.max("gen")).first()[0] or 0) + 1
+
+
+def _join_nodes(stored: DataFrame, new: DataFrame, take_new_complexity: bool) -> DataFrame:
+    """Stored nodes keep kind, order and place; new keys come after them, as generation ``gen`` + the stored one."""
+    gen = _next_gen(stored)
+    key = ["repo_id", "file", "name"]
+    n = new.select(*key, F.col("kind").alias("k2"), F.col("complexity").alias("c2"), F.col("gen").alias("g2"), F.col("pos").alias("p2"))
+    j = stored.select(*key, "kind", "complexity", "gen", "pos").join(n, key, "full")
+    old = F.col("gen").isNotNull()
+    cx = F.coalesce("c2", "complexity", F.lit(1)) if take_new_complexity else F.when(old, F.col("complexity")).otherwise(F.col("c2"))
+    return j.select(*key, F.when(old, F.col("kind")).otherwise(F.col("k2")).alias("kind"), F.coalesce(cx, F.lit(1)).alias("complexity"),
+                    F.when(old, F.col("gen")).otherwise(F.col("g2") + gen).alias("gen"),
+                    F.when(old, F.col("pos")).otherwise(F.col("p2")).alias("pos"))
+
+
 def graph_union(a: Graph, b: Graph) -> Graph:
-    """SET2: union of two graphs; nodes of ``a`` win on shared keys (see ``merge_graph``)."""
-    return merge_graph(a, b.nodes.select("repo_id", F.col("file").alias("path"),
-                                         F.struct(F.lit(0).alias("n"), F.lit(0).alias("sub"), F.lit(0).alias("e"),
-                                                  F.lit(0).alias("i")).alias("pos"),
-                                         "name", "kind", "complexity"), b.edges)
+    """SET2: union of two stored graphs: a key of ``a`` keeps its row whole, edges are appended."""
+    return Graph(_join_nodes(a.nodes, b.nodes, False), append_edges(a.edges, b.edges))
 
 
-def merge_graph(base: Graph, new_symbol_rows: DataFrame, new_edges: DataFrame,
-                replace_files: bool = False) -> Graph:
-    """GRF9: merge newly analysed files into a stored graph.
+def merge_graph(base: Graph, new: Graph, replace_files: bool = False) -> Graph:
+    """GRF9: merge freshly analysed files into a stored graph.
 
-    A stored node keeps its kind (it is placed before every new row) and takes the new
-    complexity when a new *symbol* names it again; edges are appended, so analysing a file
-    twice duplicates its edges -- unless ``replace_files=True``, which first drops the stored
-    nodes and edges of files present in the new batch (idempotent re-runs).
+    ``new.nodes`` carries a null complexity where only an edge names the node. A stored node keeps its kind and
+    place and takes the new complexity when a new *symbol* names it again; new nodes follow the stored ones of
+    their file. Edges are appended, so analysing a file twice duplicates its edges -- unless
+    ``replace_files=True``, which first drops the stored nodes and edges of files present in the new batch
+    (idempotent re-runs).
     """
-    stored_nodes, stored_edges = base.nodes, base.edges
+    nodes, edges = base.nodes, base.edges
     if replace_files:
-        new_files = new_symbol_rows.select("repo_id", F.col("path").alias("file")).unionByName(
-            new_edges.select("repo_id", "file")).distinct()
-        stored_nodes = stored_nodes.join(new_files, ["repo_id", "file"], "left_anti")
-        stored_edges = stored_edges.join(new_files, ["repo_id", "file"], "left_anti")
-    seeded = stored_nodes.select(
-        "repo_id", F.col("file").alias("path"),
-        F.struct(F.lit(-1).alias("n"), F.lit(0).alias("sub"), F.lit(0).alias("e"), F.lit(0).alias("i")).alias("pos"),
-        "name", "kind", F.coalesce("complexity", F.lit(1)).alias("complexity"))
-    rows = seeded.unionByName(new_symbol_rows.select(*seeded.columns))
-    nodes = dedupe_nodes(rows)
-    return Graph(nodes, append_edges(stored_edges, new_edges))
+        files = new.nodes.select("repo_id", "file").unionByName(new.edges.select("repo_id", "file")).distinct()
+        nodes = nodes.join(files, ["repo_id", "file"], "left_anti")
+        edges = edges.join(files, ["repo_id", "file"], "left_anti")
+    return Graph(_join_nodes(nodes, new.nodes, True), append_edges(edges, new.edges))
 
 
 def call_endpoints(edges: DataFrame) -> DataFrame:

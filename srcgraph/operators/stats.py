@@ -107,7 +107,7 @@ def classes_per_file(nodes: DataFrame, files: int = 10, per_file: int = 5) -> Da
     in graph order."""
     cls = nodes.where(F.col("kind") == "class")
     wf = Window.partitionBy("repo_id").orderBy("file")
-    wc = Window.partitionBy("repo_id", "file").orderBy("pos", "name")
+    wc = Window.partitionBy("repo_id", "file").orderBy("gen", "pos", "name")
     return (cls.withColumn("file_rank", F.dense_rank().over(wf)).where(F.col("file_rank") <= files)
             .withColumn("class_rank", F.row_number().over(wc)).where(F.col("class_rank") <= per_file)
             .select("repo_id", "file_rank", "file", "class_rank", "name"))
@@ -115,7 +115,7 @@ def classes_per_file(nodes: DataFrame, files: int = 10, per_file: int = 5) -> Da
 
 def cap_nodes(nodes: DataFrame, n: int) -> DataFrame:
     """SRT1: the first ``n`` nodes per repository in graph order (file, then position)."""
-    w = Window.partitionBy("repo_id").orderBy("file", "pos", "name")
+    w = Window.partitionBy("repo_id").orderBy("file", "gen", "pos", "name")
     return nodes.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 

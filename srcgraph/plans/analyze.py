@@ -16,55 +16,11 @@ from ..operators import lines as L
 from ..sources.files import supported_files
 
 
-def line_graph_parts(files: DataFrame):
-    """Symbols, bases, imports of the line parser (shared by several plans)."""
-    win = L.line_windows(L.line_features(L.source_lines(files)))
-    return L.line_symbols(win), L.class_bases(win), L.import_lines(win), win
-
-
 SYM_COLS = ["repo_id", "path", "pos", "name", "kind", "complexity"]
 
 
-def _split_rows(rows: DataFrame):
-    syms = rows.where(F.col("tag") == "sym").select(*SYM_COLS)
-    edges = rows.where(F.col("tag") == "edge").select(
-        "repo_id", F.col("path").alias("file"), "source", "target", "type")
-    return syms, edges
-
-
-def graph_rows(files: DataFrame, mode: str = "line", filter_ext: bool = True):
-    """Symbol rows (before GRF2/GRF3) and edges of ``files``: ``(rows, edges)``.
-
-    ``rows(repo_id, path, pos, name, kind, complexity)`` include the endpoint rows (GRF7).
-    """
-    if filter_ext:
-        files = supported_files(files)
-    if mode == "line":
-        rows = L.line_graph_rows(L.line_windows(L.line_features(L.source_lines(files))))
-        return _split_rows(rows)
-    from ..operators import scoped as S
-    sc = S.scoped_parts(files)
-    calls, bases, imports, syms = sc["calls"], sc["bases"], sc["imports"], sc["symbols"]
-    if mode == "merged":
-        lsym, _ = _split_rows(L.line_graph_rows(L.line_windows(L.line_features(L.source_lines(files)))))
-        cx = (lsym.where(F.col("kind") == "function")
-              .groupBy("repo_id", "path", "name")
-              .agg(F.max_by("complexity", "pos").alias("lcx")))
-        syms = (syms.join(cx, ["repo_id", "path", "name"], "left")
-                .withColumn("complexity", F.when(F.col("kind") == "function", F.coalesce("lcx", "complexity"))
-                            .otherwise(F.col("complexity"))).drop("lcx"))
-        # module nodes of the line parser, after every scoped symbol; they name a node
-        # but never set its complexity
-        mods = (lsym.where(F.col("kind") == "module")
-                .withColumn("pos", F.struct(F.lit(2147483646).alias("n"), F.col("pos.sub"),
-                                            F.col("pos.n").alias("e"), F.col("pos.i")))
-                .withColumn("complexity", F.lit(None).cast("int")))
-        syms = syms.unionByName(mods)
-    elif mode != "scoped":
-        raise ValueError(f"unknown mode {mode!r}")
-    ends = G.endpoint_rows(calls, bases)
-    edges = G.append_edges(G.call_edges(calls), G.inherit_edges(bases), G.import_edges(imports))
-    return syms.unionByName(ends), edges
+def _edges(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("tag") == "edge").select("repo_id", F.col("path").alias("file"), "source", "target", "type")
 
 
 def tagged_rows(files: DataFrame, mode: str = "line", filter_ext: bool = True) -> DataFrame:
@@ -91,7 +47,7 @@ def tagged_rows(files: DataFrame, mode: str = "line", filter_ext: bool = True) -
     return sc.unionByName(lfunc).unionByName(lmod)
 
 
-def dedupe_merged(rows: DataFrame) -> DataFrame:
+def dedupe_merged(rows: DataFrame, default: bool = True) -> DataFrame:
     """GRF2/GRF3 for ``merged`` mode in one hash group-by: kind from the first ``sym`` row;
     the complexity is that of the last ``sym`` row carrying one, where a function takes the
     line parser's (last) complexity of the same ``(file, name)``."""
@@ -102,18 +58,20 @@ def dedupe_merged(rows: DataFrame) -> DataFrame:
                 F.expr("max_by(complexity, pk) FILTER (WHERE tag = 'lfunc')").alias("lcx"),
                 F.expr("max_by(kc, pk) FILTER (WHERE tag = 'sym' AND complexity IS NOT NULL)").alias("last_kc"),
                 F.expr("min(pk) FILTER (WHERE tag = 'sym')").alias("pos")))
-    cx = F.when(F.col("last_kc") == 1, F.coalesce("lcx", F.lit(1))).otherwise(F.lit(1))
+    other = F.lit(1) if default else F.when(F.col("last_kc").isNotNull(), 1)
+    cx = F.when(F.col("last_kc") == 1, F.coalesce("lcx", F.lit(1))).otherwise(other)
     return agg.where(F.col("kc").isNotNull()).select("repo_id", "file", "name", G.kind_name("kc").alias("kind"),
-                                                      cx.alias("complexity"), "pos")
+                                                      cx.alias("complexity"), F.lit(0).alias("gen"), "pos")
 
 
 def build_graph(files: DataFrame, mode: str = "line", filter_ext: bool = True,
-                store: bool = False) -> G.Graph:
+                store: bool = False, default: bool = True) -> G.Graph:
     """Nodes and edges of every repository in ``files(repo_id, path, content)``.
 
     With ``store=True`` the tagged rows are written once (one job into the shared
     checkpoint folder) and nodes and edges are read back from them, so plans that use both
-    never analyse the source text twice.
+    never analyse the source text twice. Without ``default`` a node that only an edge names
+    has a null complexity (what ``merge_graph`` takes).
     """
     rows = tagged_rows(files, mode, filter_ext)
     if store:
@@ -121,17 +79,14 @@ def build_graph(files: DataFrame, mode: str = "line", filter_ext: bool = True,
         # one job analyses the text; rows are split by tag on disk (edges and symbols are
         # then read separately), and the deduplicated nodes are written once as well
         rows = materialize(rows, f"graph_rows_{mode}", partition_by="tag")
-    syms = rows.where(F.col("tag") != "edge")
-    edges = rows.where(F.col("tag") == "edge").select(
-        "repo_id", F.col("path").alias("file"), "source", "target", "type")
-    nodes = dedupe_merged(syms) if mode == "merged" else G.dedupe_nodes(syms.select(*SYM_COLS))
+    syms, edges = rows.where(F.col("tag") != "edge"), _edges(rows)
+    nodes = dedupe_merged(syms, default) if mode == "merged" else G.dedupe_nodes(syms.select(*SYM_COLS), default)
     if store:
         nodes = materialize(nodes, f"graph_nodes_{mode}")
     return G.Graph(nodes, edges)
 
 
 def merge_files(base: G.Graph, new_files: DataFrame, mode: str = "line",
-                replace_files: bool = False) -> G.Graph:
-    """GRF9: analyse ``new_files`` and merge them into the stored graph ``base``."""
-    rows, edges = graph_rows(new_files, mode)
-    return G.merge_graph(base, rows, edges, replace_files=replace_files)
+                replace_files: bool = False, store: bool = False) -> G.Graph:
+    """GRF9: analyse ``new_files`` (once, with ``store``) and merge them into the stored graph ``base``."""
+    return G.merge_graph(base, build_graph(new_files, mode, store=store, default=False), replace_files=replace_files)

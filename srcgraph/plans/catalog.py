@@ -720,9 +720,23 @@ def q_merge_graph(spark, sf):
     return _merged(spark, sf).nodes.select(*G.NODE_COLS)
 
 
+@register("merge_order")
+def q_merge_order(spark, sf):
+    """GRF9: the place of every node in its file after the merge (stored nodes first, in stored order)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("repo_id", "file").orderBy(*G.GRAPH_ORDER[1:])
+    return _merged(spark, sf).nodes.select("repo_id", "file", "name", F.row_number().over(w).alias("place"))
+
+
 @register("graph_union")
 def q_graph_union(spark, sf):
-    return _merged(spark, sf).edges
+    """SET2 on two stored graphs: nodes and edges as one long table."""
+    stored, new = _f6(spark, sf)
+    g = G.graph_union(build_graph(stored, store=True), build_graph(new, store=True))
+    none = F.lit(None).cast("string")
+    return (g.nodes.select("repo_id", "file", F.lit("node").alias("row"), "name", "kind", "complexity", none.alias("source"), none.alias("target"))
+            .unionByName(g.edges.select("repo_id", "file", F.lit("edge").alias("row"), none.alias("name"), F.col("type").alias("kind"),
+                                        F.lit(None).cast("int").alias("complexity"), "source", "target")))
 
 
 @register("stream_merge")

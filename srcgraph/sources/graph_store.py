@@ -20,7 +20,7 @@ def save_graph(g: G.Graph, name: str, path: str | None = None) -> str:
     """SNK1: write ``nodes``/``edges`` under ``path`` (default: the checkpoint folder)."""
     spark = g.nodes.sparkSession
     path = path or scratch_path(spark, f"graphs/{name}-{uuid.uuid4().hex}")
-    g.nodes.select(*G.NODE_COLS, "pos").write.mode("overwrite").parquet(f"{path}/nodes")
+    g.nodes.select(*G.NODE_COLS, "gen", "pos").write.mode("overwrite").parquet(f"{path}/nodes")
     g.edges.select(*G.EDGE_COLS).write.mode("overwrite").parquet(f"{path}/edges")
     return path
 
@@ -28,8 +28,7 @@ def save_graph(g: G.Graph, name: str, path: str | None = None) -> str:
 def load_graph(spark: SparkSession, path: str) -> G.Graph:
     """SRC8: reload; missing text -> ``''``, missing complexity -> 1; first row of a key wins."""
     n = spark.read.parquet(f"{path}/nodes")
-    n = n.select("repo_id", F.coalesce("file", F.lit("")).alias("path"),
+    n = n.select("repo_id", F.coalesce("file", F.lit("")).alias("file"),
                  F.coalesce("name", F.lit("")).alias("name"), F.coalesce("kind", F.lit("")).alias("kind"),
-                 F.coalesce("complexity", F.lit(1)).alias("complexity"), "pos")
-    nodes = G.dedupe_nodes(n)
-    return G.Graph(nodes, spark.read.parquet(f"{path}/edges"))
+                 F.coalesce("complexity", F.lit(1)).alias("complexity"), F.coalesce("gen", F.lit(0)).alias("gen"), "pos")
+    return G.Graph(G.first_rows(n), spark.read.parquet(f"{path}/edges"))

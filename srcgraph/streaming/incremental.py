@@ -1,10 +1,12 @@
 """GRF9 as a stream: source files arrive as parquet files in a folder; each micro-batch is
 analysed and merged into the stored graph (``foreachBatch``).
 
-The stored graph is versioned by batch id: batch ``k`` reads version ``k-1`` and writes
-version ``k`` under the graph folder, so a batch that is retried after a failure rewrites
-the same version from the same input (idempotent), and a reader always sees a complete
-version. The stream checkpoint lives in the shared checkpoint folder.
+The stored graph is versioned. A batch reads the latest complete version and writes the next
+one, whose marker (written last, naming the stream's checkpoint and the batch) makes it
+complete. A batch that is retried after its version was complete finds its own marker and does
+nothing; one that failed before writes the same number again, and readers, who go by markers,
+never see it half done. A stream with a new checkpoint goes on from the latest version. The
+stream checkpoint lives in the shared checkpoint folder.
 """
 from __future__ import annotations
 
@@ -37,14 +39,31 @@ def latest_version(spark: SparkSession, root: str) -> int:
     return best
 
 
-def _write_version(g: G.Graph, root: str, v: int) -> None:
-    spark = g.nodes.sparkSession
+def _marker(spark: SparkSession, root: str, v: int):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(_version_path(root, v), "_COMPLETE")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _marked(spark: SparkSession, root: str, v: int) -> str:
+    """What version ``v``'s marker says: checkpoint and batch that made it."""
+    fs, p = _marker(spark, root, v)
+    f = fs.open(p)
+    try:
+        return f.readUTF()
+    finally:
+        f.close()
+
+
+def _write_version(g: G.Graph, root: str, v: int, made_by: str) -> None:
+    fs, p = _marker(g.nodes.sparkSession, root, v)
+    fs.delete(p, False)  # a version is incomplete from before its first byte changes
     path = _version_path(root, v)
-    g.nodes.select(*G.NODE_COLS, "pos").write.mode("overwrite").parquet(f"{path}/nodes")
+    g.nodes.select(*G.NODE_COLS, "gen", "pos").write.mode("overwrite").parquet(f"{path}/nodes")
     g.edges.select(*G.EDGE_COLS).write.mode("overwrite").parquet(f"{path}/edges")
-    jvm = spark.sparkContext._jvm
-    fp = jvm.org.apache.hadoop.fs.Path(path, "_COMPLETE")
-    fp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(fp, True).close()
+    f = fs.create(p, True)
+    f.writeUTF(made_by)
+    f.close()
 
 
 def read_version(spark: SparkSession, root: str, v: int | None = None) -> G.Graph:
@@ -55,7 +74,17 @@ def read_version(spark: SparkSession, root: str, v: int | None = None) -> G.Grap
 
 def seed_graph(g: G.Graph, root: str) -> None:
     """Store ``g`` as version 0 (the graph the stream starts from)."""
-    _write_version(g, root, 0)
+    _write_version(g, root, 0, "seed")
+
+
+def merge_once(files: DataFrame, root: str, made_by: str, mode: str = "line") -> int:
+    """Merge ``files`` into the latest version unless that version is this very batch's; the version's number."""
+    spark = files.sparkSession
+    v = latest_version(spark, root)
+    if v >= 0 and _marked(spark, root, v) == made_by:
+        return v
+    _write_version(merge_files(read_version(spark, root, v), files, mode=mode, store=True), root, v + 1, made_by)
+    return v + 1
 
 
 def merge_stream(spark: SparkSession, source_dir: str, graph_root: str, checkpoint: str,
@@ -65,9 +94,7 @@ def merge_stream(spark: SparkSession, source_dir: str, graph_root: str, checkpoi
     stream = spark.readStream.schema(SOURCE_FILE_SCHEMA).parquet(source_dir)
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        base = read_version(spark, graph_root, batch_id)
-        merged = merge_files(base, batch, mode=mode)
-        _write_version(merged, graph_root, batch_id + 1)
+        merge_once(batch, graph_root, f"{checkpoint}#{batch_id}", mode)
 
     w = stream.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

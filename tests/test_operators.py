@@ -6,7 +6,7 @@ from srcgraph.functions.urls import validate_repo_url
 from srcgraph.operators import graph as G
 from srcgraph.operators.deps import classify_imports
 from srcgraph.operators.tree import file_tree, tree_lines
-from srcgraph.plans.analyze import build_graph, graph_rows
+from srcgraph.plans.analyze import build_graph, merge_files
 from srcgraph.plans.discovery import discover
 
 
@@ -71,8 +71,7 @@ def test_split_and_merge_equals_one_shot(spark):
     one = build_graph(f.drop("p_partkey"))
     a = f.where(F.col("p_partkey") % 2 == 0).drop("p_partkey")
     b = f.where(F.col("p_partkey") % 2 == 1).drop("p_partkey")
-    rows, edges = graph_rows(b)
-    merged = G.merge_graph(build_graph(a), rows, edges)
+    merged = merge_files(build_graph(a), b)
     key = lambda df: sorted(tuple(r) for r in df.select(*G.NODE_COLS).collect())
     assert key(merged.nodes) == key(one.nodes)
     assert sorted(tuple(r) for r in merged.edges.collect()) == sorted(tuple(r) for r in one.edges.collect())
@@ -179,3 +178,76 @@ def test_unclosed_and_odd_sources(spark):
     assert _scoped(spark, "\n\n") == ([], [], [], [])
     big = "x = [\n" + "".join(f"    'a{i}',  # c\n" for i in range(5000)) + "]\n\"\"\"" + "q\\n" * 20000 + "\"\"\"\ndef f():\n    g()\n"
     assert _scoped(spark, big)[1] == [("f", "g")]
+
+
+NODES = "repo_id string, file string, name string, kind string, complexity int, gen int, pos long"
+
+
+def _nodes(g):
+    from srcgraph.operators.graph import GRAPH_ORDER
+    return [(r.file, r.name, r.kind, r.complexity) for r in g.nodes.orderBy("repo_id", *GRAPH_ORDER).collect()]
+
+
+def test_merge_keeps_stored_order_and_kind(spark):
+    base = build_graph(files_df(spark, {"z.py": "class Z:\n  pass\nclass A:\n  pass\n"}))
+    base = G.Graph(base.nodes.unionByName(spark.createDataFrame([("r", "z.py", "odd", "method", 3, 0, 99)], NODES)), base.edges)
+    merged = merge_files(base, files_df(spark, {"z.py": "class B(Z):\n  pass\ndef odd(x):\n  if x: y\n", "a.py": "import os\n"}))
+    assert _nodes(merged) == [("a.py", "os", "module", 1), ("z.py", "Z", "class", 1), ("z.py", "A", "class", 1), ("z.py", "odd", "method", 2),
+                              ("z.py", "B", "class", 1)]
+
+
+def test_union_and_reload_keep_the_first_row(spark, tmp_path):
+    from srcgraph.sources.graph_store import load_graph
+    none = spark.createDataFrame([], "repo_id string, file string, source string, target string, type string")
+    a = G.Graph(spark.createDataFrame([("r", "f", "x", "function", 2, 0, 1)], NODES), none)
+    b = G.Graph(spark.createDataFrame([("r", "f", "x", "class", 1, 0, 1), ("r", "f", "y", "trait", 5, 0, 0)], NODES), none)
+    assert _nodes(G.graph_union(a, b)) == [("f", "x", "function", 2), ("f", "y", "trait", 5)]
+    rows = [("r", "f", "k", "method", 4, 0, 1), ("r", "f", "k", "class", 9, 0, 2), ("r", "f", None, None, None, 0, 3)]
+    spark.createDataFrame(rows, NODES).write.parquet(str(tmp_path / "nodes"))
+    none.write.parquet(str(tmp_path / "edges"))
+    assert _nodes(load_graph(spark, str(tmp_path))) == [("f", "k", "method", 4), ("f", "", "", 1)]
+
+
+def test_many_items_on_one_line_keep_their_order(spark):
+    calls = "def f():\n    return [" + ", ".join(f"g{i}(1)" for i in range(70_000)) + "]\n    h()\n"
+    g = build_graph(files_df(spark, {"a.py": calls}), mode="scoped")
+    names = [r.name for r in g.nodes.orderBy(*G.GRAPH_ORDER).select("name").collect()]
+    assert names == ["f", *[f"g{i}" for i in range(70_000)], "h"]
+
+
+def test_stream_batches_are_merged_once(spark, tmp_path):
+    from srcgraph.streaming.incremental import latest_version, merge_once, read_version, seed_graph
+    root = str(tmp_path / "g")
+    seed_graph(build_graph(files_df(spark, {"a.py": "import os\n"})), root)
+    one, two = files_df(spark, {"b.py": "import sys\n"}), files_df(spark, {"c.py": "class C(B):\n  pass\n"})
+    assert merge_once(one, root, "s#0") == 1
+    assert merge_once(one, root, "s#0") == 1  # a retry after its version was complete
+    (tmp_path / "g" / "v00000002" / "nodes").mkdir(parents=True)  # what a failed attempt left
+    assert merge_once(two, root, "s#1") == 2 and latest_version(spark, root) == 2
+    g = read_version(spark, root)
+    assert {n[1] for n in _nodes(g)} == {"os", "sys", "C", "B"} and g.edges.count() == 3
+
+
+def test_no_machine_local_checkpoint_on_a_cluster():
+    import pytest
+
+    from srcgraph.session import checkpoint_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session())
