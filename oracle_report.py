@@ -43,8 +43,11 @@ fcls AS (
   CASE WHEN base = '' THEN 'skipped' WHEN done THEN 'analyzed'
        WHEN split_part(module, '.', 1) IN {STD} THEN 'stdlib'
        WHEN starts_with(module, '.') OR starts_with(module, repo_id) OR has_py OR has_init THEN 'internal'
-       ELSE 'external' END AS class
+       ELSE 'external' END AS class, base, has_py, has_init
  FROM fc0),
+fpot AS (
+ SELECT *, CASE WHEN class = 'internal' AND has_py THEN replace(base, '.', '/') || '.py'
+                WHEN class = 'internal' AND has_init THEN replace(base, '.', '/') || '/__init__.py' END AS potential_file FROM fcls),
 flist AS (
  SELECT repo_id, class, string_agg(module, '|' ORDER BY module) AS l FROM (
   SELECT repo_id, class, module, row_number() OVER (PARTITION BY repo_id, class ORDER BY module) AS k FROM fcls)
@@ -59,49 +62,72 @@ def report_oracles() -> dict[str, str]:
     # both graphs hold the re-analysed files with the same nodes, so the union's nodes are those of all files
     o["graph_union"] = O.q("SELECT repo_id, file, 'node' AS row, name, kind, complexity, NULL::VARCHAR AS source, NULL::VARCHAR AS target FROM nodes"
                            " UNION ALL SELECT repo_id, file, 'edge', NULL, type, NULL, source, target FROM mge", MERGE)
-    o["run_summary"] = O.q2(f"""SELECT r.repo_id, 'ok' AS status,
-  coalesce(n.total_symbols, 0) AS symbol_count, coalesce(n.total_symbols, 0) AS total_symbols,
-  coalesce(n.classes, 0) AS classes, coalesce(n.functions, 0) AS functions, coalesce(n.modules, 0) AS modules,
-  coalesce(e.total_edges, 0) AS total_edges, coalesce(e.inheritance_edges, 0) AS inheritance_edges,
-  coalesce(e.call_edges, 0) AS call_edges, coalesce(e.import_edges, 0) AS import_edges,
-  coalesce(c.total_imports, 0) AS total_imports, coalesce(c.ext, 0) AS external_count,
-  coalesce(le.l, '') AS external_dependencies, coalesce(ls.l, '') AS stdlib_imports,
-  coalesce(c.internal, 0) AS unanalyzed_internal_count, coalesce(li.l, '') AS unanalyzed_internal,
-  coalesce(c.internal, 0) = 0 AS discovery_complete,
-  r.discovery_iterations, coalesce(p.n, 0) AS priority_files_count
-FROM (SELECT repo_id, cast(least(max(rnd) + 1, 3) AS integer) AS discovery_iterations FROM r3 GROUP BY repo_id) r
+    fin = lambda body: O.q2(body, O.DISC, FINAL)
+    o["unanalyzed_imports"] = fin("SELECT repo_id, module FROM fpot WHERE class NOT IN ('analyzed', 'skipped')")
+    o["resolve_module_files"] = fin("SELECT repo_id, module, potential_file FROM fpot WHERE potential_file IS NOT NULL")
+    o["stdlib_imports"] = fin("SELECT repo_id, module FROM fpot WHERE class = 'stdlib'")
+    o["internal_imports"] = fin("SELECT repo_id, module, potential_file FROM fpot WHERE class = 'internal'")
+    o["external_imports"] = fin("SELECT repo_id, module FROM fpot WHERE class = 'external'")
+    o["potential_files"] = fin("SELECT DISTINCT repo_id, potential_file AS path FROM fpot WHERE potential_file IS NOT NULL")
+    o["dependency_lists"] = fin("""SELECT repo_id, CASE class WHEN 'internal' THEN 'unanalyzed_internal' WHEN 'external' THEN 'external_dependencies'
+  ELSE 'stdlib_imports' END AS list, module AS item FROM fpot WHERE class IN ('internal', 'external', 'stdlib')
+UNION ALL SELECT DISTINCT repo_id, 'potential_files_to_analyze', potential_file FROM fpot WHERE potential_file IS NOT NULL""")
+    rep = """SELECT repo_id, cast(coalesce(c.total_imports, 0) AS bigint) AS total_imports, cast(coalesce(am.n, 0) AS bigint) AS analyzed_modules,
+  cast(coalesce(c.internal, 0) AS bigint) AS unanalyzed_internal, cast(coalesce(c.ext, 0) AS bigint) AS external_dependencies,
+  cast(coalesce(c.std, 0) AS bigint) AS stdlib_imports, cast(coalesce(c.pot, 0) AS bigint) AS potential_files_to_analyze,
+  coalesce(c.internal, 0) = 0 AS discovery_complete
+FROM (SELECT repo_id, count(*) AS total_imports, count(*) FILTER (WHERE class = 'internal') AS internal, count(*) FILTER (WHERE class = 'external') AS ext,
+   count(*) FILTER (WHERE class = 'stdlib') AS std, count(DISTINCT potential_file) AS pot FROM fpot GROUP BY repo_id) c
+FULL JOIN (SELECT repo_id, count(*) AS n FROM famod GROUP BY repo_id) am USING (repo_id)"""
+    o["dependency_report"] = fin(rep)
+    o["discovery_complete"] = fin("SELECT repo_id, discovery_complete FROM (" + rep + ")")
+    o["cap_import_lists"] = fin("""SELECT repo_id, coalesce(max(l) FILTER (WHERE class = 'external'), '') AS first_external,
+  coalesce(max(l) FILTER (WHERE class = 'stdlib'), '') AS first_stdlib FROM flist WHERE class IN ('external', 'stdlib') GROUP BY repo_id""")
+    o["run_summary"] = fin("""SELECT q.repo_id, CASE WHEN ok THEN 'ok' ELSE 'error' END AS status, CASE WHEN NOT ok THEN 'invalid_url' END AS error_code,
+  CASE WHEN NOT ok THEN 'Unsupported host: example.org. Supported: github.com, gitlab.com, bitbucket.org' END AS message,
+  CASE WHEN ok THEN coalesce(n.total_symbols, 0) END AS symbol_count, CASE WHEN ok THEN coalesce(n.total_symbols, 0) END AS total_symbols,
+  CASE WHEN ok THEN coalesce(n.classes, 0) END AS classes, CASE WHEN ok THEN coalesce(n.functions, 0) END AS functions,
+  CASE WHEN ok THEN coalesce(n.modules, 0) END AS modules, CASE WHEN ok THEN coalesce(e.total_edges, 0) END AS total_edges,
+  CASE WHEN ok THEN coalesce(e.inheritance_edges, 0) END AS inheritance_edges, CASE WHEN ok THEN coalesce(e.call_edges, 0) END AS call_edges,
+  CASE WHEN ok THEN coalesce(e.import_edges, 0) END AS import_edges, CASE WHEN ok THEN coalesce(c.total_imports, 0) END AS total_imports,
+  CASE WHEN ok THEN coalesce(c.ext, 0) END AS external_count, CASE WHEN ok THEN coalesce(le.l, '') END AS external_dependencies,
+  CASE WHEN ok THEN coalesce(ls.l, '') END AS stdlib_imports, CASE WHEN ok THEN coalesce(c.internal, 0) END AS unanalyzed_internal_count,
+  CASE WHEN ok THEN coalesce(c.internal, 0) = 0 END AS discovery_complete, CASE WHEN ok THEN r.discovery_iterations END AS discovery_iterations,
+  CASE WHEN ok THEN coalesce(p.n, 0) END AS priority_files_count
+FROM (SELECT DISTINCT repo_id, k % 7 <> 0 AS ok FROM f3r) q
+LEFT JOIN (SELECT repo_id, cast(least(max(rnd) + 1, 3) AS integer) AS discovery_iterations FROM r3 GROUP BY repo_id) r ON q.repo_id = r.repo_id
 LEFT JOIN (SELECT repo_id, count(*) AS total_symbols, count(*) FILTER (WHERE kind = 'class') AS classes,
    count(*) FILTER (WHERE kind = 'function') AS functions, count(*) FILTER (WHERE kind = 'module') AS modules
-   FROM fnodes GROUP BY repo_id) n ON r.repo_id = n.repo_id
+   FROM fnodes GROUP BY repo_id) n ON q.repo_id = n.repo_id
 LEFT JOIN (SELECT repo_id, count(*) AS total_edges, count(*) FILTER (WHERE type = 'inherits') AS inheritance_edges,
    count(*) FILTER (WHERE type = 'calls') AS call_edges, count(*) FILTER (WHERE type = 'imports') AS import_edges
-   FROM fedges GROUP BY repo_id) e ON r.repo_id = e.repo_id
+   FROM fedges GROUP BY repo_id) e ON q.repo_id = e.repo_id
 LEFT JOIN (SELECT repo_id, count(*) AS total_imports, count(*) FILTER (WHERE class = 'external') AS ext,
-   count(*) FILTER (WHERE class = 'internal') AS internal FROM fcls GROUP BY repo_id) c ON r.repo_id = c.repo_id
-LEFT JOIN (SELECT * FROM flist WHERE class = 'external') le ON r.repo_id = le.repo_id
-LEFT JOIN (SELECT * FROM flist WHERE class = 'stdlib') ls ON r.repo_id = ls.repo_id
-LEFT JOIN (SELECT * FROM flist WHERE class = 'internal') li ON r.repo_id = li.repo_id
-LEFT JOIN (SELECT repo_id, count(*) AS n FROM ep GROUP BY repo_id) p ON r.repo_id = p.repo_id""", O.DISC, FINAL)
+   count(*) FILTER (WHERE class = 'internal') AS internal FROM fcls GROUP BY repo_id) c ON q.repo_id = c.repo_id
+LEFT JOIN (SELECT * FROM flist WHERE class = 'external') le ON q.repo_id = le.repo_id
+LEFT JOIN (SELECT * FROM flist WHERE class = 'stdlib') ls ON q.repo_id = ls.repo_id
+LEFT JOIN (SELECT repo_id, count(*) AS n FROM ep GROUP BY repo_id) p ON q.repo_id = p.repo_id""")
     return o
 
 
 REPOS = """rp0 AS (
  SELECT DISTINCT lower(replace(p_brand, '#', '')) AS repo_id, cast(replace(p_brand, 'Brand#', '') AS int) AS k FROM part),
-rp AS (
+rpall AS (
  SELECT repo_id, k, CASE WHEN k % 7 = 0 THEN 'https://example.org/' || repo_id
                          ELSE 'https://github.com/srcgraph-fixtures/' || repo_id END AS repo_url FROM rp0),
+rp AS (SELECT * FROM rpall WHERE k % 7 <> 0),
 rpick AS (
  SELECT repo_id, arg_min(path, CASE path WHEN 'README.md' THEN 1 WHEN 'README.rst' THEN 2 ELSE 3 END) AS readme
  FROM tree WHERE path IN ('README.md', 'README.rst', 'README.txt') GROUP BY repo_id),
 rdocs AS (SELECT source, arg_min(text, doc_id) AS text FROM documents GROUP BY source),
 rtext AS (
- SELECT p.repo_id, coalesce(d.text, '') AS text FROM rpick p JOIN rp r ON p.repo_id = r.repo_id
+ SELECT p.repo_id, coalesce(d.text, '') AS text FROM rpick p JOIN rpall r ON p.repo_id = r.repo_id
  LEFT JOIN rdocs d ON d.source = 'src' || cast(r.k % 20 AS varchar)),
 rsum AS (
  SELECT r.repo_id, r.repo_url, t.text,
   CASE WHEN t.text IS NULL OR t.text = '' THEN 'No README content found.'
        ELSE substring(c, 1, 500) || CASE WHEN length(c) > 500 THEN '...' ELSE '' END END AS summary
- FROM rp r LEFT JOIN (SELECT repo_id, text, regexp_replace(regexp_replace(text, '^{ws}+|{ws}+$', '', 'g'), '{ws}+', ' ', 'g') AS c
+ FROM rpall r LEFT JOIN (SELECT repo_id, text, regexp_replace(regexp_replace(text, '^{ws}+|{ws}+$', '', 'g'), '{ws}+', ' ', 'g') AS c
                       FROM rtext) t ON r.repo_id = t.repo_id),
 rpm AS (
  SELECT repo_id, CASE WHEN bool_or(path = 'requirements.txt') THEN 'requirements' WHEN bool_or(path = 'setup.py') THEN 'setup'
@@ -123,6 +149,7 @@ def text_oracles() -> dict[str, str]:
     class Q:
         @staticmethod
         def q2(body, *extra):
+            body = f"SELECT * FROM ({body}) WHERE repo_id IN (SELECT repo_id FROM rp)"
             bodies.append(body)
             return O.q2(body, *extra)
     name = "replace(string_split(regexp_replace(r.repo_url, '/+$', ''), '/')[-1], '.git', '')"
@@ -244,7 +271,7 @@ hs AS (
      AND (repo_id, replace(source, ':', '_COLON_')) IN (SELECT repo_id, key FROM ckept)
      AND (repo_id, replace(target, ':', '_COLON_')) IN (SELECT repo_id, key FROM ckept) GROUP BY repo_id) e
   ON n.repo_id = e.repo_id AND n.diagram = e.diagram"""
-    bodies.append(diagram_body)
+    bodies.append(f"SELECT * FROM ({diagram_body}) WHERE repo_id IN (SELECT repo_id FROM rp)")
     union = " UNION ALL ".join(f"SELECT repo_id, text FROM ({b})" for b in bodies)
     o["write_markdown"] = O.q2(f"SELECT repo_id, unnest(string_split(text, chr(10))) AS text FROM ({union})",
                                REPOS, OS.SCOPED, """ent AS (SELECT DISTINCT repo_id FROM mnodes WHERE kind = 'module'

@@ -192,4 +192,15 @@ SELECT repo_id, path, v.n::INTEGER AS n, v.what AS what, v.a AS a, v.b AS b FROM
         "SELECT repo_id, diagram, key, label, shape, style, fillcolor FROM ccgnodes"
         " UNION ALL SELECT repo_id, diagram, key, label, shape, style, fillcolor FROM chnodes"
         " UNION ALL SELECT repo_id, diagram, key, label, shape, style, fillcolor FROM cnodes")
+    o["diagram_edges"] = w(
+        "SELECT e.repo_id, 'ccg' AS diagram, replace(e.source, ':', '_COLON_') AS source, replace(e.target, ':', '_COLON_') AS target,"
+        " e.type AS label, CASE e.type WHEN 'inherits' THEN 'blue' WHEN 'calls' THEN 'green' END AS color,"
+        " CASE e.type WHEN 'inherits' THEN 'dashed' END AS style FROM medges e"
+        " WHERE (e.repo_id, e.source) IN (SELECT repo_id, file || ':' || name FROM cap40)"
+        " AND (e.repo_id, e.target) IN (SELECT repo_id, file || ':' || name FROM cap40)"
+        " UNION ALL SELECT repo_id, 'class_hierarchy', source, target, 'inherits', 'blue', 'bold' FROM medges WHERE type = 'inherits'"
+        " AND (repo_id, source) IN (SELECT repo_id, key FROM chnodes) AND (repo_id, target) IN (SELECT repo_id, key FROM chnodes)"
+        " UNION ALL SELECT repo_id, 'call_graph', source, target, NULL, 'green', NULL FROM (SELECT repo_id, replace(source, ':', '_COLON_') AS source,"
+        " replace(target, ':', '_COLON_') AS target FROM medges WHERE type = 'calls') c"
+        " WHERE (repo_id, source) IN (SELECT repo_id, key FROM ckept) AND (repo_id, target) IN (SELECT repo_id, key FROM ckept)")
     return o

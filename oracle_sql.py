@@ -315,42 +315,13 @@ JOIN f5 e ON e.type = p.type AND contains(e.target, p.pattern)"""
     o["candidate_paths"] = q(
         f"SELECT repo_id, module, replace(ltrim(module, '.'), '.', '/') || '.py' AS cand_py,"
         f" replace(ltrim(module, '.'), '.', '/') || '/__init__.py' AS cand_init FROM {di} WHERE ltrim(module, '.') <> ''")
-    o["unanalyzed_imports"] = q2("SELECT repo_id, module FROM cls WHERE class NOT IN ('analyzed', 'skipped')")
-    o["resolve_module_files"] = q2("SELECT repo_id, module, potential_file FROM cls WHERE potential_file IS NOT NULL")
-    o["stdlib_imports"] = q2("SELECT repo_id, module FROM cls WHERE class = 'stdlib'")
-    o["internal_imports"] = q2("SELECT repo_id, module, potential_file FROM cls WHERE class = 'internal'")
-    o["external_imports"] = q2("SELECT repo_id, module FROM cls WHERE class = 'external'")
-    o["potential_files"] = q2("SELECT DISTINCT repo_id, potential_file AS path FROM cls WHERE potential_file IS NOT NULL")
-    rep = """SELECT r.repo_id,
-  cast(coalesce(c.total_imports, 0) AS bigint) AS total_imports,
-  cast(coalesce(am.n, 0) AS bigint) AS analyzed_modules,
-  cast(coalesce(c.unanalyzed_internal, 0) AS bigint) AS unanalyzed_internal,
-  cast(coalesce(c.external_dependencies, 0) AS bigint) AS external_dependencies,
-  cast(coalesce(c.stdlib_imports, 0) AS bigint) AS stdlib_imports,
-  cast(coalesce(c.potential_files_to_analyze, 0) AS bigint) AS potential_files_to_analyze,
-  coalesce(c.unanalyzed_internal, 0) = 0 AS discovery_complete,
-  coalesce(fi.l, '') AS first_internal, coalesce(fe.l, '') AS first_external, coalesce(fs.l, '') AS first_stdlib
-FROM (SELECT repo_id FROM snodes UNION SELECT repo_id FROM cls) r
-LEFT JOIN (SELECT repo_id, count(*) AS total_imports, count(*) FILTER (WHERE class = 'internal') AS unanalyzed_internal,
-   count(*) FILTER (WHERE class = 'external') AS external_dependencies, count(*) FILTER (WHERE class = 'stdlib') AS stdlib_imports,
-   count(DISTINCT potential_file) AS potential_files_to_analyze FROM cls GROUP BY repo_id) c ON r.repo_id = c.repo_id
-LEFT JOIN (SELECT repo_id, count(*) AS n FROM amod GROUP BY repo_id) am ON r.repo_id = am.repo_id
-LEFT JOIN (SELECT repo_id, string_agg(module, '|' ORDER BY module) AS l FROM (SELECT repo_id, module,
-   row_number() OVER (PARTITION BY repo_id ORDER BY module) AS k FROM cls WHERE class = 'internal') WHERE k <= 20 GROUP BY repo_id) fi ON r.repo_id = fi.repo_id
-LEFT JOIN (SELECT repo_id, string_agg(module, '|' ORDER BY module) AS l FROM (SELECT repo_id, module,
-   row_number() OVER (PARTITION BY repo_id ORDER BY module) AS k FROM cls WHERE class = 'external') WHERE k <= 20 GROUP BY repo_id) fe ON r.repo_id = fe.repo_id
-LEFT JOIN (SELECT repo_id, string_agg(module, '|' ORDER BY module) AS l FROM (SELECT repo_id, module,
-   row_number() OVER (PARTITION BY repo_id ORDER BY module) AS k FROM cls WHERE class = 'stdlib') WHERE k <= 20 GROUP BY repo_id) fs ON r.repo_id = fs.repo_id"""
-    o["dependency_report"] = q2(rep)
-    o["discovery_complete"] = q2("SELECT repo_id, discovery_complete FROM (" + rep + ")")
-    o["cap_import_lists"] = q2("SELECT repo_id, first_external, first_stdlib FROM (" + rep + ")")
     o["discover_modules"] = q2("SELECT repo_id, path, rnd AS round FROM r3", DISC)
     o["discovery_rounds"] = q2(
         "SELECT repo_id, cast(least(max(rnd) + 1, 3) AS integer) AS discovery_rounds, count(*) AS files_reached"
         " FROM r3 GROUP BY repo_id", DISC)
     o["seed_choice"] = q2("SELECT repo_id, bool_or(from_entry) AS seeded_with_entry_points, count(*) AS seed_files"
                           " FROM seed GROUP BY repo_id")
-    o["new_files_only"] = q2("SELECT repo_id, path FROM fr1", DISC)
+    o["new_files_only"] = q2("SELECT repo_id, path, rnd AS round FROM r3 WHERE rnd >= 1", DISC)
     o["analyzed_update"] = q2("SELECT repo_id, path FROM r3", DISC)
     return o
 
@@ -435,7 +406,8 @@ SELECT doc_id, repo_id, CASE WHEN text IS NULL OR text = '' THEN 'No README cont
         f"SELECT c.repo_id, c.path, length(c.content) AS chars FROM checkout c WHERE {py} "
         "AND (c.repo_id, c.path) IN (SELECT repo_id, path FROM ep)", chk)
     o["extension_filter"] = q2(f"SELECT repo_id, path FROM f3 WHERE {py}")
-    o["graph_to_json"] = q("SELECT repo_id, to_json({'file': file, 'name': name, 'kind': kind, 'complexity': complexity}) AS json FROM nodes")
+    o["graph_to_json"] = q("SELECT repo_id, 'node' AS list, to_json({'file': file, 'name': name, 'kind': kind, 'complexity': complexity})::VARCHAR AS json FROM nodes"
+                           " UNION ALL SELECT repo_id, 'edge', to_json({'source': source, 'target': target, 'type': type})::VARCHAR FROM edges")
     o["load_base_graph"] = q("SELECT repo_id, file, name, kind, complexity FROM nodes")
     o["complexity_band"] = q(
         "SELECT repo_id, file, name, complexity, CASE WHEN complexity > 10 THEN 'red' WHEN complexity > 5 THEN 'yellow'"

@@ -72,7 +72,8 @@ def classify_imports(edges: DataFrame, nodes: DataFrame, all_paths: DataFrame,
     has_py = F.coalesce("has_py", F.lit(False))
     has_init = F.coalesce("has_init", F.lit(False))
     root = F.split_part(F.col("module"), F.lit("."), F.lit(1))
-    internal = (F.col("module").startswith(".") | F.col("module").startswith(F.col("repo_name")) | has_py | has_init)
+    named = F.coalesce(F.col("module").startswith(F.col("repo_name")), F.lit(False))
+    internal = F.col("module").startswith(".") | named | has_py | has_init
     cls = (F.when(F.col("base") == "", "skipped")
            .when(F.coalesce("hit_b", F.lit(False)) | F.coalesce("hit_m", F.lit(False)), "analyzed")
            .when(root.isin(*STDLIB_MODULES), "stdlib")
@@ -88,9 +89,19 @@ def potential_files(classes: DataFrame) -> DataFrame:
             .select("repo_id", F.col("potential_file").alias("path")).distinct())
 
 
-def first_sorted_lists(classes: DataFrame, names=("internal", "external", "stdlib"),
+def dependency_lists(classes: DataFrame) -> DataFrame:
+    """AGG7: the complete lists as rows ``(repo_id, list, item)``: ``unanalyzed_internal``,
+    ``external_dependencies``, ``stdlib_imports`` and ``potential_files_to_analyze``. Nothing is cut."""
+    names = F.create_map(*[F.lit(x) for x in ("internal", "unanalyzed_internal", "external", "external_dependencies",
+                                              "stdlib", "stdlib_imports")])
+    mods = classes.select("repo_id", names[F.col("class")].alias("list"), F.col("module").alias("item")).where(F.col("list").isNotNull())
+    files = potential_files(classes).select("repo_id", F.lit("potential_files_to_analyze").alias("list"), F.col("path").alias("item"))
+    return mods.unionByName(files)
+
+
+def first_sorted_lists(classes: DataFrame, names=("external", "stdlib"),
                        n: int = SUMMARY_LIST_LEN) -> DataFrame:
-    """SRT4: per repository the first ``n`` sorted modules of each class, as ``a|b|c``.
+    """SRT4: per repository the first ``n`` sorted modules of the classes that a run result cuts, as ``a|b|c``.
 
     ``row_number() <= n`` per ``(repo_id, class)`` is planned as a window group limit (also
     applied before the exchange), so at most ``n`` rows per group reach the final step.
@@ -104,12 +115,8 @@ def first_sorted_lists(classes: DataFrame, names=("internal", "external", "stdli
         for c in names])
 
 
-def dependency_report(classes: DataFrame, nodes: DataFrame, list_len: int = SUMMARY_LIST_LEN) -> DataFrame:
-    """AGG7 + AGG8: one row per repository with the counts of every outcome.
-
-    The complete lists are the rows of ``classes`` (a long table, never one array per
-    repository). The row carries the first ``list_len`` sorted names of each list.
-    """
+def dependency_report(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """AGG7 + AGG8: one row per repository with the size of every list of ``dependency_lists``."""
     c = F.col("class")
     counts = classes.groupBy("repo_id").agg(
         F.count(F.lit(1)).cast("long").alias("total_imports"),
@@ -118,12 +125,8 @@ def dependency_report(classes: DataFrame, nodes: DataFrame, list_len: int = SUMM
         F.count_if(c == "stdlib").cast("long").alias("stdlib_imports"),
         F.count_distinct("potential_file").cast("long").alias("potential_files_to_analyze"))
     amods = analyzed_module_names(nodes).groupBy("repo_id").agg(F.count(F.lit(1)).cast("long").alias("analyzed_modules"))
-    repos = nodes.select("repo_id").unionByName(classes.select("repo_id")).distinct()
-    out = (repos.join(counts, "repo_id", "left").join(amods, "repo_id", "left")
-           .join(first_sorted_lists(classes, n=list_len), "repo_id", "left"))
     cols = ["total_imports", "analyzed_modules", "unanalyzed_internal", "external_dependencies",
             "stdlib_imports", "potential_files_to_analyze"]
-    return out.select("repo_id", *[F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x) for x in cols],
-                      (F.coalesce(F.col("unanalyzed_internal"), F.lit(0)) == 0).alias("discovery_complete"),
-                      *[F.coalesce(F.col(f"first_{n}"), F.lit("")).alias(f"first_{n}") for n in
-                        ["internal", "external", "stdlib"]])
+    return counts.join(amods, "repo_id", "full").select(
+        "repo_id", *[F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x) for x in cols],
+        (F.coalesce(F.col("unanalyzed_internal"), F.lit(0)) == 0).alias("discovery_complete"))

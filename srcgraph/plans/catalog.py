@@ -288,18 +288,30 @@ def q_first_n_rows(spark, sf):
 
 # ---- imports and dependencies (COL7-COL10, JOIN5, JOIN6, IMP1-IMP4, AGG7, AGG8) ---------
 
-def _seed_graph(spark, sf):
-    """Graph of the seed files (entry points, else everything): the first classification."""
-    from .discovery import seed_files
-    files = _f1(spark, sf)
-    seeds = seed_files(files, _f3(spark, sf)).select("repo_id", "path")
-    return build_graph(files.join(seeds, ["repo_id", "path"], "left_semi"))
+_DISCOVERIES: dict = {}
+
+
+def _discovery(spark, sf):
+    """Discovery over F1 (its tables are written), once per application."""
+    from .discovery import discover
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _DISCOVERIES:
+        _DISCOVERIES[key] = discover(_f1(spark, sf), _f3(spark, sf))
+    return _DISCOVERIES[key]
+
+
+def _repo_names(spark, sf):
+    """COL4: ``(repo_id, repo_name)`` from the accepted URLs."""
+    from ..functions.paths import repo_name_from_url
+    from .report import accepted
+    return accepted(FX.repos(spark, sf)).select("repo_id", repo_name_from_url("repo_url").alias("repo_name"))
 
 
 def _classes(spark, sf):
+    """Imports of the final graph, classified."""
     from ..operators.deps import classify_imports
-    g = _seed_graph(spark, sf)
-    return classify_imports(g.edges, g.nodes, _f3(spark, sf))
+    g = _discovery(spark, sf).graph
+    return classify_imports(g.edges, g.nodes, _f3(spark, sf), _repo_names(spark, sf))
 
 
 @register("module_name_of_file")
@@ -363,9 +375,14 @@ def q_potential_files(spark, sf):
 
 @register("dependency_report")
 def q_dependency_report(spark, sf):
-    from ..operators.deps import classify_imports, dependency_report
-    g = _seed_graph(spark, sf)
-    return dependency_report(classify_imports(g.edges, g.nodes, _f3(spark, sf)), g.nodes)
+    from ..operators.deps import dependency_report
+    return dependency_report(_classes(spark, sf), _discovery(spark, sf).graph.nodes)
+
+
+@register("dependency_lists")
+def q_dependency_lists(spark, sf):
+    from ..operators.deps import dependency_lists
+    return dependency_lists(_classes(spark, sf))
 
 
 @register("discovery_complete")
@@ -375,16 +392,12 @@ def q_discovery_complete(spark, sf):
 
 @register("cap_import_lists")
 def q_cap_import_lists(spark, sf):
-    return q_dependency_report(spark, sf).select("repo_id", "first_external", "first_stdlib")
+    from ..operators.deps import first_sorted_lists
+    return first_sorted_lists(_classes(spark, sf))
 
 
 # ---- discovery loop (ITR1-ITR3, JOIN9, SET3) --------------------------------------------
 
-def _discovery(spark, sf):
-    from .discovery import discover
-    return discover(_f1(spark, sf), _f3(spark, sf))
-
-
 @register("discover_modules")
 def q_discover_modules(spark, sf):
     return _discovery(spark, sf).reached.select("repo_id", "path", "round")
@@ -405,7 +418,7 @@ def q_seed_choice(spark, sf):
 
 @register("new_files_only")
 def q_new_files_only(spark, sf):
-    return _discovery(spark, sf).reached.where(F.col("round") == 1).select("repo_id", "path")
+    return _discovery(spark, sf).reached.where(F.col("round") >= 1).select("repo_id", "path", "round")
 
 
 @register("analyzed_update")
@@ -519,9 +532,10 @@ def q_decode_tolerant(spark, sf):
 
 @register("graph_to_json")
 def q_graph_to_json(spark, sf):
-    """SNK1: one JSON object per node (the node list of the serialised graph)."""
-    n = _graph(spark, sf).nodes
-    return n.select("repo_id", F.to_json(F.struct("file", "name", "kind", "complexity")).alias("json"))
+    """SNK1: one JSON object per node and per edge (both lists of the serialised graph)."""
+    g = _graph(spark, sf)
+    return (g.nodes.select("repo_id", F.lit("node").alias("list"), F.to_json(F.struct("file", "name", "kind", "complexity")).alias("json"))
+            .unionByName(g.edges.select("repo_id", F.lit("edge").alias("list"), F.to_json(F.struct("source", "target", "type")).alias("json"))))
 
 
 @register("load_base_graph")
@@ -701,6 +715,14 @@ def q_diagram_tables(spark, sf):
     return diagram_tables(g.nodes, g.edges)[0]
 
 
+@register("diagram_edges")
+def q_diagram_edges(spark, sf):
+    """RPT7: the edge tables of the diagrams."""
+    from ..operators.diagrams import diagram_tables
+    g = _graph(spark, sf, "merged")
+    return diagram_tables(g.nodes, g.edges)[1]
+
+
 # ---- incremental merge (GRF9, SET2, streaming) ------------------------------------------
 
 def _f6(spark, sf):
@@ -771,38 +793,38 @@ def _report_inputs(spark, sf):
 
 @register("report_overview")
 def q_report_overview(spark, sf):
-    from .report import report_overview
-    return report_overview(_report_inputs(spark, sf))
+    from .report import accepted_inputs, report_overview
+    return report_overview(accepted_inputs(_report_inputs(spark, sf)))
 
 
 @register("report_installation")
 def q_report_installation(spark, sf):
-    from .report import report_installation
-    return report_installation(_report_inputs(spark, sf))
+    from .report import accepted_inputs, report_installation
+    return report_installation(accepted_inputs(_report_inputs(spark, sf)))
 
 
 @register("report_usage")
 def q_report_usage(spark, sf):
-    from .report import report_usage
-    return report_usage(_report_inputs(spark, sf))
+    from .report import accepted_inputs, report_usage
+    return report_usage(accepted_inputs(_report_inputs(spark, sf)))
 
 
 @register("report_architecture")
 def q_report_architecture(spark, sf):
-    from .report import report_architecture
-    return report_architecture(_report_inputs(spark, sf))
+    from .report import accepted_inputs, report_architecture
+    return report_architecture(accepted_inputs(_report_inputs(spark, sf)))
 
 
 @register("report_api")
 def q_report_api(spark, sf):
-    from .report import report_api
-    return report_api(_report_inputs(spark, sf))
+    from .report import accepted_inputs, report_api
+    return report_api(accepted_inputs(_report_inputs(spark, sf)))
 
 
 @register("report_structure")
 def q_report_structure(spark, sf):
-    from .report import report_structure
-    return report_structure(_report_inputs(spark, sf))
+    from .report import accepted_inputs, report_structure
+    return report_structure(accepted_inputs(_report_inputs(spark, sf)))
 
 
 @register("write_markdown")
@@ -826,13 +848,19 @@ def q_report_join(spark, sf):
 
 @register("run_summary")
 def q_run_summary(spark, sf):
-    """SNK3: the result row of a full run (discovery, final classification, statistics)."""
+    """SNK3: the result row of every requested run: error rows for refused URLs, else discovery over the
+    accepted repositories' files, final classification and statistics."""
     from ..operators.deps import classify_imports
     from ..operators.tree import entry_point_count
-    from .report import run_summary
-    d = _discovery(spark, sf)
-    classes = classify_imports(d.graph.edges, d.graph.nodes, _f3(spark, sf))
-    return run_summary(d.rounds, d.graph, classes, entry_point_count(_tree(spark, sf)))
+    from .discovery import discover
+    from .report import accepted, run_summary
+    repos = FX.repos(spark, sf)
+    ids = accepted(repos).select("repo_id")
+    only = lambda df: df.join(ids, "repo_id", "left_semi")
+    paths = only(_f3(spark, sf))
+    d = discover(only(_f1(spark, sf)), paths)
+    classes = classify_imports(d.graph.edges, d.graph.nodes, paths, _repo_names(spark, sf))
+    return run_summary(repos, d.rounds, d.graph, classes, entry_point_count(_tree(spark, sf)))
 
 
 @register("scan_directory")

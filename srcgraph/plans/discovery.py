@@ -106,10 +106,11 @@ def discover(files: DataFrame, all_paths: DataFrame | None = None,
         reached = _checkpoint(reached.unionByName(new))
         frontier = new
     per_repo = reached.groupBy("repo_id").agg(F.max("round").alias("last"), F.count(F.lit(1)).alias("files_reached"))
-    rounds = (per_repo.join(from_entry, "repo_id", "left").select(
+    # every repository has a row: one without a seed makes one pass that finds nothing
+    rounds = (all_paths.select("repo_id").distinct().join(per_repo, "repo_id", "left").join(from_entry, "repo_id", "left").select(
         "repo_id", F.coalesce("seeded_with_entry_points", F.lit(False)).alias("seeded_with_entry_points"),
-        F.least(F.col("last") + 1, F.lit(max_rounds)).cast("int").alias("discovery_rounds"),
-        F.col("files_reached").cast("long").alias("files_reached")))
+        F.least(F.coalesce("last", F.lit(0)) + 1, F.lit(max_rounds)).cast("int").alias("discovery_rounds"),
+        F.coalesce("files_reached", F.lit(0)).cast("long").alias("files_reached")))
     rg = G.Graph(g.nodes.join(reached.select("repo_id", F.col("path").alias("file")), ["repo_id", "file"], "left_semi"),
                  g.edges.join(reached.select("repo_id", F.col("path").alias("file")), ["repo_id", "file"], "left_semi"))
     return Discovery(reached, rounds, rg)

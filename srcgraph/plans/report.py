@@ -33,6 +33,21 @@ class ReportInputs:
     readmes: DataFrame      # (repo_id, text) of the picked README; missing -> no README
 
 
+def accepted(repos: DataFrame) -> DataFrame:
+    """``(repo_id, repo_url)`` of the repositories whose URL passes the check, with the normalised URL."""
+    from ..functions.urls import validate_repo_url
+    v = repos.select("repo_id", validate_repo_url("repo_url").alias("v"))
+    return v.where("v.valid").select("repo_id", F.col("v.normalized_url").alias("repo_url"))
+
+
+def accepted_inputs(inp: ReportInputs) -> ReportInputs:
+    """What the sections are made from: a refused URL ends a run before anything is written for it."""
+    repos = accepted(inp.repos)
+    ids = repos.select("repo_id")
+    only = lambda df: df.join(ids, "repo_id", "left_semi")
+    return ReportInputs(repos, Graph(only(inp.graph.nodes), only(inp.graph.edges)), only(inp.tree), inp.readmes)
+
+
 def _rows(df: DataFrame, section: int, sub, key, text) -> DataFrame:
     c = lambda x: F.lit(x) if isinstance(x, (int, str)) else x
     return df.select("repo_id", F.lit(section).alias("section"), c(sub).cast("int").alias("sub"),
@@ -178,7 +193,8 @@ def report_structure(inp: ReportInputs) -> DataFrame:
 
 
 def report_rows(inp: ReportInputs) -> DataFrame:
-    """All sections of all repositories."""
+    """All sections of all repositories whose URL is accepted."""
+    inp = accepted_inputs(inp)
     parts = [report_overview(inp), report_installation(inp), report_usage(inp), report_architecture(inp),
              report_diagrams(inp), report_api(inp), report_structure(inp)]
     out = parts[0]
@@ -194,31 +210,40 @@ def write_markdown(rows: DataFrame, out_dir: str) -> None:
      .write.mode("overwrite").partitionBy("repo_id").text(out_dir))
 
 
-def run_summary(rounds: DataFrame, graph: Graph, classes: DataFrame, entry_counts: DataFrame,
+def run_summary(repos: DataFrame, rounds: DataFrame, graph: Graph, classes: DataFrame, entry_counts: DataFrame,
                 summaries: DataFrame | None = None) -> DataFrame:
-    """SNK3: one result row per repository (status, counts, bounded lists, passes)."""
-    from ..operators.deps import dependency_report
+    """SNK3: one result row per repository of ``repos(repo_id, repo_url)``, whatever became of its run.
+
+    ``status`` is ``ok`` or ``error``; ``error_code`` is ``invalid_url`` (with the check's message) or
+    ``repo_map_failed`` (an accepted URL without any file, so without a row in ``rounds``). The other columns
+    of an error row are null. External and standard-library modules are cut to twenty; the complete lists are
+    the rows of ``deps.dependency_lists``.
+    """
+    from ..functions.urls import validate_repo_url
+    from ..operators.deps import dependency_report, first_sorted_lists
+    v = repos.select("repo_id", validate_repo_url("repo_url").alias("v"))
     st = S.graph_stats(graph.nodes, graph.edges)
-    dep = dependency_report(classes, graph.nodes)
-    r = (rounds.select("repo_id", "discovery_rounds")
-         .join(entry_counts, "repo_id", "left")
-         .join(st, "repo_id", "left").join(dep, "repo_id", "left"))
+    r = (v.join(rounds.select("repo_id", "discovery_rounds"), "repo_id", "left").join(entry_counts, "repo_id", "left")
+         .join(st, "repo_id", "left").join(dependency_report(classes, graph.nodes), "repo_id", "left")
+         .join(first_sorted_lists(classes), "repo_id", "left"))
     if summaries is not None:
         r = r.join(summaries, "repo_id", "left")
-    cols = [F.lit("ok").alias("status"),
-            F.coalesce("total_symbols", F.lit(0)).cast("long").alias("symbol_count"),
-            *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in S.STAT_COLS],
-            F.coalesce("total_imports", F.lit(0)).cast("long").alias("total_imports"),
-            F.coalesce("external_dependencies", F.lit(0)).cast("long").alias("external_count"),
-            F.coalesce("first_external", F.lit("")).alias("external_dependencies"),
-            F.coalesce("first_stdlib", F.lit("")).alias("stdlib_imports"),
-            F.coalesce("unanalyzed_internal", F.lit(0)).cast("long").alias("unanalyzed_internal_count"),
-            F.coalesce("first_internal", F.lit("")).alias("unanalyzed_internal"),
-            F.coalesce("discovery_complete", F.lit(True)).alias("discovery_complete"),
-            F.col("discovery_rounds").alias("discovery_iterations"),
-            F.coalesce("entry_points", F.lit(0)).cast("long").alias("priority_files_count")]
+    valid, mapped = F.col("v.valid"), F.col("discovery_rounds").isNotNull()
+    ok = valid & mapped
+    n = lambda c: F.when(ok, F.coalesce(c, F.lit(0)).cast("long"))
+    cols = [F.when(ok, "ok").otherwise("error").alias("status"),
+            F.when(~valid, "invalid_url").when(~mapped, "repo_map_failed").alias("error_code"),
+            F.when(~valid, F.col("v.error")).when(~mapped, "no files").alias("message"),
+            n("total_symbols").alias("symbol_count"), *[n(c).alias(c) for c in S.STAT_COLS],
+            n("total_imports").alias("total_imports"), n("external_dependencies").alias("external_count"),
+            F.when(ok, F.coalesce("first_external", F.lit(""))).alias("external_dependencies"),
+            F.when(ok, F.coalesce("first_stdlib", F.lit(""))).alias("stdlib_imports"),
+            n("unanalyzed_internal").alias("unanalyzed_internal_count"),
+            F.when(ok, F.coalesce("discovery_complete", F.lit(True))).alias("discovery_complete"),
+            F.when(ok, F.col("discovery_rounds")).alias("discovery_iterations"),
+            n("entry_points").alias("priority_files_count")]
     if summaries is not None:
-        cols.append(F.col("readme_summary"))
+        cols.append(F.when(ok, F.col("readme_summary")).alias("readme_summary"))
     return r.select("repo_id", *cols)
 
 

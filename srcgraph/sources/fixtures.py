@@ -168,12 +168,13 @@ def f6_split(spark: SparkSession, sf_dir: str):
 
 def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(repo_id, repo_url)`` of the F1 repositories; every seventh brand has a URL on an
-    unsupported host (a failed repository map)."""
+    unsupported host (refused), two of three others one that has to be normalised."""
     p = table(spark, sf_dir, "part")
     r = p.select(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("repo_id"),
                  F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int").alias("k")).distinct()
     url = F.when(F.col("k") % 7 == 0, F.concat(F.lit("https://example.org/"), F.col("repo_id"))) \
-        .otherwise(F.concat(F.lit("https://github.com/srcgraph-fixtures/"), F.col("repo_id")))
+        .otherwise(F.concat(F.lit("https://github.com/srcgraph-fixtures/"), F.col("repo_id"),
+                            F.when(F.col("k") % 3 == 1, ".git").when(F.col("k") % 3 == 2, "/tree/main/").otherwise("")))
     return r.select("repo_id", url.alias("repo_url"))
 
 
