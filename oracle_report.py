@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import oracle_sql as O
+from srcgraph.functions import constants as C
 
 MERGE = """stp AS (SELECT repo_id, path FROM f1 WHERE p_partkey % 2 = 0),
 nwp AS (SELECT repo_id, path FROM f1 WHERE p_partkey % 2 = 1 OR p_partkey % 10 = 0),
@@ -158,10 +159,7 @@ def text_oracles() -> dict[str, str]:
   UNION ALL SELECT 1, '*Auto-generated for [' || r.repo_url || '](' || r.repo_url || ')*' || {NL}
   UNION ALL SELECT 2, '---' || {NL} UNION ALL SELECT 3, '## Overview' || {NL}
   UNION ALL SELECT 4, r.summary || {NL}) x""", REPOS)
-    inst = {"requirements": ["Then install the dependencies:", "```bash", "pip install -r requirements.txt", "```\n"],
-            "setup": ["Then install the package in editable mode:", "```bash", "pip install -e .", "```\n"],
-            "pyproject": ["Then install the package (Poetry or pip both work):", "```bash", "poetry install",
-                          "# or simply", "pip install .", "```\n"]}
+    inst = C.REPORT_INSTALL
     lit = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
     extra = " UNION ALL ".join(
         f"SELECT repo_id, {6 + i} AS sub, {lit(t)} AS text FROM rpm WHERE pm = '{pm}'"
@@ -173,7 +171,7 @@ def text_oracles() -> dict[str, str]:
    UNION ALL SELECT 2, '```bash' UNION ALL SELECT 3, 'git clone ' || r.repo_url UNION ALL SELECT 4, {cd}
    UNION ALL SELECT 5, '```' || {NL}) x
   UNION ALL {extra})""", REPOS)
-    fallback = lit("No obvious entry point stood out — check the repository's README for usage instructions.\n")
+    fallback = lit(C.REPORT_NO_USAGE[1])
     o["report_usage"] = Q.q2(f"""SELECT repo_id, 3 AS section, sub, '' AS key, text FROM (
   SELECT repo_id, rank + 1 AS sub, '- `' || string_split(file, '/')[-1] || '`: ' || name AS text FROM (
    SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY file, pos, name) AS rank FROM mnodes

@@ -51,6 +51,31 @@ MSG_EMPTY_URL = "URL must be a non-empty string"
 MSG_GITHUB_FORM = "GitHub URL must be in format: https://github.com/owner/repo"
 
 # Line-break characters recognised when splitting text into lines
-# (the set used by Python's str.splitlines), and the complexity pattern.
+# (the set used by Python's str.splitlines).
 RX_EOL = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
-RX_BRANCH = "|".join(BRANCH_KEYWORDS)
+
+# FIXED VALUES: the sentences of the report, in document order.
+REPORT_TITLE_TAIL = " – Documentation\n"
+REPORT_SOURCE_HEAD = "*Auto-generated for ["
+REPORT_RULE = "---\n"
+REPORT_OVERVIEW = "## Overview\n"
+REPORT_INSTALLATION = ["## Installation\n", "Clone the repository:\n", "```bash"]
+REPORT_INSTALL = {
+    "requirements": ["Then install the dependencies:", "```bash", "pip install -r requirements.txt", "```\n"],
+    "setup": ["Then install the package in editable mode:", "```bash", "pip install -e .", "```\n"],
+    "pyproject": ["Then install the package (Poetry or pip both work):", "```bash", "poetry install", "# or simply",
+                  "pip install .", "```\n"],
+}
+REPORT_USAGE = ["## Usage\n", "Here are the entry points we spotted:\n"]
+REPORT_NO_USAGE = ["## Usage\n", "No obvious entry point stood out — check the repository's README for usage instructions.\n"]
+REPORT_ARCHITECTURE = "## Architecture\n"
+REPORT_COUNTS = ["Total Symbols", "Classes", "Functions", "Modules", "Call Relationships", "Inheritance Relationships"]
+REPORT_BASES = ["### Base Classes\n", "Classes that other classes build on:\n"]
+REPORT_DIAGRAMS = "### Code Diagrams\n"
+REPORT_API = "## API Reference\n"
+REPORT_CLASSES = "### Classes\n"
+REPORT_COMPLEX = ["### High-Complexity Functions\n",
+                  "These functions carry a lot of logic (estimated complexity above 10) and may be worth splitting up:\n"]
+REPORT_HOTSPOTS = ["### Most-Called Functions (Hotspots)\n",
+                   "These are the functions the rest of the code leans on the most:\n"]
+REPORT_STRUCTURE = "## Project Structure\n"

@@ -41,17 +41,6 @@ def line_pieces(c) -> Column:
     return F.when(c.rlike(_RX_RARE_EOL), rare).otherwise(F.split(cut, "\n", -1))
 
 
-def split_lines(c) -> Column:
-    """Array of lines like ``str.splitlines()``: one trailing empty piece is dropped.
-
-    Text with only ``\n`` breaks takes the single-character split; other break characters
-    select the full break pattern.
-    """
-    c = col_(c)
-    parts = F.when(c.rlike(_RX_RARE_EOL), F.split(c, RX_EOL, -1)).otherwise(F.split(c, "\n", -1))
-    return F.when(F.try_element_at(parts, F.lit(-1)) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-
-
 def decode_tolerant(c) -> Column:
     """Binary -> string as UTF-8 with invalid bytes dropped (also drops a genuine U+FFFD)."""
     return F.regexp_replace(F.make_valid_utf8(col_(c).cast("string")), "\ufffd", "")
@@ -86,8 +75,3 @@ def display_name(c) -> Column:
 def file_label(c) -> Column:
     """COL15: base name of a path."""
     return F.substring_index(col_(c), "/", -1)
-
-
-def rx_escape(s: str) -> str:
-    """Quote a literal for a Java regular expression."""
-    return "\\Q" + s + "\\E"

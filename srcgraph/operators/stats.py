@@ -19,24 +19,6 @@ def _count_if(cond):
     return F.count_if(cond).cast("long")
 
 
-def node_counts(nodes: DataFrame) -> DataFrame:
-    k = F.col("kind")
-    return nodes.groupBy("repo_id").agg(
-        F.count(F.lit(1)).alias("total_symbols"),
-        _count_if(k == "class").alias("classes"),
-        _count_if(k == "function").alias("functions"),
-        _count_if(k == "module").alias("modules"))
-
-
-def edge_counts(edges: DataFrame) -> DataFrame:
-    t = F.col("type")
-    return edges.groupBy("repo_id").agg(
-        F.count(F.lit(1)).alias("total_edges"),
-        _count_if(t == "inherits").alias("inheritance_edges"),
-        _count_if(t == "calls").alias("call_edges"),
-        _count_if(t == "imports").alias("import_edges"))
-
-
 STAT_COLS = ["total_symbols", "classes", "functions", "modules",
              "total_edges", "inheritance_edges", "call_edges", "import_edges"]
 

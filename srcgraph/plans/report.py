@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..functions.constants import API_CLASSES_PER_FILE, API_FILES, TOP_K
 from ..functions.paths import repo_name_from_url
 from ..functions.text import display_name, file_label, summarize_text
@@ -68,9 +69,9 @@ def report_overview(inp: ReportInputs) -> DataFrame:
     name = repo_name_from_url("repo_url")
     url = F.col("repo_url")
     head = F.array(
-        F.concat(F.lit("# "), name, F.lit(" – Documentation\n")),
-        F.concat(F.lit("*Auto-generated for ["), url, F.lit("]("), url, F.lit(")*\n")),
-        F.lit("---\n"), F.lit("## Overview\n"),
+        F.concat(F.lit("# "), name, F.lit(C.REPORT_TITLE_TAIL)),
+        F.concat(F.lit(C.REPORT_SOURCE_HEAD), url, F.lit("]("), url, F.lit(")*\n")),
+        F.lit(C.REPORT_RULE), F.lit(C.REPORT_OVERVIEW),
         F.concat(summarize_text("text"), F.lit("\n")))
     x = r.select("repo_id", F.posexplode(head).alias("sub", "text"))
     return x.select("repo_id", F.lit(1).alias("section"), F.col("sub").cast("int"), F.lit("").alias("key"), "text")
@@ -81,18 +82,14 @@ def report_installation(inp: ReportInputs) -> DataFrame:
     pm = package_manager(inp.tree)
     r = inp.repos.join(pm, "repo_id", "left")
     url = F.col("repo_url")
-    clone = F.array(F.lit("## Installation\n"), F.lit("Clone the repository:\n"), F.lit("```bash"),
+    clone = F.array(*[F.lit(x) for x in C.REPORT_INSTALLATION],
                     F.concat(F.lit("git clone "), url),
                     F.concat(F.lit("cd "), F.replace(F.substring_index(url, "/", -1), F.lit(".git"), F.lit(""))),
                     F.lit("```\n"))
     p = F.col("package_manager")
-    install = (F.when(p == "requirements", F.array(*[F.lit(x) for x in [
-        "Then install the dependencies:", "```bash", "pip install -r requirements.txt", "```\n"]]))
-        .when(p == "setup", F.array(*[F.lit(x) for x in [
-            "Then install the package in editable mode:", "```bash", "pip install -e .", "```\n"]]))
-        .when(p == "pyproject", F.array(*[F.lit(x) for x in [
-            "Then install the package (Poetry or pip both work):", "```bash", "poetry install", "# or simply",
-            "pip install .", "```\n"]]))
+    texts = {k: F.array(*[F.lit(x) for x in v]) for k, v in C.REPORT_INSTALL.items()}
+    install = (F.when(p == "requirements", texts["requirements"]).when(p == "setup", texts["setup"])
+        .when(p == "pyproject", texts["pyproject"])
         .otherwise(F.array().cast("array<string>")))
     x = r.select("repo_id", F.posexplode(F.concat(clone, install)).alias("sub", "text"))
     return x.select("repo_id", F.lit(2).alias("section"), F.col("sub").cast("int"), F.lit("").alias("key"), "text")
@@ -103,12 +100,9 @@ def report_usage(inp: ReportInputs) -> DataFrame:
     ent = usage_entry_modules(inp.graph.nodes)
     lines = _rows(ent, 3, F.col("rank") + 1, "", F.concat(F.lit("- `"), F.col("file_label"), F.lit("`: "), F.col("name")))
     has = ent.select("repo_id").distinct()
-    head_yes = _fixed(inp.repos.join(has, "repo_id", "left_semi"), 3,
-                      ["## Usage\n", "Here are the entry points we spotted:\n"], start=-1)
+    head_yes = _fixed(inp.repos.join(has, "repo_id", "left_semi"), 3, C.REPORT_USAGE, start=-1)
     tail_yes = _rows(inp.repos.join(has, "repo_id", "left_semi"), 3, 100, "", "")
-    none = _fixed(inp.repos.join(has, "repo_id", "left_anti"), 3, [
-        "## Usage\n",
-        "No obvious entry point stood out — check the repository's README for usage instructions.\n"])
+    none = _fixed(inp.repos.join(has, "repo_id", "left_anti"), 3, C.REPORT_NO_USAGE)
     return head_yes.unionByName(lines).unionByName(tail_yes).unionByName(none)
 
 
@@ -116,17 +110,15 @@ def report_architecture(inp: ReportInputs) -> DataFrame:
     """RPT4: six counts (AGG2) and the first ten base classes (AGG4, sorted)."""
     st = S.doc_stats(inp.graph.nodes, inp.graph.edges)
     st = inp.repos.join(st, "repo_id", "left").na.fill(0)
-    items = [("Total Symbols", "total_nodes"), ("Classes", "classes"), ("Functions", "functions"),
-             ("Modules", "modules"), ("Call Relationships", "call_edges"),
-             ("Inheritance Relationships", "inherit_edges")]
-    arr = F.array(F.lit("## Architecture\n"),
+    items = zip(C.REPORT_COUNTS, ["total_nodes", "classes", "functions", "modules", "call_edges", "inherit_edges"])
+    arr = F.array(F.lit(C.REPORT_ARCHITECTURE),
                   *[F.concat(F.lit(f"- **{t}**: "), F.col(c).cast("string")) for t, c in items], F.lit(""))
     counts = st.select("repo_id", F.posexplode(arr).alias("sub", "text")).select(
         "repo_id", F.lit(4).alias("section"), F.col("sub").cast("int"), F.lit("").alias("key"), "text")
     bases = S.first_n(S.base_classes(inp.graph.edges), TOP_K, ["repo_id"], ["base"])
     has = bases.select("repo_id").distinct()
     bl = _rows(bases, 4, 20, F.format_string("%05d", "rank"), F.concat(F.lit("- `"), display_name("base"), F.lit("`")))
-    bh = _fixed(has, 4, ["### Base Classes\n", "Classes that other classes build on:\n"], start=10)
+    bh = _fixed(has, 4, C.REPORT_BASES, start=10)
     bt = _rows(has, 4, 30, "", "")
     return counts.unionByName(bh).unionByName(bl).unionByName(bt)
 
@@ -142,17 +134,17 @@ def report_diagrams(inp: ReportInputs) -> DataFrame:
              .when(F.col("diagram") == "call_graph", "Call Graph").otherwise("Full Code Context Graph"))
     body = F.concat(F.lit("#### "), title, F.lit("\n\nDiagram table `"), F.col("diagram"), F.lit("`: "),
                     F.col("nodes").cast("string"), F.lit(" nodes, "), F.col("edges").cast("string"), F.lit(" edges.\n"))
-    head = _fixed(inp.repos, 5, ["### Code Diagrams\n"])
+    head = _fixed(inp.repos, 5, [C.REPORT_DIAGRAMS])
     return head.unionByName(_rows(d, 5, order, "", body))
 
 
 def report_api(inp: ReportInputs) -> DataFrame:
     """RPT5: classes by file (WIN3), high-complexity functions (WIN1), hot spots (WIN2)."""
     nodes, edges = inp.graph.nodes, inp.graph.edges
-    head = _fixed(inp.repos, 6, ["## API Reference\n"])
+    head = _fixed(inp.repos, 6, [C.REPORT_API])
     cpf = S.classes_per_file(nodes, API_FILES, API_CLASSES_PER_FILE)
     has_c = cpf.select("repo_id").distinct()
-    c_head = _fixed(has_c, 6, ["### Classes\n"], start=1)
+    c_head = _fixed(has_c, 6, [C.REPORT_CLASSES], start=1)
     f_head = _rows(cpf.where(F.col("class_rank") == 1), 6, 2,
                    F.format_string("%05d.0", "file_rank"), F.concat(F.lit("#### "), file_label("file"), F.lit("\n")))
     c_rows = _rows(cpf, 6, 2, F.format_string("%05d.%d", "file_rank", "class_rank"),
@@ -160,17 +152,14 @@ def report_api(inp: ReportInputs) -> DataFrame:
     f_tail = _rows(cpf.where(F.col("class_rank") == 1), 6, 2, F.format_string("%05d.9", "file_rank"), "")
     hc = S.high_complexity(nodes)
     has_h = hc.select("repo_id").distinct()
-    h_head = _fixed(has_h, 6, [
-        "### High-Complexity Functions\n",
-        "These functions carry a lot of logic (estimated complexity above 10) and may be worth splitting up:\n"], start=3)
+    h_head = _fixed(has_h, 6, C.REPORT_COMPLEX, start=3)
     h_rows = _rows(hc, 6, 5, F.format_string("%05d", "rank"),
                    F.concat(F.lit("- `"), F.col("name"), F.lit("` in `"), file_label("file"),
                             F.lit("` (complexity: "), F.col("complexity").cast("string"), F.lit(")")))
     h_tail = _rows(has_h, 6, 6, "", "")
     hs = S.call_hotspots(edges)
     has_s = hs.select("repo_id").distinct()
-    s_head = _fixed(has_s, 6, ["### Most-Called Functions (Hotspots)\n",
-                               "These are the functions the rest of the code leans on the most:\n"], start=7)
+    s_head = _fixed(has_s, 6, C.REPORT_HOTSPOTS, start=7)
     s_rows = _rows(hs, 6, 9, F.format_string("%05d", "rank"),
                    F.concat(F.lit("- `"), F.col("func_name"), F.lit("` (called "), F.col("calls").cast("string"),
                             F.lit(" times)")))
@@ -183,12 +172,12 @@ def report_api(inp: ReportInputs) -> DataFrame:
 
 def report_structure(inp: ReportInputs) -> DataFrame:
     """RPT6: the file tree block (STR4 in SRT5 order)."""
-    head = _fixed(inp.repos, 7, ["## Project Structure\n", "```"])
+    head = _fixed(inp.repos, 7, [C.REPORT_STRUCTURE, "```"])
     lines = _rows(tree_lines(inp.tree), 7, 2, F.col("sort_key"), F.col("text"))
     no_tree = inp.repos.join(inp.tree.select("repo_id").distinct(), "repo_id", "left_anti")
     empty = _rows(no_tree, 7, 2, "", "<empty>")
     tail = _rows(inp.repos, 7, 3, "", "```\n")
-    foot = _fixed(inp.repos, 8, ["---\n", "*Generated with srcgraph.*"])
+    foot = _fixed(inp.repos, 8, [C.REPORT_RULE, "*Generated with srcgraph.*"])
     return head.unionByName(lines).unionByName(empty).unionByName(tail).unionByName(foot)
 
 

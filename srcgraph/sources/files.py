@@ -49,8 +49,3 @@ def scan_unpruned(files: DataFrame) -> DataFrame:
 def scan_file_list(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """SRC4: only the listed ``(repo_id, path)``; other suffixes skipped (semi-join, no duplicates)."""
     return extension_filter(files).join(wanted.select("repo_id", "path"), ["repo_id", "path"], "left_semi")
-
-
-def decode_files(raw: DataFrame, bytes_col: str = "bytes") -> DataFrame:
-    """SRC6: binary contents -> UTF-8 text with invalid bytes dropped."""
-    return raw.withColumn("content", decode_tolerant(bytes_col)).drop(bytes_col)

@@ -156,16 +156,6 @@ def f5_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.unionByName(cu).unionByName(na)
 
 
-def f6_split(spark: SparkSession, sf_dir: str):
-    """(stored files, new batch). Even part keys are stored; odd ones plus every tenth
-    key (re-analysed) arrive as the new batch."""
-    f = f1_source_files(spark, sf_dir, with_key=True)
-    k = F.col("p_partkey")
-    stored = f.where(k % 2 == 0).drop("p_partkey")
-    new = f.where((k % 2 == 1) | (k % 10 == 0)).drop("p_partkey")
-    return stored, new
-
-
 def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(repo_id, repo_url)`` of the F1 repositories; every seventh brand has a URL on an
     unsupported host (refused), two of three others one that has to be normalised."""

@@ -1,9 +1,8 @@
-"""Line parser (LIN*) and graph build (GRF*): hand-written cases (FIXTURES F7) and a
-randomised comparison with the plain-Python statement of the rules."""
+"""Line parser (LIN*) and graph build (GRF*): literal cases, and random files against the DuckDB oracle,
+which states the rules in a form of its own."""
 import random
 
 from conftest import files_df
-from linemodel import nodes as model_nodes
 
 from srcgraph.plans.analyze import build_graph
 
@@ -67,7 +66,28 @@ def test_edges_are_a_multiset(spark):
 def test_crlf_and_rare_breaks(spark):
     text = "def a():\r\n    if x:\r\n    y\x0bif z:\n"
     n, _ = graph_nodes(spark, {"a.py": text})
-    assert n == {("a.py", k): v for k, v in model_nodes("a.py", text).items()}
+    assert n == {("a.py", "a"): ("function", 3)}
+
+
+CASES = [  # text, nodes (name, kind, complexity), edges (target, type)
+    ("import os.path\nfrom a.b import c\n", [("os", "module", 1), ("a", "module", 1)], [("os.path", "imports"), ("a.b", "imports")]),
+    ("class A(B, object, C):\n  def f(self): return 1\n  def g(self):\n    if x and y:\n      z\n",
+     [("A", "class", 1), ("f", "function", 1), ("g", "function", 2), ("B", "class", 1), ("C", "class", 1)],
+     [("a.py:B", "inherits"), ("a.py:C", "inherits")]),
+    ("def f(x):\n  for i in x:\n  while y:\nclass K:\n  if z:\n", [("f", "function", 3), ("K", "class", 1)], []),
+    ("def f(x): return x or y\n", [("f", "function", 2)], []),
+    ("def f():\n  pass\ndef f():\n  if a:\n  elif b:\n", [("f", "function", 3)], []),
+    ("x = 1\nif y:\n", [], []),
+]
+
+
+def test_literal_cases(spark):
+    files = {f"d{i}/a.py": text for i, (text, _, _) in enumerate(CASES)}
+    got, g = graph_nodes(spark, files)
+    edges = sorted((r.file, r.target, r.type) for r in g.edges.collect())
+    want = {(f"d{i}/a.py", n): (k, c) for i, (_, nodes, _) in enumerate(CASES) for n, k, c in nodes}
+    assert got == want
+    assert edges == sorted((f"d{i}/a.py", f"d{i}/{t}" if y == "inherits" else t, y) for i, (_, _, es) in enumerate(CASES) for t, y in es)
 
 
 def _random_file(rng):
@@ -78,12 +98,17 @@ def _random_file(rng):
     return "\n".join(lines) + rng.choice(["", "\n"])
 
 
-def test_random_files_match_rules(spark):
+def test_random_files_match_the_oracle(spark):
+    import duckdb
+    import oracle_sql as O
+    import pandas as pd
     rng = random.Random(7)
     files = {f"p{i}/m{i}.py": _random_file(rng) for i in range(300)}
-    got, _ = graph_nodes(spark, files)
-    want = {}
-    for path, text in files.items():
-        for name, v in model_nodes(path, text).items():
-            want[(path, name)] = v
-    assert got == want
+    got, g = graph_nodes(spark, files)
+    con = duckdb.connect()
+    con.register("f1", pd.DataFrame([("r", p, t) for p, t in files.items() if t], columns=["repo_id", "path", "content"]))
+    rules = "WITH " + ",\n".join([O.LINES, O.FEATS, O.FUNCS, O.SYMS])
+    want = con.execute(rules + " SELECT file, name, kind, complexity FROM nodes").fetchall()
+    assert got == {(f, n): (k, c) for f, n, k, c in want}
+    edges = con.execute(rules + " SELECT file, source, target, type FROM edges").fetchall()
+    assert sorted((r.file, r.source, r.target, r.type) for r in g.edges.collect()) == sorted(edges)
