@@ -430,7 +430,7 @@ SELECT doc_id, repo_id, CASE WHEN text IS NULL OR text = '' THEN 'No README cont
         " coalesce(s.functions, 0) AS functions, coalesce(s.modules, 0) AS modules, coalesce(e.total_edges, 0) AS total_edges,"
         " coalesce(e.inheritance_edges, 0) AS inheritance_edges, coalesce(e.call_edges, 0) AS call_edges,"
         " coalesce(e.import_edges, 0) AS import_edges FROM"
-        " (SELECT repo_id, bool_or(path = 'setup.py') OR bool_or(path = 'pyproject.toml') AS analyze FROM tree GROUP BY repo_id) f"
+        " (SELECT repo_id, k % 2 = 1 AS analyze FROM f3r) f"
         " LEFT JOIN (SELECT repo_id, count(*) AS total_symbols, count(*) FILTER (WHERE kind = 'class') AS classes,"
         "  count(*) FILTER (WHERE kind = 'function') AS functions, count(*) FILTER (WHERE kind = 'module') AS modules"
         "  FROM nodes GROUP BY repo_id) s ON f.repo_id = s.repo_id AND f.analyze"

@@ -4,15 +4,17 @@ The test is a substring test on the edge target (``pattern in target``), so it a
 matches path text of the key; ``exact=True`` compares the name after the last ``:``.
 For a table of patterns (JOIN8) there is no equi key. A pattern table whose size is
 checked to be small is broadcast (nested loop over a few patterns). A larger one is
-matched exactly with an equi-join: each target is cut into all its substrings of every
-pattern length present, and ``(length, substring)`` is joined by hash.
+matched exactly with an equi-join: a pattern's first GRAM characters (all, if it has fewer) are its
+key, each target is cut into its distinct substrings of those lengths (GRAM at most), and what the
+keys bring together is tested in full.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_PATTERNS = 10_000
+BROADCAST_MAX_PATTERNS = 256
+GRAM = 8
 
 
 def _sources(edges: DataFrame, edge_type: str, pattern: str, exact: bool) -> DataFrame:
@@ -31,20 +33,20 @@ def inherits_from(edges: DataFrame, base_class: str, exact: bool = False) -> Dat
     return _sources(edges, "inherits", base_class, exact)
 
 
-def pattern_lookup(edges: DataFrame, patterns: DataFrame) -> DataFrame:
+def pattern_lookup(edges: DataFrame, patterns: DataFrame, max_broadcast: int = BROADCAST_MAX_PATTERNS) -> DataFrame:
     """JOIN8: ``(pattern, type, repo_id, source)`` for every edge of ``type`` whose target
-    contains ``pattern``. ``patterns(pattern, type)``."""
+    contains ``pattern``. ``patterns(pattern, type)``; an empty pattern is in every target."""
     pats = patterns.select("pattern", "type").where(F.col("pattern").isNotNull()).distinct()
     e = edges.select("repo_id", "source", "target", "type")
-    if pats.count() <= BROADCAST_MAX_PATTERNS:
+    if pats.count() <= max_broadcast:
         j = e.join(F.broadcast(pats), (e["type"] == pats["type"]) & e["target"].contains(pats["pattern"]))
         return j.select(pats["pattern"], pats["type"], e["repo_id"], e["source"])
-    # exact equi-join on (length, substring) for large pattern tables
-    lens = pats.select(F.length("pattern").alias("len")).distinct()
-    t = e.join(F.broadcast(lens), F.length("target") >= F.col("len"))  # distinct lengths: a handful
-    subs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("target") - F.col("len") + 1),
-                                        lambda i: F.substring(F.col("target"), i, F.col("len"))))
+    keyed = pats.withColumn("gram", F.substring("pattern", 1, GRAM)).withColumn("len", F.length("gram"))
+    lens = keyed.select("type", "len").distinct()  # GRAM + 1 lengths of each edge type at most
+    t = e.join(F.broadcast(lens), "type").where(F.length("target") >= F.col("len"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("target") - F.col("len") + 1),
+                                         lambda i: F.substring(F.col("target"), i, F.col("len"))))
     # one row per edge and distinct substring: duplicate edges stay duplicate matches
-    t = t.select("repo_id", "source", "type", "len", F.explode(subs).alias("pattern"))
-    p2 = pats.withColumn("len", F.length("pattern"))
-    return t.join(p2, ["type", "len", "pattern"]).select("pattern", "type", "repo_id", "source")
+    t = t.select("repo_id", "source", "type", "target", "len", F.explode(grams).alias("gram"))
+    j = t.join(keyed, ["type", "len", "gram"]).where(F.col("target").contains(F.col("pattern")))
+    return j.select("pattern", "type", "repo_id", "source")

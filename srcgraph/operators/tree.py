@@ -52,6 +52,16 @@ def file_tree(files: DataFrame) -> DataFrame:
     return roots.unionByName(entries)
 
 
+def file_rows(files: DataFrame) -> DataFrame:
+    """The file rows of ``file_tree``, made row by row: no directory is expanded, nothing is shuffled."""
+    segs = F.split(F.col("path"), "/")
+    d = files.select("repo_id", "path", segs.alias("segs"))
+    d = d.where(~F.arrays_overlap(F.slice("segs", 1, F.greatest(F.size("segs") - 1, F.lit(0))),
+                                  F.array(*[F.lit(x) for x in IGNORE_DIRS])))
+    key = F.array_join(F.transform("segs", lambda s, i: _level_key(i + 1 == F.size("segs"), s)), "")
+    return d.select("repo_id", "path", F.lit("file").alias("type"), F.size("segs").alias("depth"), key.alias("sort_key"))
+
+
 def tree_lines(tree: DataFrame) -> DataFrame:
     """STR4: one text line per entry: two spaces per level, ``/`` after directories."""
     return tree.select("repo_id", "sort_key",
@@ -60,7 +70,8 @@ def tree_lines(tree: DataFrame) -> DataFrame:
 
 
 def entry_point_files(tree: DataFrame) -> DataFrame:
-    """COL5: files named like an entry point, any depth; ``sort_key`` gives tree order."""
+    """COL5: files named like an entry point, any depth; ``sort_key`` gives tree order. Takes ``file_tree`` or
+    ``file_rows``."""
     return (tree.where((F.col("type") == "file") &
                        F.substring_index("path", "/", -1).isin(*ENTRY_POINT_NAMES))
             .select("repo_id", "path", "sort_key"))
@@ -75,7 +86,7 @@ def entry_point_count(tree: DataFrame) -> DataFrame:
 
 
 def package_flags(tree: DataFrame) -> DataFrame:
-    """AGG9: root-level ``requirements.txt`` / ``setup.py`` / ``pyproject.toml`` present."""
+    """AGG9: root-level ``requirements.txt`` / ``setup.py`` / ``pyproject.toml`` present; a tree or just the paths."""
     p = F.col("path")
     return tree.groupBy("repo_id").agg(
         F.bool_or(p == "requirements.txt").alias("has_requirements"),

@@ -86,6 +86,13 @@ def build_graph(files: DataFrame, mode: str = "line", filter_ext: bool = True,
     return G.Graph(nodes, edges)
 
 
+def build_requested(files: DataFrame, requests: DataFrame, mode: str = "line", **how) -> G.Graph:
+    """COL19: the graph of the repositories whose request asks for deep analysis (``analyze_deep``); the files of
+    the others are left out before anything is read from them."""
+    deep = requests.where("analyze_deep").select("repo_id")
+    return build_graph(files.join(deep, "repo_id", "left_semi"), mode, **how)
+
+
 def merge_files(base: G.Graph, new_files: DataFrame, mode: str = "line",
                 replace_files: bool = False, store: bool = False) -> G.Graph:
     """GRF9: analyse ``new_files`` (once, with ``store``) and merge them into the stored graph ``base``."""

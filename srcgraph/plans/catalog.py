@@ -251,8 +251,8 @@ def q_tree_lines(spark, sf):
 
 @register("entry_point_files")
 def q_entry_point_files(spark, sf):
-    from ..operators.tree import entry_point_files
-    return entry_point_files(_tree(spark, sf)).select("repo_id", "path")
+    from ..operators.tree import entry_point_files, file_rows
+    return entry_point_files(file_rows(_f3(spark, sf))).select("repo_id", "path")
 
 
 @register("entry_point_count")
@@ -264,26 +264,26 @@ def q_entry_point_count(spark, sf):
 @register("package_flags")
 def q_package_flags(spark, sf):
     from ..operators.tree import package_flags
-    return package_flags(_tree(spark, sf))
+    return package_flags(_f3(spark, sf))
 
 
 @register("package_manager")
 def q_package_manager(spark, sf):
     from ..operators.tree import package_manager
-    return package_manager(_tree(spark, sf))
+    return package_manager(_f3(spark, sf))
 
 
 @register("readme_pick")
 def q_readme_pick(spark, sf):
     from ..operators.tree import readme_pick
-    return readme_pick(_tree(spark, sf))
+    return readme_pick(_f3(spark, sf))
 
 
 @register("first_n_rows")
 def q_first_n_rows(spark, sf):
     """WIN4: the first five entry-point files of each repository in tree order."""
-    from ..operators.tree import entry_point_files
-    return S.first_n(entry_point_files(_tree(spark, sf)), 5, ["repo_id"], ["sort_key"]).select("repo_id", "rank", "path")
+    from ..operators.tree import entry_point_files, file_rows
+    return S.first_n(entry_point_files(file_rows(_f3(spark, sf))), 5, ["repo_id"], ["sort_key"]).select("repo_id", "rank", "path")
 
 
 # ---- imports and dependencies (COL7-COL10, JOIN5, JOIN6, IMP1-IMP4, AGG7, AGG8) ---------
@@ -575,16 +575,13 @@ def q_usage_entry_modules(spark, sf):
 
 @register("depth_switch")
 def q_depth_switch(spark, sf):
-    """COL19: deep analysis only for repositories that are Python packages (root setup.py or
-    pyproject.toml); the others get an empty graph and zero counts."""
-    from ..operators.tree import package_flags
-    flags = package_flags(_tree(spark, sf)).select(
-        "repo_id", (F.col("has_setup_py") | F.col("has_pyproject")).alias("analyze"))
-    g = _graph(spark, sf)
-    deep = flags.where("analyze").select("repo_id")
-    stats = S.graph_stats(g.nodes.join(deep, "repo_id", "left_semi"), g.edges.join(deep, "repo_id", "left_semi"))
-    out = flags.join(stats, "repo_id", "left")
-    return out.select("repo_id", "analyze", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in S.STAT_COLS])
+    """COL19: statistics of every request; one that does not ask for deep analysis has an empty graph."""
+    from .analyze import build_requested
+    req = FX.run_requests(spark, sf)
+    g = build_requested(_f1(spark, sf), req)
+    out = req.join(S.graph_stats(g.nodes, g.edges), "repo_id", "left")
+    return out.select("repo_id", F.col("analyze_deep").alias("analyze"),
+                      *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in S.STAT_COLS])
 
 
 # ---- scoped extraction (SCP1-SCP7, JOIN7, GRF4) ------------------------------------------
@@ -875,5 +872,5 @@ def q_scan_directory(spark, sf):
     root = scratch_path(spark, f"checkout-{uuid.uuid4().hex}")
     write_checkout(_checkout(spark, sf), root)
     register_srcdir(spark)
-    d = spark.read.format("srcdir").option("path", root).option("shards", "4").load()
+    d = spark.read.format("srcdir").option("path", root).load()
     return d.select("repo_id", "path", F.length("content").alias("chars"))

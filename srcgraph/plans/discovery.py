@@ -25,7 +25,7 @@ from ..functions.constants import MAX_DISCOVERY_ROUNDS, STDLIB_MODULES
 from ..functions.paths import candidate_init, candidate_py, module_name_of_file, relative_import_base
 from ..operators import graph as G
 from ..operators.deps import module_suffixes
-from ..operators.tree import entry_point_files, file_tree
+from ..operators.tree import entry_point_files, file_rows
 from ..session import checkpoint_dir
 from ..sources.files import extension_filter, prune_ignored_dirs
 from .analyze import build_graph
@@ -43,8 +43,7 @@ def seed_files(files: DataFrame, all_paths: DataFrame) -> DataFrame:
 
     ``(repo_id, path, from_entry)``.
     """
-    tree = file_tree(all_paths)
-    ep = entry_point_files(tree).select("repo_id", "path")
+    ep = entry_point_files(file_rows(all_paths)).select("repo_id", "path").distinct()
     has_ep = ep.select("repo_id").distinct().withColumn("has_ep", F.lit(True))
     everything = prune_ignored_dirs(extension_filter(files.select("repo_id", "path")))
     fallback = everything.join(has_ep, "repo_id", "left_anti")

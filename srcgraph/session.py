@@ -59,6 +59,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _TABLES: dict[tuple[str, str], str] = {}
 
 
+def clear_tables(spark: SparkSession) -> None:
+    """Delete every table that ``materialize`` wrote in this application; call it when no result is read any more."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "tables"))
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _TABLES.clear()
+
+
 def materialize(df, name: str, key: str | None = None, partition_by: str | None = None):
     """Write ``df`` as parquet into the shared checkpoint folder and read it back.
 
@@ -71,7 +79,7 @@ def materialize(df, name: str, key: str | None = None, partition_by: str | None
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     if key is not None and (app, key) in _TABLES:
-        return spark.read.parquet(_TABLES[(app, key)])
+        return spark.read.schema(df.schema).parquet(_TABLES[(app, key)])
     path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex}")
     w = df.write.mode("overwrite")
     if partition_by:
@@ -79,4 +87,5 @@ def materialize(df, name: str, key: str | None = None, partition_by: str | None
     w.parquet(path)
     if key is not None:
         _TABLES[(app, key)] = path
-    return spark.read.parquet(path)
+    # with the schema given, an empty partitioned table can be read too, and no footer has to be
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,18 +2,16 @@
 
 ``spark.read.format("srcdir").option("path", root).load()`` gives ``(repo_id, path, content)``.
 Unlike the ``text``/``binaryFile`` readers it keeps files whose names start with ``_`` or
-``.`` (``__init__.py``, ``__main__.py``). The driver lists only the repository folders; each
-repository is cut into ``shards`` input partitions, and each task walks its repository on the
-executor and reads the files whose path hashes to its shard, so a huge repository is read
-by many tasks. Options: ``shards`` (default 8), ``prune`` (skip ignored directories, default
-true), ``suffixes`` (comma list, default ``.py``; empty = every file). Unreadable files are
-skipped; text is decoded as UTF-8 with invalid bytes dropped. The root must be on storage
-that every executor sees.
+``.`` (``__init__.py``, ``__main__.py``). The driver lists the repository folders and their
+top-level directories only; each top-level directory is one input partition that is walked and
+read once, on an executor, and so are the files beside them. Options: ``prune`` (skip ignored
+directories, default true), ``suffixes`` (comma list, default ``.py``; empty = every file).
+Unreadable files are skipped; text is decoded as UTF-8 with invalid bytes dropped. The root must
+be on storage that every executor sees.
 """
 from __future__ import annotations
 
 import os
-import zlib
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -29,36 +27,40 @@ def local_path(p: str) -> str:
     return p
 
 
-class _Shard(InputPartition):
-    def __init__(self, repo: str, shard: int, shards: int):
-        super().__init__((repo, shard))
-        self.repo, self.shard, self.shards = repo, shard, shards
+class _Part(InputPartition):
+    """One directory at the top of a repository with all below it, or (``top`` None) the files at the top."""
+
+    def __init__(self, repo: str, top: str | None):
+        super().__init__((repo, top))
+        self.repo, self.top = repo, top
 
 
 class SourceDirReader(DataSourceReader):
     def __init__(self, options):
         self.root = local_path(options["path"])
-        self.shards = int(options.get("shards", "8"))
         self.prune = options.get("prune", "true").lower() == "true"
         sx = options.get("suffixes", ",".join(SUPPORTED_EXT))
         self.suffixes = tuple(x for x in sx.split(",") if x)
 
     def partitions(self):
-        repos = sorted(d for d in os.listdir(self.root) if os.path.isdir(os.path.join(self.root, d)))
-        return [_Shard(r, k, self.shards) for r in repos for k in range(self.shards)]
+        out = []
+        for repo in sorted(e.name for e in os.scandir(self.root) if e.is_dir()):
+            tops = sorted(e.name for e in os.scandir(os.path.join(self.root, repo)) if e.is_dir())
+            out += [_Part(repo, None), *[_Part(repo, t) for t in tops if not (self.prune and t in IGNORE_DIRS)]]
+        return out
 
     def read(self, partition):
         base = os.path.join(self.root, partition.repo)
-        for dirpath, dirnames, filenames in os.walk(base):
-            if self.prune:
+        for dirpath, dirnames, filenames in os.walk(os.path.join(base, partition.top or "")):
+            if partition.top is None:
+                dirnames.clear()
+            elif self.prune:
                 dirnames[:] = [d for d in dirnames if d not in IGNORE_DIRS]
             for fname in filenames:
                 stem, ext = os.path.splitext(fname)
                 if self.suffixes and (ext not in self.suffixes or not stem):
                     continue
                 rel = os.path.relpath(os.path.join(dirpath, fname), base).replace(os.sep, "/")
-                if zlib.crc32(rel.encode()) % partition.shards != partition.shard:
-                    continue
                 try:
                     with open(os.path.join(dirpath, fname), "rb") as fh:
                         text = fh.read().decode("utf-8", errors="ignore")

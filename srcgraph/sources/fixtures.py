@@ -168,6 +168,13 @@ def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("repo_id", url.alias("repo_url"))
 
 
+def run_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(repo_id, analyze_deep)``: one request per F1 repository, deep for odd brands."""
+    p = table(spark, sf_dir, "part")
+    k = F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int")
+    return p.select(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("repo_id"), (k % 2 == 1).alias("analyze_deep")).distinct()
+
+
 def repo_readmes(spark: SparkSession, sf_dir: str, picked: DataFrame) -> DataFrame:
     """``(repo_id, text)``: for each repository with a README (``picked``), the first
     document (lowest ``doc_id``) of source ``src<k mod 20>``."""

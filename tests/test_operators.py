@@ -251,3 +251,52 @@ def test_no_machine_local_checkpoint_on_a_cluster():
 
     with pytest.raises(ValueError):
         checkpoint_dir(Session())
+
+
+def test_both_plans_of_pattern_lookup_agree(spark):
+    import random
+
+    from srcgraph.operators.lookup import pattern_lookup
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("ab:") for _ in range(n))
+    e = spark.createDataFrame([("r", f"s{i}", text(rng.randint(0, 20)), rng.choice(["calls", "inherits"])) for i in range(200)],
+                              "repo_id string, source string, target string, type string")
+    p = spark.createDataFrame([(text(rng.randint(0, 12)), rng.choice(["calls", "inherits"])) for _ in range(60)], "pattern string, type string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(pattern_lookup(e, p)) == rows(pattern_lookup(e, p, max_broadcast=0)) != []
+
+
+def test_file_rows_are_the_files_of_the_tree(spark):
+    from srcgraph.operators.tree import file_rows
+    paths = ["b.py", "A/x.py", "venv/z.py", "A/.git/q.py", "C/D/e.txt", "venv"]
+    df = spark.createDataFrame([("r", p) for p in paths], "repo_id string, path string")
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    assert rows(file_rows(df)) == rows(file_tree(df).where("type = 'file'"))
+
+
+def test_repository_without_a_seed_has_a_row(spark):
+    d = discover(files_df(spark, {"main.py": "x = 1\n"}), spark.createDataFrame([("r", "main.py"), ("q", "README.md")], "repo_id string, path string"))
+    assert {(r.repo_id, r.discovery_rounds, r.files_reached) for r in d.rounds.collect()} == {("r", 1, 1), ("q", 1, 0)}
+
+
+def test_directory_source_reads_each_file_once(spark, tmp_path):
+    from srcgraph.sources.directory import register
+    for p in ("r/a.py", "r/x/__init__.py", "r/x/y/b.py", "r/x/venv/c.py", "r/node_modules/d.py", "q/e.txt", "q/z/.f.py", "r/.py"):
+        f = tmp_path / p
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(p)
+    register(spark)
+    got = sorted((r.repo_id, r.path, r.content) for r in spark.read.format("srcdir").option("path", str(tmp_path)).load().collect())
+    assert [g[:2] for g in got] == [("q", "z/.f.py"), ("r", "a.py"), ("r", "x/__init__.py"), ("r", "x/y/b.py")]
+
+
+def test_written_tables_can_be_cleared(spark):
+    import os
+
+    from srcgraph.session import clear_tables, materialize, scratch_path
+    materialize(spark.range(3), "t", key="clear-test")
+    folder = scratch_path(spark, "tables").removeprefix("file:")
+    assert os.listdir(folder)
+    clear_tables(spark)
+    assert not os.path.exists(folder)
+    assert materialize(spark.range(3), "t", key="clear-test").count() == 3
