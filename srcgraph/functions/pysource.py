@@ -77,8 +77,8 @@ def logical_lines(content: Column) -> Column:
         parts = _bind(depth, lambda d: F.transform(ls, lambda l, i: F.when(
             l.startswith(JOIN) | (F.get(d, i) > 0), F.concat(F.lit(JOIN), l)).otherwise(
                 F.concat(F.lit("\n"), (i + 1).cast("string"), F.lit(MARK), l))))
-        text = F.array_join(parts, "")
-        rows = F.split(F.when(text.startswith("\n"), F.substring(text, F.lit(2), F.length(text))).otherwise(text), "\n", -1)
+        rows = _bind(F.array_join(parts, ""), lambda t: F.split(
+            F.when(t.startswith("\n"), F.substring(t, F.lit(2), F.length(t))).otherwise(t), "\n", -1))
         return F.transform(rows, lambda r: F.struct(
             F.substring_index(r, MARK, 1).cast("int").alias("n"),
             F.translate(F.substring(r, F.instr(r, MARK) + 1, F.length(r)), JOIN, " ").alias("text")))
@@ -96,19 +96,19 @@ def base_names(header: Column) -> Column:
 
     def pick(ts):
         delta = F.transform(ts, lambda t: F.when(is_open(t), 1).when(is_close(t), -1).otherwise(0))
-        after = F.transform(delta, lambda _, i: F.aggregate(F.slice(delta, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b))
+        after = _bind(delta, lambda d: F.transform(d, lambda _, i: F.aggregate(F.slice(d, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b)))
         call = F.transform(ts, lambda t, i: t.endswith("(") & (i > 0)
                            & ((F.length(t) > 1) | is_close(F.get(ts, F.greatest(i - 1, F.lit(0))))))
 
-        def names(a):
+        def names(a, c):
             end = F.array_position(a, 0)
-            inside = lambda i: F.exists(F.sequence(F.lit(0), i), lambda j: F.get(call, j) & (j < i) & (
+            inside = lambda i: F.exists(F.sequence(F.lit(0), i), lambda j: F.get(c, j) & (j < i) & (
                 F.array_min(F.slice(a, j + 1, i - j + 1)) >= F.get(a, j)))
             kept = F.transform(ts, lambda t, i: F.when(
                 ((end == 0) | (i + 1 < end)) & ~is_open(t) & ~is_close(t) & ~inside(i), t))
             return F.filter(kept, lambda t: t.isNotNull())
 
-        return _bind(after, names)
+        return _bind(after, lambda a: _bind(call, lambda c: names(a, c)))
 
     none = F.array().cast("array<string>")
     return F.when(F.ltrim(header).startswith("("), _bind(toks, pick)).otherwise(none)
