@@ -3,16 +3,37 @@ from __future__ import annotations
 
 import numpy as np
 
-_BLOCK = 8  # 64-bit words per entry of the directory
 _ONE = np.uint64(1)
+_CHUNK = 1 << 15  # queries worked on at a time, so that intermediate arrays stay in the cache
+_M = [np.uint64(int(x * 8, 16)) for x in ("55", "33", "0f", "01", "80")]
+#: Place of the k-th one in a byte, at [k * 256 + byte].
+_IN_BYTE = np.array([next((i for i in range(8) if (byte >> i) & 1 and bin(byte & ((1 << i) - 1)).count("1") == k), 0)
+                     for k in range(8) for byte in range(256)], np.uint8)
+
+
+def _in_word(w: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of the k-th one (from 0) of each 64-bit word: counts per byte side by side, then a table."""
+    x = w - ((w >> _ONE) & _M[0])
+    x = (x & _M[1]) + ((x >> np.uint64(2)) & _M[1])
+    x = ((x + (x >> np.uint64(4))) & _M[2]) * _M[3]  # byte i: ones up to and with byte i
+    k = k.astype(np.uint64)
+    more = ((x | _M[4]) - (k + _ONE) * _M[3]) & _M[4]  # high bit of the bytes that have more than k
+    at = (np.uint64(8) - np.bitwise_count(more)) << np.uint64(3)
+    k -= ((x << np.uint64(8)) >> at) & np.uint64(255)
+    return at.astype(np.int64) + _IN_BYTE[(k << np.uint64(8)) | ((w >> at) & np.uint64(255))]
+
+
+def _by_chunks(n: int, parts: int, one) -> list[np.ndarray]:
+    got = [one(slice(i, i + _CHUNK)) for i in range(0, n, _CHUNK)]
+    return [np.concatenate([g[j] for g in got]) for j in range(parts)]
 
 
 class EliasFano:
-    """n values v[0] <= v[1] <= ...: the low bits packed side by side, the high ones in unary, and for each block of
-    the latter how many ones come before it. ``arrays`` is all there is to store, ``meta`` how to read it."""
+    """n < 2^31 values v[0] <= v[1] <= ...: the low bits packed side by side, the high ones in unary, and for each
+    word of the latter how many ones and how many zeros come before it. ``arrays`` is all there is to store, ``meta`` how to read it."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
-        self.n, self.l, self.low, self.high, self.ones = n, low_bits, low, high, ones
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
+        self.n, self.l, self.low, self.high, self.ones, self.zeros = n, low_bits, low, high, ones, zeros
 
     @classmethod
     def build(cls, v: np.ndarray) -> "EliasFano":
@@ -29,16 +50,14 @@ class EliasFano:
             np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
         # value i sets bit (v >> l) + i; a zero ends each bucket of equal high parts
         bit = (v >> np.uint64(l)).astype(np.int64) + np.arange(n)
-        words = ((top >> l) + n + 1 + 63) // 64 + _BLOCK
-        words += -words % _BLOCK
-        high = np.zeros(words, np.uint64)
+        high = np.zeros(((top >> l) + n + 1 + 63) // 64 + 1, np.uint64)
         np.bitwise_or.at(high, bit >> 6, _ONE << (bit & 63).astype(np.uint64))
-        per = np.bitwise_count(high).reshape(-1, _BLOCK).sum(axis=1)
-        return cls(n, l, low, high, np.concatenate([[0], np.cumsum(per)]).astype(np.int64))
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high))]).astype(np.int32)
+        return cls(n, l, low, high, ones, np.arange(len(ones), dtype=np.int32) * 64 - ones)
 
     @property
     def arrays(self) -> list[np.ndarray]:
-        return [self.low, self.high, self.ones]
+        return [self.low, self.high, self.ones, self.zeros]
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -51,35 +70,20 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, zeros: bool) -> np.ndarray:
         """The place of the k-th one (or zero) of the high bits, from 0."""
-        count = np.arange(len(self.ones)) * (_BLOCK * 64) - self.ones if zeros else self.ones
-        block = np.searchsorted(count, k, "right") - 1
-        left = k - count[block]
-        word = block * _BLOCK
-        todo = np.arange(len(k))
-        for _ in range(_BLOCK):
-            w = self.high[word[todo]]
-            c = np.bitwise_count(~w if zeros else w).astype(np.int64)
-            on = left[todo] >= c
-            todo, c = todo[on], c[on]
-            if not len(todo):
-                break
-            left[todo] -= c
-            word[todo] += 1
-        w = self.high[word]
+        before = self.zeros if zeros else self.ones
+        word = np.searchsorted(before, k.astype(np.int32), "right") - 1
+        w, left = self.high[word], k - before[word]
         w = ~w if zeros else w
-        place = np.zeros(len(k), np.uint64)
-        for width in (32, 16, 8, 4, 2, 1):
-            c = np.bitwise_count((w >> place) & np.uint64((1 << width) - 1)).astype(np.int64)
-            up = left >= c
-            left = np.where(up, left - c, left)
-            place = np.where(up, place + np.uint64(width), place)
-        return word * 64 + place.astype(np.int64)
+        return word * 64 + _in_word(w, left)
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The values at places i."""
         i = np.asarray(i, np.int64)
         if not len(i):
             return np.zeros(0, np.uint64)
+        return _by_chunks(len(i), 1, lambda c: (self._access(i[c]),))[0]
+
+    def _access(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(i, False) - i).astype(np.uint64) << np.uint64(self.l)) | self._lows(i)
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,21 +91,26 @@ class EliasFano:
         x = np.asarray(x, np.uint64)
         if not len(x) or not self.n:
             return np.full(len(x), self.n, np.int64), np.zeros(len(x), bool)
+        at, found = _by_chunks(len(x), 2, lambda c: self._successor(x[c]))
+        return at, found
+
+    def _successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h, low = (x >> np.uint64(self.l)).astype(np.int64), x & np.uint64((1 << self.l) - 1)
-        top = int(self.ones[-1] and (len(self.high) * 64 - self.ones[-1]))  # zeros in all
+        top = int(self.zeros[-1])
         far = h >= top
         h = np.minimum(h, top - 1)
-        bit = np.where(h > 0, self._select(np.maximum(h - 1, 0), True) + 1, 0)
-        at = bit - h
+        # the bucket of x's high part, then a binary search over its low bits
+        begin = np.where(h > 0, self._select(np.maximum(h - 1, 0), True) + 1, 0) - h
+        end = self._select(h, True) - h
+        lo, hi = begin.copy(), np.where(far, begin, end)
+        todo = np.flatnonzero(lo < hi)
+        while len(todo):
+            mid = (lo[todo] + hi[todo]) >> 1
+            up = self._lows(mid) < low[todo]
+            lo[todo] = np.where(up, mid + 1, lo[todo])
+            hi[todo] = np.where(up, hi[todo], mid)
+            todo = todo[lo[todo] < hi[todo]]
         found = np.zeros(len(x), bool)
-        todo = np.flatnonzero(~far)
-        while len(todo):  # over the bucket of x's high part
-            b = bit[todo]
-            one = (self.high[b >> 6] >> (b & 63).astype(np.uint64)) & _ONE == _ONE
-            todo = todo[one]
-            v = self._lows(at[todo])
-            found[todo] = v == low[todo]
-            todo = todo[v < low[todo]]
-            bit[todo] += 1
-            at[todo] += 1
-        return np.where(far, self.n, at), found
+        some = np.flatnonzero((lo < end) & ~far)
+        found[some] = self._lows(lo[some]) == low[some]
+        return np.where(far, self.n, lo), found

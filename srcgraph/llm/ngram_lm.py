@@ -2,8 +2,8 @@
 
 Words are 64-bit hashes. The vocabulary is the sorted sequence of hashes in Elias-Fano code, cut by the hashes'
 leading bits into parts of bounded size; a word's id is its place. N-grams are counted by Spark: tasks count the
-tuples (x, y, z) of their texts, compress them per shard (a hash of x, y) and send them to the shards, each of which
-sums them and writes one trie:
+tuples (x, y, z) of their texts, compress them per shard (a hash of x, and for frequent x of a part of the y as well) and send them
+to the shards, each of which sums them and writes one trie:
 
   level 1   contexts x, increasing ids; pointers to their successors
   level 2   successors y of each x; quantised discounted probability, back-off weight of (x, y), pointers
@@ -61,6 +61,7 @@ class Model:
     tokens: int = 0
     docs: int = 0
     shards: int = 0
+    per_shard: int = 1 << 22
     bos_left: float = 1.0  # back-off weight of the beginning of a text
 
     @property
@@ -93,7 +94,7 @@ def _read(folder: str, name: str) -> tuple[dict, list[np.ndarray]]:
         if not os.path.exists(path):
             fs.copy_files(there, f"{path}.{os.getpid()}", source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
             os.replace(f"{path}.{os.getpid()}", path)
-    raw = np.memmap(path, np.uint8, "r")
+    raw = np.memmap(path, np.uint8, "r").view(np.ndarray)
     n = int.from_bytes(raw[:8].tobytes(), "little")
     meta, at, arrays = json.loads(raw[8:8 + n].tobytes()), 8 + n + -n % 8, []
     for kind, size in meta["arrays"]:
@@ -104,7 +105,7 @@ def _read(folder: str, name: str) -> tuple[dict, list[np.ndarray]]:
 
 
 def _ef(meta: dict, arrays: list[np.ndarray], i: int) -> EliasFano:
-    return EliasFano(meta["n"][i], meta["l"][i], *arrays[3 * i:3 * i + 3])
+    return EliasFano(meta["n"][i], meta["l"][i], *arrays[4 * i:4 * i + 4])
 
 
 def _efs(codes: list[EliasFano]) -> tuple[dict, list[np.ndarray]]:
@@ -139,7 +140,7 @@ class Vocabulary:
         return out
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
-        c = self._gather(ids, "words", 3, 0, np.int64)
+        c = self._gather(ids, "words", 4, 0, np.int64)
         c[ids == self.m.size] = self.m.docs  # the beginning of a text
         return c
 
@@ -154,11 +155,18 @@ def base_probability(c: np.ndarray, m: Model) -> np.ndarray:
     return (c + 0.1) / (m.tokens + 0.1 * (m.size + 1))
 
 
-def _shard_of(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
-    k = (x.astype(np.uint64) << np.uint64(32)) | y.astype(np.uint64)
+def _mix(k: np.ndarray) -> np.ndarray:
     k = (k ^ (k >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     k = (k ^ (k >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return ((k ^ (k >> np.uint64(33))) % np.uint64(n)).astype(np.int64)
+    return k ^ (k >> np.uint64(33))
+
+
+def _shard_of(vocab: Vocabulary, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The shard of each (x, y): by x, and where x's count is more than an eighth of a shard also by a part of the y."""
+    m = vocab.m
+    parts = (1 + vocab.counts(x) // max(1, m.per_shard // 8)).astype(np.uint64)
+    part = _mix(y.astype(np.uint64) + np.uint64(1)) % parts
+    return (_mix((x.astype(np.uint64) << np.uint64(24)) ^ part) % np.uint64(m.shards)).astype(np.int64)
 
 
 def _passes(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -213,9 +221,9 @@ def _count(m: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             z[np.isin(at + 1, last, assume_unique=True)] = NONE
             pair, back = np.unique((x << 32) | y, return_inverse=True)
             key, c = np.unique((back << 32) | z, return_counts=True)
+            shard = _shard_of(vocab, pair >> 32, pair & 0xFFFFFFFF)[key >> 32]
             pair = pair[key >> 32]
             x, y, z = pair >> 32, pair & 0xFFFFFFFF, key & 0xFFFFFFFF
-            shard = _shard_of(x, y, m.shards)
             order = np.argsort(shard, kind="stable")
             edge = np.searchsorted(shard[order], np.arange(m.shards + 1))
             rows = [(s, _pack([v[order[edge[s]:edge[s + 1]]] for v in (x, y, z, c)])) for s in range(m.shards) if edge[s] < edge[s + 1]]
@@ -284,32 +292,43 @@ class Trie:
     def __init__(self, m: Model, shard: int):
         meta, arrays = _read(m.folder, f"trie-{shard}")
         self.one, self.ptr2, self.two, self.ptr3, self.three = (_ef(meta, arrays, i) for i in range(5))
-        self.code2, self.rest, self.code3 = arrays[15:]
+        self.code2, self.rest, self.code3 = arrays[20:]
         self.low2, self.low3 = meta["low"]
 
     @staticmethod
-    def _child(level: EliasFano, begin: np.ndarray, end: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Places of ids among the successors [begin, end), or -1: a successor search relative to the context."""
-        base = np.where(begin > 0, level.access(np.maximum(begin - 1, 0)), 0).astype(np.uint64)
-        at, found = level.successor(base + ids.astype(np.uint64) + np.uint64(1))
-        return np.where(found & (at >= begin) & (at < end), at, -1)
+    def _children(pointers: EliasFano, level: EliasFano, node: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Places in ``level`` of ids among the successors of nodes (in order, repeated), or -1.
+
+        Each node's range and base (the last value before it) are read once; every id is then one successor
+        search relative to its context."""
+        out = np.full(len(node), -1, np.int64)
+        if not len(node):
+            return out
+        new = np.concatenate([[True], node[1:] != node[:-1]])
+        u, of = node[new], np.cumsum(new) - 1
+        begin, end = (pointers.access(u + i).astype(np.int64) for i in (0, 1))
+        base = np.zeros(len(u), np.uint64)
+        on = begin > 0
+        base[on] = level.access(begin[on] - 1)
+        some = np.flatnonzero((begin < end)[of])
+        of = of[some]
+        at, found = level.successor(base[of] + ids[some].astype(np.uint64) + np.uint64(1))
+        out[some] = np.where(found & (at >= begin[of]) & (at < end[of]), at, -1)
+        return out
 
     def pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Nodes of level 2, or -1."""
+        """Nodes of level 2 of pairs in order of x, or -1."""
         node = np.full(len(x), -1, np.int64)
-        k, found = self.one.successor(x.astype(np.uint64))
-        on = np.flatnonzero(found)
-        begin, end = (self.ptr2.access(k[on] + i).astype(np.int64) for i in (0, 1))
-        node[on] = self._child(self.two, begin, end, y[on])
+        new = np.concatenate([[True], x[1:] != x[:-1]])
+        k, found = self.one.successor(x[new].astype(np.uint64))
+        of = np.cumsum(new) - 1
+        on = np.flatnonzero(found[of])
+        node[on] = self._children(self.ptr2, self.two, k[of[on]], y[on])
         return node
 
     def triples(self, node: np.ndarray, z: np.ndarray) -> np.ndarray:
-        """Places in level 3 of the successors z of nodes of level 2, or -1."""
-        begin, end = (self.ptr3.access(node + i).astype(np.int64) for i in (0, 1))
-        at = np.full(len(node), -1, np.int64)
-        on = np.flatnonzero(begin < end)
-        at[on] = self._child(self.three, begin[on], end[on], z[on])
-        return at
+        """Places in level 3 of the successors z of nodes of level 2 (in order), or -1."""
+        return self._children(self.ptr3, self.three, node, z)
 
 
 @lru_cache(maxsize=None)
@@ -317,6 +336,15 @@ def _trie(folder: str, shards: int, shard: int) -> Trie:
     return Trie(Model(folder, shards=shards), shard)
 
 
+def _groups(shard: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, its rows in order) for each shard that has any."""
+    order = np.argsort(shard, kind="stable")
+    cut = np.flatnonzero(np.diff(shard[order])) + 1
+    for g in np.split(order, cut):
+        if len(g):
+            yield int(shard[g[0]]), rows[g]
+
+
 def score_texts(m: Model, w: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """n_tokens, n_known, base_score and score of texts given as word hashes."""
     vocab, size = Vocabulary(m), m.size
@@ -332,11 +360,11 @@ def score_texts(m: Model, w: np.ndarray, start: np.ndarray) -> tuple[np.ndarray,
     if m.shards and size:
         pair, back = np.unique((x << 32) | y, return_inverse=True)
         px, py = pair >> 32, pair & 0xFFFFFFFF
-        shard, node = _shard_of(px, py, m.shards), np.full(len(pair), -1, np.int64)
-        known = (px <= size) & (py < size)
+        known = np.flatnonzero((px <= size) & (py < size))
+        shard, node = np.full(len(pair), -1, np.int64), np.full(len(pair), -1, np.int64)
+        shard[known] = _shard_of(vocab, px[known], py[known])
         a2, rest = np.zeros(len(pair)), np.ones(len(pair))
-        groups = [np.flatnonzero(known & (shard == s)) for s in range(m.shards)]
-        for s, g in enumerate(groups):
+        for s, g in _groups(shard[known], known):
             if len(g):
                 t = _trie(m.folder, m.shards, s)
                 node[g] = t.pairs(px[g], py[g])
@@ -349,8 +377,8 @@ def score_texts(m: Model, w: np.ndarray, start: np.ndarray) -> tuple[np.ndarray,
         on = np.flatnonzero((node_before >= 0) & (y < size))
         tri, again = np.unique((before[on] << 32) | y[on], return_inverse=True)
         tp, tz, a3 = tri >> 32, tri & 0xFFFFFFFF, np.zeros(len(tri))
-        for s in np.unique(shard[tp]):
-            g, t = np.flatnonzero(shard[tp] == s), _trie(m.folder, m.shards, int(s))
+        for s, g in _groups(shard[tp], np.arange(len(tp))):
+            t = _trie(m.folder, m.shards, s)
             place = t.triples(node[tp[g]], tz[g])
             a3[g[place >= 0]] = _decode(t.low3, t.code3[place[place >= 0]])
         p = a2[back] + vocab.left(x) * p1
@@ -384,7 +412,7 @@ def train(docs: DataFrame, text: str = "text", min_counts: tuple[int, int] = (2,
     if not n_words:
         return m
     m.bits = max(0, (n_words // words_per_part).bit_length())
-    m.shards = m.tokens // tokens_per_shard + 1
+    m.shards, m.per_shard = m.tokens // tokens_per_shard + 1, tokens_per_shard
     part = F.shiftrightunsigned("h", 64 - m.bits) if m.bits else F.lit(0).cast("long")
 
     def write_words(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
