@@ -150,7 +150,7 @@ def scoped_oracles() -> dict[str, str]:
     o["scoped_bases"] = w("SELECT repo_id, path, n, class_name, base FROM sbases")
     o["parser_choice"] = w("SELECT repo_id, file, name, kind, complexity FROM mnodes")
     o["call_edges"] = w("SELECT repo_id, file, source, target, type FROM medges WHERE type = 'calls'")
-    # the answers follow from p_partkey; no text is parsed
+    # F8: the answers follow from p_partkey; no text is parsed
     o["scoped_wrapped"] = "WITH " + O.F1 + """,
 x AS (SELECT repo_id, path, p_partkey AS k FROM f1),
 r AS (SELECT repo_id, path, unnest([

@@ -636,9 +636,9 @@ def q_scoped_bases(spark, sf):
 
 @register("scoped_wrapped")
 def q_scoped_wrapped(spark, sf):
-    """SCP1-SCP6 on F7: every symbol, call, base and import of files whose constructs span lines."""
+    """SCP1-SCP6 on F8: every symbol, call, base and import of files whose constructs span lines."""
     from ..operators import scoped as SC
-    f = SC.scoped_features(FX.f7_wrapped_sources(spark, sf))
+    f = SC.scoped_features(FX.f8_wrapped_sources(spark, sf))
     rows = [SC.scoped_symbols(f).select("repo_id", "path", F.col("pos.n").alias("n"), F.col("kind").alias("what"), F.col("name").alias("a"), F.lit("").alias("b")),
             SC.scoped_calls(f).select("repo_id", "path", "n", F.lit("call").alias("what"), F.col("caller").alias("a"), F.col("callee").alias("b")),
             SC.scoped_bases(f).select("repo_id", "path", "n", F.lit("base").alias("what"), F.col("class_name").alias("a"), F.col("base").alias("b")),

@@ -1,4 +1,4 @@
-"""F1-F6 of FIXTURES.md, derived with the DataFrame API from the driver tables.
+"""F1-F6, F8 of FIXTURES.md, derived with the DataFrame API from the driver tables.
 
 The driver tables hold no source code, so code-shaped input is generated from ``part``
 (one file per part, ``repo_id`` from the brand). Every fixture scales with its table.
@@ -72,8 +72,8 @@ def f1_source_files(spark: SparkSession, sf_dir: str, with_key: bool = False) ->
     return q.select(*cols)
 
 
-def f7_wrapped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F7 ``(p_partkey, repo_id, path, content)``: one file per ``part`` row whose signatures, bases, calls, imports
+def f8_wrapped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8 ``(p_partkey, repo_id, path, content)``: one file per ``part`` row whose signatures, bases, calls, imports
     and strings span lines, with quotes and brackets in comments and strings. What it holds follows from
     ``p_partkey`` alone (see ``scoped_wrapped`` in the oracle), so checking it parses no text again."""
     k = F.col("p_partkey")
