@@ -4,8 +4,9 @@
    R-row band hashes. Rows with the same digest have the same set: they are one class and meet in no pair.
 2. Classes that share a band hash are candidates. They are not all paired: in the first rounds every member of
    a bucket meets one pivot of it, and components are formed. Then only members of different components are
-   left to compare, and all such pairs that share a bucket are compared, so no pair is left out.
-3. Candidates pass the size bound, then the signature check (8 bits of each minimum; the limit lies 4.5
+   left to compare: of those, all pairs that share a bucket are compared, but for pairs that their signatures or
+   their shingles shared with anyone else show to be too far apart. No link is left out.
+3. Candidates pass the size bound, then the signature check (8 bits of each minimum; the limit lies 4
    standard errors under the wanted similarity), and are linked when 100 * |A & B| >= 75 * |A | B| on full sets.
 4. Components by alternating large-star and small-star; the least doc_id of a component stays.
 
@@ -16,13 +17,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from srcgraph.session import materialize
 
@@ -31,8 +31,9 @@ from .components import connected_components
 
 WIDTH, BANDS, ROWS = 5, 40, 5
 K = BANDS * ROWS
+WORDS = -(-K // 64)
 SIMILARITY = 75
-MIN_MATCHES = int(K * (0.75 - 4.5 * (0.75 * 0.25 / K) ** 0.5))
+MIN_MATCHES = int(K * (0.75 - 4 * (0.75 * 0.25 / K) ** 0.5))
 _CHUNK = 1 << 15
 
 
@@ -91,8 +92,14 @@ def minima(h: np.ndarray, start: np.ndarray, seed: int) -> np.ndarray:
     return sig
 
 
+def bit_planes(sig: np.ndarray) -> np.ndarray:
+    """The low 8 bits of K minima a row as 8 planes of WORDS longs (int64), so that they can be compared bit by bit."""
+    bits = np.unpackbits((sig & np.uint32(255)).astype(np.uint8)[:, :, None], axis=2).transpose(0, 2, 1)
+    return np.packbits(np.pad(bits, ((0, 0), (0, 0), (0, WORDS * 64 - K))), axis=2).view(np.int64).reshape(len(sig), -1)
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str, seed: int) -> DataFrame:
-    """Per row: doc_id, th (text hash), n (set size), node and node2 (digest), bands, sig; the last four null for n = 0."""
+    """Per row: doc_id, th (text hash), n (set size), node and node2 (digest; null for n = 0), bands, sig."""
     t = text_of(text)
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("th"),
                       F.transform(words(ascii_lower(t)), lambda x: F.xxhash64(x)).alias("w"))
@@ -113,13 +120,13 @@ def signatures(docs: DataFrame, doc_id: str, text: str, seed: int) -> DataFrame:
             none = n == 0
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS),
                                              pa.array(band.view(np.int64).ravel()))
-            small = (sig & np.uint32(255)).astype(np.uint8)
+            small = bit_planes(sig)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n), pa.array(digest[:, 0], mask=none), pa.array(digest[:, 1], mask=none),
-                 bands, pa.array([None if none[i] else small[i].tobytes() for i in range(len(n))], pa.binary())],
+                 bands, pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * 8 * WORDS), pa.array(small.ravel()))],
                 ["doc_id", "th", "n", "node", "node2", "bands", "sig"])
 
-    return src.mapInArrow(run, "doc_id long, th long, n long, node long, node2 long, bands array<long>, sig binary")
+    return src.mapInArrow(run, "doc_id long, th long, n long, node long, node2 long, bands array<long>, sig array<long>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -138,12 +145,13 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     return src.mapInArrow(run, "node long, s array<long>")
 
 
-@F.pandas_udf(IntegerType())
-def _matches(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype="int32")
-    x, y = (np.frombuffer(b"".join(z), np.uint8).reshape(-1, K) for z in (a, b))
-    return pd.Series((x == y).sum(axis=1).astype(np.int32))
+def _alike(a: str, b: str) -> Column:
+    """Whether at least MIN_MATCHES of the K minima agree: a minimum differs where any of its bit planes does."""
+    differ = F.lit(0)
+    for w in range(WORDS):
+        planes = [F.get(a, F.lit(p * WORDS + w)).bitwiseXOR(F.get(b, F.lit(p * WORDS + w))) for p in range(8)]
+        differ = differ + F.bit_count(reduce(Column.bitwiseOR, planes))
+    return differ <= K - MIN_MATCHES
 
 
 def _both(pairs: DataFrame, side: DataFrame, *cols: str) -> DataFrame:
@@ -157,7 +165,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The distinct pairs (a, b) whose sets are similar enough: sizes, then signatures, then full sets."""
     p = _both(pairs.select("a", "b").distinct(), sets, "n", "sig")
     p = p.where((100 * F.least("a_n", "b_n") >= SIMILARITY * F.greatest("a_n", "b_n"))
-                & (_matches("a_sig", "b_sig") >= MIN_MATCHES))
+                & _alike("a_sig", "b_sig"))
     p = _both(materialize(p.select("a", "b", "a_n", "b_n"), "near-candidates"), sets, "s")
     common = F.size(F.array_intersect("a_s", "b_s"))
     return p.where(100 * common >= SIMILARITY * (F.col("a_n") + F.col("b_n") - common)).select("a", "b")
@@ -169,6 +177,19 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def _bounds(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, n, sig, bands, c): set size, signature, and how many of a node's shingles any other of ``nodes`` holds too.
+
+    No pair has more than the lesser c in common, so one whose similarity could not reach the limit with that is
+    no link. That refutes heavily edited copies of one text, which share buckets with all its other copies,
+    without comparing them one by one."""
+    own = sets.join(nodes, "node", "left_semi")
+    alone = (own.select("node", F.explode("s").alias("x")).groupBy("x").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("k"))
+             .where("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u")))
+    return own.select("node", "n", "sig", "bands").join(alone, "node", "left").select(
+        "node", "n", "sig", "bands", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
+
+
 def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     """(node, label) after new links (a, b): the components of the labels they join, handed down to the nodes."""
     if not links.take(1):
@@ -187,7 +208,7 @@ def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 7,
-                    pivot_rounds: int = 1) -> DataFrame:
+                    pivot_rounds: int = 2) -> DataFrame:
     """Per row of ``docs``: doc_id, th (xxhash64 of the text), n_shingles, component_id, kept.
 
     Texts are A-Z lower-cased; words are runs outside white space. Fewer than five words are one shingle; a
@@ -204,15 +225,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = materialize(classes, "near-classes")
     if classes.groupBy("node").count().where("count > 1").take(1):
         raise ValueError("two sets share 64 bits of their digest; run again with another seed")
-    bucket = classes.select("node", F.explode("bands").alias("h"))
+    bucket = classes.select("node", F.posexplode("bands").alias("k", "h"))
     shared = materialize(bucket.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "near-buckets")
     members = materialize(bucket.join(shared, "h"), "near-members")
     wanted = classes.join(members.select("node").distinct(), "node", "left_semi")
-    wanted = materialize(wanted.select("node", F.col("rep.doc_id").alias("i"), F.col("rep.th").alias("h"), "n", "sig"), "near-wanted")
+    wanted = materialize(wanted.select("node", F.col("rep.doc_id").alias("i"), F.col("rep.th").alias("h"), "n", "sig", "bands"), "near-wanted")
     full = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("t")).withColumn("th", F.xxhash64("t"))
     texts = full.join(wanted.select("node", "i", "h"), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")))
     sets = materialize(shingle_sets(texts.dropDuplicates(["id", "th"]).select("node", "t"))
-                       .join(wanted.select("node", "n", "sig"), "node"), "near-sets")
+                       .join(wanted.select("node", "n", "sig", "bands"), "node"), "near-sets")
     labels = None
     for r in range(pivot_rounds + 1):
         m = _labelled(members, labels)
@@ -226,8 +247,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             pivot = m.groupBy("h").agg(F.min(order).alias("p")).select("h", F.col("p.node").alias("b"), F.col("p.label").alias("b_label"))
             pairs = m.join(materialize(pivot, "near-pivots"), "h").where("label <> b_label")
         else:
-            o = m.select("h", F.col("node").alias("b"), F.col("label").alias("b_label"))
-            pairs = m.join(o, "h").where("label < b_label")
+            m = materialize(m.join(_bounds(m.select("node").distinct(), sets), "node").where(
+                100 * F.col("c") >= SIMILARITY * F.col("n")), "near-live")
+            o = m.select("h", *[F.col(c).alias(f"b_{c}") for c in ("node", "label", "n", "c", "sig", "bands")])
+            most = F.least("c", "b_c")
+            first = F.array_position(F.zip_with("bands", "b_bands", lambda x, y: x == y), True) == F.col("k") + 1
+            pairs = m.join(o, "h").where(
+                (F.col("label") < F.col("b_label")) & (100 * most >= SIMILARITY * (F.col("n") + F.col("b_n") - most))
+                & _alike("sig", "b_sig") & first).withColumnRenamed("b_node", "b")
         links = materialize(linked(pairs.select(F.col("node").alias("a"), "b"), sets), "near-links")
         labels = _merge(labels, links)
     owner = _labelled(classes.select("node", F.col("rep.doc_id").alias("id")), labels)
