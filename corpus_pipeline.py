@@ -18,7 +18,7 @@ from srcgraph.llm.mixing import mix, repeat_by_times
 from srcgraph.llm.near_dedup import drop_near_duplicates
 from srcgraph.session import scratch_path
 
-MIN_LANGUAGE_SCORE = 0.5
+MIN_LANGUAGE_SCORE = 0.3
 TOKENIZER = os.environ.get("SP_MODEL_FILE", "/opt/tokenizers/piece_bpe_32k.model")
 
 
