@@ -45,7 +45,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    model = ngram_lm.train(docs.where(fold("doc_id", 10) != 0))
+    model = ngram_lm.train(docs.where(fold("doc_id", 10) != 0), min_counts=(1, 1))  # no n-gram is pruned
     return ngram_lm.score(docs, model, [F.col("doc_id"), F.coalesce(fold("doc_id", 10) == 0, F.lit(False)).alias("held_out")])
 
 

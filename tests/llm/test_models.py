@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from srcgraph.llm import cotrain, langid, ngram_lm, sp_codec
 from srcgraph.llm.common import fold
 from srcgraph.llm.elias_fano import EliasFano
+from srcgraph.llm.queries import op4_lm_scoring
 
 SF = "/root/testdata/sf0.001"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -131,6 +132,22 @@ def test_language_model(spark, small):
         assert r.score == pytest.approx(want, rel=2e-4, abs=2e-3)
 
 
+def test_query_keeps_ngrams_seen_once(spark, tmp_path):
+    """A held-out copy of a text that stands once in training has to get that text's word order back."""
+    import zlib
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 31}" for k in range(25)), "en", "a", 1) for i in range(30)]
+    held = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10 == 0][0]
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 10]
+    table(spark, [*rows, (held, train[3][1], "en", "a", 1)]).write.parquet(str(tmp_path / "documents.parquet"))
+    lm = BruteLm([r[1] for r in train], least=1)
+    got = {r.doc_id: r for r in op4_lm_scoring(spark, str(tmp_path)).collect()}
+    assert got[held].held_out and got[held].n_known == 26
+    for i, text in [*[r[:2] for r in rows], (held, train[3][1])]:
+        s = ["<s>", *lm_tokens(text)]
+        want = sum(math.log10(lm.p(s[k - 2] if k > 1 else None, s[k - 1], s[k])) for k in range(1, len(s)))
+        assert got[i].score == pytest.approx(want, rel=2e-4, abs=2e-3)
+
+
 def test_probabilities_sum_to_one():
     lm = BruteLm([r[1] for r in awkward(10)[:60]])
     for x, y in [(None, "<s>"), *list(lm.b3)[:20]]:
