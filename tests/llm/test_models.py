@@ -247,6 +247,18 @@ def test_views_exchange_labels():
     assert abs(alone.scores("x", "good host", "en", 10)[1] - alone.scores("x", "bad host", "en", 10)[1]) < 1e-6
 
 
+def test_pseudo_labels_from_the_whole_table(spark):
+    """Few of many unlabelled rows are clear, and only they have the hosts: a small fixed draw does not meet them."""
+    r = np.random.default_rng(4)
+    text = lambda k: ("good words here " if k else "# | # | ") * 20 + str(r.random())
+    rows = [(i, text(i % 2), "en", "seen", 10) for i in range(80)]
+    rows += [(100 + i, "", "en", "seen", 10) for i in range(6000)]
+    rows += [(9000 + i, text(i % 2), "en", "good host" if i % 2 else "bad host", 10) for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    v = cotrain.train(table(spark, rows).repartition(4), labels, pool_rows=40)
+    assert v.scores("", "good host", "en", 10)[1] > v.scores("", "bad host", "en", 10)[1] + 0.05
+
+
 def test_quality_classifier_awkward(spark):
     df = table(spark, awkward(12), clash=True)
     labels = spark.createDataFrame([(0, 1), (1, 0), (1, 1), (None, 1), (3, None), (5, 1), (777, 0)], "doc_id long, quality int")
