@@ -80,12 +80,12 @@ def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits a replica of the archive of all pages (one archive per file of the table, in row order) in which
     the last byte of the body was lost to another in each record whose url's MD5 begins with 0."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    a = warc_records(pages, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.col("_metadata.row_index"))
-    uri = F.regexp_extract(F.substring(F.col("record"), 1, 4096).cast("string"), "Target-URI: (.*)\r", 1)
+    a = warc_records(pages, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), F.col("_metadata.row_index"),
+                     keep=(F.coalesce("url", F.lit("")).alias("url"),))
     n = F.octet_length("record")
     damaged = F.concat(F.substring("record", F.lit(1), n - 5), F.lit("#").cast("binary"),
                        F.substring("record", n - 3, F.lit(4)))
-    b = a.withColumn("record", F.when(F.md5(uri.cast("binary")).startswith("0"), damaged).otherwise(F.col("record")))
+    b = a.withColumn("record", F.when(F.md5(F.col("url").cast("binary")).startswith("0"), damaged).otherwise(F.col("record")))
     return audit_replicas(a, b)
 
 

@@ -26,13 +26,14 @@ BITS = 4
 FANOUT = 1 << BITS
 
 
-def warc_records(pages: DataFrame, archive: Column, pos: Column, url: str = "url", html: str = "html") -> DataFrame:
-    """(archive, pos, record) with a WARC/1.1 response record per row; null url and html are empty."""
+def warc_records(pages: DataFrame, archive: Column, pos: Column, url: str = "url", html: str = "html",
+                 keep: tuple[Column, ...] = ()) -> DataFrame:
+    """(archive, pos, record) with a WARC/1.1 response record per row, and ``keep``; null url and html are empty."""
     body = F.coalesce(F.col(html), F.lit("")).cast("binary")
     head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce(F.col(url), F.lit("")),
                     F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     return pages.select(archive.alias("archive"), pos.cast("long").alias("pos"),
-                        F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary")).alias("record"))
+                        F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary")).alias("record"), *keep)
 
 
 def _gzip_member(raw: bytes, at: int) -> tuple[int, bytes]:

@@ -1,10 +1,12 @@
 """Fixity audit of replicas."""
 import gzip
+import hashlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from srcgraph.llm.queries import op10_warc_audit
 from srcgraph.llm.warc_audit import audit_replicas, parse_warc, warc_gz, warc_members, warc_records
 
 SCHEMA = "archive string, pos long, record binary"
@@ -59,3 +61,12 @@ def test_files(spark, tmp_path, packed):
     assert [r.offset for r in got] == cuts
     hurt = raw[:cuts[2] + 12] + b"????" + raw[cuts[2] + 16:]  # a damaged head ends what can be told apart
     assert [r for _, r in warc_members(hurt)][:2] == recs[:2]
+
+
+def test_query_damages_records_of_long_urls(spark, tmp_path):
+    urls = ["u" * 5000 + str(i) for i in range(40)] + [f"short{i}" for i in range(40)] + [None]
+    want = sum(hashlib.md5((u or "").encode()).hexdigest().startswith("0") for u in urls)
+    assert any(hashlib.md5(u.encode()).hexdigest().startswith("0") for u in urls[:40])
+    spark.createDataFrame([(u, "body") for u in urls], "url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = op10_warc_audit(spark, str(tmp_path)).collect()
+    assert len(got) == want and {r.status for r in got} == {"changed"}
