@@ -15,9 +15,12 @@ from .line_dedup import dedup_lines
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality_rules import quality_rules
+from .token_counts import count_tokens
 from .warc_audit import audit_replicas, warc_records
 
 
+COUNTED_TOKENIZER = "byte_bpe_50k.json"
+TOKEN_LIMIT = 1024
 TOKENIZER = os.environ.get("SP_MODEL_FILE", "/opt/tokenizers/piece_bpe_32k.model")
 MIX_WEIGHTS = {"domain": {"d0": 2.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}}
 
@@ -89,6 +92,12 @@ def op10_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_replicas(a, b)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    n = count_tokens(_documents(spark, sf_dir), public_tokenizers.path(COUNTED_TOKENIZER), [F.col("doc_id")])
+    return n.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_line_dedup": op2_line_dedup,
@@ -100,6 +109,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc_audit": op10_warc_audit,
+    "op11_token_counts": op11_token_counts,
 }
 
 _SP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
