@@ -14,6 +14,7 @@ from .langid import identify
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .periodic_runs import periodic_runs, planted_runs, strongest
 from .quality_rules import quality_rules
 from .token_counts import count_tokens
 from .warc_audit import audit_replicas, warc_records
@@ -98,6 +99,16 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    r = periodic_runs(docs.select("doc_id", planted_runs("text", "doc_id").alias("text")), [F.col("doc_id")])
+    r = r.withColumn("best", strongest(F.col("runs")))
+    lines = F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n")))
+    return r.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long").alias("exponent_milli"),
+                    F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_line_dedup": op2_line_dedup,
@@ -110,6 +121,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_warc_audit": op10_warc_audit,
     "op11_token_counts": op11_token_counts,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _SP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
