@@ -23,10 +23,10 @@ def plain(w):
     number = {}
     v, best = np.array([number.setdefault(x, len(number)) for x in w], np.int64), {}
     for q in range(1, len(w) // 3 + 1):
-        differ = np.flatnonzero(np.concatenate([[True], v[:-q] != v[q:], [True]])) - 1
-        for i, j in zip((differ[:-1] + 1).tolist(), differ[1:].tolist()):
-            if j + q - i >= max(24, 3 * q):
-                best.setdefault((i, j + q - i), q)
+        differ = np.flatnonzero(np.concatenate([[True], v[:-q] != v[q:], [True]]))
+        long_ = np.flatnonzero(np.diff(differ) - 1 + q >= max(24, 3 * q))
+        for i, j in zip(differ[long_].tolist(), (differ[long_ + 1] - 1).tolist()):
+            best.setdefault((i, j + q - i), q)
     return sorted((a, n, q) for (a, n), q in best.items())
 
 
