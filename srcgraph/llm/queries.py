@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import cotrain, ngram_lm, sp_codec
 from .common import fold
+from .conversation_repair import damaged, repair
 from .exact_dedup import exact_dedup
 from .langid import identify
 from .line_dedup import dedup_lines
@@ -99,6 +100,11 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair(damaged(c), c.select("conv_id"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     r = periodic_runs(docs.select("doc_id", planted_runs("text", "doc_id").alias("text")), [F.col("doc_id")])
@@ -121,6 +127,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_warc_audit": op10_warc_audit,
     "op11_token_counts": op11_token_counts,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -148,6 +155,56 @@ def _mix_share(level: str, parents: str, given: str, weight: str) -> str:
 {level}_b AS (SELECT {cols}, CASE WHEN is_full THEN cap ELSE least(cap, floor(rate * w)::BIGINT) END AS given FROM {level}_r)"""
 
 
+def _more(value: str, cost: str, letters: str) -> str:
+    """SQL that puts letters before a repair's audit; a value is its cost in 12 digits, then its audit, so the least text is the best repair."""
+    return f"printf('%012d', left({value}, 12)::BIGINT + {cost}) || '{letters}' || substr({value}, 13)"
+
+
+def _repair_sql() -> str:
+    """Damage, faults and a fold over each conversation from its last turn back: per symbol that came last the best repair of the rest."""
+    after = {"0": "u", "s": "u", "u": "a", "a": "u"}
+    turn = []
+    for x, y in after.items():
+        ways = [_more(f"v{x}", "4", "D"),
+                f"CASE WHEN forced THEN '~' WHEN initial = '{y}' THEN {_more(f'v{y}', 'late', 'K')} ELSE {_more(f'v{y}', '3 + late', 'R')} END"]
+        if x == "0":
+            ways.append(f"CASE WHEN forced OR initial <> 's' THEN '~' ELSE {_more('vs', 'late', 'K')} END")
+        turn.append(f"least({', '.join(ways)}) AS b{x}")
+    insert = {x: f"least(b{x}, {_more(f'b{y}', '3', 'I')}" + (f", {_more('ba', '6', 'II')})" if x in "0s" else ")") for x, y in after.items()}
+    byte = "[ord(c), -1, -1, -1, -1, -1, -1, -1, -1]"
+    return rf"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+       xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: {byte})),
+           lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END) END), 4294967295::BIGINT) % 20 AS k
+     FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+             CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+             unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM o),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+t AS (SELECT *, left(role, 1) AS initial, trim(text, {_SP}) = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+             right(trim(text, {_SP}), 1) NOT IN ('.', '!', '?') AS open_end FROM n),
+r AS (SELECT *, blank OR again AS forced, CASE WHEN open_end THEN 3 ELSE 0 END AS late,
+             lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM t),
+s AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+             count(*) FILTER (WHERE again AND NOT blank) AS duplicate, count(*) FILTER (WHERE open_end AND NOT blank AND NOT again) AS truncated,
+             count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+f AS (SELECT conv_id, n + 1 AS i, '000000000000' AS v0, '000000000006II' AS vs, '000000000003I' AS vu, '000000000000' AS va FROM s
+      UNION ALL
+      SELECT conv_id, i, {insert['0']}, {insert['s']}, {insert['u']}, {insert['a']}
+      FROM (SELECT f.conv_id, f.i - 1 AS i, {', '.join(turn)} FROM f JOIN r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.i = f.i - 1)),
+b AS (SELECT conv_id, left(v0, 12)::BIGINT AS cost, substr(v0, 13) AS audit FROM f WHERE i = 1),
+e AS (SELECT conv_id, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS pos, length(replace(audit, 'D', '')) AS len
+      FROM b WHERE audit <> ''),
+p AS (SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER w AS i, count(*) FILTER (WHERE edit <> 'D') OVER w AS nth FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+h AS (SELECT p.conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth - len % 2) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+             || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY pos) AS repaired
+      FROM p LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i WHERE edit <> 'D' GROUP BY p.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+     LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 SQL: dict[str, str] = {
     "op1_source_mixing": f"""
 WITH d AS (SELECT doc_id, 'd' || (('0x' || substr(md5(coalesce(source, '')), 1, 8))::BIGINT % 4) AS domain, lang, source,
@@ -215,4 +272,5 @@ o AS (SELECT *, coalesce(sum(len) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PREC
 SELECT 'pages.parquet' AS archive, pos, "offset", len AS len_a, len AS len_b, sha256(head || html || tail) AS hash_a,
        sha256(head || left(html, length(html) - 1) || '#' || tail) AS hash_b, 'changed' AS status
 FROM o WHERE md5(url) LIKE '0%'""",
+    "op12_conversation_repair": _repair_sql(),
 }
