@@ -3,9 +3,11 @@
 1. Each text's set of 5-word shingles (64-bit hashes) gets K minima of multiply-add-shift hashes, a digest and
    R-row band hashes. Rows with the same digest have the same set: they are one class and meet in no pair.
 2. Classes that share a band hash are candidates. They are not all paired: in the first rounds every member of
-   a bucket meets one pivot of it, and components are formed. Then only members of different components are
-   left to compare: of those, all pairs that share a bucket are compared, but for pairs that their signatures or
-   their shingles shared with anyone else show to be too far apart. No link is left out.
+   a bucket meets one pivot of it, and components are formed. Then only members of different components whose
+   buckets hold several components are left to compare. Each orders its shingles from rare to common; two sets
+   with i shingles in common have one among the first n - i + 1 of both, so a pair is made where the first
+   shingle that two prefixes share stands early enough in both for the overlap that their sizes ask for. In each
+   shingle's group, members of its largest component meet only those outside it. No link is left out.
 3. Candidates pass the size bound, then the signature check (8 bits of each minimum; the limit lies 4
    standard errors under the wanted similarity), and are linked when 100 * |A & B| >= 75 * |A | B| on full sets.
 4. Components by alternating large-star and small-star; the least doc_id of a component stays.
@@ -95,13 +97,14 @@ def minima(h: np.ndarray, start: np.ndarray, seed: int) -> np.ndarray:
 def bit_planes(sig: np.ndarray) -> np.ndarray:
     """The low 8 bits of K minima a row as 8 planes of WORDS longs (int64), so that they can be compared bit by bit."""
     bits = np.unpackbits((sig & np.uint32(255)).astype(np.uint8)[:, :, None], axis=2).transpose(0, 2, 1)
-    return np.packbits(np.pad(bits, ((0, 0), (0, 0), (0, WORDS * 64 - K))), axis=2).view(np.int64).reshape(len(sig), -1)
+    packed = np.packbits(np.pad(bits, ((0, 0), (0, 0), (0, WORDS * 64 - K))), axis=2)
+    return np.ascontiguousarray(packed).view(np.int64).reshape(len(sig), -1)
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, seed: int) -> DataFrame:
-    """Per row: doc_id, th (text hash), n (set size), node and node2 (digest; null for n = 0), bands, sig."""
+    """Per row: doc_id, th (text hash), n (set size), d1 and d2 (digest; null for n = 0), bands, sig."""
     t = text_of(text)
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("th"),
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("th"),
                       F.transform(words(ascii_lower(t)), lambda x: F.xxhash64(x)).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,9 +127,10 @@ def signatures(docs: DataFrame, doc_id: str, text: str, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(n), pa.array(digest[:, 0], mask=none), pa.array(digest[:, 1], mask=none),
                  bands, pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * 8 * WORDS), pa.array(small.ravel()))],
-                ["doc_id", "th", "n", "node", "node2", "bands", "sig"])
+                ["doc_id", "th", "n", "d1", "d2", "bands", "sig"])
 
-    return src.mapInArrow(run, "doc_id long, th long, n long, node long, node2 long, bands array<long>, sig array<long>")
+    kind = src.schema["doc_id"].dataType.simpleString()
+    return src.mapInArrow(run, f"doc_id {kind}, th long, n long, d1 long, d2 long, bands array<long>, sig array<long>")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -162,11 +166,14 @@ def _both(pairs: DataFrame, side: DataFrame, *cols: str) -> DataFrame:
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) whose sets are similar enough: sizes, then signatures, then full sets."""
-    p = _both(pairs.select("a", "b").distinct(), sets, "n", "sig")
+    """The pairs (a, b) whose sets are similar enough: sizes, then signatures, then full sets."""
+    p = _both(pairs.select("a", "b"), sets, "n", "sig")
     p = p.where((100 * F.least("a_n", "b_n") >= SIMILARITY * F.greatest("a_n", "b_n"))
                 & _alike("a_sig", "b_sig"))
-    p = _both(materialize(p.select("a", "b", "a_n", "b_n"), "near-candidates"), sets, "s")
+    return _similar(_both(materialize(p.select("a", "b", "a_n", "b_n"), "near-candidates"), sets, "s"))
+
+
+def _similar(p: DataFrame) -> DataFrame:
     common = F.size(F.array_intersect("a_s", "b_s"))
     return p.where(100 * common >= SIMILARITY * (F.col("a_n") + F.col("b_n") - common)).select("a", "b")
 
@@ -177,17 +184,35 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _bounds(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, n, sig, bands, c): set size, signature, and how many of a node's shingles any other of ``nodes`` holds too.
-
-    No pair has more than the lesser c in common, so one whose similarity could not reach the limit with that is
-    no link. That refutes heavily edited copies of one text, which share buckets with all its other copies,
-    without comparing them one by one."""
-    own = sets.join(nodes, "node", "left_semi")
-    alone = (own.select("node", F.explode("s").alias("x")).groupBy("x").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("k"))
-             .where("k = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u")))
-    return own.select("node", "n", "sig", "bands").join(alone, "node", "left").select(
-        "node", "n", "sig", "bands", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
+def prefixes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """nodes: (node, label). (x, place, node, label, n, early): each shingle that a node shares with another one of ``nodes`` and that is among
+    its n - ceil(0.75 n) + 1 rarest, its place among them, and all of these (``early``), from rare to common.
+
+    Shingles that no other node holds are the rarest and take places, but can be in no pair: a heavily edited text is left without any."""
+    own = sets.select("node", "n", "s").join(nodes, "node")
+    each = own.select("node", F.explode("s").alias("x"))
+    shared = each.groupBy("x").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    early = each.join(shared, "x").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("early"))
+    r = own.select("node", "label", "n").join(early, "node").withColumn("alone", F.col("n") - F.size("early"))
+    long_ = F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1 - F.col("alone")
+    r = r.withColumn("early", F.slice(F.col("early.x"), F.lit(1), F.greatest(long_, F.lit(0)).cast("int")))
+    return r.select("node", "label", "n", "alone", "early", F.posexplode("early").alias("i", "x")).select(
+        "x", (F.col("alone") + F.col("i")).alias("place"), "node", "label", "n", "early")
+
+
+def cross_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """nodes: (node, label). The pairs (a, b) of nodes of different labels that may be similar enough by their prefixes, each once."""
+    p = materialize(prefixes(nodes, sets), "near-prefixes")
+    most = p.groupBy("x", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("x").agg(
+        F.max_by("label", F.struct("k", "label")).alias("major"), F.count(F.lit(1)).alias("labels"))
+    p = p.join(most.where("labels > 1").select("x", "major"), "x")
+    o = p.where("label <> major").select("x", *[F.col(c).alias(f"b_{c}") for c in ("node", "label", "n", "place", "early")])
+    size = F.col("n") + F.col("b_n")
+    need = F.ceil(size * SIMILARITY / (100 + SIMILARITY))
+    far = (100 * F.least("n", "b_n") >= SIMILARITY * F.greatest("n", "b_n")) & (F.col("n") - F.col("place") >= need) & (F.col("b_n") - F.col("b_place") >= need)
+    once = (F.col("label") != F.col("b_label")) & ((F.col("label") == F.col("major")) | (F.col("label") < F.col("b_label")))
+    pairs = p.join(o, "x").where(once & far & (F.get(F.array_intersect("early", "b_early"), F.lit(0)) == F.col("x")))
+    return pairs.select(F.col("node").alias("a"), F.col("b_node").alias("b"))
 
 
 def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -214,23 +239,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Texts are A-Z lower-cased; words are runs outside white space. Fewer than five words are one shingle; a
     null, empty or blank text has none, links with nothing and is kept. component_id is the least doc_id of
     the component, kept is doc_id = component_id (null ids: least of nothing else, equal to each other), so
-    rows that repeat the kept id all have kept = true. Other columns are not read; an empty table gives an
-    empty result.
+    rows that repeat the kept id all have kept = true. Ids may be of any type that can be ordered. Other columns
+    are not read; an empty table gives an empty result.
     """
     signed = materialize(signatures(docs, doc_id, text, seed), "near-rows")
     some = signed.where("n > 0")
-    classes = some.groupBy("node", "node2").agg(
+    classes = some.groupBy("d1", "d2").agg(
         F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"),
         F.first("sig").alias("sig"))
-    classes = materialize(classes, "near-classes")
-    if classes.groupBy("node").count().where("count > 1").take(1):
-        raise ValueError("two sets share 64 bits of their digest; run again with another seed")
+    # a class's number is fixed by being written
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     bucket = classes.select("node", F.posexplode("bands").alias("k", "h"))
     shared = materialize(bucket.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "near-buckets")
     members = materialize(bucket.join(shared, "h"), "near-members")
     wanted = classes.join(members.select("node").distinct(), "node", "left_semi")
     wanted = materialize(wanted.select("node", F.col("rep.doc_id").alias("i"), F.col("rep.th").alias("h"), "n", "sig", "bands"), "near-wanted")
-    full = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("t")).withColumn("th", F.xxhash64("t"))
+    full = docs.select(F.col(doc_id).alias("id"), text_of(text).alias("t")).withColumn("th", F.xxhash64("t"))
     texts = full.join(wanted.select("node", "i", "h"), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")))
     sets = materialize(shingle_sets(texts.dropDuplicates(["id", "th"]).select("node", "t"))
                        .join(wanted.select("node", "n", "sig", "bands"), "node"), "near-sets")
@@ -246,29 +270,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             order = F.struct(F.xxhash64(F.lit(r), "node"), "node", "label")
             pivot = m.groupBy("h").agg(F.min(order).alias("p")).select("h", F.col("p.node").alias("b"), F.col("p.label").alias("b_label"))
             pairs = m.join(materialize(pivot, "near-pivots"), "h").where("label <> b_label")
+            links = linked(pairs.select(F.col("node").alias("a"), "b").distinct(), sets)
         else:
-            m = materialize(m.join(_bounds(m.select("node").distinct(), sets), "node").where(
-                100 * F.col("c") >= SIMILARITY * F.col("n")), "near-live")
-            o = m.select("h", *[F.col(c).alias(f"b_{c}") for c in ("node", "label", "n", "c", "sig", "bands")])
-            most = F.least("c", "b_c")
-            first = F.array_position(F.zip_with("bands", "b_bands", lambda x, y: x == y), True) == F.col("k") + 1
-            pairs = m.join(o, "h").where(
-                (F.col("label") < F.col("b_label")) & (100 * most >= SIMILARITY * (F.col("n") + F.col("b_n") - most))
-                & _alike("sig", "b_sig") & first).withColumnRenamed("b_node", "b")
-        links = materialize(linked(pairs.select(F.col("node").alias("a"), "b"), sets), "near-links")
+            pairs = cross_pairs(m.select("node", "label").distinct(), sets)
+            both = _both(pairs, sets, "n", "sig", "s").where(_alike("a_sig", "b_sig"))
+            links = _similar(both)
+        links = materialize(links, "near-links")
         labels = _merge(labels, links)
     owner = _labelled(classes.select("node", F.col("rep.doc_id").alias("id")), labels)
     least = owner.groupBy("label").agg(F.min("id").alias("component_id"))
     owner = materialize(owner.select("node", "label").join(least, "label").select("node", "component_id"), "near-owner")
-    out = signed.select("doc_id", "th", F.col("n").alias("n_shingles"), "node").join(owner, "node", "left")
+    owner = classes.select("d1", "d2", "node").join(owner, "node").drop("node")
+    out = signed.select("doc_id", "th", F.col("n").alias("n_shingles"), "d1", "d2").join(owner, ["d1", "d2"], "left")
     cid = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "th", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose document stays, in ``docs``' columns; of rows that repeat id and text one stays."""
-    d = rows(docs).select("*", of(docs.columns, doc_id).cast("long").alias("id"),
+    """The rows of ``docs`` whose document stays, in ``docs``' columns; of rows that repeat id and text the least stays, its columns compared in
+    order."""
+    d = rows(docs).select("*", of(docs.columns, doc_id).alias("id"),
                           F.xxhash64(F.coalesce(of(docs.columns, text), F.lit(""))).alias("h"))
     stay = near_duplicates(docs, doc_id, text, **how).where("kept").select("doc_id", "th").distinct()
     j = d.join(stay, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th")), "left_semi")
-    return unrow(j.dropDuplicates(["id", "h"]), docs.columns)
+    own = [c for c in d.columns if c not in ("id", "h")]
+    return unrow(j.groupBy("id", "h").agg(F.min(F.struct(*own)).alias("least")).select("least.*"), docs.columns)

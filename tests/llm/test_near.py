@@ -5,7 +5,7 @@ import re
 from cases import awkward, table
 
 from srcgraph.llm.components import connected_components
-from srcgraph.llm.near_dedup import drop_near_duplicates, near_duplicates
+from srcgraph.llm.near_dedup import cross_pairs, drop_near_duplicates, near_duplicates
 
 
 def shingles(text):
@@ -54,6 +54,34 @@ def test_near_duplicates(spark):
         assert sorted((str(x.doc_id), x.n_shingles, str(x.component_id), x.kept) for x in got.collect()) == brute(rows)
 
 
+def test_pairs_of_edited_copies(spark):
+    """Copies edited apart, most of them below the limit to each other: every link between components is a pair, few others are."""
+    r = random.Random(9)
+    base, sets = list(range(150)), []
+    for i in range(1500):
+        mine = set(r.sample(base, 150 - r.choice([8, 20, 24, 28])))
+        sets.append(sorted(mine | {1000 + 200 * i + k for k in range(150 - len(mine))}))
+    label = [0 if i % 8 else i for i in range(len(sets))]
+    links = {(a, b) for a in range(len(sets)) for b in range(len(sets)) if label[a] < label[b]
+             and 175 * len(set(sets[a]) & set(sets[b])) >= 75 * 300}
+    nodes = spark.createDataFrame(list(enumerate(label)), "node long, label long")
+    full = spark.createDataFrame([(i, len(s), s) for i, s in enumerate(sets)], "node long, n long, s array<long>")
+    got = [(x.a, x.b) for x in cross_pairs(nodes, full).collect()]
+    pairs = {tuple(sorted(x, key=lambda i: label[i])) for x in got}
+    assert len(pairs) == len(got) and links <= pairs
+    assert len(got) < 0.4 * sum(label[a] < label[b] for a in range(len(sets)) for b in range(len(sets)))
+
+
+def test_ids_of_text_and_rows_that_repeat_one(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [("b", text, 2), ("a", text + " more", 9), ("b", text, 1), ("a", text + " more", None), (None, "alone here", 3)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, n long")
+    assert sorted((str(x.doc_id), x.component_id or "", x.kept) for x in near_duplicates(df).collect()) == [
+        ("None", "", True), ("a", "a", True), ("a", "a", True), ("b", "a", False), ("b", "a", False)]
+    got = sorted((str(x.doc_id), x.n) for x in drop_near_duplicates(df).collect())
+    assert got == [("None", 3), ("a", None)]
+
+
 def test_one_of_each_group_stays(spark):
     rows = awkward(6)
     df = table(spark, rows, clash=True)
