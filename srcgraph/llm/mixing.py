@@ -3,7 +3,8 @@
 The tree is domain -> language -> source. A token budget is handed down from the root in proportion to the
 children's weights, but never beyond what a child's subtree can give (its tokens times the epochs allowed).
 What a child cannot take goes to its siblings first, in proportion to their weights, since the subtree's
-capacity already counts all it could place itself; only what all siblings together cannot take stays above.
+capacity already counts all it could place itself (nothing below a weight of 0); only what all siblings together
+cannot take stays above.
 Each leaf's budget buys whole epochs of its documents and a prefix of one more, in an order that the seed and
 the epoch fix.
 
@@ -16,6 +17,7 @@ leaves, by its counted rows, and joined by its keys beyond.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,7 +83,9 @@ def leaf_budgets(leaves: DataFrame, budget: int, max_epochs: int, weights: Mappi
     given = None
     for i, level in enumerate(LEVELS):
         parent = list(LEVELS[:i])
-        node = leaves if i == 2 else leaves.groupBy(*LEVELS[:i + 1]).agg(F.sum("cap").alias("cap"))
+        # a subtree can place what its leaves hold that are reached by weights above 0
+        some = reduce(Column.__and__, [_weight(x, weights.get(x)) > 0 for x in LEVELS[i + 1:]], F.lit(True))
+        node = leaves if i == 2 else leaves.groupBy(*LEVELS[:i + 1]).agg(F.sum(F.when(some, F.col("cap")).otherwise(0)).alias("cap"))
         if given is None:
             node = node.withColumn("given", F.lit(budget).cast("long"))
         else:

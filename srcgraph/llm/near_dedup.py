@@ -36,7 +36,7 @@ K = BANDS * ROWS
 WORDS = -(-K // 64)
 SIMILARITY = 75
 MIN_MATCHES = int(K * (0.75 - 4 * (0.75 * 0.25 / K) ** 0.5))
-_CHUNK = 1 << 15
+_CHUNK, SLICE = 1 << 15, 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -69,6 +69,17 @@ def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return w, start - start[0]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], words_at: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about SLICE words (one row at least), so that the arrays made of one stay small."""
+    for b in batches:
+        off = b.column(words_at).offsets.to_numpy().astype(np.int64)
+        at = 0
+        while at < b.num_rows:
+            to = min(max(at + 1, int(np.searchsorted(off, off[at] + SLICE, "right")) - 1), b.num_rows)
+            yield b.slice(at, to - at)
+            at = to
+
+
 def _functions(seed: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(seed)
     a = r.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,7 +119,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, seed: int) -> DataFrame:
                       F.transform(words(ascii_lower(t)), lambda x: F.xxhash64(x)).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, 2):
             w, start = _lists(b.column(2))
             h, hs = shingle_hashes(w, start)
             sig = minima(h, hs, seed)
@@ -138,7 +149,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
     src = texts.select("node", F.transform(words(ascii_lower(F.col("t"))), lambda x: F.xxhash64(x)).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, 1):
             h, hs = shingle_hashes(*_lists(b.column(1)))
             sets = [np.unique(h[hs[i]:hs[i + 1]]).view(np.int64) for i in range(len(hs) - 1)]
             start = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)

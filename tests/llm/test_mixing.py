@@ -41,8 +41,15 @@ def brute(rows, share, epochs, seed, weights):
     def below(prefix):
         return {k[len(prefix)] for k in cap if k[:len(prefix)] == prefix}
 
+    def can_place(prefix):
+        """All that a subtree can take: what its children can, but for those of weight 0."""
+        if len(prefix) == 3:
+            return cap[prefix]
+        level = ("domain", "lang", "source")[len(prefix)]
+        return sum(can_place((*prefix, c)) for c in below(prefix) if w(level)(c) > 0)
+
     def caps(prefix):
-        return {c: sum(v for k, v in cap.items() if k[:len(prefix) + 1] == (*prefix, c)) for c in below(prefix)}
+        return {c: can_place((*prefix, c)) for c in below(prefix)}
 
     total = sum(n(r[1]) for r in rows)
     out, budgets = Counter(), {}
@@ -66,6 +73,14 @@ def brute(rows, share, epochs, seed, weights):
     return out, budgets
 
 
+def test_what_a_weight_of_0_leaves_goes_to_the_siblings(spark):
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(1, words(100), "de", "a", 1), (2, words(100), "en", "a", 1), (3, words(1000), "de", "b", 1), (4, words(1000), "en", "b", 1)]
+    df = table(spark, rows)
+    plan = plan_mix(df, budget=600, max_epochs=1, weights={"lang": {"en": 0.0}}, domain=df["source"]).collect()
+    assert {(r.p_domain, r.p_lang): r.budget for r in plan if r.budget} == {("a", "de"): 100, ("b", "de"): 500}
+
+
 @pytest.mark.parametrize("share,epochs,weights", [(0.5, 4, {}), (1.3, 2, {"lang": {"en": 3.0, "de": 0.0}}), (9.0, 2, {}), (0.0, 1, {})])
 def test_mix(spark, share, epochs, weights):
     rows = awkward(8)
