@@ -163,6 +163,15 @@ r AS (SELECT repo_id, path, unnest([
   {'n': 24, 'what': 'call', 'a': 'run', 'b': 'obj'}, {'n': 24, 'what': 'call', 'a': 'run', 'b': 'last_' || k % 8},
   {'n': 27, 'what': 'import', 'a': '..pkg' || k % 3 || '.mod', 'b': ''}]) AS v FROM x)
 SELECT repo_id, path, v.n::INTEGER AS n, v.what AS what, v.a AS a, v.b AS b FROM r"""
+    o["parser_per_file"] = "WITH " + O.F1 + """,
+x AS (SELECT repo_id, path, p_partkey AS k, path || ':' AS p FROM f1),
+r AS (SELECT repo_id, path, k, unnest([
+  {'what': 'class', 'a': 'C' || k % 9, 'b': '', 'c': 1}, {'what': 'class', 'a': 'Base' || k % 5, 'b': '', 'c': 1},
+  {'what': 'function', 'a': 'run', 'b': '', 'c': 1}, {'what': 'function', 'a': 'tail_' || k % 7, 'b': '', 'c': CASE WHEN k % 4 = 0 THEN 1 ELSE 2 END},
+  {'what': 'inherits', 'a': p || 'C' || k % 9, 'b': p || 'Base' || k % 5, 'c': 0}]
+  || CASE WHEN k % 4 <> 0 THEN [] ELSE [{'what': 'function', 'a': 'helper_' || k % 6, 'b': '', 'c': 1},
+  {'what': 'calls', 'a': p || 'run', 'b': p || 'helper_' || k % 6, 'c': 0}, {'what': 'calls', 'a': p || 'tail_' || k % 7, 'b': p || 'run', 'c': 0}] END) AS v FROM x)
+SELECT repo_id, path AS file, v.what AS what, v.a AS a, v.b AS b, v.c AS complexity FROM r"""
     o["hotspot_rank"] = w(
         "SELECT repo_id, rank, target, string_split(target, ':')[-1] AS func_name, calls FROM ("
         " SELECT repo_id, target, count(*) AS calls,"

@@ -86,6 +86,34 @@ def logical_lines(content: Column) -> Column:
     return _bind(lines, join)
 
 
+_WHOLE_STRING = ("(?s)\\A(?:\"\"\"(?:.*" + _EVEN + ")?\"\"\"|\'\'\'(?:.*" + _EVEN + ")?\'\'\'"
+                 "|\"(?!\"\")[^\n]*" + _EVEN + "\"|\'(?!\'\')[^\n]*" + _EVEN + "\')\\z")
+
+
+def parses(content: Column) -> Column:
+    """SCP7: whether a syntax tree can be made of the text, as far as tokens tell: every string is closed, every bracket is closed by its
+    own kind, and no logical line stands deeper than the one before it unless that ends with a colon. A null or empty text parses."""
+    c = F.when(content.rlike(_RX_RARE_EOL), F.regexp_replace(content, RX_EOL, "\n")).otherwise(content)
+    strings = F.filter(F.regexp_extract_all(F.replace(c, F.lit("\\\n"), F.lit(JOIN)), F.lit(_TOKEN), F.lit(0)),
+                       lambda t: t.startswith("\"") | t.startswith("'"))
+    closed = F.forall(strings, lambda t: t.rlike(_WHOLE_STRING))
+    bare = F.regexp_replace(masked(content), "[^()\\[\\]{}]", "")
+    # the open brackets, innermost first; an x for one that closes nothing
+    step = lambda st, b: (F.when(b.isin("(", "[", "{"), F.concat(b, st))
+                          .when(F.substring(st, 1, 1) == F.translate(b, ")]}", "([{"), F.substring(st, F.lit(2), F.length(st)))
+                          .otherwise(F.concat(F.lit("x"), st)))
+    paired = F.aggregate(F.filter(F.split(bare, ""), lambda b: b != ""), F.lit(""), step) == ""
+
+    def owned(ls):
+        before = lambda i: F.get(ls, F.greatest(i - 1, F.lit(0)))
+        return F.forall(F.transform(ls, lambda l, i: F.when(i == 0, l["indent"] == 0).otherwise(
+            (l["indent"] <= before(i)["indent"]) | before(i)["opens"])), lambda ok: ok)
+
+    rows = F.transform(F.filter(logical_lines(content), lambda l: ~l["text"].rlike("^\\s*+$")), lambda l: F.struct(
+        F.length(F.regexp_extract(l["text"], "^[ \\t]*+", 0)).alias("indent"), F.rtrim(l["text"]).endswith(":").alias("opens")))
+    return F.when(F.coalesce(F.length(content), F.lit(0)) == 0, F.lit(True)).otherwise(closed & paired & _bind(rows, owned))
+
+
 def base_names(header: Column) -> Column:
     """SCP6: names in a class's argument list; ``header`` is the logical line's text behind the
     class name. Calls are left out with everything inside them, at any depth; subscripts and

@@ -4,13 +4,15 @@
 (SCP*): every function and class incl. nested ones, calls, imports and bases, no
 complexity. ``mode="merged"`` (SCP7) takes symbols, calls, imports and bases from
 ``scoped``, the function complexity from ``line`` by ``(file, name)``, and module nodes from
-``line``.
+``line``. ``mode="auto"`` (SCP7) chooses per file: ``scoped`` for a file whose tokens make a syntax tree
+(``pysource.parses``), ``line`` for one in which an open string or bracket or a line without an owner would mislead it.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.pysource import parses
 from ..operators import graph as G
 from ..operators import lines as L
 from ..sources.files import supported_files
@@ -29,6 +31,9 @@ def tagged_rows(files: DataFrame, mode: str = "line", filter_ext: bool = True) -
     only lend their complexity). One pass per parser; nothing is computed twice."""
     if filter_ext:
         files = supported_files(files)
+    if mode == "auto":  # every file goes to one of two parsers; only their short rows meet
+        good = parses(F.col("content"))
+        return tagged_rows(files.where(good), "scoped", False).unionByName(tagged_rows(files.where(~good), "line", False))
     line = L.line_graph_rows(L.line_windows(L.line_features(L.source_lines(files)))) if mode != "scoped" else None
     if mode == "line":
         return line

@@ -655,6 +655,16 @@ def q_parser_choice(spark, sf):
     return _graph(spark, sf, "merged").nodes.select(*G.NODE_COLS)
 
 
+@register("parser_per_file")
+def q_parser_per_file(spark, sf):
+    """SCP7 per file on F9: nodes and edges of the graph, each file analysed by the parser that its tokens allow."""
+    g = build_graph(FX.f9_mixed_sources(spark, sf), mode="auto", store=True)
+    nodes = g.nodes.select("repo_id", "file", F.col("kind").alias("what"), F.col("name").alias("a"), F.lit("").alias("b"), "complexity")
+    edges = g.edges.select("repo_id", "file", F.col("type").alias("what"), F.col("source").alias("a"), F.col("target").alias("b"),
+                           F.lit(0).alias("complexity"))
+    return nodes.unionByName(edges)
+
+
 @register("call_edges")
 def q_call_edges(spark, sf):
     return _graph(spark, sf, "scoped").edges.where(F.col("type") == "calls")

@@ -93,6 +93,18 @@ def f8_wrapped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f1_paths(spark, sf_dir).select("p_partkey", "repo_id", "path", text.alias("content"))
 
 
+def f9_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F9 ``(p_partkey, repo_id, path, content)``: one file per ``part`` row that parses (``p_partkey % 4`` = 0), has an open bracket (1), an open
+    string (2) or a line without an owner (3), each followed by a function that the scoped parser would lose or misplace."""
+    k = F.col("p_partkey")
+    m = lambda n: (k % n).cast("string")
+    head = F.concat(F.lit("class C"), m(9), F.lit("(Base"), m(5), F.lit("):\n    def run(self):\n        helper_"), m(6), F.lit("()\n"))
+    middle = (F.when(k % 4 == 0, F.lit("x = {'a': [1, (2, 3)], 'b': \"])\"}  # ((\n")).when(k % 4 == 1, F.lit("x = [1, (2, 3)\n"))
+              .when(k % 4 == 2, F.lit("x = \"\"\"never closed\n")).otherwise(F.lit("x = 1\n        y = 2\n")))
+    text = F.concat(head, middle, F.lit("def tail_"), m(7), F.lit("(a):\n    if a:\n        run(a)\n"))
+    return f1_paths(spark, sf_dir).select("p_partkey", "repo_id", "path", text.alias("content"))
+
+
 def f2_repo_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2 ``repo_urls(req_id, repo_url)``: one URL per ``pages`` row, twelve shapes."""
     pg = table(spark, sf_dir, "pages")

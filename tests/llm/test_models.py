@@ -110,7 +110,7 @@ def test_long_texts_many_labels_and_unknown_languages(spark):
         learn = [(j, text(j % n), f"l{j % n}", "s", 1) for j in range(40 * n)]
         m = langid.train(table(spark, learn))
         assert all(m.predict(text(i))[2] for i in range(n)) and m.predict(text(0) + " " + text(1))[2]
-        assert not m.predict(text(n + 1))[2] and not m.predict("xq zj " * 40)[2] and m.predict("12 !")[0] == "und"
+        assert not m.predict(text(n + 1, 400))[2] and not m.predict("xq zj " * 400)[2] and m.predict("12 !")[0] == "und"
 
 
 def test_penalty_makes_weights_sparse():

@@ -300,3 +300,30 @@ def test_written_tables_can_be_cleared(spark):
     clear_tables(spark)
     assert not os.path.exists(folder)
     assert materialize(spark.range(3), "t", key="clear-test").count() == 3
+
+
+def test_files_that_parse(spark):
+    from srcgraph.functions.pysource import parses
+    good = ["", "x = 1\n", "def f(\n    a,\n        b):\n    return {a: [b]}\n", "s = 'it\\\\'\nt = \"# (\"\n", "s = '''a ( \\''' b '''\n",
+            "# ( [\nif x:  # then\n\n    y\nz\n", "x = 1 + \\\n      2\n", '"""doc"""\n', '""\n', '""""""\n', "class A: pass\nfor i in x:\n\ty\n",
+            "s = 'a\\\n  b'\n"]
+    bad = ["x = [1, (2, 3)\n", "x = (1]\n", "x = 1)\n", "s = 'open\n", 's = """open\ndef f(): pass\n', 's = """open"\n', '"""', 's = "a\\"\n',
+           "  x = 1\n", "x = 1\n    y = 2\n", "def f(): pass\n    y = 2\n", "'''a\\'''\n", "f((a)\n"]
+    df = spark.createDataFrame(list(enumerate(good + bad)), "i int, content string")
+    got = {r.i: r.ok for r in df.select("i", parses(F.col("content")).alias("ok")).collect()}
+    assert [got[i] for i in range(len(got))] == [True] * len(good) + [False] * len(bad)
+
+
+def test_parser_chosen_per_file(spark):
+    whole = "def a():\n    def b():\n        c()\n"
+    broken = "x = [1\ndef a():\n    if y:\n        c()\nclass D(E):\n    pass\n"
+    files = files_df(spark, {"whole.py": whole, "broken.py": broken, "empty.py": "", "other.txt": "x = ["})
+    g = build_graph(files, mode="auto")
+    nodes = {(r.file, r.name, r.kind, r.complexity) for r in g.nodes.collect()}
+    assert nodes == {("whole.py", "a", "function", 1), ("whole.py", "b", "function", 1), ("whole.py", "c", "function", 1),
+                     ("broken.py", "a", "function", 2), ("broken.py", "D", "class", 1), ("broken.py", "E", "class", 1)}
+    assert {(r.source, r.target, r.type) for r in g.edges.collect()} == {
+        ("whole.py:b", "whole.py:c", "calls"), ("broken.py:D", "broken.py:E", "inherits")}
+    for only, mode in ((whole, "scoped"), (broken, "line")):
+        f = files_df(spark, {"f.py": only})
+        assert sorted(map(str, build_graph(f, mode="auto").nodes.collect())) == sorted(map(str, build_graph(f, mode=mode).nodes.collect()))
