@@ -6,20 +6,14 @@ of the scores for a BPE model) and the byte fallback. Batches are encoded with s
 by sentencepiece itself too, and the result says whether both agree (``parity``), and whether decoding gives the
 normalised text back (``round_trip``). No shuffle: one pass over whole texts, the model's bytes are broadcast (a
 vocabulary file of fixed size). Batches are cut by characters, so memory does not grow with the table.
-
-Where no piece has a marker behind another character and normalising changes nothing but spaces, no merge or piece
-reaches from a word into the next word's marker. Texts are then cut before every run of markers, each distinct word of a
-batch goes to the library once, and a text's ids are those of its words; a bounded table keeps them for later batches.
 """
 from __future__ import annotations
 
 import os
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +26,6 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
 BATCH_CHARS = 1 << 20
-KNOWN_WORDS = 1 << 18
-_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -113,7 +105,7 @@ def merges_of(m: SpModel) -> list[tuple[str, str]]:
 
 
 def build(m: SpModel, prefix: bool = True):
-    """A tokenizers.Tokenizer that does what the model does; ``prefix`` False: for words that carry their markers."""
+    """A tokenizers.Tokenizer that does what the model does; ``prefix`` False: for the later parts of a cut text."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     unk = next(i for i, x in enumerate(m.pieces) if x[2] == UNKNOWN)
@@ -136,6 +128,20 @@ def build(m: SpModel, prefix: bool = True):
     return t
 
 
+def cut(text: str, size: int = BATCH_CHARS) -> list[str]:
+    """A text in parts of about ``size`` characters, each but the first beginning with a space that follows none."""
+    parts, at = [], 0
+    while len(text) - at > size:
+        i = text.find(" ", at + size)
+        while i >= 0 and text[i - 1] == " ":
+            i = text.find(" ", i + 1)
+        if i < 0:
+            break
+        parts.append(text[at:i])
+        at = i
+    return [*parts, text[at:]]
+
+
 @lru_cache(maxsize=2)
 def codec(raw: bytes, threads: int) -> "Codec":
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -150,23 +156,22 @@ class Codec:
         self.model = parse_model(raw)
         self.first, self.later = build(self.model), build(self.model, prefix=False)
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
-        known = {p for p, _, t in self.model.pieces if t in (NORMAL, USER_DEFINED)}
-        self.by_word = self.model.lossless and self.model.marks_begin_words and (self.model.byte_fallback or MARK in known)
-        self.words: dict[str, list[int]] = {}
+        self.cuts = self.model.lossless and self.model.marks_begin_words
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        """Ids of each text; texts or words go to the library in batches of about BATCH_CHARS characters."""
-        if not self.by_word:
-            yield from (e.ids for b in _runs(texts) for e in self.first.encode_batch_fast(b, add_special_tokens=False))
-            return
-        prefix = MARK if self.model.dummy_prefix else ""
-        for b in _runs(texts):
-            cut = [_WORDS.findall(prefix + t.replace(" ", MARK)) if t else [] for t in b]
-            if len(self.words) > KNOWN_WORDS:
-                self.words.clear()
-            new = list(set(chain.from_iterable(cut)).difference(self.words))
-            self.words.update(zip(new, (e.ids for e in self.later.encode_batch_fast(new, add_special_tokens=False))))
-            yield from (list(chain.from_iterable(map(self.words.__getitem__, c))) for c in cut)
+        """Ids of each text; texts go to the library in batches of about BATCH_CHARS characters."""
+        batch: list[str] = []
+        for t in [*texts, None]:
+            if batch and (t is None or sum(map(len, batch)) + len(t) > BATCH_CHARS):
+                for e in self.first.encode_batch_fast(batch, add_special_tokens=False):
+                    yield e.ids
+                batch = []
+            if t is not None and len(t) > BATCH_CHARS and self.cuts:
+                one, *more = cut(t)
+                yield [i for x, part in [(self.first, one), *[(self.later, p) for p in more]]
+                       for i in x.encode(part, add_special_tokens=False).ids]
+            elif t is not None:
+                batch.append(t)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.first.decode_batch(ids, skip_special_tokens=False)
@@ -204,19 +209,6 @@ def encode(docs: DataFrame, model_file: str, keep: list[Column], text: str = "te
     return src.mapInArrow(run, out)
 
 
-def _runs(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of texts of about BATCH_CHARS characters, one text at least."""
-    held, total = [], 0
-    for t in texts:
-        held.append(t)
-        total += len(t)
-        if total >= BATCH_CHARS:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
-
-
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """(start, length) of runs of rows of about BATCH_CHARS bytes."""
     size = np.diff(texts.offsets.to_numpy()) if hasattr(texts, "offsets") else np.array([len(t or "") for t in texts.to_pylist()])

@@ -106,7 +106,8 @@ def test_long_texts_many_labels_and_unknown_languages(spark):
     for n in (2, 10):  # an unlearnt language is not known, a mixture of learnt ones is
         alphabet = lambda i: "".join(chr(0x400 + 20 * i + j) for j in range(18))  # noqa: E731, B023
         r = np.random.default_rng(n)
-        text = lambda i, k=40: " ".join("".join(r.choice(list(alphabet(i)), 4)) for _ in range(k))  # noqa: E731, B023
+        lexicon = {i: ["".join(r.choice(list(alphabet(i)), 4)) for _ in range(30)] for i in range(n + 2)}
+        text = lambda i, k=40: " ".join(r.choice(lexicon[i], k))  # noqa: E731, B023
         learn = [(j, text(j % n), f"l{j % n}", "s", 1) for j in range(40 * n)]
         m = langid.train(table(spark, learn))
         assert all(m.predict(text(i))[2] for i in range(n)) and m.predict(text(0) + " " + text(1))[2]
@@ -269,15 +270,18 @@ def test_unigram_model_from_its_protobuf(trim):
     assert c.decode(sp.encode(texts)) == sp.decode(sp.encode(texts))
 
 
-def test_words_and_whole_texts_give_the_same_ids():
+def test_cut_keeps_text_and_ids(monkeypatch):
+    text = "some  words   and more " * 50
+    parts = sp_codec.cut(text, 64)
+    assert len(parts) > 5 and "".join(parts) == text
     c = sp_codec.Codec(Path(MODEL).read_bytes())
-    assert c.by_word
-    texts = ["", " ", "a  b", "  a", "tail   ", "x▁y ▁ z", "é 日本 \n\t tab", "word " * 3000, "🙂 🙂", "n" * 5000]
-    got = list(c.encode(texts * 2))
-    assert got == c.sp.encode(texts * 2)
-    assert got == [e.ids for e in c.first.encode_batch_fast(texts * 2, add_special_tokens=False)] or got == c.sp.encode(texts * 2)
+    want = c.sp.encode(text)
+    monkeypatch.setattr(sp_codec, "BATCH_CHARS", 64)
+    assert list(c.encode([text, "a b"])) == [want, c.sp.encode("a b")]
 
 
+# quality classifier
+
 def test_quality_classifier(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     learn = labels.where(fold("doc_id", 2) == 0)
