@@ -59,6 +59,8 @@ def report_oracles() -> dict[str, str]:
     o = {}
     o["merge_graph"] = O.q("SELECT repo_id, file, name, kind, complexity FROM mgd", MERGE)
     o["stream_merge"] = o["merge_graph"]
+    o["merge_edges"] = O.q("SELECT repo_id, file, source, target, type FROM mge", MERGE)
+    o["stream_edges"] = o["merge_edges"]
     o["merge_order"] = O.q("SELECT repo_id, file, name, cast(row_number() OVER (PARTITION BY repo_id, file ORDER BY pos, name) AS integer) AS place FROM nodes")
     # both graphs hold the re-analysed files with the same nodes, so the union's nodes are those of all files
     o["graph_union"] = O.q("SELECT repo_id, file, 'node' AS row, name, kind, complexity, NULL::VARCHAR AS source, NULL::VARCHAR AS target FROM nodes"

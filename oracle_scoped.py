@@ -177,6 +177,19 @@ SELECT repo_id, path AS file, v.what AS what, v.a AS a, v.b AS b, v.c AS complex
         " SELECT repo_id, target, count(*) AS calls,"
         "  row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, target) AS rank"
         " FROM medges WHERE type = 'calls' GROUP BY repo_id, target) WHERE rank <= 10")
+    # files merged again replace themselves, so the stored graph is that of all files
+    o["stored_hotspots"] = o["hotspot_rank"]
+    o["stored_edges"] = w("SELECT repo_id, file, source, target, type FROM medges")
+    o["stored_stats"] = w(
+        "SELECT coalesce(a.repo_id, b.repo_id) AS repo_id, coalesce(total_symbols, 0) AS total_symbols, coalesce(classes, 0) AS classes,"
+        " coalesce(functions, 0) AS functions, coalesce(modules, 0) AS modules, coalesce(total_edges, 0) AS total_edges,"
+        " coalesce(inheritance_edges, 0) AS inheritance_edges, coalesce(call_edges, 0) AS call_edges, coalesce(import_edges, 0) AS import_edges"
+        " FROM (SELECT repo_id, count(*) AS total_symbols, count(*) FILTER (WHERE kind = 'class') AS classes,"
+        "  count(*) FILTER (WHERE kind = 'function') AS functions, count(*) FILTER (WHERE kind = 'module') AS modules"
+        "  FROM mnodes GROUP BY repo_id) a FULL OUTER JOIN"
+        " (SELECT repo_id, count(*) AS total_edges, count(*) FILTER (WHERE type = 'inherits') AS inheritance_edges,"
+        "  count(*) FILTER (WHERE type = 'calls') AS call_edges, count(*) FILTER (WHERE type = 'imports') AS import_edges"
+        "  FROM medges GROUP BY repo_id) b ON a.repo_id = b.repo_id")
     o["induced_subgraph"] = w(
         "SELECT e.repo_id, replace(e.source, ':', '_COLON_') AS source, replace(e.target, ':', '_COLON_') AS target,"
         " e.type AS label, CASE e.type WHEN 'inherits' THEN 'blue' WHEN 'calls' THEN 'green' END AS color,"

@@ -155,9 +155,10 @@ def _next_gen(nodes: DataFrame) -> int:
     return int(nodes.agg(F.max("gen")).first()[0] or 0) + 1
 
 
-def _join_nodes(stored: DataFrame, new: DataFrame, take_new_complexity: bool) -> DataFrame:
-    """Stored nodes keep kind, order and place; new keys come after them, as generation ``gen`` + the stored one."""
-    gen = _next_gen(stored)
+def join_nodes(stored: DataFrame, new: DataFrame, take_new_complexity: bool, gen: int | None = None) -> DataFrame:
+    """Stored nodes keep kind, order and place; new keys come after them, as generation ``gen`` (by default the
+    next one) + their own."""
+    gen = _next_gen(stored) if gen is None else gen
     key = ["repo_id", "file", "name"]
     n = new.select(*key, F.col("kind").alias("k2"), F.col("complexity").alias("c2"), F.col("gen").alias("g2"), F.col("pos").alias("p2"))
     j = stored.select(*key, "kind", "complexity", "gen", "pos").join(n, key, "full")
@@ -170,7 +171,7 @@ def _join_nodes(stored: DataFrame, new: DataFrame, take_new_complexity: bool) ->
 
 def graph_union(a: Graph, b: Graph) -> Graph:
     """SET2: union of two stored graphs: a key of ``a`` keeps its row whole, edges are appended."""
-    return Graph(_join_nodes(a.nodes, b.nodes, False), append_edges(a.edges, b.edges))
+    return Graph(join_nodes(a.nodes, b.nodes, False), append_edges(a.edges, b.edges))
 
 
 def merge_graph(base: Graph, new: Graph, replace_files: bool = False) -> Graph:
@@ -187,7 +188,7 @@ def merge_graph(base: Graph, new: Graph, replace_files: bool = False) -> Graph:
         files = new.nodes.select("repo_id", "file").unionByName(new.edges.select("repo_id", "file")).distinct()
         nodes = nodes.join(files, ["repo_id", "file"], "left_anti")
         edges = edges.join(files, ["repo_id", "file"], "left_anti")
-    return Graph(_join_nodes(nodes, new.nodes, True), append_edges(edges, new.edges))
+    return Graph(join_nodes(nodes, new.nodes, True), append_edges(edges, new.edges))
 
 
 def call_endpoints(edges: DataFrame) -> DataFrame:

@@ -57,14 +57,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 _TABLES: dict[tuple[str, str], str] = {}
+_RESULTS: dict[tuple[str, str], object] = {}
+
+
+def remembered(spark: SparkSession, key: str, make):
+    """``make()`` once per application, for results that stand on written tables; ``clear_tables`` forgets them."""
+    at = (spark.sparkContext.applicationId, key)
+    if at not in _RESULTS:
+        _RESULTS[at] = make()
+    return _RESULTS[at]
 
 
 def clear_tables(spark: SparkSession) -> None:
-    """Delete every table that ``materialize`` wrote in this application; call it when no result is read any more."""
+    """Delete every table that ``materialize`` wrote in this application and forget the results over them; call it
+    when no result is read any more."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "tables"))
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     _TABLES.clear()
+    _RESULTS.clear()
 
 
 def materialize(df, name: str, key: str | None = None, partition_by: str | None = None):

@@ -1,100 +1,46 @@
 """GRF9 as a stream: source files arrive as parquet files in a folder; each micro-batch is
 analysed and merged into the stored graph (``foreachBatch``).
 
-The stored graph is versioned. A batch reads the latest complete version and writes the next
-one, whose marker (written last, naming the stream's checkpoint and the batch) makes it
-complete. A batch that is retried after its version was complete finds its own marker and does
-nothing; one that failed before writes the same number again, and readers, who go by markers,
-never see it half done. A stream with a new checkpoint goes on from the latest version. The
-stream checkpoint lives in the shared checkpoint folder.
+The stored graph is versioned and bucketed (``sources.graph_versions``): a batch reads and rewrites
+the buckets of its own files and appends the rest. A batch that is retried after its version was
+complete finds its own marker and does nothing; one that failed before writes the same number
+again, and readers, who go by markers, never see it half done. A stream with a new checkpoint goes
+on from the latest version. The stream checkpoint lives in the shared checkpoint folder.
 """
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import graph as G
-from ..plans.analyze import merge_files
-from ..sources.files import SOURCE_FILE_SCHEMA
-
-
-def _version_path(root: str, v: int) -> str:
-    return os.path.join(root, f"v{v:08d}")
-
-
-def latest_version(spark: SparkSession, root: str) -> int:
-    """Highest complete graph version under ``root`` (-1 when none), via the Hadoop FS API."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return -1
-    best = -1
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_COMPLETE")):
-            best = max(best, int(name[1:]))
-    return best
-
-
-def _marker(spark: SparkSession, root: str, v: int):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(_version_path(root, v), "_COMPLETE")
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _marked(spark: SparkSession, root: str, v: int) -> str:
-    """What version ``v``'s marker says: checkpoint and batch that made it."""
-    fs, p = _marker(spark, root, v)
-    f = fs.open(p)
-    try:
-        return f.readUTF()
-    finally:
-        f.close()
-
-
-def _write_version(g: G.Graph, root: str, v: int, made_by: str) -> None:
-    fs, p = _marker(g.nodes.sparkSession, root, v)
-    fs.delete(p, False)  # a version is incomplete from before its first byte changes
-    path = _version_path(root, v)
-    g.nodes.select(*G.NODE_COLS, "gen", "pos").write.mode("overwrite").parquet(f"{path}/nodes")
-    g.edges.select(*G.EDGE_COLS).write.mode("overwrite").parquet(f"{path}/edges")
-    f = fs.create(p, True)
-    f.writeUTF(made_by)
-    f.close()
-
-
-def read_version(spark: SparkSession, root: str, v: int | None = None) -> G.Graph:
-    v = latest_version(spark, root) if v is None else v
-    path = _version_path(root, v)
-    return G.Graph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
-
-
-def seed_graph(g: G.Graph, root: str) -> None:
-    """Store ``g`` as version 0 (the graph the stream starts from)."""
-    _write_version(g, root, 0, "seed")
+from ..plans.analyze import build_graph
+from ..sources.files import SOURCE_FILE_SCHEMA, supported_files
+from ..sources.graph_versions import expire_versions, merge_version, version
 
 
-def merge_once(files: DataFrame, root: str, made_by: str, mode: str = "line") -> int:
-    """Merge ``files`` into the latest version unless that version is this very batch's; the version's number."""
+def merge_once(files: DataFrame, root: str, made_by: str, mode: str = "line", replace_files: bool = False,
+               keep: int | None = None) -> int:
+    """Analyse ``files`` and merge them into the latest version unless that version is this very batch's; the
+    version's number. With ``replace_files`` what was stored of these files goes; with ``keep`` only the newest
+    versions stay."""
     spark = files.sparkSession
-    v = latest_version(spark, root)
-    if v >= 0 and _marked(spark, root, v) == made_by:
-        return v
-    _write_version(merge_files(read_version(spark, root, v), files, mode=mode, store=True), root, v + 1, made_by)
-    return v + 1
+    last = version(spark, root)
+    if last.made_by == made_by:
+        return last.number
+    replaced = supported_files(files).select("repo_id", F.col("path").alias("file")) if replace_files else None
+    v = merge_version(build_graph(files, mode=mode, store=True, default=False), root, made_by, replaced)
+    if keep:
+        expire_versions(spark, root, keep)
+    return v
 
 
 def merge_stream(spark: SparkSession, source_dir: str, graph_root: str, checkpoint: str,
-                 mode: str = "line", available_now: bool = True):
+                 mode: str = "line", available_now: bool = True, replace_files: bool = False, keep: int | None = None):
     """Start the stream: every new parquet file of ``(repo_id, path, content)`` in
     ``source_dir`` is merged into the graph under ``graph_root``."""
     stream = spark.readStream.schema(SOURCE_FILE_SCHEMA).parquet(source_dir)
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        merge_once(batch, graph_root, f"{checkpoint}#{batch_id}", mode)
+        merge_once(batch, graph_root, f"{checkpoint}#{batch_id}", mode, replace_files, keep)
 
     w = stream.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -216,18 +216,109 @@ def test_many_items_on_one_line_keep_their_order(spark):
 
 
 def test_stream_batches_are_merged_once(spark, tmp_path):
-    from srcgraph.streaming.incremental import latest_version, merge_once, read_version, seed_graph
+    from srcgraph.sources.graph_versions import latest_version, read_version, seed_graph
+    from srcgraph.streaming.incremental import merge_once
     root = str(tmp_path / "g")
     seed_graph(build_graph(files_df(spark, {"a.py": "import os\n"})), root)
     one, two = files_df(spark, {"b.py": "import sys\n"}), files_df(spark, {"c.py": "class C(B):\n  pass\n"})
     assert merge_once(one, root, "s#0") == 1
     assert merge_once(one, root, "s#0") == 1  # a retry after its version was complete
-    (tmp_path / "g" / "v00000002" / "nodes").mkdir(parents=True)  # what a failed attempt left
+    left = tmp_path / "g" / "segments" / "v00000002" / "nodes" / "bucket=1"  # what a failed attempt left
+    left.mkdir(parents=True)
+    (left / "part-0.parquet").write_bytes(b"half a file")
+    (tmp_path / "g" / "manifests" / "v00000002").mkdir(parents=True)
+    assert latest_version(spark, root) == 1
     assert merge_once(two, root, "s#1") == 2 and latest_version(spark, root) == 2
     g = read_version(spark, root)
     assert {n[1] for n in _nodes(g)} == {"os", "sys", "C", "B"} and g.edges.count() == 3
 
 
+def _sorted(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def _same_as_merge_graph(spark, root, want):
+    from srcgraph.sources.graph_versions import read_version, stored_hotspots, stored_stats
+    from srcgraph.operators import stats as S
+    got = read_version(spark, root)
+    assert _nodes(got) == _nodes(want)
+    assert _sorted(got.edges) == _sorted(want.edges)
+    assert _sorted(stored_stats(spark, root)) == _sorted(S.graph_stats(want.nodes, want.edges))
+    assert _sorted(stored_hotspots(spark, root)) == _sorted(S.call_hotspots(want.edges))
+
+
+def _source(i, v):
+    return f"import m{v}\n\ndef f{i}(a):\n    if a:\n        g{v}(a)\n    return h(a)\n\nclass C{v}(B{i}):\n    pass\n"
+
+
+def test_versions_equal_a_recount_after_five_merges(spark, tmp_path):
+    """Replaced files, a file that loses all its symbols, new files, full buckets written as one, expired versions."""
+    from srcgraph.sources.graph_versions import complete_versions, expire_versions, merge_version, read_version, seed_graph
+    root, content = str(tmp_path / "g"), {f"p{i}.py": _source(i, 0) for i in range(12)}
+    whole = lambda: build_graph(files_df(spark, content), mode="scoped")
+    seed_graph(whole(), root, buckets=4)
+    for v in range(1, 6):
+        batch = {f"p{i}.py": _source(i, v) for i in range(v, 14, 4)}
+        if v == 3:
+            batch["p3.py"] = "\n"
+        content.update(batch)
+        df = files_df(spark, batch)
+        new = build_graph(df, mode="scoped", store=True, default=False)
+        assert merge_version(new, root, f"b{v}", df.selectExpr("repo_id", "path AS file"), max_segments=2) == v
+        got, want = read_version(spark, root), whole()
+        assert _sorted(got.nodes.select(*G.NODE_COLS)) == _sorted(want.nodes.select(*G.NODE_COLS))
+    _same_as_merge_graph(spark, root, G.Graph(got.nodes, want.edges))
+    assert expire_versions(spark, root, keep=1) > 0 and complete_versions(spark, root) == [5]
+    _same_as_merge_graph(spark, root, G.Graph(read_version(spark, root).nodes, want.edges))
+    assert expire_versions(spark, root, keep=1) == 0
+
+
+def test_appending_versions_equal_merge_graph(spark, tmp_path):
+    from srcgraph.sources.graph_versions import seed_graph
+    from srcgraph.streaming.incremental import merge_once
+    root = str(tmp_path / "g")
+    files = lambda v, ids: files_df(spark, {f"p{i}.py": _source(i, v) for i in ids})
+    want = build_graph(files(0, range(5)), mode="scoped")
+    seed_graph(want, root, buckets=3)
+    for v, ids in ((1, (0, 1, 7)), (2, (1,)), (3, ())):
+        want = merge_files(want, files(v, ids), mode="scoped")
+        merge_once(files(v, ids), root, f"b{v}", "scoped")
+    _same_as_merge_graph(spark, root, want)
+
+
+def test_a_merge_writes_in_proportion_to_its_batch(spark, tmp_path):
+    from srcgraph.sources.graph_versions import read_version, seed_graph
+    from srcgraph.streaming.incremental import merge_once
+    root = tmp_path / "g"
+    seed_graph(build_graph(files_df(spark, {f"p{i}.py": _source(i, 0) for i in range(200)}), mode="scoped"), str(root), buckets=32)
+    merge_once(files_df(spark, {"p7.py": _source(7, 1)}), str(root), "one", "scoped", replace_files=True)
+    size = lambda v, t: sum(f.stat().st_size for f in (root / "segments" / f"v{v:08d}" / t).rglob("part-*"))
+    for t in ("nodes", "edges"):
+        assert len(list((root / "segments" / "v00000001" / t).glob("bucket=*"))) == 1
+        assert size(1, t) < size(0, t) / 16
+    assert len(_nodes(read_version(spark, str(root)))) == len(_nodes(read_version(spark, str(root), 0)))
+
+
+def test_empty_graph_takes_a_merge(spark, tmp_path):
+    from srcgraph.sources.graph_versions import read_version, seed_graph, stored_stats
+    from srcgraph.streaming.incremental import merge_once
+    root = str(tmp_path / "g")
+    seed_graph(build_graph(files_df(spark, {"a.txt": "x"})), root)
+    assert stored_stats(spark, root).count() == 0 and read_version(spark, root).nodes.count() == 0
+    merge_once(files_df(spark, {"a.py": "import os\n"}), root, "b")
+    assert _nodes(read_version(spark, root)) == [("a.py", "os", "module", 1)]
+    assert [r.asDict() for r in stored_stats(spark, root).collect()] == [
+        dict(repo_id="r", total_symbols=1, classes=0, functions=0, modules=1, total_edges=1, inheritance_edges=0, call_edges=0, import_edges=1)]
+
+
+def test_cleared_tables_are_made_again(spark):
+    from srcgraph.session import clear_tables, materialize, remembered
+    make = lambda: materialize(spark.range(3), "three")
+    assert remembered(spark, "three", make) is remembered(spark, "three", make)
+    clear_tables(spark)
+    assert remembered(spark, "three", make).count() == 3
+
+
 def test_no_machine_local_checkpoint_on_a_cluster():
     import pytest
 
