@@ -55,8 +55,33 @@ flist AS (
  WHERE k <= 20 GROUP BY repo_id, class)"""
 
 
+# what its files import follows from p_partkey; prefixes are found by comparing every module of the repository.
+PACKAGES = f"""x AS (SELECT p_partkey AS k, p_partkey // 8 AS g, p_partkey % 8 AS j, 'p' || (p_partkey // 8) || '/' AS p FROM part WHERE p_partkey % 16 <> 11),
+f10 AS (SELECT k, 'repo' || (g % 25) AS repo_id, CASE j WHEN 0 THEN p || '__init__.py' WHEN 1 THEN p || 'core.py' WHEN 2 THEN p || 'sub/__init__.py'
+  WHEN 3 THEN p || 'sub/leaf.py' WHEN 4 THEN p || 'sub/deep/inner.py' WHEN 5 THEN p || 'main.py' WHEN 6 THEN p || 'sub/util_' || k || '.py'
+  ELSE 'top_' || k || '.py' END AS path, g FROM x),
+named AS (SELECT k, repo_id, path, replace(regexp_replace(regexp_replace(path, '[.]py$', ''), '(^|/)__init__$', ''), '/', '.') AS name FROM f10),
+i0 AS (SELECT k, repo_id, path AS file, unnest(['os', '.', '.core', '..sub.leaf', '...top', 'p' || g || '.sub.leaf.name', 'ext' || (k % 3) || '.y']) AS module FROM f10),
+i1 AS (SELECT *, length(module) - length(ltrim(module, '.')) AS level, ltrim(module, '.') AS rest, string_split(file, '/') AS segs FROM i0),
+i2 AS (SELECT *, CASE WHEN level = 0 THEN module WHEN level > len(segs) THEN NULL
+  ELSE array_to_string(list_concat(segs[1:len(segs) - level], CASE WHEN rest = '' THEN [] ELSE [rest] END), '.') END AS resolved FROM i1),
+i3 AS (SELECT i.k, i.repo_id, file, module, level, resolved, arg_max(n.path, length(n.name)) AS path FROM i2 i LEFT JOIN named n
+  ON n.repo_id = i.repo_id AND n.name <> '' AND (resolved = n.name OR starts_with(resolved, n.name || '.')) GROUP BY ALL)"""
+
+
 def report_oracles() -> dict[str, str]:
     o = {}
+    o["package_imports"] = f"""WITH {PACKAGES},
+seen AS (SELECT * FROM named WHERE k % 3 <> 0),
+c AS (SELECT *, EXISTS (SELECT 1 FROM seen s WHERE s.repo_id = i3.repo_id AND (s.path = i3.path OR level = 0 AND (s.name = resolved
+  OR ends_with(s.name, '.' || resolved)))) AS done FROM i3 WHERE k % 3 <> 0),
+d AS (SELECT *, CASE WHEN resolved = '' THEN 'skipped' WHEN done THEN 'analyzed' WHEN level = 0 AND split_part(module, '.', 1) IN {STD} THEN 'stdlib'
+  WHEN level > 0 OR starts_with(module, repo_id) OR path IS NOT NULL THEN 'internal' ELSE 'external' END AS class FROM c)
+SELECT repo_id, file, module, resolved, class, CASE WHEN class = 'internal' THEN path END AS potential_file FROM d"""
+    o["package_discovery"] = f"""WITH RECURSIVE {PACKAGES},
+walk(repo_id, path, round) AS (SELECT repo_id, path, 0 FROM f10 WHERE regexp_matches(path, '/(main|__init__)[.]py$')
+  UNION SELECT w.repo_id, i.path, w.round + 1 FROM walk w JOIN i3 i ON i.repo_id = w.repo_id AND i.file = w.path AND i.path IS NOT NULL WHERE w.round < 3)
+SELECT repo_id, path, cast(min(round) AS integer) AS round FROM walk GROUP BY repo_id, path"""
     o["merge_graph"] = O.q("SELECT repo_id, file, name, kind, complexity FROM mgd", MERGE)
     o["stream_merge"] = o["merge_graph"]
     o["merge_edges"] = O.q("SELECT repo_id, file, source, target, type FROM mge", MERGE)

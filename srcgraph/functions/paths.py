@@ -39,6 +39,27 @@ def module_name_of_file(c) -> Column:
     return F.replace(F.regexp_replace(col_(c), "\\.py$", ""), F.lit("/"), F.lit("."))
 
 
+def folded_module_name(c) -> Column:
+    """COL7 with packages folded: ``pkg/__init__.py`` -> ``pkg`` (the root's ``__init__.py`` -> ``''``)."""
+    return F.regexp_replace(module_name_of_file(c), "(^|\\.)__init__$", "")
+
+
+def import_level(module) -> Column:
+    """Number of leading dots."""
+    return F.char_length(col_(module)) - F.char_length(relative_import_base(module))
+
+
+def absolute_module(module, path) -> Column:
+    """COL9 against the importing file's package: one dot is its folder, every further dot one folder up.
+    ``''`` is the repository root itself; null where the dots lead above it. Without dots the module as it is."""
+    level, base = import_level(module), relative_import_base(module)
+    segs = F.split(col_(path), "/")
+    depth = F.size(segs) - level  # folders left of the path after level - 1 steps up
+    parts = F.concat(F.slice(segs, F.lit(1), F.greatest(depth, F.lit(0))),
+                     F.when(base != "", F.array(base)).otherwise(F.array().cast("array<string>")))
+    return F.when(level == 0, col_(module)).when(depth >= 0, F.array_join(parts, "."))
+
+
 def import_target_module(c) -> Column:
     """COL8: part of an import target before the first ``:``."""
     return F.split_part(col_(c), F.lit(":"), F.lit(1))

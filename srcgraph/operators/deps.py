@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import STDLIB_MODULES, SUMMARY_LIST_LEN
-from ..functions.paths import (candidate_init, candidate_py, import_target_module, module_name_of_file,
-                               relative_import_base)
+from ..functions.paths import (absolute_module, candidate_init, candidate_py, folded_module_name, import_level,
+                               import_target_module, module_name_of_file, relative_import_base)
 
 
 def analyzed_module_names(nodes: DataFrame) -> DataFrame:
@@ -83,6 +83,59 @@ def classify_imports(edges: DataFrame, nodes: DataFrame, all_paths: DataFrame,
     return m.select("repo_id", "module", cls.alias("class"), pot.alias("potential_file"))
 
 
+def importer_modules(edges: DataFrame) -> DataFrame:
+    """AGG5 per importing file: distinct ``(repo_id, file, module)``; COL8 + empty dropped."""
+    return (edges.where(F.col("type") == "imports")
+            .select("repo_id", "file", import_target_module("target").alias("module"))
+            .where(F.col("module") != "").distinct())
+
+
+def resolve_importers(mods: DataFrame, all_paths: DataFrame) -> DataFrame:
+    """COL7, COL9 and COL10 by package: ``(repo_id, file, module, level, resolved, path)``.
+
+    Dots are levels up from the importing file (``absolute_module``), ``pkg/__init__.py`` is ``pkg``, and ``path`` is
+    the file of the longest prefix of ``resolved`` that a file stands for (``a.b`` of ``a/b.py`` before that of
+    ``a/b/__init__.py``), so a name taken from a package leads to the package. It is null where no prefix has one.
+    Prefixes are looked up by hash, a module once however many files import it.
+    """
+    m = mods.select("repo_id", "file", "module", import_level("module").alias("level"),
+                    absolute_module("module", "file").alias("resolved"))
+    names = (all_paths.where(F.col("path").endswith(".py")).select("repo_id", "path", folded_module_name("path").alias("prefix"))
+             .where(F.col("prefix") != ""))
+    names = names.groupBy("repo_id", "prefix").agg(F.min_by("path", F.struct(F.col("path").endswith("/__init__.py"), "path")).alias("path"))
+    parts = F.split("resolved", "\\.")
+    wanted = m.where(F.col("resolved") != "").select("repo_id", "resolved").distinct()
+    cut = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), ".").alias("prefix")))
+    found = (wanted.select("repo_id", "resolved", F.inline(cut)).join(names, ["repo_id", "prefix"])
+             .groupBy("repo_id", "resolved").agg(F.max_by("path", "depth").alias("path")))
+    return m.join(found, ["repo_id", "resolved"], "left").select("repo_id", "file", "module", "level", "resolved", "path")
+
+
+def classify_importers(edges: DataFrame, nodes: DataFrame, all_paths: DataFrame,
+                       repo_names: DataFrame | None = None) -> DataFrame:
+    """IMP1-IMP4 keyed by importer: ``(repo_id, file, module, resolved, class, potential_file)``.
+
+    As ``classify_imports``, but with modules resolved by ``resolve_importers``. ``analyzed``: the file found has a
+    node or, for an import without dots, JOIN5 holds for a folded module name. An import with dots is never
+    ``stdlib`` or ``external``; one that leads above the root is ``internal`` without a file, one that names the
+    root itself is ``skipped``.
+    """
+    m = resolve_importers(importer_modules(edges), all_paths)
+    files = nodes.where(F.col("file") != "").select("repo_id", F.col("file").alias("path")).distinct()
+    sfx = module_suffixes(files.select("repo_id", folded_module_name("path").alias("module")).where(F.col("module") != "").distinct())
+    m = (m.join(files.withColumn("hit_file", F.lit(True)), ["repo_id", "path"], "left")
+         .join(sfx.select("repo_id", F.col("suffix").alias("resolved"), F.lit(True).alias("hit_name")), ["repo_id", "resolved"], "left"))
+    m = m.withColumn("repo_name", F.col("repo_id")) if repo_names is None else m.join(repo_names, "repo_id", "left")
+    absolute = F.col("level") == 0
+    done = F.coalesce("hit_file", F.lit(False)) | (absolute & F.coalesce("hit_name", F.lit(False)))
+    root = F.split_part(F.col("module"), F.lit("."), F.lit(1))
+    named = F.coalesce(F.col("module").startswith(F.col("repo_name")), F.lit(False))
+    cls = (F.when(F.col("resolved") == "", "skipped").when(done, "analyzed")
+           .when(absolute & root.isin(*STDLIB_MODULES), "stdlib")
+           .when(~absolute | named | F.col("path").isNotNull(), "internal").otherwise("external"))
+    return m.select("repo_id", "file", "module", "resolved", cls.alias("class"), F.when(cls == "internal", F.col("path")).alias("potential_file"))
+
+
 def potential_files(classes: DataFrame) -> DataFrame:
     """IMP4: distinct files behind unanalysed internal imports ``(repo_id, path)``."""
     return (classes.where(F.col("potential_file").isNotNull())

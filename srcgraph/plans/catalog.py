@@ -724,6 +724,25 @@ def q_diagram_edges(spark, sf):
     return diagram_tables(g.nodes, g.edges)[1]
 
 
+# ---- imports by package (COL7, COL9, COL10 as options) ------------------------------------
+
+@register("package_imports")
+def q_package_imports(spark, sf):
+    """IMP1-IMP4 keyed by importer on F10, of which a third of the files is not analysed."""
+    from ..operators.deps import classify_importers
+    files = materialize(FX.f10_package_sources(spark, sf), "f10", key=f"f10:{sf}")
+    g = build_graph(files.where("p_partkey % 3 <> 0"), store=True)
+    return classify_importers(g.edges, g.nodes, files.select("repo_id", "path"))
+
+
+@register("package_discovery")
+def q_package_discovery(spark, sf):
+    """ITR1 with imports resolved by package on F10: the files reached from the entry points, with their pass."""
+    from .discovery import discover
+    files = materialize(FX.f10_package_sources(spark, sf), "f10", key=f"f10:{sf}").drop("p_partkey")
+    return discover(files, by_package=True).reached.select("repo_id", "path", "round")
+
+
 # ---- incremental merge (GRF9, SET2, streaming) ------------------------------------------
 
 def _f6(spark, sf):

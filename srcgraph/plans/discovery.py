@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import MAX_DISCOVERY_ROUNDS, STDLIB_MODULES
-from ..functions.paths import candidate_init, candidate_py, module_name_of_file, relative_import_base
+from ..functions.paths import candidate_init, candidate_py, folded_module_name, module_name_of_file, relative_import_base
 from ..operators import graph as G
-from ..operators.deps import module_suffixes
+from ..operators.deps import importer_modules, module_suffixes, resolve_importers
 from ..operators.tree import entry_point_files, file_rows
 from ..session import checkpoint_dir
 from ..sources.files import extension_filter, prune_ignored_dirs
@@ -56,49 +56,65 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _root_targets(frontier: DataFrame, reached: DataFrame, imports: DataFrame, with_nodes: DataFrame, all_paths: DataFrame) -> DataFrame:
+    """Files behind the unanalysed internal imports of the frontier, looked for from the repository's root."""
+    # modules analysed so far: files reached that produced at least one node
+    analyzed = (reached.join(with_nodes, ["repo_id", "path"], "left_semi")
+                .select("repo_id", module_name_of_file("path").alias("module")).distinct())
+    sfx = module_suffixes(analyzed).select("repo_id", F.col("suffix").alias("base"))
+    mods = (frontier.join(imports, ["repo_id", "path"]).select("repo_id", "module").distinct()
+            .withColumn("base", relative_import_base("module"))
+            .where(F.col("base") != ""))
+    mods = (mods.join(sfx, ["repo_id", "base"], "left_anti")
+            .join(analyzed, ["repo_id", "module"], "left_anti")
+            .where(~F.split_part("module", F.lit("."), F.lit(1)).isin(*STDLIB_MODULES)))
+    py = all_paths.select("repo_id", F.col("path").alias("cand_py"), F.lit(True).alias("has_py"))
+    ini = all_paths.select("repo_id", F.col("path").alias("cand_init"), F.lit(True).alias("has_init"))
+    mods = (mods.withColumn("cand_py", candidate_py("base")).withColumn("cand_init", candidate_init("base"))
+            .join(py, ["repo_id", "cand_py"], "left").join(ini, ["repo_id", "cand_init"], "left"))
+    return mods.select("repo_id", F.when(F.col("has_py"), F.col("cand_py")).when(F.col("has_init"), F.col("cand_init")).alias("path"))
+
+
+def _package_targets(frontier: DataFrame, reached: DataFrame, imports: DataFrame, with_nodes: DataFrame, all_paths: DataFrame) -> DataFrame:
+    """Files behind the frontier's imports as resolved by package; those without dots pass JOIN5 and the standard library first."""
+    analyzed = (reached.join(with_nodes, ["repo_id", "path"], "left_semi")
+                .select("repo_id", folded_module_name("path").alias("module")).where(F.col("module") != "").distinct())
+    sfx = module_suffixes(analyzed).select("repo_id", F.col("suffix").alias("resolved"))
+    mods = frontier.join(imports, ["repo_id", "path"]).select("repo_id", "module", "level", "resolved", F.col("target").alias("path"))
+    plain = (mods.where(F.col("level") == 0).join(sfx, ["repo_id", "resolved"], "left_anti")
+             .where(~F.split_part("module", F.lit("."), F.lit(1)).isin(*STDLIB_MODULES)))
+    return plain.select("repo_id", "path").unionByName(mods.where(F.col("level") > 0).select("repo_id", "path"))
+
+
 def discover(files: DataFrame, all_paths: DataFrame | None = None,
-             max_rounds: int = MAX_DISCOVERY_ROUNDS) -> Discovery:
+             max_rounds: int = MAX_DISCOVERY_ROUNDS, by_package: bool = False) -> Discovery:
     """ITR1: reached files per repository, passes used, and the graph of the reached files.
 
     ``files(repo_id, path, content)`` are the readable files; ``all_paths(repo_id, path)``
     lists every file of the checkout (defaults to the paths of ``files``). The repository-
     name prefix rule only changes how an import is classified, never which file it names,
     so it plays no part here. A listed file without readable content is reached (and
-    counted) but adds no node, as an unreadable file does.
+    counted) but adds no node, as an unreadable file does. With ``by_package`` imports are
+    resolved against the importing file's package and to the longest prefix that has a file
+    (``deps.resolve_importers``), once, before the passes.
     """
     if all_paths is None:
         all_paths = files.select("repo_id", "path")
     all_paths = all_paths.select("repo_id", "path").distinct()
     g = build_graph(files, mode="line", store=True)
     # per-file tables used by the passes (small: a few rows per file)
-    imports = (g.edges.where(F.col("type") == "imports")
-               .select("repo_id", F.col("file").alias("path"),
-                       F.split_part(F.col("target"), F.lit(":"), F.lit(1)).alias("module"))
-               .where(F.col("module") != "").distinct())
-    imports = _checkpoint(imports)
+    imports = importer_modules(g.edges)
+    if by_package:
+        imports = resolve_importers(imports, all_paths).where(F.col("path").isNotNull()).withColumnRenamed("path", "target")
+    imports = _checkpoint(imports.withColumnRenamed("file", "path"))
     with_nodes = _checkpoint(g.nodes.select("repo_id", F.col("file").alias("path")).distinct())
     seed = seed_files(files, all_paths)
     from_entry = seed.groupBy("repo_id").agg(F.bool_or("from_entry").alias("seeded_with_entry_points"))
     reached = _checkpoint(seed.select("repo_id", "path", F.lit(0).alias("round")))
     frontier = reached
     for rnd in range(1, max_rounds + 1):
-        # modules analysed so far: files reached that produced at least one node
-        analyzed = (reached.join(with_nodes, ["repo_id", "path"], "left_semi")
-                    .select("repo_id", module_name_of_file("path").alias("module")).distinct())
-        sfx = module_suffixes(analyzed).select("repo_id", F.col("suffix").alias("base"))
-        mods = (frontier.join(imports, ["repo_id", "path"]).select("repo_id", "module").distinct()
-                .withColumn("base", relative_import_base("module"))
-                .where(F.col("base") != ""))
-        mods = (mods.join(sfx, ["repo_id", "base"], "left_anti")
-                .join(analyzed, ["repo_id", "module"], "left_anti")
-                .where(~F.split_part("module", F.lit("."), F.lit(1)).isin(*STDLIB_MODULES)))
-        py = all_paths.select("repo_id", F.col("path").alias("cand_py"), F.lit(True).alias("has_py"))
-        ini = all_paths.select("repo_id", F.col("path").alias("cand_init"), F.lit(True).alias("has_init"))
-        mods = (mods.withColumn("cand_py", candidate_py("base")).withColumn("cand_init", candidate_init("base"))
-                .join(py, ["repo_id", "cand_py"], "left").join(ini, ["repo_id", "cand_init"], "left"))
-        target = F.when(F.col("has_py"), F.col("cand_py")).when(F.col("has_init"), F.col("cand_init"))
-        new = (mods.select("repo_id", target.alias("path")).where(F.col("path").isNotNull()).distinct()
-               .join(reached, ["repo_id", "path"], "left_anti"))
+        found = (_package_targets if by_package else _root_targets)(frontier, reached, imports, with_nodes, all_paths)
+        new = found.where(F.col("path").isNotNull()).distinct().join(reached, ["repo_id", "path"], "left_anti")
         new = _checkpoint(new.withColumn("round", F.lit(rnd)))
         if new.isEmpty():
             break

@@ -1,4 +1,4 @@
-"""F1-F6, F8 of FIXTURES.md, derived with the DataFrame API from the driver tables.
+"""F1-F6, F8-F10 of FIXTURES.md, derived with the DataFrame API from the driver tables.
 
 The driver tables hold no source code, so code-shaped input is generated from ``part``
 (one file per part, ``repo_id`` from the brand). Every fixture scales with its table.
@@ -105,6 +105,22 @@ def f9_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f1_paths(spark, sf_dir).select("p_partkey", "repo_id", "path", text.alias("content"))
 
 
+def f10_package_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F10 ``(p_partkey, repo_id, path, content)``: nested packages of eight files per eight ``part`` rows (every other
+    package lacks ``sub/leaf.py``), each file with the same imports: of its package, of a module beside it, one and
+    two levels up, of a name in a module from the root, and of others."""
+    k = F.col("p_partkey")
+    g, s = F.floor(k / 8).cast("long"), lambda c: c.cast("string")
+    p = F.concat(F.lit("p"), s(g), F.lit("/"))
+    names = [F.concat(p, F.lit(x)) for x in ("__init__.py", "core.py", "sub/__init__.py", "sub/leaf.py", "sub/deep/inner.py", "main.py")]
+    names += [F.concat(p, F.lit("sub/util_"), s(k), F.lit(".py")), F.concat(F.lit("top_"), s(k), F.lit(".py"))]
+    text = F.concat(F.lit("import os\nfrom . import core\nfrom .core import x\nfrom ..sub.leaf import y\nfrom ...top import z\nimport p"), s(g),
+                    F.lit(".sub.leaf.name\nimport ext"), s(k % 3), F.lit(".y\ndef f(a):\n    return a\n"))
+    rows = table(spark, sf_dir, "part").where((k % 16 != 11))
+    return rows.select("p_partkey", F.concat(F.lit("repo"), s(g % 25)).alias("repo_id"), F.element_at(F.array(*names), (k % 8 + 1).cast("int")).alias("path"),
+                       text.alias("content"))
+
+
 def f2_repo_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2 ``repo_urls(req_id, repo_url)``: one URL per ``pages`` row, twelve shapes."""
     pg = table(spark, sf_dir, "pages")

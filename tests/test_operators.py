@@ -215,6 +215,31 @@ def test_many_items_on_one_line_keep_their_order(spark):
     assert names == ["f", *[f"g{i}" for i in range(70_000)], "h"]
 
 
+def test_imports_resolve_by_package(spark):
+    from srcgraph.operators.deps import classify_importers
+    files = {"a/__init__.py": "from . import b\n", "a/b.py": "from .c import x\nfrom ..d import y\nfrom ...e import z\nimport a.c.K\nimport json\nimport far\n",
+             "a/c/__init__.py": "from .. import b\nfrom ..c import q\n", "a/c.py": "", "d.py": "from . import a\nfrom .a.b import f\n", "a/none.txt": ""}
+    df = files_df(spark, files)
+    g = build_graph(df.where("path not in ('a/c.py', 'd.py')"))
+    top = build_graph(df.where("path = 'd.py'"))
+    got = {(r.file, r.module): (r.resolved, r["class"], r.potential_file)
+           for r in classify_importers(G.append_edges(g.edges, top.edges), g.nodes, df.select("repo_id", "path")).collect()}
+    assert got == {
+        ("a/__init__.py", "."): ("a", "analyzed", None), ("a/b.py", ".c"): ("a.c", "internal", "a/c.py"), ("a/b.py", "..d"): ("d", "internal", "d.py"),
+        ("a/b.py", "...e"): (None, "internal", None), ("a/b.py", "a.c.K"): ("a.c.K", "internal", "a/c.py"), ("a/b.py", "json"): ("json", "stdlib", None),
+        ("a/b.py", "far"): ("far", "external", None), ("a/c/__init__.py", ".."): ("a", "analyzed", None),
+        ("a/c/__init__.py", "..c"): ("a.c", "internal", "a/c.py"), ("d.py", "."): ("", "skipped", None), ("d.py", ".a.b"): ("a.b", "analyzed", None)}
+
+
+def test_discovery_by_package(spark):
+    from srcgraph.plans.discovery import discover
+    files = {"pkg/main.py": "from .core import x\nimport os\n", "pkg/core.py": "from . import y\nfrom .sub.leaf import z\n", "core.py": "import nothing\n",
+             "pkg/__init__.py": "# nothing\n", "pkg/sub/leaf.py": "from ..other import q\n", "pkg/other.py": "from ..far import r\n", "far.py": "x = 1\n", "lone.py": "x = 1\n"}
+    reached = lambda **how: {(r.path, r.round) for r in discover(files_df(spark, files), **how).reached.collect()}
+    assert reached(by_package=True) == {("pkg/main.py", 0), ("pkg/core.py", 1), ("pkg/__init__.py", 0), ("pkg/sub/leaf.py", 2), ("pkg/other.py", 3)}
+    assert reached() == {("pkg/main.py", 0), ("pkg/__init__.py", 0), ("core.py", 1)}
+
+
 def test_stream_batches_are_merged_once(spark, tmp_path):
     from srcgraph.sources.graph_versions import latest_version, read_version, seed_graph
     from srcgraph.streaming.incremental import merge_once
