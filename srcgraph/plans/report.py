@@ -9,9 +9,9 @@ Diagrams are tables (RPT7); the report names them instead of embedding pictures.
 """
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -22,6 +22,7 @@ from ..operators import stats as S
 from ..operators.diagrams import diagram_tables, usage_entry_modules
 from ..operators.graph import Graph
 from ..operators.tree import package_manager, tree_lines
+from ..session import materialize
 
 ROW_COLS = ["repo_id", "section", "sub", "key", "text"]
 
@@ -63,6 +64,21 @@ def _fixed(repos: DataFrame, section: int, lines: list[str], start: int = 0) ->
                     F.lit("").alias("key"), F.col("l.text").alias("text"))
 
 
+def _head(on, lines: list[str], start: int) -> list[tuple]:
+    """Fixed lines of a row where ``on`` holds, for ``_lines``."""
+    return [(on, start + i, "", t) for i, t in enumerate(lines)]
+
+
+def _lines(df: DataFrame, section: int, items: list[tuple]) -> DataFrame:
+    """Report rows from one pass over a small table: every row gives the items ``(on, sub, key, text)`` whose ``on``
+    holds, so headings and closing lines come with the first row instead of from the table again."""
+    c = lambda v: v if isinstance(v, Column) else F.lit(v)
+    arr = F.array(*[F.struct(c(on).alias("on"), c(sub).cast("int").alias("sub"), c(key).alias("key"), c(text).alias("text"))
+                    for on, sub, key, text in items])
+    x = df.select("repo_id", F.explode(F.filter(arr, lambda i: i["on"])).alias("l"))
+    return x.select("repo_id", F.lit(section).alias("section"), "l.sub", "l.key", "l.text")
+
+
 def report_overview(inp: ReportInputs) -> DataFrame:
     """RPT1: title, source line, README summary (STR1)."""
     r = inp.repos.join(inp.readmes, "repo_id", "left")
@@ -97,13 +113,11 @@ def report_installation(inp: ReportInputs) -> DataFrame:
 
 def report_usage(inp: ReportInputs) -> DataFrame:
     """RPT3: first three entry modules (COL16) or the fallback sentence."""
-    ent = usage_entry_modules(inp.graph.nodes)
-    lines = _rows(ent, 3, F.col("rank") + 1, "", F.concat(F.lit("- `"), F.col("file_label"), F.lit("`: "), F.col("name")))
-    has = ent.select("repo_id").distinct()
-    head_yes = _fixed(inp.repos.join(has, "repo_id", "left_semi"), 3, C.REPORT_USAGE, start=-1)
-    tail_yes = _rows(inp.repos.join(has, "repo_id", "left_semi"), 3, 100, "", "")
-    none = _fixed(inp.repos.join(has, "repo_id", "left_anti"), 3, C.REPORT_NO_USAGE)
-    return head_yes.unionByName(lines).unionByName(tail_yes).unionByName(none)
+    x = inp.repos.select("repo_id").join(usage_entry_modules(inp.graph.nodes), "repo_id", "left")
+    first, none = F.col("rank") == 1, F.col("rank").isNull()
+    return _lines(x, 3, _head(first, C.REPORT_USAGE, -1) + _head(none, C.REPORT_NO_USAGE, 0) + [
+        (~none, F.col("rank") + 1, "", F.concat(F.lit("- `"), F.col("file_label"), F.lit("`: "), F.col("name"))),
+        (first, 100, "", "")])
 
 
 def report_architecture(inp: ReportInputs) -> DataFrame:
@@ -116,11 +130,10 @@ def report_architecture(inp: ReportInputs) -> DataFrame:
     counts = st.select("repo_id", F.posexplode(arr).alias("sub", "text")).select(
         "repo_id", F.lit(4).alias("section"), F.col("sub").cast("int"), F.lit("").alias("key"), "text")
     bases = S.first_n(S.base_classes(inp.graph.edges), TOP_K, ["repo_id"], ["base"])
-    has = bases.select("repo_id").distinct()
-    bl = _rows(bases, 4, 20, F.format_string("%05d", "rank"), F.concat(F.lit("- `"), display_name("base"), F.lit("`")))
-    bh = _fixed(has, 4, C.REPORT_BASES, start=10)
-    bt = _rows(has, 4, 30, "", "")
-    return counts.unionByName(bh).unionByName(bl).unionByName(bt)
+    first = F.col("rank") == 1
+    return counts.unionByName(_lines(bases, 4, _head(first, C.REPORT_BASES, 10) + [
+        (F.lit(True), 20, F.format_string("%05d", "rank"), F.concat(F.lit("- `"), display_name("base"), F.lit("`"))),
+        (first, 30, "", "")]))
 
 
 def report_diagrams(inp: ReportInputs) -> DataFrame:
@@ -142,32 +155,22 @@ def report_api(inp: ReportInputs) -> DataFrame:
     """RPT5: classes by file (WIN3), high-complexity functions (WIN1), hot spots (WIN2)."""
     nodes, edges = inp.graph.nodes, inp.graph.edges
     head = _fixed(inp.repos, 6, [C.REPORT_API])
-    cpf = S.classes_per_file(nodes, API_FILES, API_CLASSES_PER_FILE)
-    has_c = cpf.select("repo_id").distinct()
-    c_head = _fixed(has_c, 6, [C.REPORT_CLASSES], start=1)
-    f_head = _rows(cpf.where(F.col("class_rank") == 1), 6, 2,
-                   F.format_string("%05d.0", "file_rank"), F.concat(F.lit("#### "), file_label("file"), F.lit("\n")))
-    c_rows = _rows(cpf, 6, 2, F.format_string("%05d.%d", "file_rank", "class_rank"),
-                   F.concat(F.lit("- **`"), F.col("name"), F.lit("`**")))
-    f_tail = _rows(cpf.where(F.col("class_rank") == 1), 6, 2, F.format_string("%05d.9", "file_rank"), "")
-    hc = S.high_complexity(nodes)
-    has_h = hc.select("repo_id").distinct()
-    h_head = _fixed(has_h, 6, C.REPORT_COMPLEX, start=3)
-    h_rows = _rows(hc, 6, 5, F.format_string("%05d", "rank"),
-                   F.concat(F.lit("- `"), F.col("name"), F.lit("` in `"), file_label("file"),
-                            F.lit("` (complexity: "), F.col("complexity").cast("string"), F.lit(")")))
-    h_tail = _rows(has_h, 6, 6, "", "")
-    hs = S.call_hotspots(edges)
-    has_s = hs.select("repo_id").distinct()
-    s_head = _fixed(has_s, 6, C.REPORT_HOTSPOTS, start=7)
-    s_rows = _rows(hs, 6, 9, F.format_string("%05d", "rank"),
-                   F.concat(F.lit("- `"), F.col("func_name"), F.lit("` (called "), F.col("calls").cast("string"),
-                            F.lit(" times)")))
-    s_tail = _rows(has_s, 6, 10, "", "")
-    out = head
-    for p in [c_head, f_head, c_rows, f_tail, h_head, h_rows, h_tail, s_head, s_rows, s_tail]:
-        out = out.unionByName(p)
-    return out
+    every, first = F.lit(True), F.col("rank") == 1
+    top = F.col("class_rank") == 1
+    classes = _lines(S.classes_per_file(nodes, API_FILES, API_CLASSES_PER_FILE), 6,
+                     _head(top & (F.col("file_rank") == 1), [C.REPORT_CLASSES], 1) + [
+        (top, 2, F.format_string("%05d.0", "file_rank"), F.concat(F.lit("#### "), file_label("file"), F.lit("\n"))),
+        (every, 2, F.format_string("%05d.%d", "file_rank", "class_rank"), F.concat(F.lit("- **`"), F.col("name"), F.lit("`**"))),
+        (top, 2, F.format_string("%05d.9", "file_rank"), "")])
+    complex_ = _lines(S.high_complexity(nodes), 6, _head(first, C.REPORT_COMPLEX, 3) + [
+        (every, 5, F.format_string("%05d", "rank"), F.concat(F.lit("- `"), F.col("name"), F.lit("` in `"), file_label("file"),
+                                                             F.lit("` (complexity: "), F.col("complexity").cast("string"), F.lit(")"))),
+        (first, 6, "", "")])
+    spots = _lines(S.call_hotspots(edges), 6, _head(first, C.REPORT_HOTSPOTS, 7) + [
+        (every, 9, F.format_string("%05d", "rank"), F.concat(F.lit("- `"), F.col("func_name"), F.lit("` (called "),
+                                                             F.col("calls").cast("string"), F.lit(" times)"))),
+        (first, 10, "", "")])
+    return head.unionByName(classes).unionByName(complex_).unionByName(spots)
 
 
 def report_structure(inp: ReportInputs) -> DataFrame:
@@ -182,8 +185,9 @@ def report_structure(inp: ReportInputs) -> DataFrame:
 
 
 def report_rows(inp: ReportInputs) -> DataFrame:
-    """All sections of all repositories whose URL is accepted."""
+    """All sections of all repositories whose URL is accepted. The file tree, which two sections read, is written once."""
     inp = accepted_inputs(inp)
+    inp = replace(inp, tree=materialize(inp.tree, "report_tree"))
     parts = [report_overview(inp), report_installation(inp), report_usage(inp), report_architecture(inp),
              report_diagrams(inp), report_api(inp), report_structure(inp)]
     out = parts[0]
