@@ -61,7 +61,7 @@ f10 AS (SELECT k, 'repo' || (g % 25) AS repo_id, CASE j WHEN 0 THEN p || '__init
   WHEN 3 THEN p || 'sub/leaf.py' WHEN 4 THEN p || 'sub/deep/inner.py' WHEN 5 THEN p || 'main.py' WHEN 6 THEN p || 'sub/util_' || k || '.py'
   ELSE 'top_' || k || '.py' END AS path, g FROM x),
 named AS (SELECT k, repo_id, path, replace(regexp_replace(regexp_replace(path, '[.]py$', ''), '(^|/)__init__$', ''), '/', '.') AS name FROM f10),
-i0 AS (SELECT k, repo_id, path AS file, unnest(['os', '.', '.core', '..sub.leaf', '...top', 'p' || g || '.sub.leaf.name', 'ext' || (k % 3) || '.y']) AS module FROM f10),
+i0 AS (SELECT k, repo_id, path AS file, unnest(['os', '.', '.core', '..sub.leaf', '...top', 'p' || g || '.sub.leaf.name', 'App' || (k % 3) || '.y']) AS module FROM f10),
 i1 AS (SELECT *, length(module) - length(ltrim(module, '.')) AS level, ltrim(module, '.') AS rest, string_split(file, '/') AS segs FROM i0),
 i2 AS (SELECT *, CASE WHEN level = 0 THEN module WHEN level > len(segs) THEN NULL
   ELSE array_to_string(list_concat(segs[1:len(segs) - level], CASE WHEN rest = '' THEN [] ELSE [rest] END), '.') END AS resolved FROM i1),
@@ -78,6 +78,15 @@ c AS (SELECT *, EXISTS (SELECT 1 FROM seen s WHERE s.repo_id = i3.repo_id AND (s
 d AS (SELECT *, CASE WHEN resolved = '' THEN 'skipped' WHEN done THEN 'analyzed' WHEN level = 0 AND split_part(module, '.', 1) IN {STD} THEN 'stdlib'
   WHEN level > 0 OR starts_with(module, repo_id) OR path IS NOT NULL THEN 'internal' ELSE 'external' END AS class FROM c)
 SELECT repo_id, file, module, resolved, class, CASE WHEN class = 'internal' THEN path END AS potential_file FROM d"""
+    entries = """e AS (SELECT repo_id, path, k, 'App' || (k % 3) AS name, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS rank FROM f10)"""
+    o["package_entry_modules"] = f"""WITH {PACKAGES}, {entries}
+SELECT repo_id, cast(rank AS integer) AS rank, string_split(path, '/')[-1] AS file_label, name FROM e WHERE rank <= 3"""
+    o["package_report_usage"] = f"""WITH {PACKAGES}, {entries},
+r AS (SELECT DISTINCT repo_id FROM f10)
+SELECT repo_id, 3 AS section, cast(rank + 1 AS integer) AS sub, '' AS key, '- `' || string_split(path, '/')[-1] || '`: ' || name AS text FROM e WHERE rank <= 3
+UNION ALL SELECT repo_id, 3, -1, '', '## Usage' || chr(10) FROM r
+UNION ALL SELECT repo_id, 3, 0, '', 'Here are the entry points we spotted:' || chr(10) FROM r
+UNION ALL SELECT repo_id, 3, 100, '', '' FROM r"""
     o["package_discovery"] = f"""WITH RECURSIVE {PACKAGES},
 walk(repo_id, path, round) AS (SELECT repo_id, path, 0 FROM f10 WHERE regexp_matches(path, '/(main|__init__)[.]py$')
   UNION SELECT w.repo_id, i.path, w.round + 1 FROM walk w JOIN i3 i ON i.repo_id = w.repo_id AND i.file = w.path AND i.path IS NOT NULL WHERE w.round < 3)

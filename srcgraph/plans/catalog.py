@@ -743,6 +743,21 @@ def q_package_discovery(spark, sf):
     return discover(files, by_package=True).reached.select("repo_id", "path", "round")
 
 
+@register("package_entry_modules")
+def q_package_entry_modules(spark, sf):
+    """COL16 on F10, where every file imports a module named like an application."""
+    from ..operators.diagrams import usage_entry_modules
+    return usage_entry_modules(build_graph(FX.f10_package_sources(spark, sf)).nodes)
+
+
+@register("package_report_usage")
+def q_package_report_usage(spark, sf):
+    """RPT3 on F10: the list of entry modules instead of the sentence for none."""
+    from .report import ReportInputs, report_usage
+    g = build_graph(FX.f10_package_sources(spark, sf))
+    return report_usage(ReportInputs(g.nodes.select("repo_id").distinct(), g, None, None))
+
+
 # ---- incremental merge (GRF9, SET2, streaming) ------------------------------------------
 
 def _f6(spark, sf):

@@ -115,7 +115,7 @@ def f10_package_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [F.concat(p, F.lit(x)) for x in ("__init__.py", "core.py", "sub/__init__.py", "sub/leaf.py", "sub/deep/inner.py", "main.py")]
     names += [F.concat(p, F.lit("sub/util_"), s(k), F.lit(".py")), F.concat(F.lit("top_"), s(k), F.lit(".py"))]
     text = F.concat(F.lit("import os\nfrom . import core\nfrom .core import x\nfrom ..sub.leaf import y\nfrom ...top import z\nimport p"), s(g),
-                    F.lit(".sub.leaf.name\nimport ext"), s(k % 3), F.lit(".y\ndef f(a):\n    return a\n"))
+                    F.lit(".sub.leaf.name\nimport App"), s(k % 3), F.lit(".y\ndef f(a):\n    return a\n"))
     rows = table(spark, sf_dir, "part").where((k % 16 != 11))
     return rows.select("p_partkey", F.concat(F.lit("repo"), s(g % 25)).alias("repo_id"), F.element_at(F.array(*names), (k % 8 + 1).cast("int")).alias("path"),
                        text.alias("content"))
