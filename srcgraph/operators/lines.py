@@ -16,7 +16,8 @@ The parser is a state machine over the stripped lines of one file. It is rebuilt
   the same hash partitioning, so it adds no shuffle.
 
 A file is one input row, so a window group here never exceeds one file's lines; hot
-repositories do not concentrate on one key because the key includes the path.
+repositories do not concentrate on one key because the key includes the path. Files too long
+for one task go by chunks of lines instead (``operators.chunks``), with the same rows.
 """
 from __future__ import annotations
 
@@ -51,10 +52,11 @@ def source_lines(files: DataFrame) -> DataFrame:
     return d.select("repo_id", "path", (F.col("i") + 1).cast("int").alias("n"), "raw", py_strip("raw").alias("line"))
 
 
-def line_features(lines: DataFrame) -> DataFrame:
+def line_features(lines: DataFrame, keys: list[str] = FILE_KEYS) -> DataFrame:
     """Classify each stripped line and extract names (LIN2, LIN3, LIN6, LIN7 texts).
 
     ``kind``: ``class`` / ``def`` / ``import`` / ``from`` / ``body`` (first matching prefix).
+    ``keys`` are the columns that name what the lines are counted in.
     """
     s = F.col("line")
     kind = (F.when(s.startswith("class "), "class")
@@ -77,7 +79,7 @@ def line_features(lines: DataFrame) -> DataFrame:
     from_mod = py_strip(F.split_part(F.split_part(s, F.lit("from "), F.lit(2)), F.lit(" import"), F.lit(1)))
     k = F.col("kind")
     return (lines.withColumn("kind", kind).select(
-        "repo_id", "path", "n", "kind",
+        *keys, "n", "kind",
         F.when(k == "class", cls_name).alias("class_name"),
         F.when(k == "class", bases).alias("bases"),
         F.when(k == "def", def_name).alias("def_name"),
@@ -228,7 +230,12 @@ def line_graph_rows(win: DataFrame) -> DataFrame:
                    F.sum((F.col("body") & F.col("branch")).cast("int")).over(ws).alias("seg_branch"),
                    F.min(F.when(F.col("closer"), F.col("n"))).over(ws).alias("close_n"),
                    F.max("n").over(ws).alias("last_n"))
-    d = d.where(F.col("kind") != "body")  # only these lines emit rows
+    return emitted_rows(d.where(F.col("kind") != "body"))  # only these lines emit rows
+
+
+def emitted_rows(d: DataFrame) -> DataFrame:
+    """The tagged rows of class, def and import lines; a def line carries its function's ``seg_body``, ``seg_branch``,
+    ``close_n`` and ``last_n``."""
     k, n, path = F.col("kind"), F.col("n"), F.col("path")
     none_s, none_i, pos, row = NONE_S(), NONE_I(), gpos, grow
     empty = F.array().cast(_ROW_ARRAY)

@@ -6,6 +6,9 @@ complexity. ``mode="merged"`` (SCP7) takes symbols, calls, imports and bases fro
 ``scoped``, the function complexity from ``line`` by ``(file, name)``, and module nodes from
 ``line``. ``mode="auto"`` (SCP7) chooses per file: ``scoped`` for a file whose tokens make a syntax tree
 (``pysource.parses``), ``line`` for one in which an open string or bracket or a line without an owner would mislead it.
+
+With ``chunk_lines`` the line parser reads files of at least ``chunk_bytes`` by chunks of that many lines
+(``operators.chunks``): the same graph, but one file is the work of many tasks.
 """
 from __future__ import annotations
 
@@ -13,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pysource import parses
+from ..operators import chunks as K
 from ..operators import graph as G
 from ..operators import lines as L
 from ..sources.files import supported_files
 
 
+CHUNK_BYTES = 1 << 22
 SYM_COLS = ["repo_id", "path", "pos", "name", "kind", "complexity"]
 
 
@@ -25,7 +30,17 @@ def _edges(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("tag") == "edge").select("repo_id", F.col("path").alias("file"), "source", "target", "type")
 
 
-def tagged_rows(files: DataFrame, mode: str = "line", filter_ext: bool = True) -> DataFrame:
+def line_rows(files: DataFrame, chunk_lines: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """LIN1-LIN8: the line parser's rows, each file by the form that its length asks for."""
+    whole = lambda f: L.line_graph_rows(L.line_windows(L.line_features(L.source_lines(f))))
+    if chunk_lines is None:
+        return whole(files)
+    long_ = F.octet_length("content") >= chunk_bytes
+    return whole(files.where(~long_)).unionByName(K.chunk_graph_rows(K.chunk_windows(files.where(long_), chunk_lines)))
+
+
+def tagged_rows(files: DataFrame, mode: str = "line", filter_ext: bool = True, chunk_lines: int | None = None,
+                chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """All symbol and edge rows of ``files`` as one DataFrame with a ``tag`` column
     (``sym``, ``edge``; in ``merged`` mode also ``lfunc``: line-parser function rows that
     only lend their complexity). One pass per parser; nothing is computed twice."""
@@ -33,8 +48,9 @@ def tagged_rows(files: DataFrame, mode: str = "line", filter_ext: bool = True) -
         files = supported_files(files)
     if mode == "auto":  # every file goes to one of two parsers; only their short rows meet
         good = parses(F.col("content"))
-        return tagged_rows(files.where(good), "scoped", False).unionByName(tagged_rows(files.where(~good), "line", False))
-    line = L.line_graph_rows(L.line_windows(L.line_features(L.source_lines(files)))) if mode != "scoped" else None
+        return tagged_rows(files.where(good), "scoped", False).unionByName(
+            tagged_rows(files.where(~good), "line", False, chunk_lines, chunk_bytes))
+    line = line_rows(files, chunk_lines, chunk_bytes) if mode != "scoped" else None
     if mode == "line":
         return line
     from ..operators.scoped import scoped_graph_rows
@@ -70,7 +86,8 @@ def dedupe_merged(rows: DataFrame, default: bool = True) -> DataFrame:
 
 
 def build_graph(files: DataFrame, mode: str = "line", filter_ext: bool = True,
-                store: bool = False, default: bool = True) -> G.Graph:
+                store: bool = False, default: bool = True, chunk_lines: int | None = None,
+                chunk_bytes: int = CHUNK_BYTES) -> G.Graph:
     """Nodes and edges of every repository in ``files(repo_id, path, content)``.
 
     With ``store=True`` the tagged rows are written once (one job into the shared
@@ -78,7 +95,7 @@ def build_graph(files: DataFrame, mode: str = "line", filter_ext: bool = True,
     never analyse the source text twice. Without ``default`` a node that only an edge names
     has a null complexity (what ``merge_graph`` takes).
     """
-    rows = tagged_rows(files, mode, filter_ext)
+    rows = tagged_rows(files, mode, filter_ext, chunk_lines, chunk_bytes)
     if store:
         from ..session import materialize
         # one job analyses the text; rows are split by tag on disk (edges and symbols are
