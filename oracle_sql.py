@@ -114,6 +114,12 @@ edges AS (
 BASE = [F1, LINES, FEATS, FUNCS, SYMS]
 
 
+# the files of F1 strung together, read as whole files.
+LONG = F1.replace("f1 AS (", "short AS (", 1) + """,
+f1 AS (SELECT repo_id, concat('long/m', cast(p_partkey // 1000 AS varchar(20)), '.py') AS path,
+              string_agg(content, '' ORDER BY p_partkey) AS content FROM short GROUP BY repo_id, p_partkey // 1000)"""
+
+
 def q(body: str, *extra: str) -> str:
     return "WITH " + ",\n".join(BASE + list(extra)) + "\n" + body
 
@@ -466,6 +472,11 @@ def oracle_sql() -> dict[str, str]:
         "SELECT repo_id, rank, file, name, complexity FROM ("
         " SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY complexity DESC, file, name) AS rank"
         " FROM nodes WHERE kind = 'function' AND complexity > 10) WHERE rank <= 10")
+    long_ = "WITH " + ",\n".join([LONG, LINES, FEATS, FUNCS, SYMS]) + "\n"
+    o["chunked_lines"] = long_ + ("SELECT repo_id, path, n, kind, cast(seg AS bigint) AS seg, closer, "
+                                  "cand AND seg > 0 AND NOT closed AS body FROM w4")
+    o["chunked_graph"] = long_ + ("SELECT repo_id, file, kind AS what, name AS a, '' AS b, complexity FROM nodes "
+                                  "UNION ALL SELECT repo_id, file, type, source, target, 0 FROM edges")
     o.update(more_oracles())
     o.update(url_oracles())
     import oracle_scoped

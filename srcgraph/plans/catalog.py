@@ -649,6 +649,28 @@ def q_parser_choice(spark, sf):
     return _graph(spark, sf, "merged").nodes.select(*G.NODE_COLS)
 
 
+def _f11(spark, sf):
+    return materialize(FX.f11_long_sources(spark, sf), "f11", key=f"f11:{sf}")
+
+
+@register("chunked_lines")
+def q_chunked_lines(spark, sf):
+    """LIN4/LIN5/WIN5 by chunks of 128 lines on F11: function number and state of every line."""
+    from ..operators.chunks import chunk_windows
+    return chunk_windows(_f11(spark, sf), 128).select("repo_id", "path", "n", "kind", F.col("seg").cast("long").alias("seg"),
+                                                      "closer", "body")
+
+
+@register("chunked_graph")
+def q_chunked_graph(spark, sf):
+    """GRF10 on F11, its files of 32 KB or more by chunks of 128 lines: nodes and edges as one long table."""
+    g = build_graph(_f11(spark, sf), store=True, chunk_lines=128, chunk_bytes=1 << 15)
+    nodes = g.nodes.select("repo_id", "file", F.col("kind").alias("what"), F.col("name").alias("a"), F.lit("").alias("b"), "complexity")
+    edges = g.edges.select("repo_id", "file", F.col("type").alias("what"), F.col("source").alias("a"), F.col("target").alias("b"),
+                           F.lit(0).alias("complexity"))
+    return nodes.unionByName(edges)
+
+
 @register("parser_per_file")
 def q_parser_per_file(spark, sf):
     """SCP7 per file on F9: nodes and edges of the graph, each file analysed by the parser that its tokens allow."""

@@ -1,4 +1,4 @@
-"""F1-F6, F8-F10 of FIXTURES.md, derived with the DataFrame API from the driver tables.
+"""F1-F6, F8-F11 of FIXTURES.md, derived with the DataFrame API from the driver tables.
 
 The driver tables hold no source code, so code-shaped input is generated from ``part``
 (one file per part, ``repo_id`` from the brand). Every fixture scales with its table.
@@ -72,6 +72,15 @@ def f1_source_files(spark: SparkSession, sf_dir: str, with_key: bool = False) ->
     return q.select(*cols)
 
 
+def f11_long_sources(spark: SparkSession, sf_dir: str, parts: int = 1000) -> DataFrame:
+    """F11 ``source_files``: the files of F1 whose part numbers stand together, ``parts`` numbers at most, as one file
+    per repository; its functions, classes and imports follow each other as in files a person never wrote."""
+    f = f1_source_files(spark, sf_dir, with_key=True).withColumn("g", F.floor(F.col("p_partkey") / parts))
+    f = f.groupBy("repo_id", "g").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "content"))).alias("f"))
+    return f.select("repo_id", F.concat(F.lit("long/m"), F.col("g").cast("string"), F.lit(".py")).alias("path"),
+                    F.array_join("f.content", "").alias("content"))
+
+
 def f8_wrapped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F8 ``(p_partkey, repo_id, path, content)``: one file per ``part`` row whose signatures, bases, calls, imports
     and strings span lines, with quotes and brackets in comments and strings. What it holds follows from
