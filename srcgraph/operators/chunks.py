@@ -11,7 +11,8 @@ So each chunk is read once, by itself (running windows keyed by file *and* chunk
 scan over the summaries of a file, in chunk order, gives every chunk the state, line number and function number it
 begins with; a join hands them to the chunk's lines. ``chunk_windows`` gives the rows of ``lines.line_windows``.
 
-What is shuffled: the text, once, in chunks, since a single row has to be spread; the totals of functions are hash
+What is shuffled: the text, once, a row per line, since a single row has to be spread before it is analysed (text
+between two ``\n`` is one row, whatever other breaks it holds); the totals of functions are hash
 aggregates with a map-side step, so a function as long as its file is no single window group either. The summaries of
 one file are one group: one row per ``chunk_lines`` lines.
 """
@@ -27,31 +28,33 @@ from .lines import FILE_KEYS, emitted_rows, line_features
 KEYS = [*FILE_KEYS, "chunk"]
 
 
-def text_chunks(files: DataFrame, chunk_lines: int) -> DataFrame:
-    """``(repo_id, path, chunk, text)``: every file cut after each ``chunk_lines``-th ``\\n``, which always ends a line
-    (a ``\\r\\n`` stays whole); the pieces joined are the file. Null and empty files have none."""
-    p, last = F.col("p"), F.col("last")
-    d = files.where(F.col("content") != "").select(*FILE_KEYS, F.split("content", "\n", -1).alias("p"))
-    d = d.withColumn("last", F.floor((F.size("p") - 1) / chunk_lines).cast("int"))
-    piece = lambda i: F.concat(F.array_join(F.slice(p, i * chunk_lines + 1, F.lit(chunk_lines)), "\n"),
-                               F.when(i < last, "\n").otherwise(""))
-    d = d.select(*FILE_KEYS, F.posexplode(F.transform(F.sequence(F.lit(0), last), piece)).alias("chunk", "text"))
+def text_pieces(files: DataFrame, chunk_lines: int) -> DataFrame:
+    """``(repo_id, path, chunk, i, text)``: every file cut after each ``\n``, which always ends a line (a ``\r\n`` stays
+    whole); ``i`` counts the pieces and ``chunk_lines`` of them are a chunk. The texts joined are the file; null and empty
+    files have none. One pass over the text: nothing is sliced out of an array as long as the file."""
+    breaks = F.octet_length("content") - F.octet_length(F.replace("content", F.lit("\n"), F.lit("")))
+    # counted below the generator: beside it, the count would be made again for every line
+    d = files.where(F.col("content") != "").select(*FILE_KEYS, "content", breaks.alias("breaks"))
+    d = d.select(*FILE_KEYS, "breaks", F.posexplode(F.split("content", "\n", -1)).alias("i", "piece"))
+    text = F.when(F.col("i") < F.col("breaks"), F.concat("piece", F.lit("\n"))).otherwise(F.col("piece"))
+    d = d.select(*FILE_KEYS, F.floor(F.col("i") / chunk_lines).cast("int").alias("chunk"), "i", text.alias("text"))
     return d.where(F.col("text") != "")
 
 
 def _local(files: DataFrame, chunk_lines: int) -> DataFrame:
     """Per line what its chunk alone tells: ``n``, ``seg`` and ``cum`` count from the start of the chunk."""
-    text = text_chunks(files, chunk_lines).repartition(*KEYS)
-    lines = text.select(*KEYS, F.posexplode(line_pieces("text")).alias("i", "raw"))
-    feats = line_features(lines.select(*KEYS, (F.col("i") + 1).alias("n"), "raw", py_strip("raw").alias("line")), KEYS)
-    w = Window.partitionBy(*KEYS).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    text = text_pieces(files, chunk_lines).repartition(*KEYS)
+    lines = text.select(*KEYS, F.col("i").alias("n"), F.posexplode(line_pieces("text")).alias("j", "raw"))
+    feats = line_features(lines.withColumn("line", py_strip("raw")), [*KEYS, "j"])
+    w = Window.partitionBy(*KEYS).orderBy("n", "j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_def, is_class = F.col("kind") == "def", F.col("kind") == "class"
-    d = feats.select("*", F.count_if(is_def).over(w).alias("seg"), F.count_if(F.col("cand")).over(w).alias("cum"),
-                     F.count_if(is_class).over(w).alias("classes"))
+    d = feats.select("*", F.count(F.lit(1)).over(w).alias("at"), F.count_if(is_def).over(w).alias("seg"),
+                     F.count_if(F.col("cand")).over(w).alias("cum"), F.count_if(is_class).over(w).alias("classes"))
     d = d.select("*", F.max(F.when(is_def, F.col("cum") - F.col("cand").cast("int"))).over(w).alias("base"),
                  F.coalesce(F.max(is_class & (F.col("cum") > 0)).over(w), F.lit(False)).alias("after"))
     d = d.withColumn("closer", is_class & (F.col("seg") > 0) & (F.col("cum") > F.col("base")))
-    return d.withColumn("closed_seg", F.max(F.when(F.col("closer"), F.col("seg"))).over(w))
+    d = d.withColumn("closed_seg", F.max(F.when(F.col("closer"), F.col("seg"))).over(w))
+    return d.drop("n", "j").withColumnRenamed("at", "n")
 
 
 def chunk_states(local: DataFrame) -> DataFrame:

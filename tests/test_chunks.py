@@ -59,8 +59,8 @@ def test_other_modes_take_chunks(spark):
 
 def test_pieces_joined_are_the_file(spark):
     files = _files(spark)
-    got = (K.text_chunks(files, 2).groupBy("repo_id", "path")
-           .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), "").alias("t")))
+    each = F.transform(F.sort_array(F.collect_list(F.struct("i", "text"))), lambda x: x["text"])
+    got = K.text_pieces(files, 2).groupBy("repo_id", "path").agg(F.array_join(each, "").alias("t"))
     assert got.join(files, ["repo_id", "path"]).where("t <> content").count() == 0
     assert got.count() == files.where("content <> ''").count()
 
