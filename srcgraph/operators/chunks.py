@@ -43,7 +43,9 @@ def text_pieces(files: DataFrame, chunk_lines: int) -> DataFrame:
 
 def _local(files: DataFrame, chunk_lines: int) -> DataFrame:
     """Per line what its chunk alone tells: ``n``, ``seg`` and ``cum`` count from the start of the chunk."""
-    text = text_pieces(files, chunk_lines).repartition(*KEYS)
+    # a fixed number of partitions: sized by bytes, chunks of text that compresses well would share a few tasks
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text = text_pieces(files, chunk_lines).repartition(parts, *KEYS)
     lines = text.select(*KEYS, F.col("i").alias("n"), F.posexplode(line_pieces("text")).alias("j", "raw"))
     feats = line_features(lines.withColumn("line", py_strip("raw")), [*KEYS, "j"])
     w = Window.partitionBy(*KEYS).orderBy("n", "j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
