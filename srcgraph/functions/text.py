@@ -42,8 +42,18 @@ def line_pieces(c) -> Column:
 
 
 def decode_tolerant(c) -> Column:
-    """Binary -> string as UTF-8 with invalid bytes dropped (also drops a genuine U+FFFD)."""
-    return F.regexp_replace(F.make_valid_utf8(col_(c).cast("string")), "\ufffd", "")
+    """Binary -> string as UTF-8 with invalid bytes dropped; a U+FFFD that stands in the bytes (EF BF BD) stays.
+
+    Replaced bytes come out as U+FFFD too, so where one is found the bytes are read a second time, as single-byte
+    characters: genuine ones become an escape (``\\x1a1``, and ``\\x1a`` itself ``\\x1a0``) that decoding leaves alone.
+    """
+    valid = lambda x: F.make_valid_utf8(x.cast("string"))
+    text = valid(col_(c))
+    raw = F.replace(F.decode(col_(c), "ISO-8859-1"), F.lit("\x1a"), F.lit("\x1a0"))
+    raw = F.replace(raw, F.lit("\xef\xbf\xbd"), F.lit("\x1a1"))
+    kept = F.replace(valid(F.encode(raw, "ISO-8859-1")), F.lit("\ufffd"), F.lit(""))
+    kept = F.replace(F.replace(kept, F.lit("\x1a1"), F.lit("\ufffd")), F.lit("\x1a0"), F.lit("\x1a"))
+    return F.when(text.contains("\ufffd"), kept).otherwise(text)
 
 
 def collapse_whitespace(c) -> Column:
