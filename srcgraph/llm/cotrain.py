@@ -166,7 +166,8 @@ def co_train(rows: list[tuple], y: np.ndarray, pool: list[tuple] | Pick, rounds:
 
     def fit(v: int) -> np.ndarray:
         more, labels = extra[v]
-        return fit_ftrl([rows[i][v] for i in base] + more, np.concatenate([y[base], np.array(labels, np.int64)]).astype(np.int64),
+        known = [rows[i][v] for i in base] + more
+        return fit_ftrl(lambda i: known[i], np.concatenate([y[base], np.array(labels, np.int64)]).astype(np.int64),
                         2, dims[v], l1=1e-3, l2=1e-3, epochs=3, seed=seed)
 
     w = [fit(0), fit(1)]
