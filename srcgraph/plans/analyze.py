@@ -19,6 +19,7 @@ from ..functions.pysource import parses
 from ..operators import chunks as K
 from ..operators import graph as G
 from ..operators import lines as L
+from ..session import dealt
 from ..sources.files import supported_files
 
 
@@ -95,6 +96,8 @@ def build_graph(files: DataFrame, mode: str = "line", filter_ext: bool = True,
     never analyse the source text twice. Without ``default`` a node that only an edge names
     has a null complexity (what ``merge_graph`` takes).
     """
+    if chunk_lines is None:  # no window holds more than a file, no task more than its part of them
+        files = dealt(files, "repo_id", "path", text="content")
     rows = tagged_rows(files, mode, filter_ext, chunk_lines, chunk_bytes)
     if store:
         from ..session import materialize

@@ -1,10 +1,12 @@
 """Spark session defaults and the shared checkpoint folder."""
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -78,6 +80,24 @@ def clear_tables(spark: SparkSession) -> None:
     _RESULTS.clear()
 
 
+PART_ROWS = 8192
+PART_BYTES = 1 << 24
+
+
+def dealt(df: DataFrame, *keys: str, text: str | None = None, like: DataFrame | None = None) -> DataFrame:
+    """``df`` dealt by the hash of ``keys`` over partitions of about ``PART_ROWS`` rows (those of ``like``, where counting it is
+    cheaper) and about ``PART_BYTES`` bytes of its column ``text``.
+
+    Rows that grow when they are parsed come from small compressed files: neither the number of splits nor AQE's merging by
+    compressed bytes follows their number. These partitions do, and windows and groups by ``keys`` need no further exchange.
+    """
+    size = F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) if text else F.lit(0)
+    rows, octets = (df if like is None else like).agg(F.count(F.lit(1)), size).first()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = max(1, math.ceil(rows / PART_ROWS), math.ceil(octets / PART_BYTES), min(cores, math.ceil(rows / 512)))
+    return df.repartition(n, *keys)
+
+
 def materialize(df, name: str, key: str | None = None, partition_by: str | None = None):
     """Write ``df`` as parquet into the shared checkpoint folder and read it back.
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,7 +53,9 @@ def f1_source_files(spark: SparkSession, sf_dir: str, with_key: bool = False) ->
     the discovery loop), defines a class with two bases (one is ``object``), two methods
     and a helper whose complexity is ``1 + p_size``.
     """
-    q = lead_in_group(f1_paths(spark, sf_dir), ["repo_id"], "p_partkey", "path", "nxt")
+    paths = f1_paths(spark, sf_dir)
+    # dealt before the text is made, which is many times larger than its row of the table
+    q = dealt(lead_in_group(paths, ["repo_id"], "p_partkey", "path", "nxt"), "repo_id", "path", like=paths)
     nl = F.lit("\n")
     size = F.col("p_size")
     s = lambda c: c.cast("string")
@@ -99,7 +103,7 @@ def f8_wrapped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "x = top()", ["from ..pkg", m(3), ".mod import ("], "    a,", "    b,", ")",
     ]
     text = F.concat(*[x for l in lines for x in [*[y if not isinstance(y, str) else F.lit(y) for y in ([l] if isinstance(l, str) else l)], F.lit("\n")]])
-    return f1_paths(spark, sf_dir).select("p_partkey", "repo_id", "path", text.alias("content"))
+    return dealt(f1_paths(spark, sf_dir), "repo_id", "path").select("p_partkey", "repo_id", "path", text.alias("content"))
 
 
 def f9_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +115,7 @@ def f9_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = (F.when(k % 4 == 0, F.lit("x = {'a': [1, (2, 3)], 'b': \"])\"}  # ((\n")).when(k % 4 == 1, F.lit("x = [1, (2, 3)\n"))
               .when(k % 4 == 2, F.lit("x = \"\"\"never closed\n")).otherwise(F.lit("x = 1\n        y = 2\n")))
     text = F.concat(head, middle, F.lit("def tail_"), m(7), F.lit("(a):\n    if a:\n        run(a)\n"))
-    return f1_paths(spark, sf_dir).select("p_partkey", "repo_id", "path", text.alias("content"))
+    return dealt(f1_paths(spark, sf_dir), "repo_id", "path").select("p_partkey", "repo_id", "path", text.alias("content"))
 
 
 def f10_package_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +129,7 @@ def f10_package_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     names += [F.concat(p, F.lit("sub/util_"), s(k), F.lit(".py")), F.concat(F.lit("top_"), s(k), F.lit(".py"))]
     text = F.concat(F.lit("import os\nfrom . import core\nfrom .core import x\nfrom ..sub.leaf import y\nfrom ...top import z\nimport p"), s(g),
                     F.lit(".sub.leaf.name\nimport App"), s(k % 3), F.lit(".y\ndef f(a):\n    return a\n"))
-    rows = table(spark, sf_dir, "part").where((k % 16 != 11))
+    rows = dealt(table(spark, sf_dir, "part").where(k % 16 != 11).select("p_partkey"), "p_partkey")
     return rows.select("p_partkey", F.concat(F.lit("repo"), s(g % 25)).alias("repo_id"), F.element_at(F.array(*names), (k % 8 + 1).cast("int")).alias("path"),
                        text.alias("content"))
 
