@@ -3,8 +3,9 @@
 ``spark.read.format("srcdir").option("path", root).load()`` gives ``(repo_id, path, content)``.
 Unlike the ``text``/``binaryFile`` readers it keeps files whose names start with ``_`` or
 ``.`` (``__init__.py``, ``__main__.py``). The driver lists the repository folders and their
-top-level directories only; each top-level directory is one input partition that is walked and
-read once, on an executor, and so are the files beside them. Options: ``prune`` (skip ignored
+top-level directories only; each top-level directory is walked and read once, on an executor, and so
+are the files beside them. They are dealt over at most ``max_parts`` (1,024) input partitions, so a
+checkout of very many small directories does not cost a task for each. Options: ``prune`` (skip ignored
 directories, default true), ``suffixes`` (comma list, default ``.py``; empty = every file).
 Unreadable files are skipped; text is decoded as UTF-8 with invalid bytes dropped. The root must
 be on storage that every executor sees.
@@ -28,11 +29,11 @@ def local_path(p: str) -> str:
 
 
 class _Part(InputPartition):
-    """One directory at the top of a repository with all below it, or (``top`` None) the files at the top."""
+    """Directories ``(repo, top)`` at the top of repositories with all below them, or (``top`` None) the files at the top."""
 
-    def __init__(self, repo: str, top: str | None):
-        super().__init__((repo, top))
-        self.repo, self.top = repo, top
+    def __init__(self, tops: list[tuple[str, str | None]]):
+        super().__init__(tuple(tops))
+        self.tops = tops
 
 
 class SourceDirReader(DataSourceReader):
@@ -41,18 +42,23 @@ class SourceDirReader(DataSourceReader):
         self.prune = options.get("prune", "true").lower() == "true"
         sx = options.get("suffixes", ",".join(SUPPORTED_EXT))
         self.suffixes = tuple(x for x in sx.split(",") if x)
+        self.max_parts = int(options.get("max_parts", "1024"))
 
     def partitions(self):
         out = []
         for repo in sorted(e.name for e in os.scandir(self.root) if e.is_dir()):
             tops = sorted(e.name for e in os.scandir(os.path.join(self.root, repo)) if e.is_dir())
-            out += [_Part(repo, None), *[_Part(repo, t) for t in tops if not (self.prune and t in IGNORE_DIRS)]]
-        return out
+            out += [(repo, None), *[(repo, t) for t in tops if not (self.prune and t in IGNORE_DIRS)]]
+        return [_Part(out[i::self.max_parts]) for i in range(min(self.max_parts, len(out)))]
 
     def read(self, partition):
-        base = os.path.join(self.root, partition.repo)
-        for dirpath, dirnames, filenames in os.walk(os.path.join(base, partition.top or "")):
-            if partition.top is None:
+        for repo, top in partition.tops:
+            yield from self._read_top(repo, top)
+
+    def _read_top(self, repo: str, top: str | None):
+        base = os.path.join(self.root, repo)
+        for dirpath, dirnames, filenames in os.walk(os.path.join(base, top or "")):
+            if top is None:
                 dirnames.clear()
             elif self.prune:
                 dirnames[:] = [d for d in dirnames if d not in IGNORE_DIRS]
@@ -66,7 +72,7 @@ class SourceDirReader(DataSourceReader):
                         text = fh.read().decode("utf-8", errors="ignore")
                 except OSError:
                     continue
-                yield (partition.repo, rel, text)
+                yield (repo, rel, text)
 
 
 class SourceDirDataSource(DataSource):
