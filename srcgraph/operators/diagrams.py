@@ -77,7 +77,8 @@ def class_hierarchy(nodes: DataFrame, edges: DataFrame):
                     node_key("file", "name").alias("key"),
                     F.concat(F.col("name"), F.lit("\n["), file_label("file"), F.lit("]")).alias("label"),
                     F.lit("box").alias("shape"), F.lit("filled").alias("style"), F.lit("lightblue").alias("fillcolor"))
-    de = induced_edges(inh, _keys(cls)).select(
+    keys = _keys(cls).hint("merge")  # as many as classes: never broadcast
+    de = induced_edges(inh, keys).select(
         "repo_id", F.lit("class_hierarchy").alias("diagram"), "source", "target",
         F.lit("inherits").alias("label"), F.lit("blue").alias("color"), F.lit("bold").alias("style"))
     return dn, de
