@@ -231,6 +231,14 @@ def _count(m: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                                              ["shard", "counts"])
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word hash, count) of runs of texts, with their ends."""
+    for b in batches:
+        for _, n, w, _ in _passes(b.column(0)):
+            h, c = np.unique(w, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(h, END), pa.int64()), pa.array(np.append(c, n), pa.int64())], ["h", "c"])
+
+
 def _discounted(c: np.ndarray, discounts: tuple[float, float, float]) -> np.ndarray:
     return c - np.asarray(discounts)[np.minimum(c, 3) - 1]
 
@@ -259,22 +267,48 @@ def _relative(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
     return ids + 1 + np.repeat(base, size)
 
 
+def _summed(tuples: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """((x, y) as one number, z, count) of all tuples, sorted, equal ones added up."""
+    xy, z, c = (np.concatenate(v) for v in zip(*tuples))
+    tuples.clear()
+    order = np.lexsort((z, xy))
+    xy, z = xy[order], z[order]
+    c = c[order]
+    new = np.flatnonzero(np.concatenate([[True], (xy[1:] != xy[:-1]) | (z[1:] != z[:-1])]))
+    return xy[new], z[new], np.add.reduceat(c, new)
+
+
+def _sums(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_summed`` of packed parts. They are added up as they are read, each time as many as there are distinct tuples so
+    far (``PASS_TOKENS`` at least), so what is held at once follows the distinct tuples, 16 to 20 bytes each."""
+    held: list = []
+    most = n = 0
+    for raw in parts:
+        x, y, z, c = _unpack(raw)
+        held.append(((x << 32 | y).view(np.uint64), z.astype(np.uint32), c))
+        n += len(c)
+        if n > most:
+            held = [_summed(held)]
+            n = len(held[0][0])
+            most = 2 * max(n, PASS_TOKENS)
+    return _summed(held)
+
+
 def _build_shard(m: Model, shard: int, parts: list[bytes], min_counts: tuple[int, int], discounts: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Write a shard's trie; returns the contexts of level 1 and the mass that their successors here hold."""
     vocab = Vocabulary(m)
-    x, y, z, c = (np.concatenate(v) for v in zip(*map(_unpack, parts)))
-    order = np.lexsort((z, y, x))
-    x, y, z, c = x[order], y[order], z[order], c[order]
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(x) != 0) | (np.diff(y) != 0) | (np.diff(z) != 0)]))
-    x, y, z, c = x[new], y[new], z[new], np.add.reduceat(c, new)
-    two = np.flatnonzero(np.concatenate([[True], (np.diff(x) != 0) | (np.diff(y) != 0)]))
+    xy, z, c = _sums(parts)
+    two = np.flatnonzero(np.concatenate([[True], xy[1:] != xy[:-1]]))
+    n, xy = len(xy), xy[two]
     c2 = np.add.reduceat(c, two)
     keep2 = c2 >= min_counts[0]
     of = np.cumsum(keep2) - 1  # a bigram's place among the kept
-    bi = np.repeat(np.arange(len(two)), np.diff(np.append(two, len(x))))
+    bi = np.repeat(np.arange(len(two)), np.diff(np.append(two, n)))
     keep3 = keep2[bi] & (z != NONE) & (c >= max(min_counts))
-    x2, y2, c2 = x[two][keep2], y[two][keep2], c2[keep2]
-    z3, c3, up3 = z[keep3], c[keep3], of[bi[keep3]]
+    xy, c2 = xy[keep2], c2[keep2]
+    x2, y2 = (xy >> np.uint64(32)).astype(np.int64), (xy & np.uint64(NONE)).astype(np.int64)
+    z3, c3, up3 = z[keep3].astype(np.int64), c[keep3], of[bi[keep3]]
+    del xy, z, c, bi, of, keep2, keep3, two
     low2, code2, a2 = _code(_discounted(c2, discounts) / vocab.counts(x2))
     low3, code3, a3 = _code(_discounted(c3, discounts) / c2[up3])
     rest = np.floor(np.clip(1 - np.bincount(up3, a3, len(x2)), 0, 1) * STEPS).astype(np.uint16)
@@ -403,8 +437,7 @@ def train(docs: DataFrame, text: str = "text", min_counts: tuple[int, int] = (2,
     spark = docs.sparkSession
     m = Model(scratch_path(spark, f"ngram-lm-{uuid.uuid4().hex}"))
     w = docs.select(_hashes(text).alias("w"))
-    counts = materialize(w.select(F.explode(F.concat("w", F.array(F.lit(END).cast("long")))).alias("h"))
-                         .groupBy("h").agg(F.count(F.lit(1)).alias("c")), "lm-words")
+    counts = materialize(w.mapInArrow(_word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lm-words")
     n_words, m.tokens, m.docs = (int(v or 0) for v in counts.agg(
         F.count(F.lit(1)), F.sum("c"), F.max(F.when(F.col("h") == END, F.col("c")))).first())
     if n_words > MAX_VOCABULARY:
