@@ -154,7 +154,13 @@ class Codec:
         import sentencepiece
 
         self.model = parse_model(raw)
+        from tokenizers import decoders
+
         self.first, self.later = build(self.model), build(self.model, prefix=False)
+        # decodes to the marked text; the markers are then replaced in the whole text instead of piece by piece
+        self.later.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse()])
+        # a marker that is put together from bytes stays one: it begins with this byte
+        self.mark_byte = next((i for i, (p, _, t) in enumerate(self.model.pieces) if t == BYTE and p == f"<0x{MARK.encode()[0]:02X}>"), -1)
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.cuts = self.model.lossless and self.model.marks_begin_words
 
@@ -174,7 +180,13 @@ class Codec:
                 batch.append(t)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.first.decode_batch(ids, skip_special_tokens=False)
+        texts = [t.replace(MARK, " ") for t in self.later.decode_batch(ids, skip_special_tokens=False)]
+        if self.model.dummy_prefix:
+            texts = [t[1:] if t.startswith(" ") else t for t in texts]
+        rare = [i for i, x in enumerate(ids) if self.mark_byte in x]
+        for i, t in zip(rare, self.first.decode_batch([ids[i] for i in rare], skip_special_tokens=False)):
+            texts[i] = t
+        return texts
 
     def normalised(self, text: str) -> str:
         """What decoding should give back."""
