@@ -60,13 +60,14 @@ def tagged_rows(files: DataFrame, mode: str = "line", filter_ext: bool = True, c
         return sc
     if mode != "merged":
         raise ValueError(f"unknown mode {mode!r}")
-    lfunc = line.where((F.col("tag") == "sym") & (F.col("kind") == "function")).withColumn("tag", F.lit("lfunc"))
-    # module nodes of the line parser come after every scoped symbol and set no complexity
-    lmod = (line.where((F.col("tag") == "sym") & (F.col("kind") == "module"))
-            .withColumn("pos", F.struct(F.lit(2147483646).alias("n"), F.col("pos.sub"), F.col("pos.n").alias("e"),
-                                        F.col("pos.i")))
-            .withColumn("complexity", F.lit(None).cast("int")))
-    return sc.unionByName(lfunc).unionByName(lmod)
+    # of the line parser's rows, read once: functions lend their complexity; module nodes come after every scoped symbol
+    # and set no complexity
+    mod = F.col("kind") == "module"
+    late = F.struct(F.lit(2147483646).alias("n"), F.col("pos.sub"), F.col("pos.n").alias("e"), F.col("pos.i"))
+    lent = (line.where((F.col("tag") == "sym") & F.col("kind").isin("function", "module"))
+            .withColumn("tag", F.when(mod, "sym").otherwise("lfunc")).withColumn("pos", F.when(mod, late).otherwise(F.col("pos")))
+            .withColumn("complexity", F.when(~mod, F.col("complexity"))))
+    return sc.unionByName(lent)
 
 
 def dedupe_merged(rows: DataFrame, default: bool = True) -> DataFrame:
