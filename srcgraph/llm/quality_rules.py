@@ -3,9 +3,9 @@
 Native: DataFrame functions only. Base counts are made inside the row. Repeated 8-word windows are
 found by hashing windows (each window hash is put together from two of half the width), and only
 where a text repeats one are they sorted by hash to get the places. Lines are hashed to 128 bits,
-their distinct documents counted per host, and the words of lines above the limits taken off their
-documents. Only fixed-width rows are shuffled, never a text; counts are pre-aggregated, and the
-join of line occurrences with frequent lines is one that AQE can split.
+their distinct documents counted per host, and the lines above the limits removed from their
+documents. Only fixed-width rows are shuffled, and a text only where kept_text is read; counts are
+pre-aggregated, and the join of line occurrences with frequent lines is one that AQE can split.
 """
 from __future__ import annotations
 
@@ -69,11 +69,12 @@ def over_limit_lines(docs: DataFrame, max_docs: int, max_share: float, host: str
 def quality_rules(docs: DataFrame, max_docs: int = 10, max_share: float = 0.01, min_words: int = 20,
                   max_repeat: int = 30, max_removed: float = 0.5, doc_id: str = "doc_id", host: str = "source",
                   text: str = "text") -> DataFrame:
-    """``docs`` with the base counts, n_removed_words, base_failed and kept.
+    """``docs`` with the base counts, n_removed_words, kept_text, base_failed and kept.
 
     Base: n_words < ``min_words`` or 100 * n_repeat_words > ``max_repeat`` * n_words. Method: the lines
     (stripped, A-Z lower-cased, at least one character) that more than ``max_docs`` documents of a host and
-    more than ``max_share`` of its documents hold are removed; a document is depleted, and not kept, when
+    more than ``max_share`` of its documents hold are removed, the others stay as kept_text, joined by \\n, also of
+    documents that are not kept; a document is depleted, and not kept, when
     fewer than ``min_words`` words are left or more than ``max_removed`` of its words went. A null text is
     empty (no words, so base_failed). A null host is a host of its own. Every row is a document: repeated
     rows count as often as they stand there. New columns replace input columns of the same name.
@@ -92,12 +93,16 @@ def quality_rules(docs: DataFrame, max_docs: int = 10, max_share: float = 0.01,
     gone = (at.join(over, F.col("ho").eqNullSafe(F.col("host")) & (F.col("a1") == F.col("h1")) & (F.col("a2") == F.col("h2")))
             .groupBy("id", "ho", "th").agg(F.collect_set(F.struct("pos", "n")).alias("x"))
             .select(F.col("id").alias("id2"), F.col("ho").alias("ho2"), F.col("th").alias("th2"),
-                    F.aggregate("x", F.lit(0).cast("long"), lambda s, y: s + y["n"]).alias("gone")))
-    b = base_counts(d.select(*cols, F.xxhash64("t").alias("th"), "t"), "t").drop("t")
+                    F.aggregate("x", F.lit(0).cast("long"), lambda s, y: s + y["n"]).alias("gone"), F.col("x.pos").alias("drops")))
+    b = base_counts(d.select(*cols, F.xxhash64("t").alias("th"), "t"), "t")
     j = b.join(gone, of(docs.columns, doc_id).eqNullSafe(F.col("id2")) & of(docs.columns, host).eqNullSafe(F.col("ho2"))
-               & (F.col("th") == F.col("th2")), "left").withColumn("gone", F.coalesce("gone", F.lit(0).cast("long")))
+               & (F.col("th") == F.col("th2")), "left").withColumns({"gone": F.coalesce("gone", F.lit(0).cast("long")),
+                                                                    "lines": F.split("t", "\n", -1)})
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     depleted = (F.col("n_words") - F.col("gone") < min_words) | (F.col("gone") > F.col("n_words") * F.lit(max_removed))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
+    kept_text = F.when(F.col("drops").isNull(), F.col("t")).otherwise(
+        F.array_join(F.transform(left, lambda p: F.get(F.col("lines"), p)), "\n"))
     return unrow(j, docs.columns, n_words=F.col("n_words"), word_chars=F.col("word_chars"), n_symbols=F.col("n_symbols"),
                  n_dup_lines=F.col("n_dup_lines"), n_repeat_words=F.col("n_repeat_words"),
-                 n_removed_words=F.col("gone"), base_failed=failed, kept=~failed & ~depleted)
+                 n_removed_words=F.col("gone"), kept_text=kept_text, base_failed=failed, kept=~failed & ~depleted)
