@@ -113,9 +113,10 @@ def _bucket(table: str, buckets: int):
 
 
 def _write_segment(df: DataFrame, root: str, v: int, table: str, buckets: int) -> list[int]:
-    """Write the rows as segment ``v`` of their buckets; the buckets that got any."""
+    """Write the rows as segment ``v`` of their buckets; the buckets that got any. Small buckets share a task, and a
+    bucket above AQE's partition size is dealt over several, each with a file of its own."""
     path = f"{root}/segments/{_name(v)}/{table}"
-    (df.select(*_columns(table), _bucket(table, buckets).alias("bucket")).repartition("bucket")
+    (df.select(*_columns(table), _bucket(table, buckets).alias("bucket")).hint("rebalance", "bucket")
      .write.mode("overwrite").partitionBy("bucket").parquet(path))
     return sorted(int(n.split("=")[1]) for n in _listed(df.sparkSession, path) if n.startswith("bucket="))
 
