@@ -30,6 +30,16 @@ def py_strip(c) -> Column:
     return F.btrim(col_(c), F.lit(WHITESPACE))
 
 
+def is_plain(c) -> Column:
+    """Whether a text holds printable ASCII and ``\n`` only."""
+    return col_(c).rlike("\\A[\\n -~]*+\\z")
+
+
+def has_rare_break(c) -> Column:
+    """Whether a text holds a line break other than ``\n``; most texts are plain, which is found out faster."""
+    return ~is_plain(c) & col_(c).rlike(_RX_RARE_EOL)
+
+
 def line_pieces(c) -> Column:
     """Lines of a non-empty text like ``str.splitlines()``: one trailing break is removed
     first, then the text is split (``\n`` only: single-character split; other break
@@ -37,8 +47,19 @@ def line_pieces(c) -> Column:
     caller (it has no lines)."""
     c = col_(c)
     rare = F.split(F.regexp_replace(c, "(?:" + RX_EOL + ")\\z", ""), RX_EOL, -1)
-    cut = F.when(c.endswith("\n"), F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c)
-    return F.when(c.rlike(_RX_RARE_EOL), rare).otherwise(F.split(cut, "\n", -1))
+    return F.when(has_rare_break(c), rare).otherwise(_cut(c))
+
+
+def _cut(c) -> Column:
+    """The lines of a text whose only breaks are ``\n``."""
+    return F.split(F.when(c.endswith("\n"), F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c), "\n", -1)
+
+
+def stripped_pieces(c) -> Column:
+    """``line_pieces`` with each line stripped (``py_strip``). Where only printable ASCII stands, a trim of blanks does it."""
+    c = col_(c)
+    exact = lambda l: F.when(is_plain(l), F.trim(l)).otherwise(py_strip(l))
+    return F.when(is_plain(c), F.transform(_cut(c), lambda l: F.trim(l))).otherwise(F.transform(line_pieces(c), exact))
 
 
 def decode_tolerant(c) -> Column:

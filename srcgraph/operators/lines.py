@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import BRANCH_KEYWORDS
-from ..functions.text import line_pieces, py_strip
+from ..functions.pysource import bind
+from ..functions.text import line_pieces, py_strip, stripped_pieces
 
 FILE_KEYS = ["repo_id", "path"]
 _MAXINT = 2147483647
@@ -52,6 +53,33 @@ def source_lines(files: DataFrame) -> DataFrame:
     return d.select("repo_id", "path", (F.col("i") + 1).cast("int").alias("n"), "raw", py_strip("raw").alias("line"))
 
 
+def line_kind(s):
+    """``class`` / ``def`` / ``import`` / ``from`` / ``body``: the first prefix that the stripped line has."""
+    return (F.when(s.startswith("class "), "class")
+            .when(s.startswith("def "), "def")
+            .when(s.startswith("import "), "import")
+            .when(s.startswith("from "), "from")
+            .otherwise("body"))
+
+
+def def_text(s):
+    return F.split_part(F.split_part(s, F.lit("def "), F.lit(2)), F.lit("("), F.lit(1))
+
+
+def rest_text(s):
+    """What stands behind ``):`` on a ``def`` line."""
+    at = F.instr(s, "):")
+    return F.when(at > 0, py_strip(F.substring(s, at + 2, F.lit(_MAXINT)))).otherwise(F.lit(""))
+
+
+def import_text(s):
+    return F.regexp_extract(F.split_part(s, F.lit("import "), F.lit(2)), f"(?U)^{_WS}*([^\\s\\x1c-\\x1f]+)", 1)
+
+
+def from_text(s):
+    return py_strip(F.split_part(F.split_part(s, F.lit("from "), F.lit(2)), F.lit(" import"), F.lit(1)))
+
+
 def line_features(lines: DataFrame, keys: list[str] = FILE_KEYS) -> DataFrame:
     """Classify each stripped line and extract names (LIN2, LIN3, LIN6, LIN7 texts).
 
@@ -59,11 +87,7 @@ def line_features(lines: DataFrame, keys: list[str] = FILE_KEYS) -> DataFrame:
     ``keys`` are the columns that name what the lines are counted in.
     """
     s = F.col("line")
-    kind = (F.when(s.startswith("class "), "class")
-            .when(s.startswith("def "), "def")
-            .when(s.startswith("import "), "import")
-            .when(s.startswith("from "), "from")
-            .otherwise("body"))
+    kind = line_kind(s)
     cls_part = F.split_part(s, F.lit("class "), F.lit(2))
     has_paren = cls_part.contains("(")
     cls_name = F.when(has_paren, F.split_part(cls_part, F.lit("("), F.lit(1))) \
@@ -72,11 +96,7 @@ def line_features(lines: DataFrame, keys: list[str] = FILE_KEYS) -> DataFrame:
     bases = F.when(has_paren, F.filter(F.transform(F.split(bases_txt, ","), lambda b: py_strip(b)),
                                        lambda b: (b != "") & (b != "object"))) \
         .otherwise(F.array().cast("array<string>"))
-    def_name = F.split_part(F.split_part(s, F.lit("def "), F.lit(2)), F.lit("("), F.lit(1))
-    at = F.instr(s, "):")
-    def_rest = F.when(at > 0, py_strip(F.substring(s, at + 2, F.lit(_MAXINT)))).otherwise(F.lit(""))
-    imp_tok = F.regexp_extract(F.split_part(s, F.lit("import "), F.lit(2)), f"(?U)^{_WS}*([^\\s\\x1c-\\x1f]+)", 1)
-    from_mod = py_strip(F.split_part(F.split_part(s, F.lit("from "), F.lit(2)), F.lit(" import"), F.lit(1)))
+    def_name, def_rest, imp_tok, from_mod = def_text(s), rest_text(s), import_text(s), from_text(s)
     k = F.col("kind")
     return (lines.withColumn("kind", kind).select(
         *keys, "n", "kind",
@@ -233,6 +253,54 @@ def line_graph_rows(win: DataFrame) -> DataFrame:
     return emitted_rows(d.where(F.col("kind") != "body"))  # only these lines emit rows
 
 
+def function_module_rows(files: DataFrame) -> DataFrame:
+    """LIN1, LIN4-LIN8: the ``sym`` rows of functions and modules among ``line_graph_rows``, found in the file's row:
+    no line leaves it, no window and no sort is needed.
+
+    A line is a letter: ``c`` a class line, ``i`` an import line, ``d`` a ``def`` line without text behind it, ``D`` one
+    with such text and ``E`` with a branch in it, ``b`` and ``B`` other lines without and with a branch. The letters of a
+    function are those from its ``def`` line to the next. It is closed by the first ``c`` behind a body line.
+    """
+    def letter(s):
+        rest = rest_text(s)
+        return (F.when(s.startswith("class "), "c").when(s.startswith("def "), F.when(rest == "", "d").when(has_branch(rest), "E").otherwise("D"))
+                .when(s.startswith("import ") | s.startswith("from "), "i").when(has_branch(s), "B").otherwise("b"))
+
+    item = lambda n, seg, s: F.struct(n.cast("int").alias("n"), seg.alias("seg"), s.alias("s"))
+
+    # each def line begins a record of its own: its number, a blank and the letters; the lines before the first are no function
+    def functions(ls):
+        coded = F.array_join(F.transform(ls, lambda s, i: F.when(s.startswith("def "), F.concat(
+            F.lit("\n"), (i + 1).cast("string"), F.lit(" "), letter(s))).otherwise(letter(s))), "")
+        records = F.filter(F.split(coded, "\n", -1), lambda r: r.contains(" "))
+        return F.transform(records, lambda r: bind(F.substring_index(r, " ", 1).cast("int"), lambda n: item(
+            n, F.substring_index(r, " ", -1), F.get(ls, n - 1))))
+
+    def imports(ls):
+        found = F.transform(ls, lambda s, i: F.when(s.startswith("import ") | s.startswith("from "), item(i + 1, NONE_S(), s)))
+        return F.filter(found, lambda r: r.isNotNull())
+
+    records = bind(stripped_pieces("content"), lambda ls: F.concat(functions(ls), imports(ls)))
+    d = files.where(F.col("content") != "").select("repo_id", "path", F.explode(records).alias("r"))
+    d = d.select("repo_id", "path", "r.n", "r.seg", "r.s", F.col("r.seg").isNull().alias("is_imp"))
+    s, seg, n, imp = F.col("s"), F.col("seg"), F.col("n"), F.col("is_imp")
+    body = F.regexp_extract(seg, "^(?:d[ic]*+)?[^c]*+", 0)  # up to the line that closes the function
+    module = F.when(s.startswith("import "), import_text(s)).otherwise(from_text(s))
+    d = d.select("repo_id", "path", imp.alias("imp"), n.alias("n"), F.length(seg).alias("all"), F.when(~imp, body).alias("body"),
+                 F.when(imp, module).otherwise(def_text(s)).alias("text"), (imp & s.startswith("from ")).alias("from"))
+    open_ = F.length("body")
+    closed = open_ < F.col("all")
+    d = d.where(F.when(imp_ := F.col("imp"), F.col("from") | (F.col("text") != "")).otherwise(
+        (F.col("text") != "") & (F.length(F.regexp_replace("body", "[dic]+", "")) > 0)))
+    return d.select(
+        "repo_id", "path", F.lit("sym").alias("tag"), F.when(imp_, F.split_part("text", F.lit("."), F.lit(1))).otherwise(F.col("text")).alias("name"),
+        F.when(imp_, "module").otherwise("function").alias("kind"),
+        F.when(imp_, 1).otherwise(F.length(F.regexp_replace("body", "[^BE]+", "")) + 1).alias("complexity"),
+        gpos(F.when(imp_, F.col("n")).when(closed, F.col("n") + open_).otherwise(F.col("n") + F.col("all") - 1),
+             F.when(imp_, 1).when(closed, 0).otherwise(2)).alias("pos"),
+        NONE_S().alias("source"), NONE_S().alias("target"), NONE_S().alias("type"))
+
+
 def emitted_rows(d: DataFrame) -> DataFrame:
     """The tagged rows of class, def and import lines; a def line carries its function's ``seg_body``, ``seg_branch``,
     ``close_n`` and ``last_n``."""

@@ -31,9 +31,11 @@ def _edges(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("tag") == "edge").select("repo_id", F.col("path").alias("file"), "source", "target", "type")
 
 
-def line_rows(files: DataFrame, chunk_lines: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """LIN1-LIN8: the line parser's rows, each file by the form that its length asks for."""
-    whole = lambda f: L.line_graph_rows(L.line_windows(L.line_features(L.source_lines(f))))
+def line_rows(files: DataFrame, chunk_lines: int | None = None, chunk_bytes: int = CHUNK_BYTES,
+              lent: bool = False) -> DataFrame:
+    """LIN1-LIN8: the line parser's rows, each file by the form that its length asks for; of a file that is read whole
+    only those of functions and modules where no others are asked for (``lent``)."""
+    whole = L.function_module_rows if lent else lambda f: L.line_graph_rows(L.line_windows(L.line_features(L.source_lines(f))))
     if chunk_lines is None:
         return whole(files)
     long_ = F.octet_length("content") >= chunk_bytes
@@ -41,21 +43,22 @@ def line_rows(files: DataFrame, chunk_lines: int | None = None, chunk_bytes: int
 
 
 def tagged_rows(files: DataFrame, mode: str = "line", filter_ext: bool = True, chunk_lines: int | None = None,
-                chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+                chunk_bytes: int = CHUNK_BYTES, ends: bool = True) -> DataFrame:
     """All symbol and edge rows of ``files`` as one DataFrame with a ``tag`` column
     (``sym``, ``edge``; in ``merged`` mode also ``lfunc``: line-parser function rows that
-    only lend their complexity). One pass per parser; nothing is computed twice."""
+    only lend their complexity). One pass per parser; nothing is computed twice. Without ``ends`` the scoped parser's
+    edges come without the rows of their ends, which ``scoped.edge_end_rows`` makes from them."""
     if filter_ext:
         files = supported_files(files)
     if mode == "auto":  # every file goes to one of two parsers; only their short rows meet
         good = parses(F.col("content"))
         return tagged_rows(files.where(good), "scoped", False).unionByName(
             tagged_rows(files.where(~good), "line", False, chunk_lines, chunk_bytes))
-    line = line_rows(files, chunk_lines, chunk_bytes) if mode != "scoped" else None
+    line = line_rows(files, chunk_lines, chunk_bytes, mode == "merged") if mode != "scoped" else None
     if mode == "line":
         return line
-    from ..operators.scoped import scoped_graph_rows
-    sc = scoped_graph_rows(files)
+    from ..operators.scoped import scoped_graph_rows, scoped_item_rows
+    sc = scoped_graph_rows(files) if ends else scoped_item_rows(files)
     if mode == "scoped":
         return sc
     if mode != "merged":
@@ -99,13 +102,17 @@ def build_graph(files: DataFrame, mode: str = "line", filter_ext: bool = True,
     """
     if chunk_lines is None:  # no window holds more than a file, no task more than its part of them
         files = dealt(files, "repo_id", "path", text="content")
-    rows = tagged_rows(files, mode, filter_ext, chunk_lines, chunk_bytes)
+    ends = not (store and mode in ("scoped", "merged"))
+    rows = tagged_rows(files, mode, filter_ext, chunk_lines, chunk_bytes, ends)
     if store:
         from ..session import materialize
         # one job analyses the text; rows are split by tag on disk (edges and symbols are
         # then read separately), and the deduplicated nodes are written once as well
         rows = materialize(rows, f"graph_rows_{mode}", partition_by="tag")
     syms, edges = rows.where(F.col("tag") != "edge"), _edges(rows)
+    if not ends:  # a call is written as one row; the two rows of its ends are made as it is read
+        from ..operators.scoped import edge_end_rows
+        syms = syms.unionByName(edge_end_rows(rows.where(F.col("tag") == "edge")))
     nodes = dedupe_merged(syms, default) if mode == "merged" else G.dedupe_nodes(syms.select(*SYM_COLS), default)
     if store:
         nodes = materialize(nodes, f"graph_nodes_{mode}")
