@@ -169,6 +169,13 @@ def join_nodes(stored: DataFrame, new: DataFrame, take_new_complexity: bool, gen
                     F.when(old, F.col("pos")).otherwise(F.col("p2")).alias("pos"))
 
 
+def add_nodes(stored: DataFrame, new: DataFrame, take_new_complexity: bool, gen: int) -> DataFrame:
+    """``join_nodes`` of tables that share no key: nothing is joined, whatever complexity would be taken."""
+    cx = F.coalesce("complexity", F.lit(1)).alias("complexity")
+    row = lambda d, g: d.select("repo_id", "file", "name", "kind", cx, g.alias("gen"), "pos")
+    return row(stored, F.col("gen")).unionByName(row(new, F.col("gen") + gen))
+
+
 def graph_union(a: Graph, b: Graph) -> Graph:
     """SET2: union of two stored graphs: a key of ``a`` keeps its row whole, edges are appended."""
     return Graph(join_nodes(a.nodes, b.nodes, False), append_edges(a.edges, b.edges))

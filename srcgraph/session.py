@@ -98,6 +98,21 @@ def dealt(df: DataFrame, *keys: str, text: str | None = None, like: DataFrame |
     return df.repartition(n, *keys)
 
 
+OPEN_FILES = 64
+
+
+def write_by(df: DataFrame, column: str, path: str) -> None:
+    """Write ``df`` as parquet, a folder per value of ``column``. A task keeps a file open for each of at most ``OPEN_FILES``
+    values, so that its rows need not be sorted; Spark sorts what comes with further values."""
+    conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, OPEN_FILES)
+    try:
+        df.write.mode("overwrite").partitionBy(column).parquet(path)
+    finally:
+        conf.set(name, before)
+
+
 def materialize(df, name: str, key: str | None = None, partition_by: str | None = None):
     """Write ``df`` as parquet into the shared checkpoint folder and read it back.
 
@@ -112,10 +127,10 @@ def materialize(df, name: str, key: str | None = None, partition_by: str | None
     if key is not None and (app, key) in _TABLES:
         return spark.read.schema(df.schema).parquet(_TABLES[(app, key)])
     path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex}")
-    w = df.write.mode("overwrite")
     if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
+        write_by(df, partition_by, path)
+    else:
+        df.write.mode("overwrite").parquet(path)
     if key is not None:
         _TABLES[(app, key)] = path
     # with the schema given, an empty partitioned table can be read too, and no footer has to be

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import TOP_K
 from ..functions.text import display_name
 from ..operators import graph as G
+from ..session import write_by
 
 SCHEMAS = {
     "nodes": "repo_id string, file string, name string, kind string, complexity int, gen int, pos bigint",
@@ -116,8 +117,7 @@ def _write_segment(df: DataFrame, root: str, v: int, table: str, buckets: int) -
     """Write the rows as segment ``v`` of their buckets; the buckets that got any. Small buckets share a task, and a
     bucket above AQE's partition size is dealt over several, each with a file of its own."""
     path = f"{root}/segments/{_name(v)}/{table}"
-    (df.select(*_columns(table), _bucket(table, buckets).alias("bucket")).hint("rebalance", "bucket")
-     .write.mode("overwrite").partitionBy("bucket").parquet(path))
+    write_by(df.select(*_columns(table), _bucket(table, buckets).alias("bucket")).hint("rebalance", "bucket"), "bucket", path)
     return sorted(int(n.split("=")[1]) for n in _listed(df.sparkSession, path) if n.startswith("bucket="))
 
 
@@ -184,14 +184,21 @@ def seed_graph(g: G.Graph, root: str, buckets: int = BUCKETS) -> None:
     _commit(spark, root, ver)
 
 
+def _without(stored: DataFrame, replaced: DataFrame) -> DataFrame:
+    """Stored rows of files other than the ``replaced`` ones. Where the rows are far more, only the file names are hashed
+    (a task's names are then a small part of its input); else both are sorted, which can spill."""
+    names = replaced.hint("shuffle_hash") if 4 * replaced.count() <= stored.count() else replaced.hint("merge")
+    return stored.join(names, ["repo_id", "file"], "left_anti")
+
+
 def merge_version(new: G.Graph, root: str, made_by: str, replaced: DataFrame | None = None,
-                  max_segments: int = MAX_SEGMENTS) -> int:
+                  max_segments: int = MAX_SEGMENTS, all_replaced: bool = False) -> int:
     """GRF9: merge ``new`` (stored, as it is read several times; complexity null where only an edge names a node)
     into the latest version; the number of the version that holds it.
 
     Node and edge rules are those of ``graph.merge_graph``. With ``replaced(repo_id, file)`` the stored nodes and
-    edges of these files go first, also of files that have no symbol any more. A batch that is the latest version
-    already (``made_by``) does nothing.
+    edges of these files go first, also of files that have no symbol any more; where they are all files of ``new``
+    (``all_replaced``) no stored node meets a new one. A batch that is the latest version already (``made_by``) does nothing.
     """
     spark = new.nodes.sparkSession
     old = version(spark, root)
@@ -206,8 +213,9 @@ def merge_version(new: G.Graph, root: str, made_by: str, replaced: DataFrame | N
         files = files.unionByName(replaced)
     touched = {r[0] for r in files.select(_bucket("nodes", ver.buckets)).distinct().collect()}  # at most ``buckets``
     was_nodes, was_edges = read_table(spark, root, old, "nodes", touched), read_table(spark, root, old, "edges", touched)
-    stay = (lambda d: d) if replaced is None else (lambda d: d.join(replaced, ["repo_id", "file"], "left_anti"))
-    nodes = _replace(spark, root, ver, "nodes", G.join_nodes(stay(was_nodes), new.nodes, True, ver.gen), touched)
+    stay = (lambda d: d) if replaced is None else (lambda d: _without(d, replaced))
+    put = G.add_nodes if all_replaced else G.join_nodes
+    nodes = _replace(spark, root, ver, "nodes", put(stay(was_nodes), new.nodes, True, ver.gen), touched)
     if replaced is None:
         edges, gone = new.edges, spark.createDataFrame([], SCHEMAS["edges"])
         _append(spark, root, ver, "edges", edges.select(*G.EDGE_COLS), max_segments)

@@ -27,7 +27,7 @@ def merge_once(files: DataFrame, root: str, made_by: str, mode: str = "line", re
     if last.made_by == made_by:
         return last.number
     replaced = supported_files(files).select("repo_id", F.col("path").alias("file")) if replace_files else None
-    v = merge_version(build_graph(files, mode=mode, store=True, default=False), root, made_by, replaced)
+    v = merge_version(build_graph(files, mode=mode, store=True, default=False), root, made_by, replaced, all_replaced=replace_files)
     if keep:
         expire_versions(spark, root, keep)
     return v
